@@ -103,8 +103,9 @@ select question_type, document_type, case when document_match then 'True' else '
 from results group by question_type, document_type, results.document_match""",
     "model_union": """
 select d.doc_id as row_id, case when d.doc_id % 2 = 0 then 'model_a' else 'model_b' end as model,
-       1 + d.n_chars % 10 as correctness,
-       case when d.doc_id % 2 = 0 then null when d.doc_id % 4 = 0 then 0 else 1 + d.doc_id % 7 end as groundedness
+       cast(1 + d.n_chars % 10 as integer) as correctness,
+       cast(case when d.doc_id % 2 = 0 then null when d.doc_id % 4 = 0 then 0 else 1 + d.doc_id % 7 end as integer)
+         as groundedness
 from documents d join labels l on d.doc_id = l.doc_id""",
 }
 
@@ -138,5 +139,101 @@ from embeddings""",
 }
 
 
+# --- retrieval -----------------------------------------------------------------------------
+def _vector(alias: str, key: str, text: str, table: str) -> str:
+    """Unit vector of 64 hashed word counts per row of a table."""
+    return f"""
+{alias}_words as (
+  select {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) as word
+  from {table}
+), {alias}_places as (
+  select {key}, cast(concat('0x', substr(md5(word), 1, 8)) as bigint) % 64 as place, count(*) as n
+  from {alias}_words group by all
+), {alias}_lengths as (
+  select {key}, sqrt(cast(sum(n * n) as double)) as length from {alias}_places group by all
+), {alias}_weights as (
+  select p.{key}, p.place, cast(p.n / l.length as float) as weight
+  from {alias}_places p join {alias}_lengths l on p.{key} = l.{key}
+), {alias}_vectors as (
+  select r.{key}, coalesce(v.vector, list_transform(range(64), lambda i: cast(0 as float))) as vector
+  from {table} r left join (
+    select {key}, list_transform(range(64), lambda i: coalesce(map_extract(m, i)[1], cast(0 as float))) as vector
+    from (select {key}, map_from_entries(list((place, weight))) as m from {alias}_weights group by all)
+  ) v on r.{key} = v.{key}
+)"""
+
+
+CHUNKS = """
+pieces as (
+  select doc_id, concat(source, '.pdf') as title, lang, text,
+         unnest(range(greatest(cast(ceil((length(text) - 500) / 1500.0) as bigint), 1))) as chunk_no
+  from documents where length(text) > 0
+), chunks as (
+  select concat(doc_id, ':', chunk_no) as chunk_id, doc_id, title, lang, cast(chunk_no as integer) as chunk_no,
+         substr(text, chunk_no * 1500 + 1, 2000) as chunk
+  from pieces
+), questions as (select item_id as question_id, text as question from benchmark)"""
+
+_COSINE = """case when list_sum(list_transform({a}, lambda x: abs(x))) = 0 or list_sum(list_transform({b}, lambda x: abs(x))) = 0
+            then 0 else round(list_cosine_similarity(cast({a} as double[]), cast({b} as double[])), 9) end"""
+
+VECTOR_RANKS = f"""
+{_vector("c", "chunk_id", "chunk", "chunks")}, {_vector("q", "question_id", "question", "questions")},
+pairs as (
+  select q.question_id, c.chunk_id, {_COSINE.format(a="q.vector", b="c.vector")} as score
+  from q_vectors q cross join c_vectors c
+), vector_ranks as (
+  select *, row_number() over (partition by question_id order by score desc, chunk_id) as rank
+  from pairs qualify rank <= 5
+)"""
+
+TEXT_RANKS = """
+lengths as (
+  select c.chunk_id, count(w.word) as length from chunks c left join c_words w on c.chunk_id = w.chunk_id group by all
+), totals as (select count(*) as n, avg(length) as mean_length from lengths),
+frequencies as (select chunk_id, word, count(*) as f from c_words group by all),
+rarity as (
+  select word, ln(1 + ((select n from totals) - count(*) + 0.5) / (count(*) + 0.5)) as idf from frequencies group by word
+), asked as (select question_id, word, count(*) as f from q_words group by all),
+text_scores as (
+  select a.question_id, t.chunk_id,
+         round(sum(a.f * r.idf * t.f / (t.f + 1.2 * (0.25 + 0.75 * l.length / (select mean_length from totals)))), 9) as score
+  from asked a join rarity r on a.word = r.word join frequencies t on a.word = t.word
+  join lengths l on l.chunk_id = t.chunk_id group by all
+), text_ranks as (
+  select *, row_number() over (partition by question_id order by score desc, chunk_id) as rank from text_scores
+)"""
+
+RETRIEVAL = {
+    "build_chunks": f"with {CHUNKS} select chunk_id, doc_id, title, lang, chunk_no, chunk from chunks",
+    "embed_text": f"""with {CHUNKS}, {_vector("q", "question_id", "question", "questions")}
+select question_id, cast(place as integer) as place, weight from q_weights""",
+    "retrieve_topk": """
+with pairs as (
+  select q.vec_id as question_id, c.vec_id as chunk_id,
+         round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 9) as score
+  from embeddings q cross join embeddings c
+)
+select question_id, cast(row_number() over (partition by question_id order by score desc, chunk_id) as integer) as rank,
+       chunk_id, score
+from pairs qualify rank <= 5""",
+    "retrieve_chunks": f"""with {CHUNKS}, {VECTOR_RANKS}
+select r.question_id, cast(r.rank as integer) as rank, r.chunk_id, r.score, c.title, c.chunk
+from vector_ranks r join chunks c on r.chunk_id = c.chunk_id""",
+    "retrieve_text": f"""with {CHUNKS}, {_vector("c", "chunk_id", "chunk", "chunks")},
+{_vector("q", "question_id", "question", "questions")}, {TEXT_RANKS}
+select question_id, cast(rank as integer) as rank, chunk_id, score from text_ranks where rank <= 5""",
+    "retrieve_hybrid": f"""with {CHUNKS}, {VECTOR_RANKS}, {TEXT_RANKS}, fused as (
+  select coalesce(v.question_id, t.question_id) as question_id, coalesce(v.chunk_id, t.chunk_id) as chunk_id,
+         coalesce(cast(1 as double) / (60 + v.rank), 0) + coalesce(cast(1 as double) / (60 + t.rank), 0) as score
+  from vector_ranks v full join (select * from text_ranks where rank <= 1000) t
+    on v.question_id = t.question_id and v.chunk_id = t.chunk_id
+)
+select question_id, cast(row_number() over (partition by question_id order by score desc, chunk_id) as integer) as rank,
+       chunk_id, round(score, 9) as score
+from fused qualify rank <= 5""",
+}
+
+
 def all_oracles() -> dict[str, str]:
-    return {**SUMMARY, **DOCUMENTS}
+    return {**SUMMARY, **DOCUMENTS, **RETRIEVAL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.operators import columns, docsync, summary
+from askgrid.operators import chunking, columns, docsync, embedding, lexical, retrieval, summary
 from askgrid.plans import views
 from askgrid.sources import listing as listing_source
 
@@ -126,6 +126,53 @@ def schema_contract(spark, folder):
     )
 
 
+# --- retrieval -----------------------------------------------------------------------------
+def _chunks(spark, folder, vectors=True):
+    chunks = chunking.split_documents(views.source_documents(spark, folder))
+    return embedding.embed_text(chunks, "chunk", "text_vector") if vectors else chunks
+
+
+def _questions(spark, folder):
+    return embedding.embed_text(views.questions(spark, folder), "question", "question_vector")
+
+
+def build_chunks(spark, folder):
+    return _chunks(spark, folder, vectors=False).select("chunk_id", "doc_id", "title", "lang", "chunk_no", "chunk")
+
+
+def embed_text(spark, folder):
+    """The questions' vectors as one row per place that is not zero."""
+    placed = _questions(spark, folder).select("question_id", F.posexplode("question_vector").alias("place", "weight"))
+    return placed.filter(F.col("weight") != 0)
+
+
+def retrieve_topk(spark, folder):
+    """All vectors as questions over all vectors as chunks."""
+    vectors = views.table(spark, folder, "embeddings")
+    questions = vectors.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_vector"))
+    chunks = vectors.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("text_vector"))
+    return retrieval.topk_by_vector(questions, chunks)
+
+
+def retrieve_chunks(spark, folder):
+    """The benchmark's texts as questions over all chunks of all documents, with the chunks' text."""
+    found = retrieval.topk_by_vector(_questions(spark, folder), _chunks(spark, folder))
+    return found.join(_chunks(spark, folder, vectors=False).select("chunk_id", "title", "chunk"), "chunk_id")
+
+
+def retrieve_text(spark, folder):
+    return lexical.topk_by_text(views.questions(spark, folder), _chunks(spark, folder, vectors=False), k=5)
+
+
+def retrieve_hybrid(spark, folder):
+    found = lexical.topk_hybrid(_questions(spark, folder), _chunks(spark, folder))
+    return _scores_to_nine(found)
+
+
+def _scores_to_nine(df):
+    return df.withColumn("score", F.rint(F.col("score") * 1e9) / 1e9)
+
+
 _QUERIES: list[Query] = [
     pos_scores_by_doctype,
     neg_scores_by_doctype,
@@ -146,6 +193,12 @@ _QUERIES: list[Query] = [
     orphan_docs,
     drop_empty_columns,
     schema_contract,
+    build_chunks,
+    embed_text,
+    retrieve_topk,
+    retrieve_chunks,
+    retrieve_text,
+    retrieve_hybrid,
 ]
 
 

@@ -45,6 +45,20 @@ def _bag(names: list[str], rows) -> Counter:
     return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
+_TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "FLOAT": "float",
+    "VARCHAR": "string", "BOOLEAN": "boolean",
+}
+
+
+def type_difference(spark_df, con, sql: str) -> str | None:
+    """None if both results have the same column types."""
+    described = con.execute(f"describe {sql}").fetchall()
+    theirs = {name: _TYPES.get(kind, kind) for name, kind, *_ in described}
+    wrong = {n: (t, theirs.get(n)) for n, t in spark_df.dtypes if theirs.get(n) != t}
+    return f"types (spark, sql): {wrong}" if wrong else None
+
+
 def difference(spark_df, con, sql: str) -> str | None:
     """None if both results are equal, else what differs."""
     rows = [tuple(r) for r in spark_df.collect()]
@@ -75,7 +89,7 @@ def main() -> int:
         try:
             df = query(spark, folder)
             if name in sql:
-                result = difference(df, con, sql[name]) or "equal"
+                result = difference(df, con, sql[name]) or type_difference(df, con, sql[name]) or "equal"
             else:
                 result = f"rows only: {df.count()}"
         except Exception as error:  # report and go on with the next query
