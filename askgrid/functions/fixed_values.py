@@ -117,3 +117,13 @@ GROUNDEDNESS_TEMPLATE = (
     "    Reply with only the score.\n"
     "    "
 )
+
+# --- fixed values: single-turn prompt -----------------------------------------------------
+SINGLE_TURN_TEMPLATE = (
+    "You are an assistant for question-answering tasks. Use the following pieces of retrieved context "
+    "to answer the question. If you don't know the answer, just say that you don't know. Use three "
+    "sentences maximum and keep the answer concise.\n"
+    "Question: {question} \n"
+    "Context: {context} \n"
+    "Answer:"
+)

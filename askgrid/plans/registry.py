@@ -7,9 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.operators import chunking, columns, docsync, embedding, lexical, retrieval, summary
-from askgrid.plans import views
+from askgrid.functions import text
+from askgrid.operators import (
+    chunking,
+    citations,
+    columns,
+    conversation,
+    docsync,
+    embedding,
+    judging,
+    lexical,
+    retrieval,
+    summary,
+)
+from askgrid.plans import evaluation, rag, views
+from askgrid.session import work_folder
+from askgrid.sources import files
 from askgrid.sources import listing as listing_source
+from askgrid.streaming import conversation_state, new_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,7 +143,9 @@ def schema_contract(spark, folder):
 
 # --- retrieval -----------------------------------------------------------------------------
 def _chunks(spark, folder, vectors=True):
-    chunks = chunking.split_documents(views.source_documents(spark, folder))
+    chunks = chunking.split_documents(views.source_documents(spark, folder)).withColumn(
+        "metadata", F.create_map(F.lit("title"), "title", F.lit("lang"), "lang")
+    )
     return embedding.embed_text(chunks, "chunk", "text_vector") if vectors else chunks
 
 
@@ -156,8 +173,7 @@ def retrieve_topk(spark, folder):
 
 def retrieve_chunks(spark, folder):
     """The benchmark's texts as questions over all chunks of all documents, with the chunks' text."""
-    found = retrieval.topk_by_vector(_questions(spark, folder), _chunks(spark, folder))
-    return found.join(_chunks(spark, folder, vectors=False).select("chunk_id", "title", "chunk"), "chunk_id")
+    return rag.retrieve(_questions(spark, folder), _chunks(spark, folder), columns=("title", "chunk"))
 
 
 def retrieve_text(spark, folder):
@@ -173,6 +189,180 @@ def _scores_to_nine(df):
     return df.withColumn("score", F.rint(F.col("score") * 1e9) / 1e9)
 
 
+# --- conversations -------------------------------------------------------------------------
+def _joined(*names):
+    return {n: F.array_join(n, "|") for n in names}
+
+
+def context_serialize(spark, folder):
+    found = rag.retrieve(_questions(spark, folder), _chunks(spark, folder))
+    return conversation.contexts(found).select("question_id", "joined", "serialised")
+
+
+def prompt_build(spark, folder):
+    return conversation.answer_prompt(views.messages(spark, folder))
+
+
+def conversation_filter(spark, folder):
+    kept = conversation.conversation_only(views.messages(spark, folder))
+    return kept.select("thread_id", "turn", "type", "content")
+
+
+def turn_routing(spark, folder):
+    return conversation.route_turns(views.messages(spark, folder))
+
+
+def trailing_tool_run(spark, folder):
+    return conversation.trailing_tool_run(views.messages(spark, folder)).select("thread_id", "turn", "content")
+
+
+def last_answer(spark, folder):
+    return conversation.turn_results(views.messages(spark, folder)).select("thread_id", "messages", "answer")
+
+
+def last_turn_sources(spark, folder):
+    results = conversation.turn_results(views.messages(spark, folder))
+    return results.select("thread_id", "source_names", "source_contents").withColumns(
+        _joined("source_names", "source_contents")
+    )
+
+
+def last_turn_sources_in_turn(spark, folder):
+    results = conversation.turn_results(views.messages(spark, folder), scope="turn")
+    return results.select("thread_id", "source_names", "source_contents").withColumns(
+        _joined("source_names", "source_contents")
+    )
+
+
+def format_sources(spark, folder):
+    """The sources of every tool message as links."""
+    answers = views.messages(spark, folder).select(
+        "thread_id", "turn", F.transform("artifact", lambda d: d["title"]).alias("source_names")
+    )
+    return citations.format_sources(answers, views.url_table(spark, folder), ["thread_id", "turn"])
+
+
+def conversation_state_stream(spark, folder):
+    messages = views.messages_of(views.table_stream(spark, folder, "conversations"))
+    states = conversation_state.latest_states(conversation_state.run_to_end(messages))
+    return states.withColumns(_joined("source_names", "source_contents"))
+
+
+def new_docs_stream(spark, folder):
+    listing = views.listing_of(views.table_stream(spark, folder, "documents"))
+    plans = new_documents.run_to_end(listing, lambda: views.stored(spark, folder))
+    return plans.select("doc_id", "name", "url")
+
+
+# --- scores --------------------------------------------------------------------------------
+def docname_cleanup(spark, folder):
+    answers = views.answered_questions(spark, folder)
+    names = judging.cleaned_names(F.col("retrieved_files"))
+    return answers.select("conv_id", "turn", F.array_join(names, "|").alias("names"))
+
+
+def doc_match(spark, folder):
+    answers = views.answered_questions(spark, folder)
+    return answers.select("conv_id", "turn", judging.document_match().alias("document_match"))
+
+
+def score_parse(spark, folder):
+    return views.judge_replies(spark, folder).select("doc_id", text.parse_score(F.col("reply")).alias("score"))
+
+
+def judge_prompt_build(spark, folder):
+    return views.answered_questions(spark, folder).select(
+        "conv_id",
+        "turn",
+        judging.correctness_prompt().alias("correctness_prompt"),
+        judging.retrieval_prompt().alias("retrieval_prompt"),
+        judging.groundedness_prompt().alias("groundedness_prompt"),
+    )
+
+
+def judge_correctness(spark, folder):
+    answers = views.answered_questions(spark, folder)
+    return answers.select("conv_id", "turn", judging.overlap_correctness().alias("correctness"))
+
+
+def judge_retrieval(spark, folder):
+    answers = views.answered_questions(spark, folder)
+    return answers.select("conv_id", "turn", judging.overlap_retrieval().alias("retrieval"))
+
+
+def judge_groundedness(spark, folder):
+    answers = views.answered_questions(spark, folder)
+    return answers.select("conv_id", "turn", judging.overlap_groundedness().alias("groundedness"))
+
+
+_MEASURES = ("correctness", "retrieval", "groundedness", "document_match")
+
+
+def eval_scores(spark, folder):
+    scored = judging.score_responses(views.answered_questions(spark, folder))
+    return scored.select("conv_id", "turn", *_MEASURES)
+
+
+def eval_no_retrieval_defaults(spark, folder):
+    """Scores by whether anything was retrieved."""
+    scored = judging.score_responses(views.answered_questions(spark, folder))
+    return scored.groupBy(judging.was_retrieved().alias("retrieved")).agg(
+        F.count(F.lit(1)).alias("answers"),
+        F.sum("correctness").alias("correctness"),
+        F.sum("retrieval").alias("retrieval"),
+        F.sum("groundedness").alias("groundedness"),
+        F.count_if("document_match").alias("matches"),
+    )
+
+
+def eval_export(spark, folder):
+    """Scores written as CSV, arrays as JSON, and read back."""
+    scored = evaluation.score_and_arrange(views.answered_questions(spark, folder))
+    chosen = scored.select("conv_id", "turn", "question", "answer", *_MEASURES, *evaluation.CONTEXT_COLUMNS)
+    path = f"{work_folder(spark)}/results"
+    files.export_results(chosen, path)
+    schema = ", ".join(f"{c} {'string' if k.startswith('array') else k}" for c, k in chosen.dtypes)
+    read = files.read_results(spark, path, schema, evaluation.CONTEXT_COLUMNS)
+    return read.withColumns(_joined(*evaluation.CONTEXT_COLUMNS))
+
+
+# --- whole runs ----------------------------------------------------------------------------
+def batch_rag(spark, folder):
+    """Single-turn answers of the benchmark's texts over all chunks of all documents."""
+    answers = rag.answer_questions(_questions(spark, folder), _chunks(spark, folder), k=5, search="vector")
+    return answers.select(
+        "question_id", "answer", "source_names", F.col("prompt")[0]["text"].alias("prompt")
+    ).withColumns(_joined("source_names"))
+
+
+def multiturn_rag(spark, folder):
+    """Multi-turn answers as message rows, reduced to each thread's answer and sources."""
+    turns = rag.answer_turns(_questions(spark, folder), _chunks(spark, folder), search="vector")
+    results = conversation.turn_results(turns)
+    return results.select("thread_id", "messages", "answer", "source_names").withColumns(_joined("source_names"))
+
+
+def eval_run(spark, folder):
+    """A truth set answered and scored end to end."""
+    scored = evaluation.evaluate_truth_set(
+        views.truth_set(spark, folder), _chunks(spark, folder), search="vector"
+    )
+    return scored.drop("retrieved_contents").withColumns(_joined("retrieved_files"))
+
+
+# --- files ---------------------------------------------------------------------------------
+def stored_files(spark, folder):
+    """The files of the given tables."""
+    return files.stored_files(spark, folder)
+
+
+def url_table_build(spark, folder):
+    """The URL table of the given tables' files, written as CSV and read back."""
+    path = f"{work_folder(spark)}/urls"
+    files.write_url_table(files.build_url_table(spark, [folder]), path)
+    return files.read_url_table(spark, path).select("file_name", "file_url")
+
+
 _QUERIES: list[Query] = [
     pos_scores_by_doctype,
     neg_scores_by_doctype,
@@ -199,6 +389,32 @@ _QUERIES: list[Query] = [
     retrieve_chunks,
     retrieve_text,
     retrieve_hybrid,
+    context_serialize,
+    prompt_build,
+    conversation_filter,
+    turn_routing,
+    trailing_tool_run,
+    last_answer,
+    last_turn_sources,
+    last_turn_sources_in_turn,
+    format_sources,
+    conversation_state_stream,
+    new_docs_stream,
+    docname_cleanup,
+    doc_match,
+    score_parse,
+    judge_prompt_build,
+    judge_correctness,
+    judge_retrieval,
+    judge_groundedness,
+    eval_scores,
+    eval_no_retrieval_defaults,
+    eval_export,
+    batch_rag,
+    multiturn_rag,
+    eval_run,
+    stored_files,
+    url_table_build,
 ]
 
 

@@ -37,8 +37,19 @@ def evaluation_results(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table, one file or a folder of files, as a stream of its files."""
+    # A stream takes a single file only by a pattern.
+    pattern = f"{folder}/{name}.parque[t]"
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(pattern)
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a listed file: unnamed, excluded, slashed and plain names."""
+    return listing_of(table(spark, folder, "documents"))
+
+
+def listing_of(documents: DataFrame) -> DataFrame:
     doc, number = F.col("doc_id"), _text("doc_id")
     name = (
         F.when(doc % 17 == 0, F.lit(None).cast("string"))
@@ -49,7 +60,7 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Fact Sheet "), number))
     )
     suffix = F.when(doc % 5 == 0, ".docx").when(doc % 9 == 0, "").otherwise(".pdf")
-    return table(spark, folder, "documents").select(
+    return documents.select(
         "doc_id",
         name.alias("name"),
         F.concat(F.lit("/files/v1.2/"), number, suffix).alias("url"),
@@ -108,6 +119,10 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
     A tool result's artifact holds one chunk per line of its text, and some hold none.
     """
+    return messages_of(table(spark, folder, "conversations"))
+
+
+def messages_of(conversations: DataFrame) -> DataFrame:
     mix = (F.col("conv_id") + F.col("turn")) % 3
     assistant = F.col("role") == "assistant"
     kind = (
@@ -125,7 +140,8 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         F.split(F.col("text"), "\n"), lambda line, i: F.struct(source(i).alias("title"), line.alias("page_content"))
     )
     no_chunks = F.expr("cast(array() as array<struct<title: string, page_content: string>>)")
-    return table(spark, folder, "conversations").select(
+    return conversations.select(
+        F.concat(F.lit("session"), (F.col("conv_id") % 4).cast("string")).alias("session_id"),
         F.col("conv_id").cast("string").alias("thread_id"),
         "turn",
         kind.alias("type"),
@@ -200,3 +216,19 @@ def source_documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(
         "doc_id", F.concat(F.col("source"), F.lit(".pdf")).alias("title"), "lang", "text"
     )
+
+
+def truth_set(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark as questions; the document of the same number holds the true answer."""
+    documents = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("text").alias("true_answer"), "source", "lang"
+    )
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("question"))
+    return asked.join(documents, "row_id").select(
+        "row_id",
+        "question",
+        "true_answer",
+        F.concat(F.lit(" "), F.col("source"), F.lit("\n")).alias("file"),
+        F.col("lang").alias("document_type"),
+        F.lit(None).cast("string").alias("blank"),
+    )
