@@ -235,5 +235,240 @@ from fused qualify rank <= 5""",
 }
 
 
+# --- conversations -------------------------------------------------------------------------
+MESSAGES = """
+messages as (
+  select concat('session', conv_id % 4) as session_id, cast(conv_id as varchar) as thread_id, conv_id, turn,
+         case when role = 'user' then 'human' when role = 'system' then 'system'
+              when (conv_id + turn) % 3 = 0 then 'tool' else 'ai' end as type,
+         text as content,
+         role = 'assistant' and (conv_id + turn) % 3 = 1 as calls,
+         case when role = 'assistant' and (conv_id + turn) % 3 = 0 and turn % 4 <> 3 then string_split(text, chr(10))
+              else [] end as artifact
+  from conversations
+), named as (
+  select *, list_transform(artifact, lambda x, i: concat('src', (conv_id + ((i - 1) * (i - 1)) % 7) % 23, '.pdf')) as names
+  from messages
+), ends as (
+  select thread_id, max(turn) filter (type = 'tool') as last_tool, max(turn) filter (type <> 'tool') as last_other
+  from messages group by thread_id
+), run as (
+  select m.* from messages m join ends e on m.thread_id = e.thread_id
+  where m.type = 'tool' and (e.last_other is null or m.turn > e.last_other)
+)"""
+
+_LAST_SOURCES = """select thread_id, coalesce(arg_max(names, turn) filter (type = 'tool'{where}), []) as source_names,
+         coalesce(arg_max(artifact, turn) filter (type = 'tool'{where}), []) as source_contents
+  from {source} group by thread_id"""
+
+
+def _last_sources(source: str, where: str = "") -> str:
+    return f"""select thread_id, array_to_string(source_names, '|') as source_names,
+       array_to_string(source_contents, '|') as source_contents
+from ({_LAST_SOURCES.format(source=source, where=where)})"""
+
+
+CONTEXTS = """
+found as (
+  select r.question_id, r.rank, c.title, c.lang, c.chunk from vector_ranks r join chunks c on r.chunk_id = c.chunk_id
+), contexts as (
+  select question_id, string_agg(chunk, chr(10) || chr(10) order by rank) as joined,
+         string_agg(concat('Source: {''title'': ''', title, ''', ''lang'': ''', lang, '''}', chr(10), 'Content: ', chunk),
+                    chr(10) || chr(10) order by rank) as serialised,
+         list(title order by rank) as titles, list(chunk order by rank) as texts
+  from found group by question_id
+)"""
+
+_INSTRUCTION = (
+    "You are an assistant for question-answering tasks.Use the following pieces of retrieved context to "
+    "answerthe question. If you don''t know the answer, say that youdon''t know. Use three sentences maximum "
+    "and keep theanswer concise."
+)
+
+CONVERSATIONS = {
+    "context_serialize": f"with {CHUNKS}, {VECTOR_RANKS}, {CONTEXTS} select question_id, joined, serialised from contexts",
+    "prompt_build": f"""with {MESSAGES}
+select thread_id, cast(-1 as bigint) as place, cast(-1 as bigint) as part, 'system' as type,
+       concat('{_INSTRUCTION}', case when last_tool is not null and (last_other is null or last_tool > last_other)
+                                     then '' else chr(10) || chr(10) end) as text
+from ends
+union all
+select thread_id, -1, turn, 'system', concat(chr(10), chr(10), content) from run
+union all
+select thread_id, turn, -1, type, content from messages where type in ('human', 'system') or (type = 'ai' and not calls)""",
+    "conversation_filter": f"""with {MESSAGES} select thread_id, turn, type, content from messages
+where type in ('human', 'system') or (type = 'ai' and not calls)""",
+    "turn_routing": f"""with {MESSAGES}
+select thread_id, case when arg_max(calls, turn) then 'tools' else 'end' end as route from messages group by thread_id""",
+    "trailing_tool_run": f"with {MESSAGES} select thread_id, turn, content from run",
+    "last_answer": f"""with {MESSAGES}
+select thread_id, count(*) as messages, arg_max(content, turn) as answer from messages group by thread_id""",
+    "last_turn_sources": f"with {MESSAGES} {_last_sources('named')}",
+    "last_turn_sources_in_turn": f"""with {MESSAGES}, asked as (
+  select *, max(case when type = 'human' then turn end) over (partition by thread_id) as last_human from named
+) {_last_sources('asked', " and (last_human is null or turn > last_human)")}""",
+    "conversation_state_stream": f"""with {MESSAGES}, sources as ({_LAST_SOURCES.format(source='named', where='')})
+select session_id, m.thread_id, count(*) as messages, max(turn) as last_turn, arg_max(content, turn) as answer,
+       array_to_string(any_value(source_names), '|') as source_names,
+       array_to_string(any_value(source_contents), '|') as source_contents
+from messages m join sources s on m.thread_id = s.thread_id group by session_id, m.thread_id""",
+    "format_sources": f"""with {MESSAGES}, urls as (
+  select concat(source, '.pdf') as file_name, concat('https://docs.example/', min(doc_id)) as file_url
+  from documents group by source
+), cited as (
+  select thread_id, turn, unnest(names) as name, unnest(range(len(names))) as pos from named
+), firsts as (
+  select thread_id, turn, name, min(pos) as pos from cited group by all
+), links as (
+  select f.*, case when u.file_url is null then name else concat('[', name, '](', u.file_url, ')') end as link,
+         row_number() over (partition by thread_id, turn order by pos) as place
+  from firsts f left join urls u on f.name = u.file_name
+), blocks as (
+  select thread_id, turn,
+         concat('**Most Relevant Document:**', chr(10), '- ', max(link) filter (place = 1),
+                coalesce(concat(chr(10), chr(10), '**Other Related Documents:**', chr(10))
+                         || string_agg('- ' || link, chr(10) order by pos) filter (place > 1), '')) as sources
+  from links group by all
+)
+select m.thread_id, m.turn, b.sources from messages m left join blocks b on m.thread_id = b.thread_id and m.turn = b.turn""",
+}
+
+# --- scores --------------------------------------------------------------------------------
+ANSWERS = """
+answers as (
+  select u.conv_id, u.turn, u.text as question, a.text as answer, coalesce(d.text, '') as true_answer,
+         coalesce(d.source, 'none') as file, d.source, l.quality,
+         case when l.quality is null then [] else string_split(d.text, chr(10)) end as retrieved_contents
+  from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
+  left join documents d on d.doc_id = u.conv_id left join labels l on l.doc_id = u.conv_id
+  where u.role = 'user' and a.role = 'assistant'
+)"""
+
+
+def _words(text: str) -> str:
+    return (
+        f"list_distinct(list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''))"
+    )
+
+
+def _one_to_ten(share: str) -> str:
+    return f"cast(1 + floor(coalesce({share}, 0.0) * 9 + 0.5) as integer)"
+
+
+def _share(text: str, context: str) -> str:
+    return f"cast(len(list_intersect({text}, {context})) as double) / nullif(len({text}), 0)"
+
+
+def _measures(source: str) -> str:
+    """Scores of `source`: question, answer, true_answer, file, first_name, contents, retrieved."""
+    f1 = "len(list_intersect(a_words, t_words)) * 2 / cast(nullif(len(a_words) + len(t_words), 0) as double)"
+    return f"""
+worded as (
+  select *, {_words("question")} as q_words, {_words("answer")} as a_words, {_words("true_answer")} as t_words,
+         {_words("array_to_string(contents, chr(10))")} as c_words
+  from {source}
+), rated as (
+  select *, {_one_to_ten(f1)} as correctness, {_one_to_ten(_share("q_words", "c_words"))} as retrieval_any,
+         {_one_to_ten(_share("a_words", "c_words"))} as groundedness_any
+  from worded
+), measured as (
+  select *, case when retrieved then retrieval_any else 0 end as retrieval,
+         case when retrieved then groundedness_any else 0 end as groundedness,
+         coalesce(nfc_normalize(first_name) = nfc_normalize(file), false) as document_match
+  from rated
+)"""
+
+
+SCORED = f"""{ANSWERS}, named_answers as (
+  select *, retrieved_contents as contents, quality is not null as retrieved,
+         case when quality = 1 then source when quality = 0 then concat('not ', source) end as first_name
+  from answers
+), {_measures("named_answers")}"""
+
+_ESCAPED = r"replace(replace(replace(x, '\', '\\'), chr(13), '\r'), chr(9), '\t')"
+_LITERAL = rf"""case when contains(x, '''') and not contains(x, '"') then concat('"', {_ESCAPED}, '"')
+          else concat('''', replace({_ESCAPED}, '''', '\'''), '''') end"""
+_LISTED = f"concat('[', array_to_string(list_transform(retrieved_contents, lambda x: {_LITERAL}), ', '), ']')"
+
+SCORES = {
+    "docname_cleanup": f"""with {ANSWERS}
+select conv_id, turn, case when quality = 1 then concat(source, '|not ', source)
+                           when quality = 0 then concat('not ', source, '|', source) else '' end as names
+from answers""",
+    "doc_match": f"with {SCORED} select conv_id, turn, document_match from measured",
+    "score_parse": """
+select doc_id, cast(case when n_chars % 14 between 1 and 10 then n_chars % 14 end as integer) as score from documents""",
+    "judge_correctness": f"with {SCORED} select conv_id, turn, correctness from measured",
+    "judge_retrieval": f"with {SCORED} select conv_id, turn, retrieval_any as retrieval from measured",
+    "judge_groundedness": f"with {SCORED} select conv_id, turn, groundedness_any as groundedness from measured",
+    "eval_scores": f"""with {SCORED}
+select conv_id, turn, correctness, retrieval, groundedness, document_match from measured""",
+    "eval_no_retrieval_defaults": f"""with {SCORED}
+select retrieved, count(*) as answers, cast(sum(correctness) as bigint) as correctness,
+       cast(sum(retrieval) as bigint) as retrieval, cast(sum(groundedness) as bigint) as groundedness,
+       count(*) filter (document_match) as matches
+from measured group by retrieved""",
+    "eval_export": f"""with {SCORED}
+select conv_id, turn, question, answer, correctness, retrieval, groundedness, document_match,
+       case when quality = 1 then concat('One Page ', source, '.PDF', chr(10), '|not ', source, '.pdf')
+            when quality = 0 then concat('not ', source, '.pdf|One Page ', source, '.PDF', chr(10))
+            else '' end as retrieved_files,
+       array_to_string(retrieved_contents, '|') as retrieved_contents
+from measured""",
+    "judge_prompt_build": f"""with {ANSWERS}
+select conv_id, turn,
+       concat('Question: ', question, chr(10), chr(10), '    Reference answer: ', true_answer, chr(10), chr(10),
+              '    Generated answer: ', answer, chr(10), '    ') as correctness_prompt,
+       concat('Question: ', question, chr(10), chr(10), '    Retrieved context: ', {_LISTED}, chr(10), chr(10),
+              '    How likely is it that the retrieved context contains the necessary information to answer the question?',
+              chr(10), '    Reply with a score from 1 (not at all) to 10 (completely covered). Only provide the score.',
+              chr(10), '    ') as retrieval_prompt,
+       concat(chr(10), '    Context/retrieved document: ', {_LISTED}, chr(10), chr(10), '    Generated answer: ', answer,
+              chr(10), chr(10),
+              '    Score the groundedness of the generated answer in the context from 1 (not grounded) to 10 (fully grounded). ',
+              chr(10), '    Reply with only the score.', chr(10), '    ') as groundedness_prompt
+from answers""",
+}
+
+# --- whole runs ----------------------------------------------------------------------------
+GENERATED = f"""{CHUNKS}, {VECTOR_RANKS}, {CONTEXTS}, sentences as (
+  select question_id, question, unnest(s) as raw, unnest(range(len(s))) as place
+  from (
+    select c.question_id, q.question, regexp_split_to_array(array_to_string(c.texts, chr(10)), '[.!?\\n]+') as s
+    from contexts c join questions q on q.question_id = c.question_id
+  )
+), hits as (
+  select question_id, trim(raw) as text, place, len(list_intersect({_words("raw")}, {_words("question")})) as hits
+  from sentences where trim(raw) <> ''
+), generated as (
+  select q.question_id, q.question, coalesce(h.text, 'I don''t know.') as answer, c.titles, c.texts, c.joined
+  from questions q left join contexts c on c.question_id = q.question_id
+  left join (select * from hits qualify row_number() over (partition by question_id order by hits desc, place) = 1) h
+    on h.question_id = q.question_id
+)"""
+
+RUNS = {
+    "batch_rag": f"""with {GENERATED}
+select question_id, answer, array_to_string(titles, '|') as source_names,
+       concat('You are an assistant for question-answering tasks. Use the following pieces of retrieved context to answer ',
+              'the question. If you don''t know the answer, just say that you don''t know. Use three sentences maximum and ',
+              'keep the answer concise.', chr(10), 'Question: ', question, ' ', chr(10), 'Context: ', joined, ' ', chr(10),
+              'Answer:') as prompt
+from generated""",
+    "multiturn_rag": f"""with {GENERATED}
+select question_id as thread_id, cast(4 as bigint) as messages, answer, array_to_string(titles, '|') as source_names
+from generated""",
+    "eval_run": f"""with {GENERATED}, run as (
+  select g.question_id as row_id, g.question, g.answer, d.text as true_answer, d.source as file,
+         concat(' ', d.source, chr(10)) as raw_file, d.lang as document_type,
+         replace(g.titles[1], '.pdf', '') as first_name, g.texts as contents, true as retrieved, g.titles
+  from generated g join documents d on d.doc_id = g.question_id
+), {_measures("run")}
+select row_id, question, true_answer, raw_file as file, document_type, answer, correctness, retrieval, groundedness,
+       document_match, array_to_string(titles, '|') as retrieved_files
+from measured""",
+}
+
+
 def all_oracles() -> dict[str, str]:
-    return {**SUMMARY, **DOCUMENTS, **RETRIEVAL}
+    return {**SUMMARY, **DOCUMENTS, **RETRIEVAL, **CONVERSATIONS, **SCORES, **RUNS}
