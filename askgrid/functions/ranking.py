@@ -44,7 +44,8 @@ class BestChunks:
     def __init__(self, questions: int, k: int):
         self.k = k
         self.floor = np.full(questions, -np.inf)
-        self.best = pd.DataFrame({"question": pd.Series(dtype="int64"), "chunk": [], "score": pd.Series(dtype="float64")})
+        kinds = {"question": "int64", "chunk": "object", "score": "float64"}
+        self.best = pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in kinds.items()})
 
     def add(self, start: int, scores: np.ndarray, chunks: np.ndarray, matched: np.ndarray | None = None) -> None:
         """Take in scores of some questions (rows, from `start` on) for some chunks (columns)."""
@@ -74,7 +75,8 @@ class BestChunks:
 
     def table(self, questions: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
         """Columns question id, chunk id, score, in the types of `schema`."""
-        data = [questions[self.best["question"].to_numpy(dtype=np.int64)], self.best["chunk"], self.best["score"]]
+        rows = self.best["question"].to_numpy(dtype=np.int64)
+        data = [questions[rows], self.best["chunk"].to_numpy(), self.best["score"].to_numpy(dtype=np.float64)]
         return pa.RecordBatch.from_arrays(
             [pa.array(d, type=f.type, from_pandas=True) for d, f in zip(data, schema)], schema=schema
         )
