@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -23,19 +24,24 @@ def hashed_terms(dimensions: int = 64) -> Callable[[], Embedder]:
     A word's place is the first 8 hexadecimal digits of its MD5, modulo the dimensions.
     """
 
-    def embed(texts: Sequence[str]) -> np.ndarray:
-        words = [_WORD.findall((text or "").lower()) for text in texts]
-        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-        code, distinct = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
-        place = np.array(
-            [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimensions for w in distinct], dtype=np.int64
-        )
-        cells = row * dimensions + (place[code] if len(code) else 0)
-        counts = np.bincount(cells, minlength=len(texts) * dimensions).reshape(len(texts), dimensions)
-        length = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
-        return (counts / np.where(length == 0, 1.0, length)).astype(np.float32)
-
-    return lambda: embed
+    def client() -> Embedder:
+        @functools.lru_cache(maxsize=1 << 17)
+        def place_of(word: str) -> int:
+            return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
+
+        def embed(texts: Sequence[str]) -> np.ndarray:
+            words = [_WORD.findall((text or "").lower()) for text in texts]
+            row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+            code, distinct = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
+            place = np.array([place_of(w) for w in distinct], dtype=np.int64)
+            cells = row * dimensions + (place[code] if len(code) else 0)
+            counts = np.bincount(cells, minlength=len(texts) * dimensions).reshape(len(texts), dimensions)
+            length = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+            return (counts / np.where(length == 0, 1.0, length)).astype(np.float32)
+
+        return embed
+
+    return client
 
 
 def embed_text(

@@ -8,6 +8,7 @@ block meet in an equi-join if they share a term.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ from askgrid.functions.bm25 import QuestionTerms
 from askgrid.functions.ranking import BestChunks, identifiers
 from askgrid.functions.text import tokens
 from askgrid.operators.retrieval import BROADCAST_BYTES, arrow_schema, keep_best, result_schema, topk_by_vector
+from askgrid.session import materialise
 
 BLOCK_ROWS = 4096
 TEXT_RECALL = 1000
@@ -51,13 +53,19 @@ def question_weights(questions: DataFrame, question: str, frequency: DataFrame,
     return terms.join(frequency, "term").select("question_id", "term", (rarity * F.col("repeats")).alias("weight"))
 
 
+def with_tokens(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("tokens", tokens(F.col("text"))).drop("text")
+
+
 class _TextSearch:
     """The parts that the searches below share: chunk tokens, weighted questions, their size."""
 
     def __init__(self, questions: DataFrame, chunks: DataFrame, question: str, text: str, broadcast_bytes: int):
         frequency, self.chunk_count, self.mean_length = term_statistics(chunks, text)
-        self.weights = question_weights(questions, question, frequency, self.chunk_count)
-        self.tokens = chunks.select("chunk_id", tokens(F.col(text)).alias("tokens"))
+        # Written, since the term counts behind them take a pass over all chunks.
+        self.weights = materialise(question_weights(questions, question, frequency, self.chunk_count), "weights")
+        self.texts = chunks.select("chunk_id", F.col(text).alias("text"))
+        self.tokens = with_tokens(self.texts)
         self.question_type = questions.schema["question_id"].dataType
         self.chunk_type = chunks.schema["chunk_id"].dataType
         self.spark = questions.sparkSession
@@ -67,6 +75,7 @@ class _TextSearch:
         self.question_count, size = questions.agg(F.count(F.lit(1)), F.sum(sizes)).first()
         self.fits = (size or 0) <= broadcast_bytes
 
+    @functools.cached_property
     def shared_terms(self):
         """Question ids and their terms, sent to every task. Only if `fits`."""
         rows = self.weights.toArrow().to_pandas()
@@ -124,7 +133,7 @@ def _best_texts(search: _TextSearch, k: int) -> DataFrame:
     schema = result_schema(search.question_type, search.chunk_type)
     out, mean_length = arrow_schema(schema), search.mean_length
     if search.fits:
-        shared = search.shared_terms()
+        shared = search.shared_terms
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, terms = shared.value
@@ -173,7 +182,11 @@ def _pair_scores(search: _TextSearch, pairs: DataFrame) -> DataFrame:
             )
             yield table.filter(pa.array(scores > 0))
 
-    joined = pairs.join(search.tokens, "chunk_id").join(packed, "question_id")
+    if search.fits:
+        # At most k pairs and one term list for each of questions whose size is checked. The
+        # chunks are then read in place, and only the paired ones cut into words.
+        pairs, packed = F.broadcast(pairs), F.broadcast(packed)
+    joined = with_tokens(search.texts.join(pairs, "chunk_id")).join(packed, "question_id")
     return joined.select("question_id", "chunk_id", "tokens", "terms", "weights").mapInArrow(score, schema)
 
 
@@ -213,7 +226,7 @@ def _chunks_ahead(search: _TextSearch, scored_pairs: DataFrame) -> DataFrame:
         )
 
     if search.fits:
-        shared = search.shared_terms()
+        shared = search.shared_terms
         # As many rows as questions with terms, k marks each: bounded with them.
         found = {r["question_id"]: (r["mark_scores"], r["mark_chunks"]) for r in marks.toArrow().to_pylist()}
         known = search.spark.sparkContext.broadcast([found.get(q, ((), ())) for q in shared.value[0].tolist()])
@@ -276,6 +289,7 @@ def topk_hybrid(
         chunk_vector=chunk_vector,
         broadcast_bytes=broadcast_bytes,
     ).select("question_id", "chunk_id", F.col("rank").alias("vector_rank"))
+    by_vector = materialise(by_vector, "by_vector")
     by_text = _best_texts(search, k).select("question_id", "chunk_id", F.col("rank").alias("text_rank"))
     pairs = _pair_scores(search, by_vector.select("question_id", "chunk_id"))
     ranked_pairs = _chunks_ahead(search, pairs).select(

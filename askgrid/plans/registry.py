@@ -21,7 +21,7 @@ from askgrid.operators import (
     summary,
 )
 from askgrid.plans import evaluation, rag, views
-from askgrid.session import work_folder
+from askgrid.session import materialise, spread, work_folder
 from askgrid.sources import files
 from askgrid.sources import listing as listing_source
 from askgrid.streaming import conversation_state, new_documents
@@ -143,7 +143,8 @@ def schema_contract(spark, folder):
 
 # --- retrieval -----------------------------------------------------------------------------
 def _chunks(spark, folder, vectors=True):
-    chunks = chunking.split_documents(views.source_documents(spark, folder)).withColumn(
+    documents = spread(views.source_documents(spark, folder), "doc_id")
+    chunks = chunking.split_documents(documents).withColumn(
         "metadata", F.create_map(F.lit("title"), "title", F.lit("lang"), "lang")
     )
     return embedding.embed_text(chunks, "chunk", "text_vector") if vectors else chunks
@@ -181,7 +182,9 @@ def retrieve_text(spark, folder):
 
 
 def retrieve_hybrid(spark, folder):
-    found = lexical.topk_hybrid(_questions(spark, folder), _chunks(spark, folder))
+    # Several passes read the chunks, as they would a chunk table that is kept.
+    chunks = materialise(_chunks(spark, folder).select("chunk_id", "chunk", "text_vector"), "chunks")
+    found = lexical.topk_hybrid(_questions(spark, folder), chunks)
     return _scores_to_nine(found)
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askgrid.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -156,7 +158,7 @@ def answered_questions(spark: SparkSession, folder: str) -> DataFrame:
 
     Conversations whose document has no label stand for answers given without retrieval.
     """
-    conversations = table(spark, folder, "conversations")
+    conversations = spread(table(spark, folder, "conversations"), "conv_id", "turn")
     asked = conversations.filter(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("question")
     )

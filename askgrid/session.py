@@ -52,3 +52,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Give every core a share of a table that has fewer partitions than there are cores.
+
+    For tables of few files ahead of costly work per row. A table with enough partitions, as
+    any large one has, is returned as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
