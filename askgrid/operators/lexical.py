@@ -60,7 +60,9 @@ def with_tokens(texts: DataFrame) -> DataFrame:
 class _TextSearch:
     """The parts that the searches below share: chunk tokens, weighted questions, their size."""
 
-    def __init__(self, questions: DataFrame, chunks: DataFrame, question: str, text: str, broadcast_bytes: int):
+    def __init__(
+        self, questions: DataFrame, chunks: DataFrame, question: str, text: str, broadcast_bytes: int, k: int
+    ):
         frequency, self.chunk_count, self.mean_length = term_statistics(chunks, text)
         # Written, since the term counts behind them take a pass over all chunks.
         self.weights = materialise(question_weights(questions, question, frequency, self.chunk_count), "weights")
@@ -69,11 +71,12 @@ class _TextSearch:
         self.question_type = questions.schema["question_id"].dataType
         self.chunk_type = chunks.schema["chunk_id"].dataType
         self.spark = questions.sparkSession
-        # Per distinct term of a question: the term, and 32 bytes for its weight and numbers.
+        # Per distinct term of a question the term and 32 bytes for its weight and numbers; per
+        # question 64 bytes for each of k results.
         words = F.array_distinct(tokens(F.col(question)))
         sizes = F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a + F.octet_length(w) + 32)
         self.question_count, size = questions.agg(F.count(F.lit(1)), F.sum(sizes)).first()
-        self.fits = (size or 0) <= broadcast_bytes
+        self.fits = (size or 0) + self.question_count * k * 64 <= broadcast_bytes
 
     @functools.cached_property
     def shared_terms(self):
@@ -126,7 +129,7 @@ def topk_by_text(
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows `question_id, rank, chunk_id, score`: the k best chunks that share a word, by BM25."""
-    return _best_texts(_TextSearch(questions, chunks, question, text, broadcast_bytes), k)
+    return _best_texts(_TextSearch(questions, chunks, question, text, broadcast_bytes, k), k)
 
 
 def _best_texts(search: _TextSearch, k: int) -> DataFrame:
@@ -183,8 +186,8 @@ def _pair_scores(search: _TextSearch, pairs: DataFrame) -> DataFrame:
             yield table.filter(pa.array(scores > 0))
 
     if search.fits:
-        # At most k pairs and one term list for each of questions whose size is checked. The
-        # chunks are then read in place, and only the paired ones cut into words.
+        # `fits` counts k pairs and the terms of every question. The chunks are then read in
+        # place, and only the paired ones cut into words.
         pairs, packed = F.broadcast(pairs), F.broadcast(packed)
     joined = with_tokens(search.texts.join(pairs, "chunk_id")).join(packed, "question_id")
     return joined.select("question_id", "chunk_id", "tokens", "terms", "weights").mapInArrow(score, schema)
@@ -280,7 +283,7 @@ def topk_hybrid(
     """
     if text_recall < k:
         raise ValueError("text_recall must be at least k")
-    search = _TextSearch(questions, chunks, question, text, broadcast_bytes)
+    search = _TextSearch(questions, chunks, question, text, broadcast_bytes, k)
     by_vector = topk_by_vector(
         questions,
         chunks,

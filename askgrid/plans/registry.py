@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from askgrid.functions import text
 from askgrid.operators import (
-    chunking,
     citations,
     columns,
     conversation,
@@ -20,8 +19,8 @@ from askgrid.operators import (
     retrieval,
     summary,
 )
-from askgrid.plans import evaluation, rag, views
-from askgrid.session import materialise, spread, work_folder
+from askgrid.plans import evaluation, index, rag, views
+from askgrid.session import materialise, work_folder
 from askgrid.sources import files
 from askgrid.sources import listing as listing_source
 from askgrid.streaming import conversation_state, new_documents
@@ -142,12 +141,8 @@ def schema_contract(spark, folder):
 
 
 # --- retrieval -----------------------------------------------------------------------------
-def _chunks(spark, folder, vectors=True):
-    documents = spread(views.source_documents(spark, folder), "doc_id")
-    chunks = chunking.split_documents(documents).withColumn(
-        "metadata", F.create_map(F.lit("title"), "title", F.lit("lang"), "lang")
-    )
-    return embedding.embed_text(chunks, "chunk", "text_vector") if vectors else chunks
+def _chunks(spark, folder):
+    return index.chunk_table(views.source_documents(spark, folder), metadata=("title", "lang"))
 
 
 def _questions(spark, folder):
@@ -155,7 +150,8 @@ def _questions(spark, folder):
 
 
 def build_chunks(spark, folder):
-    return _chunks(spark, folder, vectors=False).select("chunk_id", "doc_id", "title", "lang", "chunk_no", "chunk")
+    chunks = _chunks(spark, folder).drop("text_vector")
+    return chunks.select("chunk_id", "doc_id", "title", F.col("metadata")["lang"].alias("lang"), "chunk_no", "chunk")
 
 
 def embed_text(spark, folder):
@@ -178,7 +174,7 @@ def retrieve_chunks(spark, folder):
 
 
 def retrieve_text(spark, folder):
-    return lexical.topk_by_text(views.questions(spark, folder), _chunks(spark, folder, vectors=False), k=5)
+    return lexical.topk_by_text(views.questions(spark, folder), _chunks(spark, folder), k=5)
 
 
 def retrieve_hybrid(spark, folder):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askgrid.functions import fixed_values as fixed
+from askgrid.operators.columns import require_index_fields
 
 URL_TABLE_SCHEMA = ", ".join(f"`{c}` STRING" for c in fixed.URL_TABLE_COLUMNS)
 TRUTH_SET_SCHEMA = (
@@ -68,6 +69,22 @@ def read_url_table(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_chunk_table(chunks: DataFrame, path: str) -> None:
+    """Keep chunks with their vectors as Parquet, one column per field, for later searches."""
+    require_index_fields(chunks, fixed.CHUNK_VECTOR_FIELD, fixed.CHUNK_CONTENT_FIELD)
+    chunks.write.mode("errorifexists").parquet(path)
+
+
+def read_chunk_table(
+    spark: SparkSession,
+    path: str,
+    vector: str = fixed.CHUNK_VECTOR_FIELD,
+    content: str = fixed.CHUNK_CONTENT_FIELD,
+) -> DataFrame:
+    """The chunk table; fails if it lacks the vector or the content field."""
+    return require_index_fields(spark.read.parquet(path), vector, content)
+
+
 def read_truth_set(spark: SparkSession, path: str, schema: str = TRUTH_SET_SCHEMA) -> DataFrame:
     """The truth set from CSV (cells may hold line breaks) or, by its suffix, from Parquet."""
     if path.rstrip("/").endswith(".parquet"):
