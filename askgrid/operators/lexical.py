@@ -91,9 +91,11 @@ class _TextSearch:
         block_count = max(1, math.ceil(self.chunk_count / BLOCK_ROWS))
         parts = max(1, math.ceil(self.question_count / BLOCK_ROWS))
         chunks = self.tokens.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(block_count)).cast("int"))
-        terms_in_block = chunks.select("block", F.explode(F.array_distinct("tokens")).alias("term")).distinct()
+        terms_in_block = chunks.select(
+            F.col("block").alias("visited"), F.explode(F.array_distinct("tokens")).alias("term")
+        ).distinct()
         visits = self.weights.select("question_id", "term").join(terms_in_block, "term")
-        visits = visits.select("question_id", "block").distinct()
+        visits = visits.select("question_id", "visited").distinct()
         packed = self.weights.groupBy("question_id").agg(
             F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")
         )
@@ -156,8 +158,8 @@ def _best_texts(search: _TextSearch, k: int) -> DataFrame:
         return pa.Table.from_batches([best.table(ids, out)])
 
     left, right = search.blocks()
-    key = ["block", "part"]
-    return keep_best(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, schema), k)
+    met = left.groupBy("block", "part").cogroup(right.groupBy("visited", "part"))
+    return keep_best(met.applyInArrow(score, schema), k)
 
 
 def _pair_scores(search: _TextSearch, pairs: DataFrame) -> DataFrame:
@@ -256,8 +258,8 @@ def _chunks_ahead(search: _TextSearch, scored_pairs: DataFrame) -> DataFrame:
             return pa.Table.from_batches([result(ids, asked, totals)])
 
         left, right = search.blocks(marks)
-        key = ["block", "part"]
-        counted = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, schema)
+        met = left.groupBy("block", "part").cogroup(right.groupBy("visited", "part"))
+        counted = met.applyInArrow(score, schema)
     return counted.groupBy("question_id", "chunk_id").agg(F.sum("ahead").alias("ahead"))
 
 
