@@ -10,10 +10,23 @@ from pyspark.sql import functions as F
 from askgrid.functions import fixed_values as fixed
 
 
-def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """Leave out the columns that are null in every row. One pass, which yields one row."""
-    row = df.agg(*(F.max(F.col(f"`{c}`").isNotNull()).alias(c) for c in df.columns)).first()
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if row[c]))
+def _filled(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """Those of the columns that have a value in some row."""
+    row = df.agg(*(F.max(F.col(f"`{c}`").isNotNull()).alias(c) for c in columns)).first()
+    return {c for c in columns if row[c]}
+
+
+def drop_empty_columns(df: DataFrame, first_look: int = 1000) -> DataFrame:
+    """Leave out the columns that are null in every row.
+
+    A value in the first rows settles that a column stays. Only columns without one there are
+    read in full, in one pass that yields one row, so wide text columns are not scanned.
+    """
+    filled = _filled(df.limit(first_look), df.columns)
+    doubtful = [c for c in df.columns if c not in filled]
+    if doubtful:
+        filled |= _filled(df, doubtful)
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c in filled))
 
 
 def move_last(df: DataFrame, columns: Sequence[str]) -> DataFrame:

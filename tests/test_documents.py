@@ -48,6 +48,13 @@ def test_new_documents(listed, stored):
         docsync.new_documents(kept, stored, match_on="size")
 
 
+def test_names_repeated_beyond_a_piece(spark, stored, monkeypatch):
+    monkeypatch.setattr(docsync, "_PIECE", 7)
+    rows = [("hot", "/h.pdf")] * 50 + [("Here", "/x.pdf")] * 20 + [("z", "/z.pdf")] * 14 + [("b", "/b.pdf")]
+    listing_ = spark.createDataFrame(rows, "name STRING, url STRING").repartition(4)
+    assert names(docsync.new_document_names(listing_, stored)) == ["b"] + ["hot"] * 50 + ["z"] * 14
+
+
 def test_download_plan(listed, stored):
     plan = docsync.download_plan(docsync.exclude_documents(listed), stored)
     targets = sorted(r["target"] for r in plan.collect())
@@ -100,6 +107,9 @@ def test_listing_without_a_column(spark):
 def test_drop_empty_columns(spark):
     df = spark.createDataFrame([(1, None, None, "a.b"), (2, None, 5, None)], "a INT, b STRING, c INT, `d.e` STRING")
     assert columns.drop_empty_columns(df).columns == ["a", "c", "d.e"]
+    # A value beyond the first rows keeps its column too.
+    late = spark.range(5000, numPartitions=4).selectExpr("id", "if(id = 4999, 'x', null) as late", "cast(null as int) as never")
+    assert columns.drop_empty_columns(late, first_look=10).columns == ["id", "late"]
 
 
 def test_index_fields(spark):
