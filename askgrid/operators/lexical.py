@@ -80,11 +80,12 @@ class _TextSearch:
 
     @functools.cached_property
     def shared_terms(self):
-        """Question ids and their terms, sent to every task. Only if `fits`."""
+        """Question ids and the rows of their terms, sent to every task. Only if `fits`."""
         rows = self.weights.toArrow().to_pandas()
         number, ids = rows["question_id"].factorize(sort=True)
-        terms = QuestionTerms(number, rows["term"].tolist(), rows["weight"].to_numpy(), self.mean_length)
-        return self.spark.sparkContext.broadcast((np.asarray(ids), terms))
+        # Plain arrays: a broadcast value is unpickled without this package.
+        shared = (np.asarray(ids), number, rows["term"].tolist(), rows["weight"].to_numpy())
+        return self.spark.sparkContext.broadcast(shared)
 
     def blocks(self, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Chunks by block, and questions by block that has one of their terms."""
@@ -141,7 +142,8 @@ def _best_texts(search: _TextSearch, k: int) -> DataFrame:
         shared = search.shared_terms
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, terms = shared.value
+            ids, *term_rows = shared.value
+            terms = QuestionTerms(*term_rows, mean_length)
             best = BestChunks(len(ids), k)
             for batch in batches:
                 _add_scores(best, terms, batch.column(1), identifiers(batch.column(0)))
@@ -237,7 +239,8 @@ def _chunks_ahead(search: _TextSearch, scored_pairs: DataFrame) -> DataFrame:
         known = search.spark.sparkContext.broadcast([found.get(q, ((), ())) for q in shared.value[0].tolist()])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, terms = shared.value
+            ids, *term_rows = shared.value
+            terms = QuestionTerms(*term_rows, mean_length)
             asked = known.value
             totals = [[0] * len(scores) for scores, _ in asked]
             for batch in batches:

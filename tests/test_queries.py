@@ -1,5 +1,10 @@
 """Every registered query against its DuckDB SQL, on the smallest tables."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import oracle
 import pytest
 
@@ -24,6 +29,21 @@ def test_query(spark, con, name):
     assert oracle.type_difference(df, con, sql) is None
 
 
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Queries that run Python in tasks work where the workers cannot import the package."""
+    names = ["retrieve_hybrid", "doc_match", "retrieve_topk", "batch_rag"]
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(Path(entry.__file__).parent)!r})\n"
+        "import __spark_entry__ as entry\n"
+        "from askgrid.session import local_session\n"
+        "spark = local_session(2)\n"
+        f"for name in {names!r}: assert entry.queries()[name](spark, {FOLDER!r}).count() > 0\n"
+    )
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=environment, check=True, timeout=300)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
