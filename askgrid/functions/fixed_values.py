@@ -33,6 +33,9 @@ SCORE_MIN = 1
 SCORE_MAX = 10
 SCORE_ERROR = "Model returned unexpected score: '"
 
+# --- fixed values: truth set --------------------------------------------------------------
+TRUTH_SHEET = "Questions"
+
 # --- fixed values: summaries --------------------------------------------------------------
 DOCUMENT_TYPES = ("Fact Sheet", "Market Report", "Doc Search")
 QUESTION_TYPES = ("Positive", "Negative")

@@ -26,7 +26,6 @@ from askgrid.operators.retrieval import BROADCAST_BYTES, arrow_schema, keep_best
 from askgrid.session import materialise
 
 BLOCK_ROWS = 4096
-TEXT_RECALL = 1000
 FUSION_CONSTANT = 60
 
 
@@ -275,18 +274,18 @@ def topk_hybrid(
     question_vector: str = "question_vector",
     text: str = fixed.CHUNK_CONTENT_FIELD,
     chunk_vector: str = fixed.CHUNK_VECTOR_FIELD,
-    text_recall: int = TEXT_RECALL,
+    text_recall: int | None = None,
     fusion_constant: int = FUSION_CONSTANT,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows `question_id, rank, chunk_id, score` by reciprocal rank fusion of vectors and text.
 
-    A chunk scores 1 / (constant + rank) in each list that has it: the k best by vector and the
-    `text_recall` best by BM25. A chunk found by text alone at a rank beyond k trails the k
+    A chunk scores 1 / (constant + rank) in each list that has it: the k best by vector, and all
+    that share a word by BM25, or the `text_recall` best of them. A chunk found by text alone at a rank beyond k trails the k
     chunks before it, so the text list is needed only to rank k, plus the text ranks of the
     chunks found by vector, which are counted. The result is that of the two full lists.
     """
-    if text_recall < k:
+    if text_recall is not None and text_recall < k:
         raise ValueError("text_recall must be at least k")
     search = _TextSearch(questions, chunks, question, text, broadcast_bytes, k)
     by_vector = topk_by_vector(
@@ -304,7 +303,10 @@ def topk_hybrid(
         "question_id", "chunk_id", (F.col("ahead") + 1).alias("counted_rank")
     )
     key = ["question_id", "chunk_id"]
-    text_rank = F.coalesce("text_rank", F.when(F.col("counted_rank") <= text_recall, F.col("counted_rank")))
+    counted = F.col("counted_rank")
+    if text_recall is not None:
+        counted = F.when(counted <= text_recall, counted)
+    text_rank = F.coalesce(F.col("text_rank"), counted)
     share = lambda rank: F.coalesce(F.lit(1.0) / (fusion_constant + rank), F.lit(0.0))
     fused = (
         by_vector.join(ranked_pairs, key, "left")

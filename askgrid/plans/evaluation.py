@@ -31,22 +31,25 @@ def evaluate_truth_set(
     embedder: Callable[[], Embedder] | None = None,
     generator: Callable[[], GeneratorClient] | None = None,
     judges: Judges | None = None,
+    concurrency: int | None = None,
 ) -> DataFrame:
     """Answer and score a truth set: `row_id, question, true_answer, file, ...` and its results.
 
     Columns that are empty in every row are left out. Rows are joined by `row_id`, never by
     their order. Answers are written before the judges read them, and scores before anything
-    reads them, so each model is called once per row.
+    reads them, so each model is called once per row, at most `concurrency` calls at a time.
     """
     truth = drop_empty_columns(truth_set)
-    asked = embed_text(truth.select(F.col("row_id").alias("question_id"), "question"), "question", "question_vector", embedder)
-    asked = materialise(asked, "questions")
-    results = turn_results(answer_turns(asked, chunks, k, search, generator)).select(
+    asked = truth.select(F.col("row_id").alias("question_id"), "question")
+    asked = materialise(embed_text(asked, "question", "question_vector", embedder, concurrency), "questions")
+    results = turn_results(answer_turns(asked, chunks, k, search, generator, concurrency=concurrency)).select(
         F.col("thread_id").alias("row_id"),
         "answer",
         F.col("source_names").alias("retrieved_files"),
         F.col("source_contents").alias("retrieved_contents"),
     )
     answers = materialise(truth.join(results, "row_id"), "answered")
+    if concurrency is not None:
+        answers = answers.repartition(concurrency, "row_id")
     scored = score_and_arrange(answers, judges)
     return materialise(scored, "scored") if judges is not None and judges.call_clients else scored

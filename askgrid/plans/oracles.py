@@ -226,7 +226,7 @@ select question_id, cast(rank as integer) as rank, chunk_id, score from text_ran
     "retrieve_hybrid": f"""with {CHUNKS}, {VECTOR_RANKS}, {TEXT_RANKS}, fused as (
   select coalesce(v.question_id, t.question_id) as question_id, coalesce(v.chunk_id, t.chunk_id) as chunk_id,
          coalesce(cast(1 as double) / (60 + v.rank), 0) + coalesce(cast(1 as double) / (60 + t.rank), 0) as score
-  from vector_ranks v full join (select * from text_ranks where rank <= 1000) t
+  from vector_ranks v full join text_ranks t
     on v.question_id = t.question_id and v.chunk_id = t.chunk_id
 )
 select question_id, cast(row_number() over (partition by question_id order by score desc, chunk_id) as integer) as rank,
@@ -470,5 +470,14 @@ from measured""",
 }
 
 
+# --- files ---------------------------------------------------------------------------------
+FILES = {
+    "summary_export": SUMMARY["neg_scores_by_doctype"],
+    "truth_set_read": """
+select b.text as "Question", d.text as "True Answer", concat(' ', d.source, chr(10)) as "File", d.lang as "Document Type"
+from benchmark b join documents d on d.doc_id = b.item_id""",
+}
+
+
 def all_oracles() -> dict[str, str]:
-    return {**SUMMARY, **DOCUMENTS, **RETRIEVAL, **CONVERSATIONS, **SCORES, **RUNS}
+    return {**SUMMARY, **DOCUMENTS, **RETRIEVAL, **CONVERSATIONS, **SCORES, **RUNS, **FILES}

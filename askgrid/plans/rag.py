@@ -92,6 +92,7 @@ def _answer(
     k: int,
     search: str,
     generator: Callable[[], GeneratorClient] | None,
+    concurrency: int | None,
     prompt: Callable[[], Column],
 ) -> DataFrame:
     """Retrieve for the rows whose `wants_retrieval` is true, then answer every row."""
@@ -109,6 +110,8 @@ def _answer(
     if generator is None:
         texts = F.transform("documents", lambda d: d["page_content"])
         return rows.withColumn("answer", best_sentence(F.col("question"), texts))
+    if concurrency is not None:
+        rows = rows.repartition(concurrency, "question_id")
     # Whatever reads the answers later must not call the model again.
     return materialise(rows.withColumn("answer", generated(generator, F.col("prompt"))), "answers")
 
@@ -132,11 +135,13 @@ def answer_questions(
     search: str = "hybrid",
     generator: Callable[[], GeneratorClient] | None = None,
     template: str = fixed.SINGLE_TURN_TEMPLATE,
+    concurrency: int | None = None,
 ) -> DataFrame:
     """Single-turn answers: `question_id, question, answer, source_names, source_contents, prompt`.
 
     `questions` has `question_id, question, question_vector`; `chunks` has `chunk_id, title,
-    metadata, chunk, text_vector`. Every question is retrieved for.
+    metadata, chunk, text_vector`. Every question is retrieved for. `concurrency` sets the
+    number of partitions, and so of generator calls at a time.
     """
     asked = _with_wish(questions, None)
 
@@ -144,7 +149,7 @@ def answer_questions(
         text = fill_template(template, {"question": F.col("question"), "context": F.col("joined")})
         return F.array(_message("human", text))
 
-    answered = _answer(asked, chunks, k, search, generator, prompt)
+    answered = _answer(asked, chunks, k, search, generator, concurrency, prompt)
     return answered.select("question_id", "question", "answer", *_sources(), "prompt")
 
 
@@ -156,6 +161,7 @@ def answer_turns(
     generator: Callable[[], GeneratorClient] | None = None,
     wants_retrieval: Column | None = None,
     instruction: str = fixed.ANSWER_INSTRUCTION,
+    concurrency: int | None = None,
 ) -> DataFrame:
     """Each question as the first turn of a thread of its own, as message rows.
 
@@ -170,7 +176,7 @@ def answer_turns(
         system = _message("system", F.concat(F.lit(instruction), F.coalesce("serialised", F.lit(""))))
         return F.when(F.col("wants_retrieval"), F.array(system, human)).otherwise(F.array(human))
 
-    rows = _answer(asked, chunks, k, search, generator, prompt)
+    rows = _answer(asked, chunks, k, search, generator, concurrency, prompt)
     no_calls = F.expr("cast(array() as array<struct<name: string, args: string>>)")
     no_documents = F.expr("cast(array() as array<struct<title: string, page_content: string>>)")
 

@@ -362,6 +362,27 @@ def url_table_build(spark, folder):
     return files.read_url_table(spark, path).select("file_name", "file_url")
 
 
+def summary_export(spark, folder):
+    """A summary written as one CSV file and read back."""
+    means = neg_scores_by_doctype(spark, folder)
+    path = f"{work_folder(spark)}/means"
+    files.write_summary(means, path, ["document_type"])
+    return spark.read.option("header", True).schema(means.schema).csv(path)
+
+
+def truth_set_read(spark, folder):
+    """The truth set as a CSV file with line breaks in its cells, read with its schema."""
+    truth = views.truth_set(spark, folder).select(
+        F.col("question").alias("Question"),
+        F.col("true_answer").alias("True Answer"),
+        F.col("file").alias("File"),
+        F.col("document_type").alias("Document Type"),
+    )
+    path = f"{work_folder(spark)}/truth"
+    files.export_results(truth, path)
+    return files.read_truth_set(spark, path, ", ".join(f"`{c}` STRING" for c in truth.columns))
+
+
 _QUERIES: list[Query] = [
     pos_scores_by_doctype,
     neg_scores_by_doctype,
@@ -414,6 +435,8 @@ _QUERIES: list[Query] = [
     eval_run,
     stored_files,
     url_table_build,
+    summary_export,
+    truth_set_read,
 ]
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askgrid.functions import fixed_values as fixed
 from askgrid.operators.columns import require_index_fields
@@ -92,6 +95,37 @@ def read_truth_set(spark: SparkSession, path: str, schema: str = TRUTH_SET_SCHEM
     return _read_csv(spark, path, schema)
 
 
+def excel_sheet(content: bytes, sheet: str) -> pd.DataFrame:
+    """One sheet of a workbook, all cells as text. Needs a package that pandas reads Excel with."""
+    try:
+        return pd.read_excel(io.BytesIO(content), sheet_name=sheet, dtype=str)
+    except ImportError as error:
+        raise ImportError("reading workbooks needs openpyxl; save the sheet as CSV instead") from error
+
+
+def read_truth_workbook(
+    spark: SparkSession,
+    path: str,
+    sheet: str = fixed.TRUTH_SHEET,
+    schema: str = TRUTH_SET_SCHEMA,
+    reader: Callable[[bytes, str], pd.DataFrame] = excel_sheet,
+) -> DataFrame:
+    """The truth set from a sheet of each workbook at the path, with columns found by name.
+
+    A workbook is read in a task, not on the driver; the format holds at most 1,048,576 rows.
+    Columns of the schema that a sheet lacks are null.
+    """
+    names = T.StructType.fromDDL(schema).names
+
+    def sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                rows = reader(bytes(content), sheet).reindex(columns=names)
+                yield rows.astype(object).where(rows.notna(), None)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(sheets, schema)
+
+
 def _read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return reader.schema(schema).csv(path)

@@ -1,5 +1,8 @@
 """Whole runs, files and streams."""
 
+import io
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,7 +109,7 @@ def truth(spark):
 
 @pytest.mark.parametrize("judges", [None, judging.Judges.asking(ten)])
 def test_evaluate_truth_set(spark, chunks, judges):
-    scored = evaluation.evaluate_truth_set(truth(spark), chunks, k=2, embedder=EMBEDDER, judges=judges)
+    scored = evaluation.evaluate_truth_set(truth(spark), chunks, k=2, embedder=EMBEDDER, judges=judges, concurrency=3)
     assert "blank" not in scored.columns
     assert scored.columns[-2:] == ["retrieved_files", "retrieved_contents"]
     got = scored.collect()
@@ -183,6 +186,19 @@ def test_truth_set_and_summary_files(spark, tmp_path):
     assert part.read_text() == "document_type,correctness\na,1.0\nb,2.5\n"
 
 
+def comma_sheet(content, sheet):
+    """Stands for a workbook reader: the first line names the sheet, the rest is CSV."""
+    first, rest = content.decode().split("\n", 1)
+    assert first == sheet
+    return pd.read_csv(io.StringIO(rest), dtype=str)
+
+
+def test_truth_workbook(spark, tmp_path):
+    (tmp_path / "truth.xlsx").write_text("Questions\nFile,Question,Extra\nf.pdf,Why?,1\n,How?,2\n")
+    got = files.read_truth_workbook(spark, str(tmp_path / "truth.xlsx"), reader=comma_sheet).collect()
+    assert [(r["Question"], r["File"], r["True Answer"]) for r in got] == [("Why?", "f.pdf", None), ("How?", None, None)]
+
+
 def test_prompts(spark, tmp_path):
     (tmp_path / "one.txt").write_text("first\nline")
     (tmp_path / "two.txt").write_text("second")
