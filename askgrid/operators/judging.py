@@ -7,7 +7,7 @@ retrieved_contents`.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,18 +83,6 @@ def overlap_groundedness() -> Column:
 
 
 # --- judges --------------------------------------------------------------------------------
-@dataclass(frozen=True)
-class Judge:
-    """How one measure gets its score: `score()` is a column over the answer rows.
-
-    `calls_client` tells that the column runs a model, so that rows it is not meant for must be
-    filtered away before: Spark evaluates Python functions inside `when` for every row.
-    """
-
-    score: Callable[[], Column]
-    calls_client: bool = False
-
-
 def ask(client: Callable[[], JudgeClient], instruction: str, prompt: Column) -> Column:
     """The client's raw replies. Each task makes one client and sends it Arrow batches."""
 
@@ -107,19 +95,47 @@ def ask(client: Callable[[], JudgeClient], instruction: str, prompt: Column) ->
     return reply(prompt)
 
 
-def client_judge(
-    client: Callable[[], JudgeClient], instruction: str, prompt: Callable[[], Column], strict: bool = True
-) -> Judge:
-    """A judge that asks a client. Strict: a bad reply fails the job; else its score is null."""
-    parse = parse_score_strict if strict else parse_score
-    return Judge(lambda: parse(ask(client, instruction, prompt())), calls_client=True)
+@dataclass(frozen=True)
+class Judge:
+    """Scores one measure with built-in functions over the answer rows."""
+
+    score: Callable[[], Column]
+    calls_client = False
+
+    def add_score(self, answers: DataFrame, measure: str) -> DataFrame:
+        return answers.withColumn(measure, self.score())
+
+
+@dataclass(frozen=True)
+class ClientJudge:
+    """Scores one measure by asking a model.
+
+    Strict: a bad reply fails the job. Else its score is null and the reply is kept in the
+    column `<measure>_reply`, which is null for good replies.
+    """
+
+    client: Callable[[], JudgeClient]
+    instruction: str
+    prompt: Callable[[], Column]
+    strict: bool = True
+    calls_client = True
+
+    def add_score(self, answers: DataFrame, measure: str) -> DataFrame:
+        reply = f"{measure}_reply"
+        asked = answers.withColumn(reply, ask(self.client, self.instruction, self.prompt()))
+        if self.strict:
+            return asked.withColumn(measure, parse_score_strict(F.col(reply))).drop(reply)
+        scored = asked.withColumn(measure, parse_score(F.col(reply)))
+        return scored.withColumn(reply, F.when(F.col(measure).isNull(), F.col(reply)))
 
 
 @dataclass(frozen=True)
 class Judges:
-    correctness: Judge = field(default_factory=lambda: Judge(overlap_correctness))
-    retrieval: Judge = field(default_factory=lambda: Judge(overlap_retrieval))
-    groundedness: Judge = field(default_factory=lambda: Judge(overlap_groundedness))
+    """One judge per measure, by default those that need no model."""
+
+    correctness: Judge | ClientJudge = Judge(overlap_correctness)
+    retrieval: Judge | ClientJudge = Judge(overlap_retrieval)
+    groundedness: Judge | ClientJudge = Judge(overlap_groundedness)
 
     @staticmethod
     def asking(
@@ -130,9 +146,9 @@ class Judges:
         groundedness_rubric: str = fixed.GROUNDEDNESS_RUBRIC,
     ) -> Judges:
         return Judges(
-            client_judge(client, correctness_rubric, correctness_prompt, strict),
-            client_judge(client, retrieval_rubric, retrieval_prompt, strict),
-            client_judge(client, groundedness_rubric, groundedness_prompt, strict),
+            ClientJudge(client, correctness_rubric, correctness_prompt, strict),
+            ClientJudge(client, retrieval_rubric, retrieval_prompt, strict),
+            ClientJudge(client, groundedness_rubric, groundedness_prompt, strict),
         )
 
     @property
@@ -174,20 +190,12 @@ def score_responses(answers: DataFrame, judges: Judges | None = None) -> DataFra
                 "document_match": document_match(),
             }
         )
-    retrieved = answers.filter(was_retrieved()).withColumns(
-        {
-            "correctness": judges.correctness.score(),
-            "retrieval": judges.retrieval.score(),
-            "groundedness": judges.groundedness.score(),
-            "document_match": document_match(),
-        }
-    )
-    others = answers.filter(~was_retrieved()).withColumns(
-        {
-            "correctness": judges.correctness.score(),
-            "retrieval": zero,
-            "groundedness": zero,
-            "document_match": F.lit(False),
-        }
+    retrieved = judges.correctness.add_score(answers.filter(was_retrieved()), "correctness")
+    retrieved = judges.retrieval.add_score(retrieved, "retrieval")
+    retrieved = judges.groundedness.add_score(retrieved, "groundedness")
+    retrieved = retrieved.withColumn("document_match", document_match())
+    others = judges.correctness.add_score(answers.filter(~was_retrieved()), "correctness").withColumns(
+        {"retrieval": zero, "groundedness": zero, "document_match": F.lit(False)}
     )
-    return retrieved.unionByName(others)
+    # Kept replies of judges that these rows do not meet are null.
+    return retrieved.unionByName(others, allowMissingColumns=True)

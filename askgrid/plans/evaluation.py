@@ -39,7 +39,8 @@ def evaluate_truth_set(
     their order. Answers are written before the judges read them, and scores before anything
     reads them, so each model is called once per row, at most `concurrency` calls at a time.
     """
-    truth = drop_empty_columns(truth_set)
+    # Written, so that every later read sees the same row ids.
+    truth = materialise(drop_empty_columns(truth_set), "truth")
     asked = truth.select(F.col("row_id").alias("question_id"), "question")
     asked = materialise(embed_text(asked, "question", "question_vector", embedder, concurrency), "questions")
     results = turn_results(answer_turns(asked, chunks, k, search, generator, concurrency=concurrency)).select(

@@ -113,7 +113,8 @@ DOCUMENTS = {
     "listing_parse": f"""with {LISTING}
 select name, url, modification_date from listing where doc_id % 19 <> 0""",
     "listing_rejects": """
-select doc_id, 401 as status, 'denied' as status_text from documents where doc_id % 19 = 0""",
+select doc_id, 401 as status, 'denied' as status_text, 'status' as reason
+from documents where doc_id % 19 = 0""",
     "doc_exclusion_filter": f"with {LISTING} select doc_id, name, url from kept",
     "doc_exclusion_count": f"with {LISTING} select count(*) as documents from kept",
     "new_docs": f"with {LISTING} select name from fresh",

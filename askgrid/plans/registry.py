@@ -92,7 +92,7 @@ def listing_parse(spark, folder):
 
 def listing_rejects(spark, folder):
     rejects = listing_source.rejected_responses(views.listing_responses(spark, folder))
-    return rejects.select("doc_id", "status", "status_text")
+    return rejects.select("doc_id", "status", "status_text", "reason")
 
 
 def doc_exclusion_filter(spark, folder):

@@ -72,6 +72,21 @@ def read_url_table(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """File headings as the column names used here: `True Answer` becomes `true_answer`."""
+    return df.toDF(*(c.strip().lower().replace(" ", "_") for c in df.columns))
+
+
+def with_headings(df: DataFrame) -> DataFrame:
+    """Column names as file headings: `true_answer` becomes `True Answer`."""
+    return df.toDF(*(c.replace("_", " ").title() for c in df.columns))
+
+
+def prepare_truth_set(df: DataFrame) -> DataFrame:
+    """A truth set as read, with plain names and a `row_id` in place of the rows' order."""
+    return plain_names(df).withColumn("row_id", F.monotonically_increasing_id())
+
+
 def write_chunk_table(chunks: DataFrame, path: str) -> None:
     """Keep chunks with their vectors as Parquet, one column per field, for later searches."""
     require_index_fields(chunks, fixed.CHUNK_VECTOR_FIELD, fixed.CHUNK_CONTENT_FIELD)

@@ -20,6 +20,13 @@ def _accepted() -> Column:
     return F.coalesce(F.col("_r.status") == fixed.ACCEPTED_STATUS, F.lit(False))
 
 
+def _complete() -> Column:
+    """The response names all the columns that are needed."""
+    wanted = F.array(*map(F.lit, fixed.LISTING_FIELDS))
+    found = F.array_intersect(F.col("_r.querydata.columns"), wanted)
+    return F.coalesce(F.size(found) == len(fixed.LISTING_FIELDS), F.lit(False))
+
+
 def _field(name: str) -> Column:
     """A row's value under a column name; if the name is there twice the last one counts."""
     columns = F.col("_r.querydata.columns")
@@ -37,11 +44,6 @@ def parse_listing(
     service's cap per listing (`fixed_values.LISTING_MAX_ROWS`); there is none by default.
     """
     parsed = _parsed(responses, column)
-    columns = F.col("_r.querydata.columns")
-    complete = F.coalesce(
-        F.size(F.array_intersect(columns, F.array(*map(F.lit, fixed.LISTING_FIELDS)))) == len(fixed.LISTING_FIELDS),
-        F.lit(False),
-    )
     if strict:
         status = F.coalesce(F.col("_r.status").cast("string"), F.lit("None"))
         reason = F.coalesce(F.col("_r.`status text`"), F.lit("None"))
@@ -49,11 +51,11 @@ def parse_listing(
         missing = F.raise_error(F.lit(f"the listing lacks one of the columns {fixed.LISTING_FIELDS}"))
         usable = (
             F.when(~_accepted(), denied.cast("boolean"))
-            .when(~complete, missing.cast("boolean"))
+            .when(~_complete(), missing.cast("boolean"))
             .otherwise(F.lit(True))
         )
     else:
-        usable = _accepted() & complete
+        usable = _accepted() & _complete()
     name, url, date = (_field(f) for f in fixed.LISTING_FIELDS)
     rows = (
         parsed.filter(usable)
@@ -64,10 +66,18 @@ def parse_listing(
 
 
 def rejected_responses(responses: DataFrame, column: str = "response") -> DataFrame:
-    """The responses a lenient parse leaves out because of their status."""
+    """The responses that a lenient parse leaves out, with their `status`, `status_text` and
+    `reason`: another status than accepted (or no status at all), or a column missing.
+    """
     return (
         _parsed(responses, column)
-        .filter(~_accepted())
-        .withColumns({"status": F.col("_r.status"), "status_text": F.col("_r.`status text`")})
+        .filter(~(_accepted() & _complete()))
+        .withColumns(
+            {
+                "status": F.col("_r.status"),
+                "status_text": F.col("_r.`status text`"),
+                "reason": F.when(_accepted(), "columns").otherwise("status"),
+            }
+        )
         .drop("_r")
     )

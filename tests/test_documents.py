@@ -100,6 +100,8 @@ def test_rejected_listing(spark):
 def test_listing_without_a_column(spark):
     df = spark.createDataFrame([response(9001, ["name"], [["a"]])], "response STRING")
     assert listing.parse_listing(df, strict=False).count() == 0
+    unreadable = df.union(spark.createDataFrame([("no json",)], "response STRING"))
+    assert sorted(r["reason"] for r in listing.rejected_responses(unreadable).collect()) == ["columns", "status"]
     with pytest.raises(PySparkException, match="lacks one of the columns"):
         listing.parse_listing(df).collect()
 

@@ -108,6 +108,28 @@ def test_bad_reply(spark):
         judging.score_responses(rows, judging.Judges.asking(babbling)).collect()
     lenient = judging.score_responses(rows, judging.Judges.asking(babbling, strict=False)).first()
     assert (lenient["correctness"], lenient["retrieval"], lenient["document_match"]) == (None, None, True)
+    assert lenient["correctness_reply"] == lenient["groundedness_reply"] == "about 7"
+
+
+def test_kept_replies(spark):
+    """Only bad replies are kept, and each row is asked about once."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def wavering():
+        def reply(pairs):
+            calls.add(len(pairs))
+            return ["3" if CORRECT in p else "?" for _, p in pairs]
+
+        return reply
+
+    rows = answers(spark, [(CORRECT, [CHUNK_1], [EU]), (WRONG_1, [], [])])
+    judges = judging.Judges.asking(wavering, strict=False)
+    first, second = sorted(judging.score_responses(rows, judges).collect(), key=lambda r: r["id"])
+    assert (first["correctness"], first["correctness_reply"], first["retrieval"]) == (3, None, None)
+    assert first["retrieval_reply"] == "?"
+    assert (second["correctness"], second["correctness_reply"]) == (None, "?")
+    assert (second["retrieval"], second["retrieval_reply"]) == (0, None)
+    assert calls.value == 4
 
 
 def test_one_client_per_task(spark):

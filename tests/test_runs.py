@@ -118,6 +118,27 @@ def test_evaluate_truth_set(spark, chunks, judges):
     assert means["correctness"] == 10.0
 
 
+def test_from_truth_file_to_summary(spark, chunks, tmp_path):
+    lines = ["Question,True Answer,File,Question Type,Document Type,Unambiguous"]
+    for country, city in CAPITALS:
+        lines.append(f"What is the capital of {country}?,The capital of {country} is {city}., {country}, Positive ,Fact Sheet ,Yes")
+    (tmp_path / "truth.csv").write_text("\n".join(lines))
+    truth_set = files.prepare_truth_set(files.read_truth_set(spark, str(tmp_path / "truth.csv")))
+    scored = evaluation.evaluate_truth_set(truth_set, chunks, k=2, embedder=EMBEDDER).drop("row_id")
+    files.export_results(files.with_headings(scored), str(tmp_path / "results"))
+    (part, *_) = (tmp_path / "results").glob("*.csv")
+    assert part.read_text().split("\n")[0] == (
+        "Question,True Answer,File,Question Type,Document Type,Unambiguous,Answer,Correctness,Retrieval,Groundedness,"
+        "Document Match,Retrieved Files,Retrieved Contents"
+    )
+    results = files.plain_names(files.read_results(spark, str(tmp_path / "results")))
+    assert results.count() == len(CAPITALS)
+    means = summary.scores_by_document_type(results, "Positive").first()
+    assert (means["document_type"], means["correctness"]) == ("Fact Sheet", 10.0)
+    share = summary.percentage_match(summary.tag_model(results, "m")).first()
+    assert (share["percentage_match"], share["label"]) == (100.0, "100.0%")
+
+
 def test_files(spark, tmp_path):
     folder = tmp_path / "raw docs"
     (folder / "inner").mkdir(parents=True)
@@ -218,7 +239,8 @@ MESSAGES = (
 )
 
 
-def test_conversation_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("scope", ["thread", "turn"])
+def test_conversation_stream_equals_batch(spark, tmp_path, scope):
     rows = []
     for session in ("s1", "s2"):
         for thread in range(6):
@@ -232,13 +254,13 @@ def test_conversation_stream_equals_batch(spark, tmp_path):
         part = [r for r in rows if low <= r[2] < high]
         spark.createDataFrame(part, MESSAGES).coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).parquet(str(source))
-    steps = conversation_state.run_to_end(stream)
+    steps = conversation_state.run_to_end(stream, scope)
     assert steps.select("step").distinct().count() == 3
     # A step holds only the threads that it changed.
     assert steps.count() < 3 * 12
     key = ("session_id", "thread_id")
     got = conversation_state.latest_states(steps)
-    batch = conversation.turn_results(spark.createDataFrame(rows, MESSAGES), key=key).select(*got.columns)
+    batch = conversation.turn_results(spark.createDataFrame(rows, MESSAGES), scope, key).select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
 
