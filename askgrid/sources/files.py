@@ -43,10 +43,11 @@ def stored_files(spark: SparkSession, folder: str) -> DataFrame:
             raise
         return spark.createDataFrame([], "file_name STRING")
     segments = F.split("path", "/")
-    parent = F.element_at(segments, -2)
-    return paths.filter(parent == folder.rstrip("/").split("/")[-1]).select(
-        F.element_at(segments, -1).alias("file_name")
-    )
+    parent = F.array_join(F.slice(segments, 1, F.size(segments) - 1), "/")
+    # Given a file, Spark lists the file itself.
+    given = F.lit(folder.removeprefix("./").rstrip("/"))
+    inside = F.endswith(parent, given) | ~F.endswith(F.col("path"), given)
+    return paths.filter(inside).select(F.element_at(segments, -1).alias("file_name"))
 
 
 def build_url_table(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
@@ -65,7 +66,7 @@ def write_url_table(table: DataFrame, path: str) -> None:
 
 def read_url_table(spark: SparkSession, path: str) -> DataFrame:
     """File names and URLs, with `row_no` giving the order of the rows in the files."""
-    table = spark.read.option("header", True).schema(URL_TABLE_SCHEMA).csv(path)
+    table = _read_csv(spark, path, URL_TABLE_SCHEMA, multi_line=False)
     row_no = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
     return table.select(
         F.col("File Name").alias("file_name"), F.col("File URL").alias("file_url"), row_no.alias("row_no")
@@ -141,9 +142,21 @@ def read_truth_workbook(
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(sheets, schema)
 
 
-def _read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return reader.schema(schema).csv(path)
+def _read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """CSV with a header, whose columns are found by name, in any order.
+
+    Columns of the schema get its types, and are null if the file lacks them. Further columns of
+    the file stay as text.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    rows = reader.csv(path)
+    typed = {}
+    for field in T.StructType.fromDDL(schema).fields:
+        value = F.col(f"`{field.name}`") if field.name in rows.columns else F.lit(None)
+        if isinstance(field.dataType, T.IntegerType):
+            value = value.cast("double")  # whole numbers may be written as 7.0
+        typed[field.name] = value.cast(field.dataType)
+    return rows.withColumns(typed)
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -149,6 +149,9 @@ def test_files(spark, tmp_path):
     assert names == ["a.pdf", "b c.txt"]
     assert files.stored_files(spark, str(tmp_path / "missing")).collect() == []
     assert files.stored_files(spark, str(folder / "a.pdf")).collect() == []
+    (tmp_path / "a" / "a").mkdir(parents=True)
+    (tmp_path / "a" / "a" / "a").write_text("content")
+    assert [r["file_name"] for r in files.stored_files(spark, str(tmp_path / "a" / "a")).collect()] == ["a"]
     (tmp_path / "none").mkdir()
     assert files.stored_files(spark, str(tmp_path / "none")).collect() == []
 
@@ -207,6 +210,18 @@ def test_truth_set_and_summary_files(spark, tmp_path):
     assert part.read_text() == "document_type,correctness\na,1.0\nb,2.5\n"
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("Extra,Correctness,Question,Document Match\nx,7.0,Why?,True\ny,,How?,False\n")
+    got = files.read_results(spark, str(tmp_path / "r.csv")).collect()
+    assert [(r["Question"], r["Correctness"], r["Document Match"], r["Extra"], r["Answer"]) for r in got] == [
+        ("Why?", 7, True, "x", None),
+        ("How?", None, False, "y", None),
+    ]
+    (tmp_path / "u.csv").write_text("File URL,File Name\nhttp://a,a.pdf\n")
+    row = files.read_url_table(spark, str(tmp_path / "u.csv")).first()
+    assert (row["file_name"], row["file_url"]) == ("a.pdf", "http://a")
+
+
 def comma_sheet(content, sheet):
     """Stands for a workbook reader: the first line names the sheet, the rest is CSV."""
     first, rest = content.decode().split("\n", 1)
