@@ -8,7 +8,7 @@ Two ways, chosen by the measured size of the questions, never of the chunks:
 * More questions: chunks are put in cells around pivots, cells are cut into blocks of bounded
   size, and a question visits only the cells that the triangle inequality cannot rule out. Both
   sides meet in an equi-join on the block, so neither a question nor a cell that holds most
-  chunks lands in one task.
+  chunks lands in one task. Of many copies of one vector only the k that can win are kept.
 """
 
 from __future__ import annotations
@@ -104,6 +104,15 @@ def _scan(questions: DataFrame, chunks: DataFrame, k: int, schema: T.StructType)
     return chunks.mapInArrow(score, schema)
 
 
+def _first_of_equal_vectors(chunks: DataFrame, k: int) -> DataFrame:
+    """The k lowest chunk ids of each distinct vector; no other copy can be among the best k.
+
+    Each task keeps at most k copies before the shuffle, however many there are.
+    """
+    copies = Window.partitionBy("vector").orderBy("chunk_id")
+    return chunks.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k).drop("copy")
+
+
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Straight-line distance between unit vectors, for which the triangle inequality holds."""
     squared = (
@@ -156,7 +165,7 @@ def _visit_cells(
                 [c.cast(f.type) for c, f in zip(columns, placed_arrow)], schema=placed_arrow
             )
 
-    placed = materialise(chunks.mapInArrow(place, placed_schema), "cells")
+    placed = materialise(_first_of_equal_vectors(chunks, k).mapInArrow(place, placed_schema), "cells")
     # At most `cells` rows, whatever the number of chunks.
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")).toPandas()
     rows_per_block = max(1, block_bytes // (8 * width))
