@@ -53,33 +53,46 @@ def groundedness_prompt() -> Column:
 
 
 # --- offline scores ------------------------------------------------------------------------
-def _one_to_ten(share: Column) -> Column:
-    return (F.lit(1) + F.floor(F.coalesce(share, F.lit(0.0)) * 9 + 0.5)).cast("int")
-
-
 def _words(text: Column) -> Column:
     return F.array_distinct(tokens(F.coalesce(text, F.lit(""))))
 
 
-def _share_in(text: Column, context: Column) -> Column:
-    """Share of a text's distinct words that occur in the context."""
-    words = _words(text)
-    return F.when(F.size(words) > 0, F.size(F.array_intersect(words, _words(context))) / F.size(words))
+# Distinct words of the texts that are compared, as columns of their own: a text is cut into
+# words once per row, however often a score refers to them.
+_WORD_COLUMNS = {
+    "_question_words": lambda: _words(F.col("question")),
+    "_answer_words": lambda: _words(F.col("answer")),
+    "_reference_words": lambda: _words(F.col("true_answer")),
+    "_context_words": lambda: _words(F.array_join("retrieved_contents", "\n")),
+}
 
 
-def overlap_correctness() -> Column:
+def _with_words(answers: DataFrame, names: Sequence[str]) -> DataFrame:
+    return answers.withColumns({n: _WORD_COLUMNS[n]() for n in names})
+
+
+def _one_to_ten(share: Column) -> Column:
+    return (F.lit(1) + F.floor(F.coalesce(share, F.lit(0.0)) * 9 + 0.5)).cast("int")
+
+
+def _share_in(words: str, context: str) -> Column:
+    """Share of some distinct words that occur in the context."""
+    return F.when(F.size(words) > 0, F.size(F.array_intersect(words, context)) / F.size(words))
+
+
+def _overlap_correctness() -> Column:
     """F1 of the distinct words of the answer and the reference answer, on 1 to 10."""
-    mine, theirs = _words(F.col("answer")), _words(F.col("true_answer"))
-    total = F.size(mine) + F.size(theirs)
-    return _one_to_ten(F.when(total > 0, F.size(F.array_intersect(mine, theirs)) * 2 / total))
+    total = F.size("_answer_words") + F.size("_reference_words")
+    common = F.size(F.array_intersect("_answer_words", "_reference_words"))
+    return _one_to_ten(F.when(total > 0, common * 2 / total))
 
 
-def overlap_retrieval() -> Column:
-    return _one_to_ten(_share_in(F.col("question"), F.array_join("retrieved_contents", "\n")))
+def _overlap_retrieval() -> Column:
+    return _one_to_ten(_share_in("_question_words", "_context_words"))
 
 
-def overlap_groundedness() -> Column:
-    return _one_to_ten(_share_in(F.col("answer"), F.array_join("retrieved_contents", "\n")))
+def _overlap_groundedness() -> Column:
+    return _one_to_ten(_share_in("_answer_words", "_context_words"))
 
 
 # --- judges --------------------------------------------------------------------------------
@@ -97,13 +110,19 @@ def ask(client: Callable[[], JudgeClient], instruction: str, prompt: Column) ->
 
 @dataclass(frozen=True)
 class Judge:
-    """Scores one measure with built-in functions over the answer rows."""
+    """Scores one measure with built-in functions over the answer rows and some word columns."""
 
     score: Callable[[], Column]
+    words: tuple[str, ...] = ()
     calls_client = False
 
     def add_score(self, answers: DataFrame, measure: str) -> DataFrame:
-        return answers.withColumn(measure, self.score())
+        return _with_words(answers, self.words).withColumn(measure, self.score()).drop(*self.words)
+
+
+OVERLAP_CORRECTNESS = Judge(_overlap_correctness, ("_answer_words", "_reference_words"))
+OVERLAP_RETRIEVAL = Judge(_overlap_retrieval, ("_question_words", "_context_words"))
+OVERLAP_GROUNDEDNESS = Judge(_overlap_groundedness, ("_answer_words", "_context_words"))
 
 
 @dataclass(frozen=True)
@@ -133,9 +152,9 @@ class ClientJudge:
 class Judges:
     """One judge per measure, by default those that need no model."""
 
-    correctness: Judge | ClientJudge = Judge(overlap_correctness)
-    retrieval: Judge | ClientJudge = Judge(overlap_retrieval)
-    groundedness: Judge | ClientJudge = Judge(overlap_groundedness)
+    correctness: Judge | ClientJudge = OVERLAP_CORRECTNESS
+    retrieval: Judge | ClientJudge = OVERLAP_RETRIEVAL
+    groundedness: Judge | ClientJudge = OVERLAP_GROUNDEDNESS
 
     @staticmethod
     def asking(
@@ -182,14 +201,14 @@ def score_responses(answers: DataFrame, judges: Judges | None = None) -> DataFra
     judges = judges or Judges()
     zero = F.lit(0)
     if not judges.call_clients:
-        return answers.withColumns(
-            {
-                "correctness": judges.correctness.score(),
-                "retrieval": F.when(was_retrieved(), judges.retrieval.score()).otherwise(zero),
-                "groundedness": F.when(was_retrieved(), judges.groundedness.score()).otherwise(zero),
-                "document_match": document_match(),
-            }
-        )
+        words = sorted({w for j in (judges.correctness, judges.retrieval, judges.groundedness) for w in j.words})
+        scores = {
+            "correctness": judges.correctness.score(),
+            "retrieval": F.when(was_retrieved(), judges.retrieval.score()).otherwise(zero),
+            "groundedness": F.when(was_retrieved(), judges.groundedness.score()).otherwise(zero),
+            "document_match": document_match(),
+        }
+        return _with_words(answers, words).withColumns(scores).drop(*words)
     retrieved = judges.correctness.add_score(answers.filter(was_retrieved()), "correctness")
     retrieved = judges.retrieval.add_score(retrieved, "retrieval")
     retrieved = judges.groundedness.add_score(retrieved, "groundedness")

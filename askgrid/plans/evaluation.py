@@ -42,7 +42,7 @@ def evaluate_truth_set(
     # Written, so that every later read sees the same row ids.
     truth = materialise(drop_empty_columns(truth_set), "truth")
     asked = truth.select(F.col("row_id").alias("question_id"), "question")
-    asked = materialise(embed_text(asked, "question", "question_vector", embedder, concurrency), "questions")
+    asked = embed_text(asked, "question", "question_vector", embedder, concurrency)
     results = turn_results(answer_turns(asked, chunks, k, search, generator, concurrency=concurrency)).select(
         F.col("thread_id").alias("row_id"),
         "answer",

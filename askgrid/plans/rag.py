@@ -40,6 +40,8 @@ def retrieve(
     in a shuffled join on the chunk id.
     """
     require_index_fields(chunks, fixed.CHUNK_VECTOR_FIELD, fixed.CHUNK_CONTENT_FIELD)
+    # Written, since the searches read the vectors several times and a client may make them.
+    questions = materialise(questions.select("question_id", "question", "question_vector"), "questions")
     if search == "vector":
         found = topk_by_vector(questions, chunks, k)
     elif search == "hybrid":
@@ -52,22 +54,28 @@ def retrieve(
     return chunks.select("chunk_id", *columns).join(found, "chunk_id")
 
 
-def best_sentence(question: Column, texts: Column) -> Column:
+def add_best_sentence(rows: DataFrame, texts: Column, output: str = "answer") -> DataFrame:
     """The offline generator: the sentence that shares most distinct words with the question.
 
     Of equally good sentences the first one, in rank order.
     """
-    words = F.array_distinct(tokens(question))
     sentences = F.filter(
         F.transform(F.split(F.array_join(texts, "\n"), "[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != ""
     )
     rated = F.transform(
-        sentences,
+        F.col("_sentences"),
         lambda s, i: F.struct(
-            F.size(F.array_intersect(tokens(s), words)).alias("hits"), (-i).alias("place"), s.alias("text")
+            F.size(F.array_intersect(tokens(s), F.col("_words"))).alias("hits"), (-i).alias("place"), s.alias("text")
         ),
     )
-    return F.coalesce(F.array_max(rated)["text"], F.lit(UNKNOWN_ANSWER))
+    # Both are columns of their own, and used twice, so that they are made once per row and not
+    # once per sentence.
+    best = F.when(F.size("_words") > 0, F.array_max(rated)["text"]).otherwise(F.get("_sentences", F.lit(0)))
+    return (
+        rows.withColumns({"_words": F.array_distinct(tokens(F.col("question"))), "_sentences": sentences})
+        .withColumn(output, F.coalesce(best, F.lit(UNKNOWN_ANSWER)))
+        .drop("_words", "_sentences")
+    )
 
 
 def generated(client: Callable[[], GeneratorClient], prompt: Column) -> Column:
@@ -109,7 +117,7 @@ def _answer(
     rows = rows.withColumn("prompt", prompt().cast(_MESSAGE))
     if generator is None:
         texts = F.transform("documents", lambda d: d["page_content"])
-        return rows.withColumn("answer", best_sentence(F.col("question"), texts))
+        return add_best_sentence(rows, texts)
     if concurrency is not None:
         rows = rows.repartition(concurrency, "question_id")
     # Whatever reads the answers later must not call the model again.

@@ -280,18 +280,18 @@ def judge_prompt_build(spark, folder):
 
 
 def judge_correctness(spark, folder):
-    answers = views.answered_questions(spark, folder)
-    return answers.select("conv_id", "turn", judging.overlap_correctness().alias("correctness"))
+    scored = judging.OVERLAP_CORRECTNESS.add_score(views.answered_questions(spark, folder), "correctness")
+    return scored.select("conv_id", "turn", "correctness")
 
 
 def judge_retrieval(spark, folder):
-    answers = views.answered_questions(spark, folder)
-    return answers.select("conv_id", "turn", judging.overlap_retrieval().alias("retrieval"))
+    scored = judging.OVERLAP_RETRIEVAL.add_score(views.answered_questions(spark, folder), "retrieval")
+    return scored.select("conv_id", "turn", "retrieval")
 
 
 def judge_groundedness(spark, folder):
-    answers = views.answered_questions(spark, folder)
-    return answers.select("conv_id", "turn", judging.overlap_groundedness().alias("groundedness"))
+    scored = judging.OVERLAP_GROUNDEDNESS.add_score(views.answered_questions(spark, folder), "groundedness")
+    return scored.select("conv_id", "turn", "groundedness")
 
 
 _MEASURES = ("correctness", "retrieval", "groundedness", "document_match")

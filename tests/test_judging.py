@@ -158,17 +158,19 @@ def test_document_match(spark):
         assert r["got"] == r["expected"], r["id"]
 
 
+def overlap(df):
+    for measure in ("correctness", "retrieval", "groundedness"):
+        df = getattr(judging, f"OVERLAP_{measure.upper()}").add_score(df, measure)
+    return df.select("correctness", "retrieval", "groundedness").first()
+
+
 def test_overlap_scores(spark):
-    row = answers(spark, CASES[:1]).select(
-        judging.overlap_correctness(), judging.overlap_retrieval(), judging.overlap_groundedness()
-    ).first()
-    # All six words agree; 2 of the question's 6 words and 3 of the answer's 6 are in the context.
-    assert row[0] == 10
+    row = overlap(answers(spark, CASES[:1]))
+    assert row[0] == 10  # all six words agree
     question = {"what", "is", "the", "capital", "of", "france"}
     context = {"european", "capitals", "uk", "london", "france", "paris", "spain", "madrid", "germany", "berlin"}
     context |= {"french", "cities", "marseille", "paris", "capital", "lyon", "versailles"}
     answer = {"paris", "is", "the", "capital", "of", "france"}
     assert row[1] == 1 + int(9 * len(question & context) / 6 + 0.5)
     assert row[2] == 1 + int(9 * len(answer & context) / 6 + 0.5)
-    empty = spark.createDataFrame([(0, None, "", "", "f", [], [])], SCHEMA)
-    assert empty.select(judging.overlap_correctness(), judging.overlap_retrieval()).first()[:2] == (1, 1)
+    assert tuple(overlap(spark.createDataFrame([(0, None, "", "", "f", [], [])], SCHEMA))) == (1, 1, 1)
