@@ -107,9 +107,9 @@ def python_list(texts: Column) -> Column:
 
 
 def python_dict(entries: Column) -> Column:
-    """A map of strings as a Python dict prints it."""
+    """The entries of a map of strings (`map_entries`) as a Python dict prints them."""
     shown = F.transform(
-        F.map_entries(entries),
+        entries,
         lambda e: F.concat(python_literal(e["key"]), F.lit(": "), python_literal(e["value"])),
     )
     return F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit("}"))

@@ -124,27 +124,29 @@ def answer_prompt(messages: DataFrame, instruction: str = fixed.ANSWER_INSTRUCTI
     return system.unionByName(context).unionByName(conversation)
 
 
-def serialised_chunk(metadata: Column, text: Column) -> Column:
+def serialised_chunk(metadata_entries: Column, text: Column) -> Column:
     """One retrieved chunk as it appears in a tool message."""
-    return F.concat(F.lit("Source: "), python_dict(metadata), F.lit("\nContent: "), text)
+    return F.concat(F.lit("Source: "), python_dict(metadata_entries), F.lit("\nContent: "), text)
 
 
 def contexts(found: DataFrame) -> DataFrame:
     """Retrieved chunks (`question_id, rank, title, metadata, chunk`) as one row per question.
 
     Gives `documents` in rank order, their `joined` texts and the `serialised` tool message. A
-    question has at most the k rows of the search, which bounds what is collected.
+    question has at most the k rows of the search, which bounds what is collected. The texts are
+    made after that, so a reader that uses only some of the columns pays for no other.
     """
-    row = F.struct("rank", "title", "chunk", serialised_chunk(F.col("metadata"), F.col("chunk")).alias("shown"))
-    return (
-        found.groupBy("question_id")
-        .agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-        .select(
-            "question_id",
-            F.transform("_rows", lambda r: F.struct(r["title"].alias("title"), r["chunk"].alias("page_content"))).alias(
-                "documents"
-            ),
-            F.array_join(F.transform("_rows", lambda r: r["chunk"]), fixed.CONTEXT_SEPARATOR).alias("joined"),
-            F.array_join(F.transform("_rows", lambda r: r["shown"]), fixed.CONTEXT_SEPARATOR).alias("serialised"),
-        )
+    row = F.struct("rank", "title", "chunk", F.map_entries("metadata").alias("metadata"))
+    rows = found.groupBy("question_id").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+
+    def each(function) -> Column:
+        return F.transform(F.col("_rows"), function)
+
+    return rows.select(
+        "question_id",
+        each(lambda r: F.struct(r["title"].alias("title"), r["chunk"].alias("page_content"))).alias("documents"),
+        F.array_join(each(lambda r: r["chunk"]), fixed.CONTEXT_SEPARATOR).alias("joined"),
+        F.array_join(each(lambda r: serialised_chunk(r["metadata"], r["chunk"])), fixed.CONTEXT_SEPARATOR).alias(
+            "serialised"
+        ),
     )

@@ -69,7 +69,7 @@ def test_python_literal(values):
 
 def test_python_list_and_dict(spark):
     df = spark.createDataFrame([(["a", "it's"], {"title": "x.pdf", "n": "1"})], "l ARRAY<STRING>, m MAP<STRING, STRING>")
-    row = df.select(text.python_list(F.col("l")), text.python_dict(F.col("m"))).first()
+    row = df.select(text.python_list(F.col("l")), text.python_dict(F.map_entries("m"))).first()
     assert row[0] == str(["a", "it's"])
     assert row[1] in (str({"title": "x.pdf", "n": "1"}), str({"n": "1", "title": "x.pdf"}))
 
