@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from askgrid.functions.ranking import rounded
+from askgrid.functions.ranking import BestChunks, rounded
 
 K1, B = 1.2, 0.75
 
@@ -54,3 +54,36 @@ class QuestionTerms:
                         weight[inside], saturated[low:high]
                     )
             yield first, rounded(scores)
+
+
+class TextScores:
+    """What one task learns about its chunks: the best k per question and, for given (score,
+    chunk) marks of each question, how many chunks rank before them.
+    """
+
+    def __init__(self, terms: QuestionTerms, k: int, marks: Sequence[tuple[Sequence[float], Sequence]]):
+        self.terms = terms
+        self.best = BestChunks(len(marks), k)
+        self.marks = marks
+        self.ahead = [[0] * len(scores) for scores, _ in marks]
+
+    def add(self, tokens: pa.Array, chunks: np.ndarray) -> None:
+        if not len(chunks):
+            return
+        for start, scores in self.terms.score_tiles(tokens, len(self.marks)):
+            self.best.add(start, scores, chunks, scores > 0)
+            for question, row in enumerate(scores, start):
+                for i, (score, chunk) in enumerate(zip(*self.marks[question])):
+                    tied = np.nonzero(row == score)[0]
+                    before = int((row > score).sum()) + int((chunks[tied] < chunk).sum())
+                    self.ahead[question][i] += before
+
+    def table(self, questions: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+        """Rows of question, chunk and either the score of a best chunk or the count of a mark."""
+        best = self.best.best
+        rows = list(zip(questions[best["question"].to_numpy(dtype=np.int64)].tolist(), best["chunk"], best["score"]))
+        rows = [(q, c, s, None) for q, c, s in rows]
+        for question, (_, chunks), counts in zip(questions.tolist(), self.marks, self.ahead):
+            rows += [(question, c, None, n) for c, n in zip(chunks, counts)]
+        columns = zip(*rows) if rows else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)

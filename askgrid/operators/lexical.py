@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askgrid.functions import fixed_values as fixed
-from askgrid.functions.bm25 import QuestionTerms
-from askgrid.functions.ranking import BestChunks, identifiers
+from askgrid.functions.bm25 import QuestionTerms, TextScores
+from askgrid.functions.ranking import identifiers
 from askgrid.functions.text import tokens
 from askgrid.operators.retrieval import BROADCAST_BYTES, arrow_schema, keep_best, result_schema, topk_by_vector
 from askgrid.session import materialise
@@ -29,27 +29,34 @@ BLOCK_ROWS = 4096
 FUSION_CONSTANT = 60
 
 
-def term_statistics(chunks: DataFrame, text: str) -> tuple[DataFrame, int, float]:
-    """Number of chunks per term (`term, document_frequency`), number of chunks, mean length."""
-    split = chunks.select(tokens(F.col(text)).alias("tokens"))
-    count, length = split.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    frequency = (
-        split.select(F.explode(F.array_distinct("tokens")).alias("term"))
+# No text has the empty word; it stands for all chunks in the frequency table.
+_EVERY_CHUNK = ""
+
+
+def term_frequencies(chunks: DataFrame, text: str) -> DataFrame:
+    """Rows `term, document_frequency, words`, in one pass over the chunks.
+
+    The row of the empty term has the number of chunks and the sum of their lengths in words.
+    """
+    every = F.col("term") == _EVERY_CHUNK
+    return (
+        chunks.select(tokens(F.col(text)).alias("tokens"))
+        .select(
+            F.size("tokens").alias("length"),
+            F.explode(F.array_append(F.array_distinct("tokens"), _EVERY_CHUNK)).alias("term"),
+        )
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("document_frequency"))
+        .agg(F.count(F.lit(1)).alias("document_frequency"), F.sum(F.when(every, F.col("length"))).alias("words"))
     )
-    return frequency, count, max(length or 0.0, 1.0)
 
 
-def question_weights(questions: DataFrame, question: str, frequency: DataFrame, chunk_count: int) -> DataFrame:
-    """Rows `question_id, term, weight`; a term's weight is its rarity times its repeats."""
-    terms = (
+def question_terms(questions: DataFrame, question: str) -> DataFrame:
+    """Rows `question_id, term, repeats`."""
+    return (
         questions.select("question_id", F.explode(tokens(F.col(question))).alias("term"))
         .groupBy("question_id", "term")
         .agg(F.count(F.lit(1)).alias("repeats"))
     )
-    rarity = F.log1p((chunk_count - F.col("document_frequency") + 0.5) / (F.col("document_frequency") + 0.5))
-    return terms.join(frequency, "term").select("question_id", "term", (rarity * F.col("repeats")).alias("weight"))
 
 
 def with_tokens(texts: DataFrame) -> DataFrame:
@@ -62,19 +69,30 @@ class _TextSearch:
     def __init__(
         self, questions: DataFrame, chunks: DataFrame, question: str, text: str, broadcast_bytes: int, k: int
     ):
-        frequency, self.chunk_count, self.mean_length = term_statistics(chunks, text)
-        # Written, since the term counts behind them take a pass over all chunks.
-        self.weights = materialise(question_weights(questions, question, frequency, self.chunk_count), "weights")
-        self.texts = chunks.select("chunk_id", F.col(text).alias("text"))
-        self.tokens = with_tokens(self.texts)
+        self.spark = questions.sparkSession
         self.question_type = questions.schema["question_id"].dataType
         self.chunk_type = chunks.schema["chunk_id"].dataType
-        self.spark = questions.sparkSession
-        # Per distinct term of a question the term and 32 bytes for its weight and numbers; per
-        # question 64 bytes for each of k results.
-        words = F.array_distinct(tokens(F.col(question)))
-        sizes = F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a + F.octet_length(w) + 32)
-        self.question_count, size = questions.agg(F.count(F.lit(1)), F.sum(sizes)).first()
+        self.texts = chunks.select("chunk_id", F.col(text).alias("text"))
+        self.tokens = with_tokens(self.texts)
+
+        terms = question_terms(questions, question)
+        wanted = terms.select("term").union(self.spark.createDataFrame([(_EVERY_CHUNK,)], "term STRING")).distinct()
+        # Written, since a pass over all chunks is behind it.
+        frequency = materialise(term_frequencies(chunks, text).join(wanted, "term", "left_semi"), "frequency")
+        total = frequency.filter(F.col("term") == _EVERY_CHUNK).first()
+        self.chunk_count, length = (total["document_frequency"], total["words"]) if total else (0, 0)
+        self.mean_length = max(length / max(self.chunk_count, 1), 1.0)
+
+        # A term's weight is its rarity times its repeats in the question.
+        df = F.col("document_frequency")
+        rarity = F.log1p((self.chunk_count - df + 0.5) / (df + 0.5))
+        weights = terms.join(frequency, "term").select("question_id", "term", (rarity * F.col("repeats")).alias("weight"))
+        self.weights = materialise(weights, "weights")
+        # Per term of a question the term and 32 bytes for its weight and numbers; per question
+        # 64 bytes for each of k results.
+        self.question_count, size = self.weights.agg(
+            F.count_distinct("question_id"), F.sum(F.octet_length("term") + 32)
+        ).first()
         self.fits = (size or 0) + self.question_count * k * 64 <= broadcast_bytes
 
     @functools.cached_property
@@ -86,7 +104,7 @@ class _TextSearch:
         shared = (np.asarray(ids), number, rows["term"].tolist(), rows["weight"].to_numpy())
         return self.spark.sparkContext.broadcast(shared)
 
-    def blocks(self, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def blocks(self, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Chunks by block, and questions by block that has one of their terms."""
         block_count = max(1, math.ceil(self.chunk_count / BLOCK_ROWS))
         parts = max(1, math.ceil(self.question_count / BLOCK_ROWS))
@@ -99,8 +117,7 @@ class _TextSearch:
         packed = self.weights.groupBy("question_id").agg(
             F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")
         )
-        if extra is not None:
-            packed = packed.join(extra, "question_id")
+        packed = packed.join(marks, "question_id", "left")
         right = visits.join(packed, "question_id").withColumn(
             "part", F.pmod(F.xxhash64("question_id"), F.lit(parts)).cast("int")
         )
@@ -115,12 +132,6 @@ def _terms_of_block(question_rows: pa.Table, mean_length: float) -> QuestionTerm
     return QuestionTerms(number, terms.flatten().to_pylist(), weight, mean_length)
 
 
-def _add_scores(best: BestChunks, terms: QuestionTerms, token_column: pa.Array, chunks: np.ndarray) -> None:
-    if len(chunks):
-        for start, scores in terms.score_tiles(token_column, len(best.floor)):
-            best.add(start, scores, chunks, scores > 0)
-
-
 def topk_by_text(
     questions: DataFrame,
     chunks: DataFrame,
@@ -131,36 +142,59 @@ def topk_by_text(
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows `question_id, rank, chunk_id, score`: the k best chunks that share a word, by BM25."""
-    return _best_texts(_TextSearch(questions, chunks, question, text, broadcast_bytes, k), k)
+    search = _TextSearch(questions, chunks, question, text, broadcast_bytes, k)
+    none = search.weights.select("question_id", _no_marks(search)).limit(0)
+    return keep_best(_text_scores(search, k, none).filter("score is not null").drop("ahead"), k)
 
 
-def _best_texts(search: _TextSearch, k: int) -> DataFrame:
-    schema = result_schema(search.question_type, search.chunk_type)
+def _no_marks(search: _TextSearch):
+    chunks = T.ArrayType(search.chunk_type)
+    return F.struct(
+        F.lit(None).cast("array<double>").alias("scores"), F.lit(None).cast(chunks).alias("chunks")
+    ).alias("marks")
+
+
+def _text_scores(search: _TextSearch, k: int, marks: DataFrame) -> DataFrame:
+    """One pass over the chunks: rows `question_id, chunk_id, score, ahead`.
+
+    Each task passes on its k best chunks per question, with their score, and for each marked
+    chunk (`question_id, marks`: arrays of scores and chunk ids) the number of its chunks that
+    rank before it.
+    """
+    schema = T.StructType(
+        [
+            T.StructField("question_id", search.question_type),
+            T.StructField("chunk_id", search.chunk_type),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("ahead", T.LongType()),
+        ]
+    )
     out, mean_length = arrow_schema(schema), search.mean_length
     if search.fits:
         shared = search.shared_terms
+        # At most k marks for each question, which `fits` counts.
+        found = {r["question_id"]: (r["marks"]["scores"], r["marks"]["chunks"]) for r in marks.toArrow().to_pylist()}
+        known = search.spark.sparkContext.broadcast([found.get(q, ((), ())) for q in shared.value[0].tolist()])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, *term_rows = shared.value
-            terms = QuestionTerms(*term_rows, mean_length)
-            best = BestChunks(len(ids), k)
+            scores = TextScores(QuestionTerms(*term_rows, mean_length), k, known.value)
             for batch in batches:
-                _add_scores(best, terms, batch.column(1), identifiers(batch.column(0)))
-            yield best.table(ids, out)
+                scores.add(batch.column(1), identifiers(batch.column(0)))
+            yield scores.table(ids, out)
 
-        return keep_best(search.tokens.mapInArrow(scan, schema), k)
+        return search.tokens.mapInArrow(scan, schema)
 
-    def score(chunk_rows: pa.Table, question_rows: pa.Table) -> pa.Table:
-        ids = identifiers(question_rows["question_id"])
-        best = BestChunks(len(ids), k)
-        if len(ids) and chunk_rows.num_rows:
-            terms = _terms_of_block(question_rows, mean_length)
-            _add_scores(best, terms, chunk_rows["tokens"], identifiers(chunk_rows["chunk_id"]))
-        return pa.Table.from_batches([best.table(ids, out)])
+    def meet(chunk_rows: pa.Table, question_rows: pa.Table) -> pa.Table:
+        marked = [(m["scores"], m["chunks"]) if m else ((), ()) for m in question_rows["marks"].to_pylist()]
+        scores = TextScores(_terms_of_block(question_rows, mean_length), k, marked)
+        if marked:
+            scores.add(chunk_rows["tokens"], identifiers(chunk_rows["chunk_id"]))
+        return pa.Table.from_batches([scores.table(identifiers(question_rows["question_id"]), out)])
 
-    left, right = search.blocks()
+    left, right = search.blocks(marks)
     met = left.groupBy("block", "part").cogroup(right.groupBy("visited", "part"))
-    return keep_best(met.applyInArrow(score, schema), k)
+    return met.applyInArrow(meet, schema)
 
 
 def _pair_scores(search: _TextSearch, pairs: DataFrame) -> DataFrame:
@@ -196,73 +230,17 @@ def _pair_scores(search: _TextSearch, pairs: DataFrame) -> DataFrame:
     return joined.select("question_id", "chunk_id", "tokens", "terms", "weights").mapInArrow(score, schema)
 
 
-def _chunks_ahead(search: _TextSearch, scored_pairs: DataFrame) -> DataFrame:
-    """For each scored pair, how many chunks the text search ranks before it: `ahead`.
-
-    Each task only counts, so what is shuffled is one number per pair and task.
-    """
-    marks = scored_pairs.groupBy("question_id").agg(
-        F.sort_array(F.collect_list(F.struct("score", "chunk_id"))).alias("marks")
-    )
-    marks = marks.select(
-        "question_id", F.col("marks.score").alias("mark_scores"), F.col("marks.chunk_id").alias("mark_chunks")
-    )
-    schema = T.StructType(
-        [
-            T.StructField("question_id", search.question_type),
-            T.StructField("chunk_id", search.chunk_type),
-            T.StructField("ahead", T.LongType()),
-        ]
-    )
-    out, mean_length = arrow_schema(schema), search.mean_length
-
-    def count(terms: QuestionTerms, asked: list, token_column: pa.Array, chunks: np.ndarray, totals: list) -> None:
-        """Add to `totals`, which runs alongside `asked`: per question its (scores, chunk ids)."""
-        for start, scores in terms.score_tiles(token_column, len(asked)):
-            for i in range(len(scores)):
-                for j, (score, chunk) in enumerate(zip(*asked[start + i])):
-                    tied = np.nonzero(scores[i] == score)[0]
-                    totals[start + i][j] += int((scores[i] > score).sum()) + int((chunks[tied] < chunk).sum())
-
-    def result(ids: np.ndarray, asked: list, totals: list) -> pa.RecordBatch:
-        rows = [(q, c, t) for q, (_, cs), ts in zip(ids, asked, totals) for c, t in zip(cs, ts)]
-        columns = zip(*rows) if rows else ([], [], [])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), type=f.type) for c, f in zip(columns, out)], schema=out
+def _as_marks(scored_pairs: DataFrame) -> DataFrame:
+    """A question's scored pairs, at most k, as one row."""
+    pairs = F.sort_array(F.collect_list(F.struct("score", "chunk_id")))
+    return (
+        scored_pairs.groupBy("question_id")
+        .agg(pairs.alias("_pairs"))
+        .select(
+            "question_id",
+            F.struct(F.col("_pairs.score").alias("scores"), F.col("_pairs.chunk_id").alias("chunks")).alias("marks"),
         )
-
-    if search.fits:
-        shared = search.shared_terms
-        # As many rows as questions with terms, k marks each: bounded with them.
-        found = {r["question_id"]: (r["mark_scores"], r["mark_chunks"]) for r in marks.toArrow().to_pylist()}
-        known = search.spark.sparkContext.broadcast([found.get(q, ((), ())) for q in shared.value[0].tolist()])
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, *term_rows = shared.value
-            terms = QuestionTerms(*term_rows, mean_length)
-            asked = known.value
-            totals = [[0] * len(scores) for scores, _ in asked]
-            for batch in batches:
-                if batch.num_rows:
-                    count(terms, asked, batch.column(1), identifiers(batch.column(0)), totals)
-            yield result(ids.tolist(), asked, totals)
-
-        counted = search.tokens.mapInArrow(scan, schema)
-    else:
-
-        def score(chunk_rows: pa.Table, question_rows: pa.Table) -> pa.Table:
-            ids = question_rows["question_id"].to_pylist()
-            asked = list(zip(question_rows["mark_scores"].to_pylist(), question_rows["mark_chunks"].to_pylist()))
-            totals = [[0] * len(scores) for scores, _ in asked]
-            if ids and chunk_rows.num_rows:
-                terms = _terms_of_block(question_rows, mean_length)
-                count(terms, asked, chunk_rows["tokens"], identifiers(chunk_rows["chunk_id"]), totals)
-            return pa.Table.from_batches([result(ids, asked, totals)])
-
-        left, right = search.blocks(marks)
-        met = left.groupBy("block", "part").cogroup(right.groupBy("visited", "part"))
-        counted = met.applyInArrow(score, schema)
-    return counted.groupBy("question_id", "chunk_id").agg(F.sum("ahead").alias("ahead"))
+    )
 
 
 def topk_hybrid(
@@ -297,12 +275,13 @@ def topk_hybrid(
         broadcast_bytes=broadcast_bytes,
     ).select("question_id", "chunk_id", F.col("rank").alias("vector_rank"))
     by_vector = materialise(by_vector, "by_vector")
-    by_text = _best_texts(search, k).select("question_id", "chunk_id", F.col("rank").alias("text_rank"))
-    pairs = _pair_scores(search, by_vector.select("question_id", "chunk_id"))
-    ranked_pairs = _chunks_ahead(search, pairs).select(
-        "question_id", "chunk_id", (F.col("ahead") + 1).alias("counted_rank")
-    )
     key = ["question_id", "chunk_id"]
+    pairs = _pair_scores(search, by_vector.select(*key))
+    # Written, since both the best texts and the counts are read from the one pass.
+    found = materialise(_text_scores(search, k, _as_marks(pairs)), "text_scores")
+    best_texts = keep_best(found.filter("score is not null").drop("ahead"), k)
+    by_text = best_texts.select(*key, F.col("rank").alias("text_rank"))
+    ranked_pairs = found.filter("ahead is not null").groupBy(*key).agg((F.sum("ahead") + 1).alias("counted_rank"))
     counted = F.col("counted_rank")
     if text_recall is not None:
         counted = F.when(counted <= text_recall, counted)
