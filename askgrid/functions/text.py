@@ -98,7 +98,8 @@ def python_literal(text: Column) -> Column:
     ).otherwise(body)
     double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
     single_quoted = F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
-    return F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(single_quoted)
+    quoted = F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(single_quoted)
+    return F.coalesce(quoted, F.lit("None"))
 
 
 def python_list(texts: Column) -> Column:

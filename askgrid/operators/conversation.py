@@ -126,7 +126,8 @@ def answer_prompt(messages: DataFrame, instruction: str = fixed.ANSWER_INSTRUCTI
 
 def serialised_chunk(metadata_entries: Column, text: Column) -> Column:
     """One retrieved chunk as it appears in a tool message."""
-    return F.concat(F.lit("Source: "), python_dict(metadata_entries), F.lit("\nContent: "), text)
+    shown = F.coalesce(python_dict(metadata_entries), F.lit("{}"))
+    return F.concat(F.lit("Source: "), shown, F.lit("\nContent: "), F.coalesce(text, F.lit("")))
 
 
 def contexts(found: DataFrame) -> DataFrame:

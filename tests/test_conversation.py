@@ -105,6 +105,8 @@ def test_contexts(spark):
     assert row["serialised"] == (
         "Source: {'title': 'a.pdf'}\nContent: first\n\nSource: {'title': 'b.pdf'}\nContent: second"
     )
+    bare = df.select("question_id", "rank", "title", "chunk").selectExpr("*", "cast(null as map<string, string>) as metadata")
+    assert conversation.contexts(bare).first()["serialised"].startswith("Source: {}\nContent: first")
     assert [tuple(d) for d in row["documents"]] == [("a.pdf", "first"), ("b.pdf", "second")]
 
 

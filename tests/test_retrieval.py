@@ -210,11 +210,15 @@ def test_embedding_is_unit_length_and_uses_the_client(spark):
     assert sorted(r["v"] for r in own.collect()) == [[0.0], [0.0], [5.0]]
 
 
-def test_retrieved_texts_come_with_their_rank(spark, texts):
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_retrieved_texts_come_with_their_rank(spark, texts, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(rag, "FOUND_ROWS_TO_BROADCAST", broadcast_rows)
     q, c = text_tables(spark, *texts)
     c = c.withColumns({"title": F.concat(F.lit("t"), "chunk_id"), "metadata": F.create_map(F.lit("a"), F.lit("b"))})
     for search in ("vector", "hybrid"):
-        for r in rag.retrieve(q, c, 3, search).collect():
+        found = rag.retrieve(q, c, 3, search).collect()
+        assert len(found) == 3 * len(texts[0])
+        for r in found:
             assert r["title"] == f"t{r['chunk_id']}" and r["chunk"] == texts[1][r["chunk_id"]]
     with pytest.raises(ValueError):
         rag.retrieve(q, c, 3, "random")

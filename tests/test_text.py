@@ -63,15 +63,15 @@ def test_strict_score_shows_the_reply(values):
 
 
 def test_python_literal(values):
-    inputs = ["a", "it's", 'say "x"', "both ' and \"", "line\nbreak\t\\", " ​\x07", "é ü", "", "\U000e0001"]
+    inputs = ["a", "it's", 'say "x"', "both ' and \"", "line\nbreak\t\\", " ​\x07", "é ü", "", "\U000e0001", None]
     assert values(text.python_literal, inputs) == [repr(i) for i in inputs]
 
 
 def test_python_list_and_dict(spark):
-    df = spark.createDataFrame([(["a", "it's"], {"title": "x.pdf", "n": "1"})], "l ARRAY<STRING>, m MAP<STRING, STRING>")
+    df = spark.createDataFrame([(["a", "it's", None], {"title": "x.pdf", "n": None})], "l ARRAY<STRING>, m MAP<STRING, STRING>")
     row = df.select(text.python_list(F.col("l")), text.python_dict(F.map_entries("m"))).first()
-    assert row[0] == str(["a", "it's"])
-    assert row[1] in (str({"title": "x.pdf", "n": "1"}), str({"n": "1", "title": "x.pdf"}))
+    assert row[0] == str(["a", "it's", None])
+    assert row[1] in (str({"title": "x.pdf", "n": None}), str({"n": None, "title": "x.pdf"}))
 
 
 def test_tokens(values):
