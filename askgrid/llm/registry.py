@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askgrid.llm import fingerprints, sharding, url_filters
+from askgrid.llm import byte_bpe, fingerprints, sharding, url_filters
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_sharding": sharding.op4_sharding,
+        "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op9_fingerprints": fingerprints.op9_fingerprints,
     }
 
