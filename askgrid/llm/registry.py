@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askgrid.llm import byte_bpe, fingerprints, sharding, url_filters
+from askgrid.llm import byte_bpe, fingerprints, quality, sharding, url_filters
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": sharding.op4_sharding,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op9_fingerprints": fingerprints.op9_fingerprints,
+        "op10_quality": quality.op10_quality,
     }
 
 
