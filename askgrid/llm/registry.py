@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askgrid.llm import byte_bpe, fingerprints, quality, sharding, url_filters
+from askgrid.llm import byte_bpe, fingerprints, html_text, quality, sharding, url_filters
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_text": html_text.op2_html_text,
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_sharding": sharding.op4_sharding,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
