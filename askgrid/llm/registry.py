@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askgrid.llm import byte_bpe, fingerprints, html_text, quality, sharding, url_filters
+from askgrid.llm import (
+    byte_bpe,
+    decontamination,
+    fingerprints,
+    html_text,
+    quality,
+    sharding,
+    url_filters,
+)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +23,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_sharding": sharding.op4_sharding,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_quality": quality.op10_quality,
     }
