@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgrid.session import materialise
+from askgrid.llm.ranges import with_range
 
 SHORTEST, NORMAL, LONGEST = 16, 64, 256
 HARD_BITS, EASY_BITS = 7, 5
@@ -116,23 +116,33 @@ _NAMES = [
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one sorted partition, each with the row after it. The first and last also go on as
-    they are (ends 1 and 2), since their neighbours are in other partitions."""
+    """Rows that are followed by another one in their range, each compared with that one."""
     table, previous = _gear_table(), None
     for batch in batches:
         out = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            doc_id = None if pd.isna(doc_id) else doc_id
+        for place, doc_id, text in batch[["_range", "doc_id", "text"]].itertuples(index=False):
             text = text or ""
             chunks = chunk_set(text, table)
-            if previous is None:
-                out.append((doc_id, *[None] * 6, 1, text))
-            else:
-                out.append((*_row(*previous, text, chunks, table), 0, None))
-            previous = (doc_id, text, chunks)
-        yield _frame(out, [*_NAMES, "part_end", "text"])
+            if previous is not None and previous[0] == place:
+                out.append(_row(*previous[1:], text, chunks, table))
+            previous = (place, None if pd.isna(doc_id) else doc_id, text, chunks)
+        yield _frame(out, _NAMES)
+
+
+def _range_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First (1) and last (2) row of each range, whose neighbours are in other ranges."""
+    previous, names = None, ["_range", "doc_id", "text", "part_end"]
+    for batch in batches:
+        out = []
+        for place, doc_id, text in batch[["_range", "doc_id", "text"]].itertuples(index=False):
+            row = (place, None if pd.isna(doc_id) else doc_id, text or "")
+            if previous is None or previous[0] != place:
+                out += [] if previous is None else [(*previous, 2)]
+                out.append((*row, 1))
+            previous = row
+        yield _frame(out, names)
     if previous is not None:
-        yield _frame([(previous[0], *[None] * 6, 2, previous[1])], [*_NAMES, "part_end", "text"])
+        yield _frame([(*previous, 2)], names)
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,23 +170,25 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     count as empty. Rows with equal ids follow each other in order of their texts; null ids come
     first. A single document is its own neighbour. Empty table: empty result.
 
-    Texts are shuffled once, into ranges of ids. Each task reads its range in order, holding two
-    texts at a time; only the first and last text of each range meet in one small table.
+    Texts are shuffled once, into ranges of ids. Each task reads its ranges in order, holding two
+    texts at a time; only the first and last text of each range meet in one small table. Ids have to
+    be numbers.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = _RESULT.format(id=kind)
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    found = materialise(ordered.mapInPandas(_neighbours, schema + ", part_end int, text string"), "neighbours")
+    rows = with_range(docs.select("doc_id", "text"), "doc_id", "_range")
+    ordered = rows.repartitionByRange("_range").sortWithinPartitions("_range", "doc_id", "text")
+    inside = ordered.mapInPandas(_neighbours, schema)
 
-    # Two rows per partition, whatever the number of documents.
-    ends = found.where("part_end > 0").select("doc_id", "part_end", "text")
-    order = Window.orderBy("doc_id", "part_end")
+    # Two rows per range, whatever the number of documents.
+    ends = ordered.mapInPandas(_range_ends, f"_range int, doc_id {kind}, text string, part_end int")
+    order = Window.orderBy("_range", "part_end")
     following = F.coalesce(
         F.lead("text").over(order),
         F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     )
     last = ends.withColumn("following", following).where("part_end = 2").select("doc_id", "text", "following")
-    return found.where("part_end = 0").select(*_NAMES).union(last.mapInPandas(_pairs, schema))
+    return inside.union(last.mapInPandas(_pairs, schema))
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askgrid.llm.ranges import below
 from askgrid.session import materialise
 
 OVERHEAD = 16
@@ -60,15 +61,9 @@ def _ranged(rows: DataFrame, boundaries: DataFrame, most: int) -> DataFrame:
     array = boundaries.select(
         F.sort_array(F.collect_list(_position(F.col("key"), F.col("id")))).alias("all")
     )
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(most.bit_length()))])
     placed = rows.withColumn("_boundaries", array.scalar())
     here = _position(F.col("key"), F.col("id"))
-
-    def step(low: Column, width: Column) -> Column:
-        there = F.get(F.col("_boundaries"), low + width - 1)
-        return F.when(there.isNotNull() & (there <= here), low + width).otherwise(low)
-
-    return placed.withColumn("range", F.aggregate(steps, F.lit(0), step)).drop("_boundaries")
+    return placed.withColumn("range", below(F.col("_boundaries"), here, most)).drop("_boundaries")
 
 
 def assign_shards(
