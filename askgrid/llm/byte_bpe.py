@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askgrid.llm.words import stretches
+
 #: No pair: above any rank.
 NONE = np.int32(2**31 - 1)
 #: Upper lengths of the matrices; longer pieces go through a heap instead, in n log n.
 LENGTHS = (2, 4, 6, 8, 10, 12, 16, 24, 32, 64, 128, 256)
 CELLS = 1 << 20
 #: Distinct words whose ids a task keeps.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 _CHUNKS = r"\s*\S+|\s+"
 #: White space to Python's `re`, but not to the patterns of vocabularies.
 _SEPARATORS = r"[\x1c-\x1f]"
@@ -268,19 +270,6 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(counts)])[per_text]
 
 
-def _pieces_of(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in stretches of about `most` bytes of text, however long single texts are."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for i, size in enumerate(sizes):
-        held += int(size)
-        if held >= most:
-            yield batch.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 def encode(df: DataFrame, vocabulary: Vocabulary, column: str = "text", to: str = "ids") -> DataFrame:
     """Add the ids of the whole text in `column` as array<int> `to`, without special tokens.
 
@@ -294,7 +283,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, column: str = "text", to: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for whole in batches:
-            for batch in _pieces_of(whole, column, 4 << 20):
+            for batch in stretches(whole, column, 1 << 20):
                 ids, ends = encoder.encode([t or "" for t in batch.column(column).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, to])
