@@ -13,12 +13,14 @@ from askgrid.llm import (
     html_text,
     quality,
     sharding,
+    substrings,
     url_filters,
 )
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substrings": substrings.op1_substrings,
         "op2_html_text": html_text.op2_html_text,
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_sharding": sharding.op4_sharding,
