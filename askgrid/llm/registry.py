@@ -14,6 +14,7 @@ from askgrid.llm import (
     quality,
     sharding,
     substrings,
+    suffix_tree,
     url_filters,
 )
 
@@ -25,6 +26,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_sharding": sharding.op4_sharding,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+        "op7_suffix_tree": suffix_tree.op7_suffix_tree,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_quality": quality.op10_quality,
