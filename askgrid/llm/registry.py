@@ -11,6 +11,7 @@ from askgrid.llm import (
     decontamination,
     fingerprints,
     html_text,
+    jaccard,
     quality,
     sharding,
     substrings,
@@ -25,6 +26,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_text": html_text.op2_html_text,
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_sharding": sharding.op4_sharding,
+        "op5_jaccard": jaccard.op5_jaccard,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_suffix_tree": suffix_tree.op7_suffix_tree,
         "op8_decontamination": decontamination.op8_decontamination,
