@@ -29,8 +29,8 @@ def with_block(docs: DataFrame, block_bytes: int, to: str = "block") -> DataFram
     )
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """`df` with its column `text` replaced by `packed`, the text compressed (null: empty)."""
+def packed(df: DataFrame, to: str = "packed") -> DataFrame:
+    """`df` with its column `text` replaced by `to`, the text compressed (null: empty)."""
     kept = df.drop("text")
     names = kept.columns
 
@@ -39,9 +39,9 @@ def packed(df: DataFrame) -> DataFrame:
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
             column = pa.array([pack(t) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], column], [*names, "packed"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], column], [*names, to])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("packed", T.BinaryType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField(to, T.BinaryType())])
     return df.mapInArrow(run, schema)
 
 

@@ -26,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from askgrid.llm.blocks import packed, unpacked, with_block
 from askgrid.llm.words import MULTIPLIER, WordHashes, mixed, split_words, stretches, whole_windows, windows
 from askgrid.session import materialise
 
@@ -128,13 +128,13 @@ def _anchors(rows: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _units(
-    texts: list[str], anchors: np.ndarray, boundary: np.ndarray, window: int, anchor: int
+    texts: list[bytes], anchors: np.ndarray, boundary: np.ndarray, window: int, anchor: int
 ) -> tuple[np.ndarray, ...]:
     """Units of a block's texts that have a repeated anchor: two keys, first window, number of windows.
 
     `anchors` are sorted; `boundary` says which of them have different contexts.
     """
-    cut = [split_words(t) for t in texts]
+    cut = [t.split() for t in texts]
     counts = np.array([len(c) for c in cut], np.int64)
     hashes = WordHashes().of([w for c in cut for w in c])
     found, first, last, place = _anchored(hashes, counts, window, anchor)
@@ -157,10 +157,13 @@ def _block_units(window: int, anchor: int):
     """For each block: the first of each unit (kind 0), and stretches that are duplicates of it (1)."""
 
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
-        docs = docs.group_by(["id", "tie"]).aggregate([("packed", "min")]).sort_by([("id", "ascending"), ("tie", "ascending")])
-        ids, ties = docs["id"].to_numpy(), docs["tie"].to_numpy()
-        unpack = zstandard.ZstdDecompressor().decompress
-        texts = [unpack(p).decode("utf-8", "surrogatepass") for p in docs["packed_min"].to_pylist()]
+        if not docs.num_rows:
+            return _unit_table(*[np.zeros(0, np.int64)] * 8)
+        block = docs["_block"][0].as_py()
+        docs = docs.group_by(["_id", "_tie"]).aggregate([("_packed", "min")])
+        docs = docs.sort_by([("_id", "ascending"), ("_tie", "ascending")])
+        ids, ties = docs["_id"].to_numpy(), docs["_tie"].to_numpy()
+        texts = unpacked(docs["_packed_min"])
         keys = anchors["anchor"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
         one, two, begin, number, starts = _units(
@@ -176,21 +179,35 @@ def _block_units(window: int, anchor: int):
         number = np.concatenate([number[first], length])
         zeros = np.zeros(len(from_), np.uint64)
         doc = np.searchsorted(starts, begin, "right") - 1
-        return pa.table(
-            {
-                "kind": pa.array(np.repeat([0, 1], [int(first.sum()), len(from_)]).astype(np.int32)),
-                "one": _signed(np.concatenate([one[first], zeros])),
-                "two": _signed(np.concatenate([two[first], zeros])),
-                "id": pa.array(ids[doc]),
-                "tie": pa.array(ties[doc]),
-                "first": pa.array((begin - starts[doc]).astype(np.int32)),
-                "number": pa.array(number.astype(np.int32)),
-            }
+        return _unit_table(
+            np.repeat([0, 1], [int(first.sum()), len(from_)]),
+            np.full(len(begin), block),
+            np.concatenate([one[first], zeros]),
+            np.concatenate([two[first], zeros]),
+            ids[doc],
+            ties[doc],
+            begin - starts[doc],
+            number,
         )
 
     return run
 
 
+def _unit_table(kind, block, one, two, id_, tie, first, number) -> pa.Table:
+    return pa.table(
+        {
+            "kind": pa.array(kind.astype(np.int32)),
+            "block": pa.array(block.astype(np.int64)),
+            "one": _signed(one.astype(np.uint64)),
+            "two": _signed(two.astype(np.uint64)),
+            "id": pa.array(id_),
+            "tie": pa.array(tie),
+            "first": pa.array(first.astype(np.int32)),
+            "number": pa.array(number.astype(np.int32)),
+        }
+    )
+
+
 def _merged(begin: np.ndarray, number: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretches of windows that follow on each other within a text, as one each."""
     order = np.argsort(begin)
@@ -212,10 +229,10 @@ def _without(window: int, schema: pa.Schema):
         of_doc: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for id_, tie, first, number in zip(*columns, strict=True):
             of_doc.setdefault((id_, tie), []).append((first, first + number - 1 + window))
-        unpack = zstandard.ZstdDecompressor().decompress
         total, removed, kept = [], [], []
-        for id_, tie, packed in zip(docs["id"].to_pylist(), docs["tie"].to_pylist(), docs["packed"].to_pylist(), strict=True):
-            words = unpack(packed).split()
+        texts = unpacked(docs["_packed"])
+        for id_, tie, text in zip(docs["_id"].to_pylist(), docs["_tie"].to_pylist(), texts, strict=True):
+            words = text.split()
             total.append(len(words))
             gone = 0
             if (id_, tie) in of_doc:
@@ -227,61 +244,44 @@ def _without(window: int, schema: pa.Schema):
                 words = rest + words[at:]
             removed.append(gone)
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        docs = docs.drop_columns(["block", "id", "tie", "packed"])
-        for name, values, kind in (("n_words", total, pa.int64()), ("n_removed", removed, pa.int64()), ("kept", kept, pa.string())):
-            docs = docs.append_column(name, pa.array(values, kind))
+        if "text" in schema.names:
+            docs = docs.append_column("text", pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string()))
+        docs = docs.append_column("n_words", pa.array(total, pa.int64()))
+        docs = docs.append_column("n_removed", pa.array(removed, pa.int64()))
+        docs = docs.append_column("kept", pa.array(kept, pa.string()))
         return docs.select(schema.names).cast(schema)
 
     return run
 
 
-def _packed(df: DataFrame) -> DataFrame:
-    """The texts compressed, for the way through the shuffle."""
-    kept = df.drop("text")
-    names = kept.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
-        for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
-            packed = pa.array([pack(t) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], packed], [*names, "packed"])
-
-    schema = T.StructType([*kept.schema.fields, T.StructField("packed", T.BinaryType())])
-    return df.mapInArrow(run, schema)
-
-
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    window: int = WINDOW,
+    anchor: int = ANCHOR,
+    block_bytes: int = BLOCK_BYTES,
+    keep_text: bool = False,
 ) -> DataFrame:
     """Add n_words, n_removed and kept (the words that stay, joined by one space) to `docs`.
 
-    `docs` has doc_id (a number), text and any other columns, which pass through; only the names
-    block, id, tie, packed, n_words, n_removed and kept are replaced if there. A word goes if a window of
+    `docs` has doc_id (a number), text and any other columns, which pass through; columns that are
+    called like the three added ones, or `_block`, `_id`, `_tie` or `_packed`, are replaced. The text itself
+    passes through only with `keep_text` (a null text then comes back empty). A word goes if a window of
     `window` words around it also starts earlier in the corpus as it was given.
 
     Null and empty texts have no words. A null id comes before all others. Rows with equal ids and
     different texts are ordered by a hash of the text; rows equal in both count as one document, and
     each gets its result. Texts shorter than a window stay whole. Empty table: empty result.
     """
-    added = {"n_words", "n_removed", "kept", "block", "id", "tie", "packed"}
-    docs = docs.drop(*added)
-    extent = docs.agg(
-        F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-    ).first()
-    low = extent["low"] or 0
-    blocks = max(1, -(-(extent["bytes"] or 0) // block_bytes))
-    ids_per_block = max(1, -(-((extent["high"] or 0) - low + 1) // blocks))
-    rows = docs.withColumns(
+    docs = docs.drop("n_words", "n_removed", "kept", "_block", "_id", "_tie", "_packed")
+    rows = with_block(docs, block_bytes, "_block").withColumns(
         {
-            "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-            "tie": F.xxhash64(F.coalesce("text", F.lit(""))),
-            "block": F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(ids_per_block)), F.lit(-1)).cast("long"),
+            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
+            "_tie": F.xxhash64(F.coalesce("text", F.lit(""))),
         }
     )
 
     everywhere = Window.partitionBy("anchor")
-    indexed = _anchors(rows, window, anchor).withColumns(
+    indexed = _anchors(rows.select(F.col("_block").alias("block"), "text"), window, anchor).withColumns(
         {
             "blocks": F.count("*").over(everywhere),
             "least": F.min("context").over(everywhere),
@@ -292,12 +292,12 @@ def remove_repeats(
         "block", "anchor", ((F.col("least") != F.col("most")) | (F.col("least") < 0)).alias("boundary")
     )
     units = (
-        _packed(rows.select("block", "id", "tie", "text"))
-        .groupBy("block")
+        packed(rows.select("_block", "_id", "_tie", "text"), "_packed")
+        .groupBy("_block")
         .cogroup(repeated.groupBy("block"))
         .applyInArrow(
             _block_units(window, anchor),
-            "kind int, one long, two long, id long, tie long, first int, number int",
+            "kind int, block long, one long, two long, id long, tie long, first int, number int",
         )
     )
     units = materialise(units, "units")
@@ -307,14 +307,11 @@ def remove_repeats(
         units.where("kind = 0")
         .withColumn("source", F.min(place).over(order))
         .where(F.col("source") != place)
-        .select("id", "tie", "first", "number")
-        .union(units.where("kind = 1").select("id", "tie", "first", "number"))
-    )
-    block = F.when(F.col("id") == F.lit(-(1 << 63)), F.lit(-1)).otherwise(
-        F.floor((F.col("id") - F.lit(low)) / F.lit(ids_per_block))
+        .drop("source")
+        .union(units.where("kind = 1"))
     )
-    spans = duplicates.withColumn("block", block.cast("long"))
-    fields = [f for f in docs.schema.fields if f.name != "text"]
+    spans = duplicates.select("block", "id", "tie", "first", "number")
+    fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     result = T.StructType(
         [
             *fields,
@@ -323,11 +320,9 @@ def remove_repeats(
             T.StructField("kept", T.StringType()),
         ]
     )
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     return (
-        _packed(rows)
-        .groupBy("block")
+        packed(rows, "_packed")
+        .groupBy("_block")
         .cogroup(spans.groupBy("block"))
         .applyInArrow(_without(window, to_arrow_schema(result)), result)
     )

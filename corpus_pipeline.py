@@ -19,11 +19,19 @@ ORACLE_SQL = None
 SHINGLE, SIMILARITY = 5, 80
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that `docs` doesn't have."""
+    name = f"_{name}"
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts, as they are."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_quality(docs, model, to="_quality")
-    return scored.where("_quality >= 0.5").drop("_quality")
+    score = _free("quality", docs)
+    return quality.score_quality(docs, model, to=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +47,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     repeated = materialise(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     single = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
     several = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
-    return single.union(several.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row"))
+    row = _free("row", docs)
+    return single.union(several.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).drop(row))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +57,20 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A text that loses nothing stays as it is; one that loses words keeps the others, joined by blanks;
     one that loses all goes. n_chars is that of the new text.
     """
-    cut = substrings.remove_repeats(docs.withColumn("_text", F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_text"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carried = docs.select("doc_id", "text", F.struct("doc_id", *others).alias("others"))
+    cut = substrings.remove_repeats(carried, keep_text=True)
     cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    changed = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    cut = cut.withColumns({"text": text, "n_chars": changed.cast(docs.schema["n_chars"].dataType)})
-    return cut.select(*docs.columns)
+    lost = F.col("n_removed") > 0
+    new = {
+        "doc_id": F.col("doc_id"),
+        "text": F.when(lost, F.col("kept")).otherwise(F.col("text")),
+        **{c: F.col("others")[c] for c in others},
+    }
+    if "n_chars" in others:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(lost, F.length("kept").cast(kind)).otherwise(new["n_chars"])
+    return cut.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +78,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     Texts are told apart by their digest, so rows without an id are judged like all others.
     """
-    keyed = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    leaks = decontamination.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_digest")
-    leaks = materialise(leaks.select("_digest").distinct(), "leaks")
-    return keyed.join(leaks, "_digest", "left_anti").select(*docs.columns)
+    digest = _free("digest", docs)
+    keyed = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    leaks = decontamination.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=digest)
+    leaks = materialise(leaks.select(digest).distinct(), "leaks")
+    return keyed.join(leaks, digest, "left_anti").select(*docs.columns)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
