@@ -6,6 +6,9 @@ both sizes per byte says which dictionary knows the text better. A logistic mode
 probability, together with the size per byte under the good dictionary, the size per byte of the
 whole text without one (very repetitive text needs little under either) and the text's length.
 
+A text that a dictionary was made from would be known to it word for word. So there are two pairs of
+dictionaries, from texts told apart by a hash of the text, and the pair that knows a text less decides.
+
 Model size is bounded: `DICTIONARY_ROWS` stretches of text per dictionary, `FIT_ROWS` labelled rows to
 fit the logistic model. Both are drawn by a hash of the id, from disjoint rows.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 
 from askgrid.session import materialise
 
-DICTIONARY_ROWS = 256
+DICTIONARY_ROWS = 1024
 STRETCH = 2048
 FIT_ROWS = 20_000
 BLOCK = 1024
@@ -37,8 +40,8 @@ _FEATURES = 4
 class QualityModel:
     """Dictionaries and the logistic model. `weights` is None if there was nothing to tell apart."""
 
-    good: bytes
-    bad: bytes
+    good: list[bytes]
+    bad: list[bytes]
     low: np.ndarray
     high: np.ndarray
     mean: np.ndarray
@@ -68,26 +71,30 @@ def _design(x: np.ndarray) -> np.ndarray:
 class _Sizes:
     """Compressed sizes of a text."""
 
-    def __init__(self, good: bytes, bad: bytes):
-        self.compressors = []
-        for content in (good, bad):
-            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            known.precompute_compress(LEVEL)
-            self.compressors.append(
-                zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False)
-            )
+    def __init__(self, good: list[bytes], bad: list[bytes]):
+        self.pairs = []
+        for pair in zip(good, bad, strict=True):
+            both = []
+            for content in pair:
+                known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                known.precompute_compress(LEVEL)
+                compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False)
+                both.append(compressor.compress)
+            self.pairs.append(both)
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         rows = np.zeros((len(texts), _FEATURES))
-        good, bad = (c.compress for c in self.compressors)
         for i, text in enumerate(texts):
             data = (text or "").encode("utf-8", "surrogatepass")
             if not data:
                 continue
             blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
-            by_good = sum([len(good(b)) for b in blocks])
-            by_bad = sum([len(bad(b)) for b in blocks])
+            sizes = [
+                (sum([len(good(b)) for b in blocks]), sum([len(bad(b)) for b in blocks]))
+                for good, bad in self.pairs
+            ]
+            by_good, by_bad = max(sizes, key=sum)
             size = len(data)
             rows[i] = (
                 (by_bad - by_good) / size, by_good / size, len(self.plain.compress(data)) / size, np.log(size),
@@ -137,23 +144,30 @@ def fit_quality(
     start = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), room) + 1
     stretches = (
         rows.where("use = 'dictionary'")
-        .select("quality", "draw", F.substring("text", start.cast("int"), F.lit(STRETCH)).alias("stretch"))
-        .groupBy("quality", "draw")
+        .select(
+            "quality",
+            "draw",
+            F.pmod(F.xxhash64("text"), F.lit(2)).alias("pair"),
+            F.substring("text", start.cast("int"), F.lit(STRETCH)).alias("stretch"),
+        )
+        .groupBy("quality", "draw", "pair")
         .agg(F.min("stretch").alias("stretch"))
-        .orderBy("draw")
+        .orderBy("draw", "pair")
         .collect()
     )
-    good, bad = (
-        "\n".join([r["stretch"] for r in stretches if r["quality"] == q]).encode("utf-8", "surrogatepass")
-        for q in (1, 0)
-    )
-    features = _measured(rows.where("use = 'fit'"), good, bad).collect()
+    def joined(quality: int, pairs: tuple[int, ...]) -> bytes:
+        chosen = [r["stretch"] for r in stretches if r["quality"] == quality and r["pair"] in pairs]
+        return "\n".join(chosen).encode("utf-8", "surrogatepass")
+
+    # All texts of a label may be one and the same; then both pairs have it.
+    good, bad = ([joined(q, (pair,)) or joined(q, (0, 1)) for pair in (0, 1)] for q in (1, 0))
+    features = _measured(rows.where("use = 'fit'"), good, bad).collect() if good[0] and bad[0] else []
     y = np.array([r["quality"] for r in features], float)
     x = np.array([r["features"] for r in features], float).reshape(-1, _FEATURES)
     base = float(y.mean()) if len(y) else 0.5
-    if not good or not bad or not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         none = np.zeros(0)
-        return QualityModel(good, bad, none, none, none, none, None, base)
+        return QualityModel([], [], none, none, none, none, None, base)
     low, high = x.min(axis=0), x.max(axis=0)
     design = _design(x)
     mean, spread = design.mean(axis=0), design.std(axis=0) + 1e-9
@@ -162,7 +176,7 @@ def fit_quality(
     return QualityModel(good, bad, low, high, mean, spread, weights, base)
 
 
-def _measured(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
+def _measured(rows: DataFrame, good: list[bytes], bad: list[bytes]) -> DataFrame:
     """quality and features of labelled rows; their number is bounded by `fit_rows`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,10 +225,12 @@ def score_quality(df: DataFrame, model: QualityModel, column: str = "text", to:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        sizes = _Sizes(shared.value.good, shared.value.bad)
+        model = shared.value
+        sizes = _Sizes(model.good, model.bad)
         for batch in batches:
-            features = sizes.features(batch.column(column).to_pylist())
-            scores = pa.array(shared.value.probabilities(features), pa.float64())
+            texts = batch.column(column).to_pylist()
+            features = sizes.features(texts) if model.weights is not None else np.zeros((len(texts), _FEATURES))
+            scores = pa.array(model.probabilities(features), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, to])
 
     schema = T.StructType([*kept.schema.fields, T.StructField(to, T.DoubleType())])
