@@ -35,3 +35,23 @@ def with_range(df: DataFrame, column: str, to: str) -> DataFrame:
     if not bounds:
         return df.withColumn(to, F.lit(0))
     return df.withColumn(to, below(F.lit(bounds), F.col(column), len(bounds)))
+
+
+def with_sampled_range(df: DataFrame, key: Column, to: str, draws: int = 16) -> DataFrame:
+    """Add the number of a row's range in the order of a text as `to`.
+
+    Bounds are quantiles of a sample of about `draws` keys per range, drawn by hash and cut to 256
+    characters; they go to the rows as a literal. They decide only how evenly the ranges come out.
+    """
+    ranges = PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scale = 1 << 30
+    rows = df.count()
+    below_ = scale if rows <= ranges * draws else scale * ranges * draws // rows
+    drawn = df.select(F.substring(key, 1, 256).alias("key")).where(
+        F.pmod(F.xxhash64("key"), F.lit(scale)) < below_
+    )
+    sample = sorted(r["key"] for r in drawn.distinct().collect() if r["key"] is not None)
+    bounds = sample[draws::draws]
+    if not bounds:
+        return df.withColumn(to, F.lit(0))
+    return df.withColumn(to, below(F.lit(bounds), key, len(bounds)))
