@@ -23,13 +23,13 @@ def format_sources(answers: DataFrame, url_table: DataFrame, key: Sequence[str])
     adaptive skew join; the URL side has one row per name. What is collected per answer is no
     more than the array its row held before.
     """
-    names = answers.select(*key, F.posexplode_outer(F.array_distinct("source_names")).alias("pos", "file_name"))
+    names = answers.select(*key, F.posexplode(F.array_distinct("source_names")).alias("pos", "file_name"))
     urls = first_urls(url_table).select("file_name", "file_url", F.lit(True).alias("known"))
     link = F.when(
         F.col("known"),
         F.concat(F.lit("["), "file_name", F.lit("]("), F.coalesce("file_url", F.lit("nan")), F.lit(")")),
     ).otherwise(F.col("file_name"))
-    present = F.when(F.col("pos").isNotNull(), F.struct("pos", link.alias("link")))
+    present = F.struct("pos", link.alias("link"))
     links = F.transform(F.col("_links"), lambda x: x["link"])
     others = F.transform(F.slice(links, 2, F.greatest(F.size(links), F.lit(1))), lambda x: F.concat(F.lit("- "), x))
     block = F.concat(
@@ -39,9 +39,16 @@ def format_sources(answers: DataFrame, url_table: DataFrame, key: Sequence[str])
             F.lit("")
         ),
     )
+    # Only names meet URLs: answers without a source, and null names, would all have one key.
+    linked = names.filter(F.col("file_name").isNotNull()).join(urls, "file_name", "left")
+    linked = linked.select(*key, present.alias("present"))
+    unnamed = names.filter(F.col("file_name").isNull()).select(
+        *key, F.struct("pos", F.lit(None).cast("string").alias("link")).alias("present")
+    )
+    every = answers.select(*key, F.lit(None).cast("struct<pos: int, link: string>").alias("present"))
     return (
-        names.join(urls, "file_name", "left")
+        every.union(unnamed).union(linked)
         .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(present)).alias("_links"))
+        .agg(F.sort_array(F.collect_list("present")).alias("_links"))
         .select(*key, F.when(F.size("_links") > 0, block).alias("sources"))
     )

@@ -16,16 +16,9 @@ def _filled(df: DataFrame, columns: Sequence[str]) -> set[str]:
     return {c for c in columns if row[c]}
 
 
-def drop_empty_columns(df: DataFrame, first_look: int = 1000) -> DataFrame:
-    """Leave out the columns that are null in every row.
-
-    A value in the first rows settles that a column stays. Only columns without one there are
-    read in full, in one pass that yields one row, so wide text columns are not scanned.
-    """
-    filled = _filled(df.limit(first_look), df.columns)
-    doubtful = [c for c in df.columns if c not in filled]
-    if doubtful:
-        filled |= _filled(df, doubtful)
+def drop_empty_columns(df: DataFrame) -> DataFrame:
+    """Leave out the columns that are null in every row, which one pass over all of them tells."""
+    filled = _filled(df, df.columns)
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c in filled))
 
 

@@ -146,12 +146,12 @@ def _in_facets(results: DataFrame, facets: Mapping[str, Sequence[str]]) -> DataF
 def correctness_histogram(
     results: DataFrame,
     facets: Mapping[str, Sequence[str]] = fixed.HISTOGRAM_FACETS,
-    integer_values: bool = True,
+    integer_values: bool = False,
 ) -> DataFrame:
     """Histogram of correctness per facet in percent, with automatically chosen equal-width bins.
 
     The bin width is the smaller of Sturges' and the Freedman-Diaconis width, the latter at
-    least half the square-root rule's; whole-number scores get bins no narrower than 1. Rows
+    least half the square-root rule's; with `integer_values` bins are no narrower than 1. Rows
     are first counted per (facet, score). All later steps, quartiles included, work on those
     few counts. Only non-empty bins come out, as do only facets with rows.
     """

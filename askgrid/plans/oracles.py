@@ -82,7 +82,7 @@ select question_type, document_type, model, {_ERROR}, {_ORDERS} from results gro
          quantile_cont(correctness, 0.75) - quantile_cont(correctness, 0.25) as iqr
   from results group by all
 ), widths as (
-  select *, greatest(1.0, least(greatest(2.0 * iqr / pow(n, 1.0 / 3.0), span / sqrt(n) / 2), span / (log2(n) + 1))) as width
+  select *, least(greatest(2.0 * iqr / pow(n, 1.0 / 3.0), span / sqrt(n) / 2), span / (log2(n) + 1)) as width
   from spans
 ), bins as (
   select *, cast(case when span = 0 then 1 else ceil(span / width) end as integer) as bins from widths
@@ -106,7 +106,7 @@ select d.doc_id as row_id, case when d.doc_id % 2 = 0 then 'model_a' else 'model
        cast(1 + d.n_chars % 10 as integer) as correctness,
        cast(case when d.doc_id % 2 = 0 then null when d.doc_id % 4 = 0 then 0 else 1 + d.doc_id % 7 end as integer)
          as groundedness
-from documents d join labels l on d.doc_id = l.doc_id""",
+from documents d left join labels l on d.doc_id = l.doc_id""",
 }
 
 DOCUMENTS = {
@@ -337,12 +337,13 @@ select m.thread_id, m.turn, b.sources from messages m left join blocks b on m.th
 # --- scores --------------------------------------------------------------------------------
 ANSWERS = """
 answers as (
-  select u.conv_id, u.turn, u.text as question, a.text as answer, coalesce(d.text, '') as true_answer,
+  select u.conv_id, u.turn, u.text as question, coalesce(a.text, '') as answer, coalesce(d.text, '') as true_answer,
          coalesce(d.source, 'none') as file, d.source, l.quality,
          case when l.quality is null then [] else string_split(d.text, chr(10)) end as retrieved_contents
-  from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
+  from conversations u
+  left join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
   left join documents d on d.doc_id = u.conv_id left join labels l on l.doc_id = u.conv_id
-  where u.role = 'user' and a.role = 'assistant'
+  where u.role = 'user'
 )"""
 
 
@@ -410,7 +411,7 @@ select retrieved, count(*) as answers, cast(sum(correctness) as bigint) as corre
        count(*) filter (document_match) as matches
 from measured group by retrieved""",
     "eval_export": f"""with {SCORED}
-select conv_id, turn, question, answer, correctness, retrieval, groundedness, document_match,
+select conv_id, turn, question, nullif(answer, '') as answer, correctness, retrieval, groundedness, document_match,
        case when quality = 1 then concat('One Page ', source, '.PDF', chr(10), '|not ', source, '.pdf')
             when quality = 0 then concat('not ', source, '.pdf|One Page ', source, '.PDF', chr(10))
             else '' end as retrieved_files,
@@ -463,7 +464,7 @@ from generated""",
   select g.question_id as row_id, g.question, g.answer, d.text as true_answer, d.source as file,
          concat(' ', d.source, chr(10)) as raw_file, d.lang as document_type,
          replace(g.titles[1], '.pdf', '') as first_name, g.texts as contents, true as retrieved, g.titles
-  from generated g join documents d on d.doc_id = g.question_id
+  from generated g left join documents d on d.doc_id = g.question_id
 ), {_measures("run")}
 select row_id, question, true_answer, raw_file as file, document_type, answer, correctness, retrieval, groundedness,
        document_match, array_to_string(titles, '|') as retrieved_files
@@ -476,7 +477,7 @@ FILES = {
     "summary_export": SUMMARY["neg_scores_by_doctype"],
     "truth_set_read": """
 select b.text as "Question", d.text as "True Answer", concat(' ', d.source, chr(10)) as "File", d.lang as "Document Type"
-from benchmark b join documents d on d.doc_id = b.item_id""",
+from benchmark b left join documents d on d.doc_id = b.item_id""",
 }
 
 

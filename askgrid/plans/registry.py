@@ -315,7 +315,7 @@ def eval_no_retrieval_defaults(spark, folder):
 
 
 def eval_export(spark, folder):
-    """Scores written as CSV, arrays as JSON, and read back."""
+    """Scores written as CSV, arrays as JSON, and read back; an empty answer comes back as null."""
     scored = evaluation.score_and_arrange(views.answered_questions(spark, folder))
     chosen = scored.select("conv_id", "turn", "question", "answer", *_MEASURES, *evaluation.CONTEXT_COLUMNS)
     path = f"{work_folder(spark)}/results"
@@ -350,18 +350,6 @@ def eval_run(spark, folder):
 
 
 # --- files ---------------------------------------------------------------------------------
-def stored_files(spark, folder):
-    """The files of the given tables."""
-    return files.stored_files(spark, folder)
-
-
-def url_table_build(spark, folder):
-    """The URL table of the given tables' files, written as CSV and read back."""
-    path = f"{work_folder(spark)}/urls"
-    files.write_url_table(files.build_url_table(spark, [folder]), path)
-    return files.read_url_table(spark, path).select("file_name", "file_url")
-
-
 def summary_export(spark, folder):
     """A summary written as one CSV file and read back."""
     means = neg_scores_by_doctype(spark, folder)
@@ -433,8 +421,6 @@ _QUERIES: list[Query] = [
     batch_rag,
     multiturn_rag,
     eval_run,
-    stored_files,
-    url_table_build,
     summary_export,
     truth_set_read,
 ]

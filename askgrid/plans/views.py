@@ -21,17 +21,17 @@ def _text(column: str) -> Column:
 
 
 def evaluation_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents as scored answers of two models."""
+    """Documents as scored answers of two models; one without a label is neither clear nor unclear."""
     documents = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
     labels = table(spark, folder, "labels")
     doc = F.col("doc_id")
     retrieved = doc % 4 != 0
-    return documents.join(labels, "doc_id").select(
+    return documents.join(labels, "doc_id", "left").select(
         doc.alias("row_id"),
         F.when(doc % 2 == 0, "model_a").otherwise("model_b").alias("model"),
         F.concat(F.lit(" "), F.col("lang"), F.lit(" ")).alias("document_type"),
         F.when(F.col("quality") == 1, "Positive").otherwise("Negative").alias("question_type"),
-        F.when(F.col("toxic") == 0, "Yes").otherwise("No").alias("unambiguous"),
+        F.when(F.col("toxic") == 0, "Yes").when(F.col("toxic") == 1, "No").alias("unambiguous"),
         (1 + F.col("n_chars") % 10).cast("int").alias("correctness"),
         F.when(retrieved, 1 + doc % 10).otherwise(0).cast("int").alias("retrieval"),
         F.when(retrieved, 1 + doc % 7).otherwise(0).cast("int").alias("groundedness"),
@@ -154,7 +154,9 @@ def messages_of(conversations: DataFrame) -> DataFrame:
 
 
 def answered_questions(spark: SparkSession, folder: str) -> DataFrame:
-    """Each user turn with the reply that follows it, scored against the document of that number.
+    """Each user turn with the reply that follows it, if any, scored against the document of that number.
+
+    A turn without a reply has an empty answer.
 
     Conversations whose document has no label stand for answers given without retrieval.
     """
@@ -176,14 +178,14 @@ def answered_questions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("quality") == 0, F.array(wrong, right)
     )
     return (
-        asked.join(replied, ["conv_id", "turn"])
+        asked.join(replied, ["conv_id", "turn"], "left")
         .join(documents, "conv_id", "left")
         .join(labels, "conv_id", "left")
         .select(
             "conv_id",
             "turn",
             "question",
-            "answer",
+            F.coalesce("answer", F.lit("")).alias("answer"),
             F.coalesce("true_answer", F.lit("")).alias("true_answer"),
             F.concat(F.lit("\t"), F.coalesce("source", F.lit("none")), F.lit(" ")).alias("file"),
             F.coalesce("lang", F.lit("none")).alias("document_type"),
@@ -226,7 +228,7 @@ def truth_set(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("row_id"), F.col("text").alias("true_answer"), "source", "lang"
     )
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("question"))
-    return asked.join(documents, "row_id").select(
+    return asked.join(documents, "row_id", "left").select(
         "row_id",
         "question",
         "true_answer",

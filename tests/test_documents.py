@@ -111,7 +111,7 @@ def test_drop_empty_columns(spark):
     assert columns.drop_empty_columns(df).columns == ["a", "c", "d.e"]
     # A value beyond the first rows keeps its column too.
     late = spark.range(5000, numPartitions=4).selectExpr("id", "if(id = 4999, 'x', null) as late", "cast(null as int) as never")
-    assert columns.drop_empty_columns(late, first_look=10).columns == ["id", "late"]
+    assert columns.drop_empty_columns(late).columns == ["id", "late"]
 
 
 def test_index_fields(spark):
