@@ -19,6 +19,19 @@ def _is_tool() -> Column:
     return F.col("type").eqNullSafe("tool")
 
 
+def with_type(messages: DataFrame) -> DataFrame:
+    """Messages that name their kind by `role` instead of `type`, with the `type` of that role."""
+    if "type" in messages.columns:
+        return messages
+    role = F.col("role")
+    kind = F.when(role == "user", "human").when(role == "assistant", "ai").otherwise(role)
+    messages = messages.withColumn("type", kind).drop("role")
+    if "tool_calls" not in messages.columns:
+        none = F.expr("cast(array() as array<struct<name: string, args: string>>)")
+        messages = messages.withColumn("tool_calls", none)
+    return messages
+
+
 def has_tool_calls(tool_calls: Column) -> Column:
     return F.coalesce(F.size(tool_calls), F.lit(0)) > 0
 

@@ -449,7 +449,20 @@ GENERATED = f"""{CHUNKS}, {VECTOR_RANKS}, {CONTEXTS}, sentences as (
     on h.question_id = q.question_id
 )"""
 
+# The last messages of threads that end in a question, instead of the benchmark.
+_BENCHMARK = "select item_id as question_id, text as question from benchmark"
+_WAITING = """select thread_id as question_id, content as question, turn as last_turn
+  from (select *, max(turn) over (partition by thread_id) as last_turn from messages) where turn = last_turn and type = 'human'"""
+
 RUNS = {
+    "thread_rag": f"""with {MESSAGES}, {GENERATED.replace(_BENCHMARK, _WAITING)}, seen as (
+  select thread_id, string_agg(concat(type, ': ', content), chr(10) order by turn) as history
+  from messages where type in ('human', 'system') or (type = 'ai' and not calls) group by thread_id
+)
+select g.question_id as thread_id, q.last_turn, g.question, g.answer, array_to_string(g.titles, '|') as source_names,
+       concat('system: {_INSTRUCTION}', chr(10), chr(10), c.serialised, chr(10), s.history) as prompt
+from generated g join questions q on q.question_id = g.question_id left join contexts c on c.question_id = g.question_id
+join seen s on s.thread_id = g.question_id""",
     "batch_rag": f"""with {GENERATED}
 select question_id, answer, array_to_string(titles, '|') as source_names,
        concat('You are an assistant for question-answering tasks. Use the following pieces of retrieved context to answer ',

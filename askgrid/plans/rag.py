@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from askgrid.functions import fixed_values as fixed
 from askgrid.functions.text import fill_template, tokens
-from askgrid.operators import conversation
+from askgrid.operators import conversation, embedding
 from askgrid.operators.columns import require_index_fields
 from askgrid.operators.lexical import topk_hybrid
 from askgrid.operators.retrieval import topk_by_vector
@@ -20,6 +20,10 @@ from askgrid.session import materialise
 # A generator's client takes prompts, each a list of (type, text) messages, and gives the answers.
 GeneratorClient = Callable[[Sequence[Sequence[tuple[str, str]]]], Sequence[str]]
 
+# A policy's client takes conversations, each a list of (type, text) messages, and gives for each an
+# answer without retrieval, or the queries to retrieve for: (answer, []) or (None, [query, ...]).
+PolicyClient = Callable[[Sequence[Sequence[tuple[str, str]]]], Sequence[tuple[str | None, Sequence[str]]]]
+
 UNKNOWN_ANSWER = "I don't know."
 FOUND_ROWS_TO_BROADCAST = 200_000
 
@@ -200,3 +204,125 @@ def answer_turns(
     return rows.select(
         F.col("question_id").alias("thread_id"), F.posexplode(turns).alias("turn", "message")
     ).select("thread_id", F.col("turn").cast("bigint").alias("turn"), "message.*")
+
+
+_DECISION = T.StructType(
+    [T.StructField("direct", T.StringType()), T.StructField("queries", T.ArrayType(T.StringType()))]
+)
+_NO_DOCUMENTS = "cast(array() as array<struct<title: string, page_content: string>>)"
+_NO_CALLS = "cast(array() as array<struct<name: string, args: string>>)"
+
+
+def decided(client: Callable[[], PolicyClient], history: Column) -> Column:
+    """Whether a client answers by itself or what it retrieves for. One client per task."""
+
+    @F.pandas_udf(_DECISION)
+    def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        policy = client()
+        for histories in batches:
+            choices = policy([[(m["type"], m["text"]) for m in h] for h in histories])
+            rows = [(answer, [] if answer is not None else list(queries)) for answer, queries in choices]
+            yield pd.DataFrame(rows, columns=["direct", "queries"], dtype=object)
+
+    return decide(history)
+
+
+def open_threads(messages: DataFrame) -> DataFrame:
+    """Threads whose last message is human: `thread_id, last_turn, question, history`.
+
+    `history` is what a model sees: human and system messages and plain AI messages in the order of
+    their turns, the question last. It is one model's prompt, so it has to be one row.
+    """
+    ends = messages.groupBy("thread_id").agg(
+        F.max("turn").alias("last_turn"),
+        F.max(F.when(F.col("type") == "human", F.col("turn"))).alias("asked_turn"),
+    )
+    ends = ends.filter(F.col("last_turn") == F.col("asked_turn")).select("thread_id", "last_turn")
+    seen = conversation.conversation_only(messages).join(ends, "thread_id")
+    message = F.struct("turn", "type", F.coalesce("content", F.lit("")).alias("text"))
+    threads = seen.groupBy("thread_id", "last_turn").agg(F.sort_array(F.collect_list(message)).alias("_seen"))
+    return threads.select(
+        "thread_id",
+        "last_turn",
+        F.element_at("_seen", -1)["text"].alias("question"),
+        F.transform("_seen", lambda m: F.struct(m["type"].alias("type"), m["text"].alias("text"))).alias("history"),
+    )
+
+
+def answer_open_threads(
+    messages: DataFrame,
+    chunks: DataFrame,
+    k: int = fixed.MULTI_TURN_K,
+    search: str = "hybrid",
+    generator: Callable[[], GeneratorClient] | None = None,
+    policy: Callable[[], PolicyClient] | None = None,
+    embedder: Callable[[], embedding.Embedder] | None = None,
+    instruction: str = fixed.ANSWER_INSTRUCTION,
+) -> DataFrame:
+    """The answer to each thread that waits for one, with the whole conversation in its prompt.
+
+    `messages` are rows `thread_id, turn, type, content, tool_calls`; instead of `type` they may have
+    `role` (user, assistant, others as they are). The policy answers by itself or names queries; by
+    default it retrieves for the question. One row per thread: `thread_id, last_turn, question, calls,
+    prompt, answer`. A call has its query, documents and serialised text.
+    """
+    threads = open_threads(conversation.with_type(messages))
+    if policy is None:
+        choice = F.struct(F.lit(None).cast("string").alias("direct"), F.array("question").alias("queries"))
+        threads = threads.withColumn("choice", choice)
+    else:
+        # Whatever reads the queries later must not call the model again.
+        threads = materialise(threads.withColumn("choice", decided(policy, F.col("history"))), "decisions")
+    threads = threads.withColumns({"direct": F.col("choice.direct"), "queries": F.col("choice.queries")}).drop("choice")
+
+    called = threads.select("thread_id", F.posexplode("queries").alias("call", "question"))
+    called = called.withColumn("question_id", F.concat_ws(":", F.col("call").cast("string"), F.col("thread_id").cast("string")))
+    asked = embedding.embed_text(called, "question", "question_vector", embedder)
+    found = conversation.contexts(retrieve(asked.select("question_id", "question", "question_vector"), chunks, k, search))
+    one = F.struct(
+        "call",
+        F.col("question").alias("query"),
+        F.coalesce("documents", F.expr(_NO_DOCUMENTS)).alias("documents"),
+        F.coalesce("serialised", F.lit("")).alias("serialised"),
+    )
+    calls = called.join(found, "question_id", "left").groupBy("thread_id").agg(
+        F.sort_array(F.collect_list(one)).alias("calls")
+    )
+    rows = threads.join(calls, "thread_id", "left")
+    head = instruction.removesuffix(fixed.CONTEXT_SEPARATOR)
+    context = F.array_join(F.transform("calls", lambda c: c["serialised"]), fixed.CONTEXT_SEPARATOR)
+    system = _message("system", F.concat(F.lit(head + fixed.CONTEXT_SEPARATOR), context))
+    prompt = F.when(F.col("direct").isNull(), F.concat(F.array(system), "history")).otherwise(F.col("history"))
+    rows = rows.withColumn("prompt", prompt.cast(_MESSAGE))
+    if generator is None:
+        texts = F.flatten(F.transform("calls", lambda c: F.transform(c["documents"], lambda d: d["page_content"])))
+        rows = add_best_sentence(rows, F.coalesce(texts, F.expr("cast(array() as array<string>)")), "_made")
+    else:
+        waiting = rows.filter(F.col("direct").isNull()).withColumn("_made", generated(generator, F.col("prompt")))
+        rest = rows.filter(F.col("direct").isNotNull()).withColumn("_made", F.lit(None).cast("string"))
+        rows = materialise(waiting.unionByName(rest), "answers")
+    answer = F.coalesce("direct", "_made").alias("answer")
+    return rows.select("thread_id", "last_turn", "question", "calls", "prompt", answer)
+
+
+def appended_messages(answered: DataFrame) -> DataFrame:
+    """The messages that answered threads get: the call, one tool message per query, the answer."""
+
+    def message(kind: str, content: Column, calls: Column, artifact: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("type"), content.alias("content"), calls.alias("tool_calls"), artifact.alias("artifact")
+        )
+
+    no_calls, no_documents = F.expr(_NO_CALLS), F.expr(_NO_DOCUMENTS)
+    queries = F.transform("calls", lambda c: F.struct(F.lit("retrieve").alias("name"), c["query"].alias("args")))
+    tools = F.transform("calls", lambda c: message("tool", c["serialised"], no_calls, c["documents"]))
+    call = F.array(message("ai", F.lit(""), queries, no_documents))
+    final = F.array(message("ai", F.col("answer"), no_calls, no_documents))
+    new = F.when(F.coalesce(F.size("calls"), F.lit(0)) > 0, F.concat(call, tools, final)).otherwise(final)
+    rows = answered.select("thread_id", "last_turn", F.posexplode(new).alias("place", "message"))
+    return rows.select("thread_id", (F.col("last_turn") + F.col("place") + 1).alias("turn"), "message.*")
+
+
+def answer_threads(messages: DataFrame, chunks: DataFrame, **options) -> DataFrame:
+    """`answer_open_threads` as the messages to append to the threads."""
+    return appended_messages(answer_open_threads(messages, chunks, **options))

@@ -341,6 +341,21 @@ def multiturn_rag(spark, folder):
     return results.select("thread_id", "messages", "answer", "source_names").withColumns(_joined("source_names"))
 
 
+def thread_rag(spark, folder):
+    """Every conversation that waits for an answer, answered with its history in the prompt."""
+    answered = rag.answer_open_threads(views.messages(spark, folder), _chunks(spark, folder), search="vector")
+    names = F.flatten(F.transform("calls", lambda c: F.transform(c["documents"], lambda d: d["title"])))
+    shown = F.transform("prompt", lambda m: F.concat(m["type"], F.lit(": "), m["text"]))
+    return answered.select(
+        "thread_id",
+        "last_turn",
+        "question",
+        "answer",
+        F.array_join(names, "|").alias("source_names"),
+        F.array_join(shown, "\n").alias("prompt"),
+    )
+
+
 def eval_run(spark, folder):
     """A truth set answered and scored end to end."""
     scored = evaluation.evaluate_truth_set(
@@ -420,6 +435,7 @@ _QUERIES: list[Query] = [
     eval_export,
     batch_rag,
     multiturn_rag,
+    thread_rag,
     eval_run,
     summary_export,
     truth_set_read,

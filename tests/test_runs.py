@@ -10,7 +10,7 @@ from askgrid.functions import fixed_values as fixed
 from askgrid.operators import conversation, judging, summary
 from askgrid.operators.citations import first_urls
 from askgrid.operators.embedding import embed_text, hashed_terms
-from askgrid.plans import evaluation, index, rag
+from askgrid.plans import evaluation, index, rag, views
 from askgrid.session import spread, work_folder
 from askgrid.sources import files
 from askgrid.streaming import conversation_state, new_documents
@@ -313,3 +313,77 @@ def test_spread_leaves_partitioned_tables_alone(spark):
 
 def test_work_folders_differ(spark):
     assert work_folder(spark) != work_folder(spark)
+
+
+def _thread(spark, rows, kind="type"):
+    calls = "array<struct<name: string, args: string>>"
+    schema = f"thread_id STRING, turn LONG, {kind} STRING, content STRING, tool_calls {calls}"
+    return spark.createDataFrame([(*r, []) if len(r) == 4 else r for r in rows], schema)
+
+
+def _small_chunks(spark):
+    documents = spark.createDataFrame(
+        [(1, "a.pdf", "Cats purr at night. Dogs bark."), (2, "b.pdf", "The moon is made of rock.")],
+        "doc_id LONG, title STRING, text STRING",
+    )
+    return index.chunk_table(documents, metadata=("title",))
+
+
+class _TwoQueries:
+    """Answers greetings itself, asks two queries for anything else."""
+
+    def __call__(self, histories):
+        return [
+            ("Hello!", []) if h[-1][1] == "hi" else (None, ["moon rock", f"cats {len(h)}"]) for h in histories
+        ]
+
+
+class _Counting:
+    def __call__(self, prompts):
+        return [f"{len(p)} messages, {p[0][0]} first, {p[-1][1]} last" for p in prompts]
+
+
+def test_threads_are_answered_with_their_history(spark):
+    messages = _thread(
+        spark,
+        [
+            ("t1", 0, "human", "What do cats do?"),
+            ("t1", 1, "ai", "", [("retrieve", "cats")]),
+            ("t1", 2, "tool", "context"),
+            ("t1", 3, "ai", "They purr."),
+            ("t1", 4, "human", "And the moon?"),
+            ("t2", 0, "human", "hi"),
+            ("t3", 0, "human", "answered"),
+            ("t3", 1, "ai", "yes"),
+        ],
+    )
+    chunks = _small_chunks(spark)
+    default = {r["thread_id"]: r for r in rag.answer_open_threads(messages, chunks, search="vector").collect()}
+    assert set(default) == {"t1", "t2"}
+    prompt = [(m["type"], m["text"]) for m in default["t1"]["prompt"]]
+    assert [p[0] for p in prompt] == ["system", "human", "ai", "human"]
+    assert [p[1] for p in prompt[1:]] == ["What do cats do?", "They purr.", "And the moon?"]
+    assert "made of rock" in prompt[0][1] and "made of rock" in default["t1"]["answer"]
+
+    rows = rag.answer_threads(messages, chunks, search="vector", policy=_TwoQueries, generator=_Counting).collect()
+    got = sorted([(r["thread_id"], r["turn"], r["type"], r["content"]) for r in rows])
+    assert got[-1] == ("t2", 1, "ai", "Hello!")
+    first = [g[1:3] for g in got if g[0] == "t1"]
+    assert first == [(5, "ai"), (6, "tool"), (7, "tool"), (8, "ai")]
+    assert got[3][3] == "4 messages, system first, And the moon? last"
+    call = next(r for r in rows if r["thread_id"] == "t1" and r["turn"] == 5)
+    assert [c["args"] for c in call["tool_calls"]] == ["moon rock", "cats 3"]
+
+
+def test_threads_with_role_instead_of_type(spark):
+    messages = _thread(spark, [("t", 0, "system", "Be kind."), ("t", 1, "user", "Dogs?")], kind="role").drop("tool_calls")
+    row = rag.answer_open_threads(messages, _small_chunks(spark), search="vector").first()
+    assert [m["type"] for m in row["prompt"]] == ["system", "system", "human"] and row["answer"] == "Dogs bark"
+
+
+def test_views_keep_their_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    conversations = views.table(spark, folder, "conversations")
+    assert views.answered_questions(spark, folder).count() == conversations.filter("role = 'user'").count()
+    assert views.truth_set(spark, folder).count() == views.table(spark, folder, "benchmark").count()
+    assert views.evaluation_results(spark, folder).count() == views.table(spark, folder, "documents").count()
