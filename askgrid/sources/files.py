@@ -27,8 +27,17 @@ _STRING_LIST = "array<string>"
 
 
 def _listed(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Path of every file directly in the folders. The files' content is not read."""
-    return spark.read.format("binaryFile").load(list(paths)).select("path")
+    """Path of every file directly in the folders. The files' content is not read.
+
+    Readers leave out names that start with a dot or an underscore; those few are listed apart.
+    """
+    hidden = []
+    for folder in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/[._]*")
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        hidden += [(s.getPath().toString(),) for s in system.globStatus(path) or [] if s.isFile()]
+    listed = spark.read.format("binaryFile").load(list(paths)).select("path")
+    return listed.union(spark.createDataFrame(hidden, "path STRING")) if hidden else listed
 
 
 def stored_files(spark: SparkSession, folder: str) -> DataFrame:

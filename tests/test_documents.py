@@ -129,3 +129,36 @@ def test_index_fields(spark):
 def test_move_last(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a INT, b INT, c INT")
     assert columns.move_last(df, ["a", "b"]).columns == ["c", "a", "b"]
+
+
+def test_chunks_of_a_long_text_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from askgrid.operators.chunking import split_documents
+
+    def seconds(repeats):
+        df = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("abcdefghij"), repeats).alias("text"))
+        start = time.perf_counter()
+        assert split_documents(df).count() == max(1, -(-(10 * repeats - 500) // 1500))
+        split_documents(df).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(800_000) < 60
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(5, 0), (5, 2), (5, 4), (4, 3), (1, 0), (30, 7)])
+def test_chunks_equal_slices(spark, size, overlap):
+    from askgrid.operators.chunking import split_documents
+
+    texts = ["", "a", "abcde", "äöü\nß🙂xyz" * 3, "0123456789" * 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
+    got = sorted((r["doc_id"], r["chunk_no"], r["chunk"]) for r in split_documents(df, size=size, overlap=overlap).collect())
+    step, expected = size - overlap, []
+    for i, t in enumerate(texts):
+        if t:
+            number = max(1, -(-(len(t) - overlap) // step))
+            expected += [(i, n, t[n * step : n * step + size]) for n in range(number)]
+    assert got == expected

@@ -142,11 +142,11 @@ def test_from_truth_file_to_summary(spark, chunks, tmp_path):
 def test_files(spark, tmp_path):
     folder = tmp_path / "raw docs"
     (folder / "inner").mkdir(parents=True)
-    for name in ("a.pdf", "b c.txt"):
+    for name in ("a.pdf", "b c.txt", "_b.pdf", ".c.pdf"):
         (folder / name).write_text("content")
     (folder / "inner" / "deep.pdf").write_text("content")
     names = sorted(r["file_name"] for r in files.stored_files(spark, str(folder)).collect())
-    assert names == ["a.pdf", "b c.txt"]
+    assert names == [".c.pdf", "_b.pdf", "a.pdf", "b c.txt"]
     assert files.stored_files(spark, str(tmp_path / "missing")).collect() == []
     assert files.stored_files(spark, str(folder / "a.pdf")).collect() == []
     (tmp_path / "a" / "a").mkdir(parents=True)
