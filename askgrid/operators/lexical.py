@@ -33,21 +33,31 @@ FUSION_CONSTANT = 60
 _EVERY_CHUNK = ""
 
 
-def term_frequencies(chunks: DataFrame, text: str) -> DataFrame:
+def term_frequencies(
+    chunks: DataFrame, text: str, wanted: DataFrame | None = None, broadcast_bytes: int = 8 << 20
+) -> DataFrame:
     """Rows `term, document_frequency, words`, in one pass over the chunks.
 
-    The row of the empty term has the number of chunks and the sum of their lengths in words.
+    The row of the empty term has the number of chunks and the sum of their lengths in words. With
+    `wanted` (rows `term`), only those terms: up to `broadcast_bytes` of them go to the tasks, so no
+    other word is counted or shuffled; beyond that the counts are filtered after the shuffle.
     """
     every = F.col("term") == _EVERY_CHUNK
-    return (
-        chunks.select(tokens(F.col(text)).alias("tokens"))
-        .select(
-            F.size("tokens").alias("length"),
-            F.explode(F.array_append(F.array_distinct("tokens"), _EVERY_CHUNK)).alias("term"),
-        )
-        .groupBy("term")
+    words = chunks.select(tokens(F.col(text)).alias("tokens")).select(
+        F.size("tokens").alias("length"),
+        F.explode(F.array_append(F.array_distinct("tokens"), _EVERY_CHUNK)).alias("term"),
+    )
+    if wanted is not None:
+        wanted = materialise(wanted, "wanted")
+        size = wanted.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
+        if size <= broadcast_bytes:
+            words = words.join(F.broadcast(wanted), "term", "left_semi")
+            wanted = None
+    counts = (
+        words.groupBy("term")
         .agg(F.count(F.lit(1)).alias("document_frequency"), F.sum(F.when(every, F.col("length"))).alias("words"))
     )
+    return counts if wanted is None else counts.join(wanted, "term", "left_semi")
 
 
 def question_terms(questions: DataFrame, question: str) -> DataFrame:
@@ -78,7 +88,7 @@ class _TextSearch:
         terms = question_terms(questions, question)
         wanted = terms.select("term").union(self.spark.createDataFrame([(_EVERY_CHUNK,)], "term STRING")).distinct()
         # Written, since a pass over all chunks is behind it.
-        frequency = materialise(term_frequencies(chunks, text).join(wanted, "term", "left_semi"), "frequency")
+        frequency = materialise(term_frequencies(chunks, text, wanted), "frequency")
         total = frequency.filter(F.col("term") == _EVERY_CHUNK).first()
         self.chunk_count, length = (total["document_frequency"], total["words"]) if total else (0, 0)
         self.mean_length = max(length / max(self.chunk_count, 1), 1.0)

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from askgrid.functions import fixed_values as fixed
 from askgrid.operators.columns import drop_empty_columns, move_last
-from askgrid.operators.conversation import turn_results
 from askgrid.operators.embedding import Embedder, embed_text
 from askgrid.operators.judging import Judges, score_responses
-from askgrid.plans.rag import GeneratorClient, answer_turns
+from askgrid.plans.rag import GeneratorClient, turn_answers
 from askgrid.session import materialise
 
 CONTEXT_COLUMNS = ("retrieved_files", "retrieved_contents")
@@ -43,8 +42,8 @@ def evaluate_truth_set(
     truth = materialise(drop_empty_columns(truth_set), "truth")
     asked = truth.select(F.col("row_id").alias("question_id"), "question")
     asked = embed_text(asked, "question", "question_vector", embedder, concurrency)
-    results = turn_results(answer_turns(asked, chunks, k, search, generator, concurrency=concurrency)).select(
-        F.col("thread_id").alias("row_id"),
+    results = turn_answers(asked, chunks, k, search, generator, concurrency=concurrency).select(
+        F.col("question_id").alias("row_id"),
         "answer",
         F.col("source_names").alias("retrieved_files"),
         F.col("source_contents").alias("retrieved_contents"),

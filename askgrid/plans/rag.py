@@ -165,6 +165,43 @@ def answer_questions(
     return answered.select("question_id", "question", "answer", *_sources(), "prompt")
 
 
+def _turn_rows(
+    questions: DataFrame,
+    chunks: DataFrame,
+    k: int,
+    search: str,
+    generator: Callable[[], GeneratorClient] | None,
+    wants_retrieval: Column | None,
+    instruction: str,
+    concurrency: int | None,
+) -> DataFrame:
+    """Each question as a turn of its own, one wide row per question."""
+    asked = _with_wish(questions, wants_retrieval)
+
+    def prompt() -> Column:
+        human = _message("human", F.col("question"))
+        system = _message("system", F.concat(F.lit(instruction), F.coalesce("serialised", F.lit(""))))
+        return F.when(F.col("wants_retrieval"), F.array(system, human)).otherwise(F.array(human))
+
+    return _answer(asked, chunks, k, search, generator, concurrency, prompt)
+
+
+def turn_answers(
+    questions: DataFrame,
+    chunks: DataFrame,
+    k: int = fixed.MULTI_TURN_K,
+    search: str = "hybrid",
+    generator: Callable[[], GeneratorClient] | None = None,
+    wants_retrieval: Column | None = None,
+    instruction: str = fixed.ANSWER_INSTRUCTION,
+    concurrency: int | None = None,
+) -> DataFrame:
+    """As `answer_turns`, but the answer and its sources alone: `question_id, answer, source_names,
+    source_contents`."""
+    rows = _turn_rows(questions, chunks, k, search, generator, wants_retrieval, instruction, concurrency)
+    return rows.select("question_id", "answer", *_sources())
+
+
 def answer_turns(
     questions: DataFrame,
     chunks: DataFrame,
@@ -181,14 +218,7 @@ def answer_turns(
     message, an AI message with a tool call, the tool message with the serialised chunks and
     their artifact, and the answer; any other turn has the human message and the answer.
     """
-    asked = _with_wish(questions, wants_retrieval)
-
-    def prompt() -> Column:
-        human = _message("human", F.col("question"))
-        system = _message("system", F.concat(F.lit(instruction), F.coalesce("serialised", F.lit(""))))
-        return F.when(F.col("wants_retrieval"), F.array(system, human)).otherwise(F.array(human))
-
-    rows = _answer(asked, chunks, k, search, generator, concurrency, prompt)
+    rows = _turn_rows(questions, chunks, k, search, generator, wants_retrieval, instruction, concurrency)
     no_calls = F.expr("cast(array() as array<struct<name: string, args: string>>)")
     no_documents = F.expr("cast(array() as array<struct<title: string, page_content: string>>)")
 
