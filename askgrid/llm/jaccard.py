@@ -3,8 +3,8 @@
 A document's set are the hashes of its word shingles. Equal sets are one node from the start. Sizes of
 linked sets lie in one band of sizes or in two that follow on each other. For each such pair of bands
 the similarity bounds how many elements two linked sets can differ in, k. Elements are dealt by hash into
-k + 1 parts, so two linked sets agree in one part at least: each part's elements, hashed, are a signature,
-and linked sets share one.
+more than k parts, so two linked sets agree in some: each part's elements, hashed, are a signature, and
+linked sets share one.
 
 1. Each task makes the signatures of its documents and passes on each signature once; nodes that share
    one within the task are tied to its first node there, so a signature in a third of all documents
@@ -19,6 +19,7 @@ and linked sets share one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,10 +106,32 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, node long, size long")
 
 
+def parts_for(low: int, most: int, share: int) -> tuple[int, int]:
+    """Number of parts for sets of `low` to `most` elements, and of empty parts that need no signature.
+
+    Linked sets differ in at most k elements, so of k + 1 + spare parts they agree in spare + 1. If one
+    has no more than `spare` empty parts, a part with elements is among those. `spare` is chosen
+    so that this holds for nearly all sets. With k = 0 linked sets are equal, and no part is needed.
+    """
+    k = 2 * most * (100 - share) // (100 + share)
+    if k == 0:
+        return 0, 0
+    spare = 0
+    while True:
+        parts = k + 1 + spare
+        empty = parts * math.exp(-low / parts)
+        enough = math.ceil(empty + 2 * math.sqrt(empty)) if empty > 0.01 else 0
+        if spare >= enough or spare > 2 * k + 8:
+            return parts, spare
+        spare += 1
+
+
 def signatures(elements: np.ndarray, sizes: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all sets, and the place of the set that each belongs to.
 
-    Sets too small to differ from a linked one have none.
+    A part with elements gives a signature. If a set has more empty parts than `spare`, the first of
+    them give one each, all but `spare`: two such sets that agree in spare + 1 empty parts have one of
+    these in common. Sets too small to differ from a linked one have none.
     """
     starts = bands(int(sizes.max(initial=1)), share)
     band = np.searchsorted(starts, sizes, "right") - 1
@@ -117,9 +140,11 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, share: int) -> tuple[np.
     found, owners = [], []
     for ahead in (0, 1):  # with the band below, and with the band above
         pair = band + ahead
-        most = starts[np.maximum(pair, 0) + 1] - 1
-        parts = np.where(sizes > 0, 2 * most * (100 - share) // (100 + share) + 1, 0)
-        parts[parts == 1] = 0
+        plan = np.zeros((len(starts), 2), np.int64)
+        for p in np.unique(pair[sizes > 0]).tolist():
+            plan[p] = parts_for(int(starts[max(p - 1, 0)]), int(starts[p + 1]) - 1, share)
+        parts = np.where(sizes > 0, plan[np.maximum(pair, 0), 0], 0)
+        spare = plan[np.maximum(pair, 0), 1]
         offset = np.cumsum(parts) - parts
         used = parts[doc] > 0
         d = doc[used]
@@ -127,14 +152,21 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, share: int) -> tuple[np.
         place = offset[d] + part.astype(np.int64)
         order = np.argsort(place, kind="stable")
         filled, first = np.unique(place[order], return_index=True)
-        values = np.zeros(int(parts.sum()), np.uint64)
-        if len(filled):
-            values[filled] = np.add.reduceat(weights[used][order], first)
         owner = np.repeat(np.arange(len(sizes)), parts)
-        number = (np.arange(len(values)) - offset[owner]).astype(np.uint64)
-        key = (pair[owner].astype(np.uint64) << np.uint64(40)) + number
-        found.append(mixed(values + mixed(key)))
-        owners.append(owner)
+        number = (np.arange(len(owner)) - offset[owner]).astype(np.uint64)
+        key = mixed((pair[owner].astype(np.uint64) << np.uint64(40)) + number)
+        if len(filled):
+            sums = np.add.reduceat(weights[used][order], first)
+            found.append(mixed(sums + key[filled]))
+            owners.append(owner[filled])
+        empty = np.ones(len(owner), bool)
+        empty[filled] = False
+        empty = np.flatnonzero(empty)
+        many = np.bincount(owner[empty], minlength=len(sizes))
+        rank = np.arange(len(empty)) - (np.cumsum(many) - many)[owner[empty]]
+        empty = empty[rank < (many - spare)[owner[empty]]]
+        found.append(mixed(key[empty] ^ _TIE))
+        owners.append(owner[empty])
     return np.concatenate(found), np.concatenate(owners)
 
 
@@ -145,7 +177,7 @@ def _signature_rows(docs: DataFrame, words: int, share: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for whole in batches:
-            for batch in stretches(whole, "text", 8 << 20):
+            for batch in stretches(whole, "text", 4 << 20):
                 elements, sizes = _sets(_bytes(batch), words, known)
                 nodes = _nodes(elements, sizes)
                 _, first = np.unique(nodes, return_index=True)  # equal sets: once
@@ -264,7 +296,8 @@ def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFram
     placed = families.join(large, "family", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
     wanted = materialise(placed.join(standing, "node"), "wanted")
-    sets = _candidate_sets(packed(rows).join(wanted, "id").drop("id"), words)
+    # A merge join at every size: what is wanted grows with the documents.
+    sets = _candidate_sets(packed(rows).join(wanted.hint("merge"), "id").drop("id"), words)
     sets = materialise(sets.dropDuplicates(["node"]), "sets")
 
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))

@@ -60,6 +60,25 @@ def test_bands_hold_all_linked_sizes():
         assert all(band[t] - band[s] <= 1 for s in range(1, 3001) for t in range(s, min(3000, s * 100 // share) + 1))
 
 
+def test_linked_sets_share_a_signature():
+    chosen = random.Random(8)
+    import numpy as np
+
+    for share in (80, 90):
+        for _ in range(1500):
+            size = int(3 * 1.01 ** chosen.randint(0, 450))
+            base = [chosen.getrandbits(64) for _ in range(size)]
+            gone = chosen.randint(0, size * (100 - share) // (100 + share) + 1)
+            other = base[gone:] + [chosen.getrandbits(64) for _ in range(chosen.randint(0, gone))]
+            common = len(base) - gone
+            if not other or 100 * common < share * (len(base) + len(other) - common):
+                continue
+            sets = [np.sort(np.array(x, np.uint64)) for x in (base, other)]
+            found, owner = jaccard.signatures(np.concatenate(sets), np.array([len(x) for x in sets]), share)
+            if set(base) != set(other):
+                assert set(found[owner == 0].tolist()) & set(found[owner == 1].tolist())
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
