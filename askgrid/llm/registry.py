@@ -13,6 +13,7 @@ from askgrid.llm import (
     fingerprints,
     html_text,
     jaccard,
+    oracles,
     quality,
     sharding,
     substrings,
@@ -38,4 +39,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return oracles.all_oracles()
