@@ -11,9 +11,12 @@ linked sets share one.
    costs one row per task.
 2. Nodes that share a signature are tied to the least of them. The connected components of these ties are
    families: no link leaves a family. Most documents are in none.
-3. Families are cut into parts of at most PART nodes, and each pair of parts meets in one task, which
-   counts the intersections of all its sets exactly (a matrix product over the elements they share) and
-   passes on only a spanning forest of the links found.
+3. A family of up to PART nodes meets in one task, which counts the intersections of all its sets exactly
+   (a matrix product over the elements they share) and passes on only a spanning forest of the links.
+   A larger one is cut by bands of sizes and by hash into parts of about PART nodes, and parts of one or
+   of neighbouring bands meet pair by pair. There, bitmaps go first: a bit is the parity of the elements
+   dealt to it, so two sets differ in at least as many elements as their bitmaps in bits. Only sets
+   with a partner that this does not rule out meet as a whole.
 4. The components of these links are the groups.
 """
 
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 
 from askgrid.llm.blocks import packed
 from askgrid.llm.components import components
+from askgrid.llm.ranges import below
 from askgrid.llm.words import WordHashes, mixed, stretches, windows
 from askgrid.session import materialise
 
@@ -205,8 +209,21 @@ def _signature_rows(docs: DataFrame, words: int, share: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "signature long, node long")
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Parities of the elements dealt to the bits, four bits or more per element.
+
+    Halves laid over each other by exclusive or give the sketch of half the length.
+    """
+    bits = 1 << max(6, (4 * len(elements) - 1).bit_length())
+    place = (mixed(elements ^ _TIE) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+_PLACE = ["family", "parts", "part", "band", "node", "size"]
+
+
 def _candidate_sets(rows: DataFrame, words: int) -> DataFrame:
-    """Sets of the documents that stand for the nodes of families, as bytes."""
+    """Sets of the documents that stand for the nodes of families, as bytes, and their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -215,14 +232,49 @@ def _candidate_sets(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             elements, sizes = _sets([unpack(p) for p in batch.column("packed").to_pylist()], words, WordHashes())
             ends = np.cumsum(sizes)
-            sets = [elements[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            sets = [elements[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             # Of rows with one id, only the one that the node was made of.
             same = pa.array(_nodes(elements, sizes).view(np.int64) == batch.column("node").to_numpy())
-            names = ["family", "parts", "part", "node"]
-            arrays = [batch.column(n) for n in names] + [pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "elements"]).filter(same)
+            arrays = [batch.column(n) for n in _PLACE]
+            arrays += [pa.array([f(x) for x in sets], pa.binary()) for f in (np.ndarray.tobytes, sketch)]
+            yield pa.RecordBatch.from_arrays(arrays, [*_PLACE, "elements", "sketch"]).filter(same)
+
+    return rows.mapInArrow(
+        run,
+        "family long, parts int, part int, band int, node long, size long, elements binary, sketch binary",
+    )
 
-    return rows.mapInArrow(run, "family long, parts int, part int, node long, elements binary")
+
+def _near(share: int):
+    """Nodes of two parts that have a partner in the other one (or in the part, if it is one) which
+    their sketches do not rule out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes, part = table["size"].to_numpy(), table["part"].to_numpy()
+        sketches = table["sketch"].to_pylist()
+        lengths = np.array([len(s) for s in sketches])
+        two = table["low"][0].as_py() != table["high"][0].as_py()
+        near = np.zeros(len(sizes), bool)
+        for length in np.unique(lengths).tolist():
+            # Linked sizes are within a factor of two, so sketches are as long or twice as long.
+            mine, other = np.flatnonzero(lengths == length), np.flatnonzero(lengths == 2 * length)
+            whole = np.frombuffer(b"".join(sketches[i] for i in mine), np.uint64).reshape(len(mine), length // 8)
+            twice = np.frombuffer(b"".join(sketches[i] for i in other), np.uint64).reshape(len(other), 2, length // 8)
+            folded = twice[:, 0] ^ twice[:, 1] if len(other) else whole[:0]
+            all_, bits = np.concatenate([mine, other]), np.concatenate([whole, folded])
+            rows = max(1, (1 << 21) // bits.size)
+            for start in range(0, len(mine), rows):
+                at = mine[start : start + rows]
+                differ = np.bitwise_count(whole[start : start + rows, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+                allowed = (sizes[at][:, None] + sizes[all_][None]) * (100 - share) // (100 + share)
+                maybe = (differ <= allowed) & (at[:, None] != all_[None])
+                if two:
+                    maybe &= part[at][:, None] != part[all_][None]
+                near[at] |= maybe.any(axis=1)
+                near[all_] |= maybe.any(axis=0)
+        return table.select(["family", "pair", "low", "high", "node"]).filter(pa.array(near))
+
+    return run
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -244,7 +296,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(share: int):
-    """Spanning forest of the links among the sets of one or two parts of a family."""
+    """Spanning forest of the links among sets that meet."""
 
     def run(table: pa.Table) -> pa.Table:
         nodes = table["node"].to_numpy()
@@ -290,26 +342,40 @@ def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFram
     )
     families = materialise(components(materialise(ties, "ties")).select("node", F.col("root").alias("family")), "families")
 
-    large = families.groupBy("family").count().where(F.col("count") > PART)
-    large = materialise(large.select("family", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "large")
-    standing = materialise(classes.where("size > 0").groupBy("node").agg(F.min("id").alias("id")), "standing")
-    placed = families.join(large, "family", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
-    wanted = materialise(placed.join(standing, "node"), "wanted")
+    standing = classes.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size"))
+    standing = materialise(standing, "standing")
+    starts = bands(standing.agg(F.max("size")).first()[0] or 1, share).tolist()
+    placed = families.join(standing, "node").withColumn("band", below(F.lit(starts), F.col("size"), len(starts)) - 1)
+    placed = materialise(placed, "placed")
+    many = placed.groupBy("family", "band").count().groupBy("family").agg(
+        F.sum("count").alias("nodes"), F.ceil(F.max("count") / PART).cast("int").alias("parts")
+    )
+    large = materialise(many.where(F.col("nodes") > PART).select("family", "parts"), "large")
+    # Families of one part have parts = 0.
+    placed = placed.join(large, "family", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.greatest("parts", F.lit(1)))
+    wanted = materialise(placed.withColumn("part", part.cast("int")), "wanted")
     # A merge join at every size: what is wanted grows with the documents.
     sets = _candidate_sets(packed(rows).join(wanted.hint("merge"), "id").drop("id"), words)
     sets = materialise(sets.dropDuplicates(["node"]), "sets")
 
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    pairs = sets.withColumn("other", other).withColumns(
-        {"low": F.least("part", "other"), "high": F.greatest("part", "other")}
-    )
-    links = pairs.select("family", "low", "high", "node", "elements").groupBy("family", "low", "high").applyInArrow(
-        _links(share), "a long, b long"
+    meeting = ["family", "pair", "low", "high"]
+    none = [F.lit(0).alias(c) for c in meeting[1:]]
+    small = sets.where("parts = 0").select("family", *none, "node", "elements")
+    met = (
+        sets.where("parts > 0")
+        .withColumn("pair", F.explode(F.array("band", F.col("band") + 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+        .select(*meeting, "node", "part", "size", "sketch")
     )
+    near = met.groupBy(*meeting).applyInArrow(_near(share), "family long, pair int, low int, high int, node long")
+    near = materialise(near, "near_sets")
+    near = near.join(sets.where("parts > 0").select("node", "elements"), "node").select(*meeting, "node", "elements")
+    links = small.union(near).groupBy(*meeting).applyInArrow(_links(share), "a long, b long")
     groups = components(materialise(links.distinct(), "links"))
 
-    rooted = standing.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = standing.select("node", "id").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialise(rooted, "rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("id").alias("least")), "least")
     of_node = materialise(rooted.join(least, "root").select("node", "least"), "of_node")
