@@ -45,7 +45,7 @@ def packed(df: DataFrame, to: str = "packed") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def unpacked(column: pa.ChunkedArray) -> list[bytes]:
+def unpacked(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts of a `packed` column, in UTF-8."""
     unpack = zstandard.ZstdDecompressor().decompress
     return [unpack(p) for p in column.to_pylist()]

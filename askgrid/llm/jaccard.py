@@ -13,7 +13,7 @@ linked sets share one.
    families: no link leaves a family. Most documents are in none.
 3. A family of up to PART nodes meets in one task, which counts the intersections of all its sets exactly
    (a matrix product over the elements they share) and passes on only a spanning forest of the links.
-   A larger one is cut by bands of sizes and by hash into parts of about PART nodes, and parts of one or
+   A larger one is cut by bands of sizes and by hash into parts of about 4 * PART nodes, and parts of one or
    of neighbouring bands meet pair by pair. There, bitmaps go first: a bit is the parity of the elements
    dealt to it, so two sets differ in at least as many elements as their bitmaps in bits. Only sets
    with a partner that this does not rule out meet as a whole.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgrid.llm.blocks import packed
+from askgrid.llm.blocks import packed, unpacked
 from askgrid.llm.components import components
 from askgrid.llm.ranges import below
 from askgrid.llm.words import WordHashes, mixed, stretches, windows
@@ -210,11 +210,11 @@ def _signature_rows(docs: DataFrame, words: int, share: int) -> DataFrame:
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Parities of the elements dealt to the bits, four bits or more per element.
+    """Parities of the elements dealt to the bits, two bits or more per element.
 
     Halves laid over each other by exclusive or give the sketch of half the length.
     """
-    bits = 1 << max(6, (4 * len(elements) - 1).bit_length())
+    bits = 1 << max(6, (2 * len(elements) - 1).bit_length())
     place = (mixed(elements ^ _TIE) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(place, minlength=bits) & 1, bitorder="little").tobytes()
 
@@ -222,26 +222,27 @@ def sketch(elements: np.ndarray) -> bytes:
 _PLACE = ["family", "parts", "part", "band", "node", "size"]
 
 
-def _candidate_sets(rows: DataFrame, words: int) -> DataFrame:
-    """Sets of the documents that stand for the nodes of families, as bytes, and their sketches."""
+def _split(texts: pa.ChunkedArray, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sets of packed texts, one array each, and their nodes."""
+    elements, sizes = _sets(unpacked(texts), words, WordHashes())
+    ends = np.cumsum(sizes)
+    sets = [elements[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    return sets, _nodes(elements, sizes).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+def _sketched(rows: DataFrame, words: int) -> DataFrame:
+    """Add the sketch of each packed text's set; of rows with one id only those that the node was made
+    of stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            elements, sizes = _sets([unpack(p) for p in batch.column("packed").to_pylist()], words, WordHashes())
-            ends = np.cumsum(sizes)
-            sets = [elements[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            # Of rows with one id, only the one that the node was made of.
-            same = pa.array(_nodes(elements, sizes).view(np.int64) == batch.column("node").to_numpy())
-            arrays = [batch.column(n) for n in _PLACE]
-            arrays += [pa.array([f(x) for x in sets], pa.binary()) for f in (np.ndarray.tobytes, sketch)]
-            yield pa.RecordBatch.from_arrays(arrays, [*_PLACE, "elements", "sketch"]).filter(same)
+            sets, nodes = _split(batch.column("packed"), words)
+            arrays = [batch.column(n) for n in [*_PLACE, "packed"]] + [pa.array([sketch(x) for x in sets], pa.binary())]
+            same = pa.array(nodes == batch.column("node").to_numpy())
+            yield pa.RecordBatch.from_arrays(arrays, [*_PLACE, "packed", "sketch"]).filter(same)
 
     return rows.mapInArrow(
-        run,
-        "family long, parts int, part int, band int, node long, size long, elements binary, sketch binary",
+        run, "family long, parts int, part int, band int, node long, size long, packed binary, sketch binary"
     )
 
 
@@ -295,12 +296,11 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _links(share: int):
+def _links(words: int, share: int):
     """Spanning forest of the links among sets that meet."""
 
     def run(table: pa.Table) -> pa.Table:
-        nodes = table["node"].to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in table["elements"].to_pylist()]
+        sets, nodes = _split(table["packed"], words)
         sizes = np.array([len(s) for s in sets])
         common = intersections(sets)
         linked = 100 * common >= share * (sizes[:, None] + sizes[None, :] - common)
@@ -348,7 +348,7 @@ def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFram
     placed = families.join(standing, "node").withColumn("band", below(F.lit(starts), F.col("size"), len(starts)) - 1)
     placed = materialise(placed, "placed")
     many = placed.groupBy("family", "band").count().groupBy("family").agg(
-        F.sum("count").alias("nodes"), F.ceil(F.max("count") / PART).cast("int").alias("parts")
+        F.sum("count").alias("nodes"), F.ceil(F.max("count") / (4 * PART)).cast("int").alias("parts")
     )
     large = materialise(many.where(F.col("nodes") > PART).select("family", "parts"), "large")
     # Families of one part have parts = 0.
@@ -356,12 +356,12 @@ def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFram
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.greatest("parts", F.lit(1)))
     wanted = materialise(placed.withColumn("part", part.cast("int")), "wanted")
     # A merge join at every size: what is wanted grows with the documents.
-    sets = _candidate_sets(packed(rows).join(wanted.hint("merge"), "id").drop("id"), words)
-    sets = materialise(sets.dropDuplicates(["node"]), "sets")
+    texts = packed(rows).join(wanted.hint("merge"), "id").dropDuplicates(["id", "node", "packed"])
+    sets = materialise(_sketched(texts.drop("id"), words), "sets")
 
     meeting = ["family", "pair", "low", "high"]
     none = [F.lit(0).alias(c) for c in meeting[1:]]
-    small = sets.where("parts = 0").select("family", *none, "node", "elements")
+    small = sets.where("parts = 0").select("family", *none, "packed")
     met = (
         sets.where("parts > 0")
         .withColumn("pair", F.explode(F.array("band", F.col("band") + 1)))
@@ -370,9 +370,9 @@ def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFram
         .select(*meeting, "node", "part", "size", "sketch")
     )
     near = met.groupBy(*meeting).applyInArrow(_near(share), "family long, pair int, low int, high int, node long")
-    near = materialise(near, "near_sets")
-    near = near.join(sets.where("parts > 0").select("node", "elements"), "node").select(*meeting, "node", "elements")
-    links = small.union(near).groupBy(*meeting).applyInArrow(_links(share), "a long, b long")
+    near = materialise(near.distinct(), "near_sets")
+    near = near.join(sets.where("parts > 0").select("node", "packed"), "node").select(*meeting, "packed")
+    links = small.union(near).groupBy(*meeting).applyInArrow(_links(words, share), "a long, b long")
     groups = components(materialise(links.distinct(), "links"))
 
     rooted = standing.select("node", "id").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
