@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askgrid.llm.blocks import packed, unpacked
@@ -95,8 +95,20 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
+def row_key() -> dict[str, Column]:
+    """What a row of (doc_id, text) is known by: its id, nulls last, and 128 bits of its text."""
+    return {
+        "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)),
+        "digest": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))),
+    }
+
+
+def _keys() -> list[Column]:
+    return [column.alias(name) for name, column in row_key().items()]
+
+
 def _classes(docs: DataFrame, words: int) -> DataFrame:
-    """id, node, size of each row of `docs` (id, text)."""
+    """id, digest, node, size of each row of `docs` (id, digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -104,10 +116,11 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
             for batch in stretches(whole, "text"):
                 elements, sizes = _sets(_bytes(batch), words, known)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), _signed(_nodes(elements, sizes)), pa.array(sizes)], ["id", "node", "size"]
+                    [batch.column("id"), batch.column("digest"), _signed(_nodes(elements, sizes)), pa.array(sizes)],
+                    ["id", "digest", "node", "size"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, node long, size long")
+    return docs.select("id", "digest", "text").mapInArrow(run, "id long, digest binary, node long, size long")
 
 
 def parts_for(low: int, most: int, share: int) -> tuple[int, int]:
@@ -318,18 +331,9 @@ def _links(words: int, share: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of `docs` (doc_id, text).
-
-    Two documents are linked if the intersection of their sets of `words`-word shingles (A-Z lower-cased)
-    has at least `share` percent of the union. component_id is the least doc_id that a chain of links
-    reaches, the own included. With fewer words the whole sequence is the one element; a document without
-    words (null, empty) has no element and no link, and its component is itself.
-
-    Rows with null ids take part and get the least id of their group, null if there is none. Repeated rows
-    are in one group. Empty table: empty result. Sets are told apart by 64-bit hashes.
-    """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text")
+def _grouped(rows: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of `rows` (id, digest, text), and node, id and digest of the least row that a chain
+    of links reaches from each node with elements."""
     classes = materialise(_classes(rows, words), "classes")
 
     of_signature = Window.partitionBy("signature")
@@ -342,8 +346,9 @@ def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFram
     )
     families = materialise(components(materialise(ties, "ties")).select("node", F.col("root").alias("family")), "families")
 
-    standing = classes.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size"))
-    standing = materialise(standing, "standing")
+    first = F.min(F.struct("id", "digest")).alias("first")
+    standing = classes.where("size > 0").groupBy("node").agg(first, F.min("size").alias("size"))
+    standing = materialise(standing.select("node", "first.*", "size"), "standing")
     starts = bands(standing.agg(F.max("size")).first()[0] or 1, share).tolist()
     placed = families.join(standing, "node").withColumn("band", below(F.lit(starts), F.col("size"), len(starts)) - 1)
     placed = materialise(placed, "placed")
@@ -356,7 +361,8 @@ def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFram
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.greatest("parts", F.lit(1)))
     wanted = materialise(placed.withColumn("part", part.cast("int")), "wanted")
     # A merge join at every size: what is wanted grows with the documents.
-    texts = packed(rows).join(wanted.hint("merge"), "id").dropDuplicates(["id", "node", "packed"])
+    texts = packed(rows.select("id", "text")).join(wanted.drop("digest").hint("merge"), "id")
+    texts = texts.dropDuplicates(["id", "node", "packed"])
     sets = materialise(_sketched(texts.drop("id"), words), "sets")
 
     meeting = ["family", "pair", "low", "high"]
@@ -375,10 +381,25 @@ def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFram
     links = small.union(near).groupBy(*meeting).applyInArrow(_links(words, share), "a long, b long")
     groups = components(materialise(links.distinct(), "links"))
 
-    rooted = standing.select("node", "id").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = standing.drop("size").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialise(rooted, "rooted")
-    least = materialise(rooted.groupBy("root").agg(F.min("id").alias("least")), "least")
-    of_node = materialise(rooted.join(least, "root").select("node", "least"), "of_node")
+    least = materialise(rooted.groupBy("root").agg(first).select("root", "first.*"), "least")
+    return classes, materialise(rooted.select("node", "root").join(least, "root").drop("root"), "of_node")
+
+
+def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of `docs` (doc_id, text).
+
+    Two documents are linked if the intersection of their sets of `words`-word shingles (A-Z lower-cased)
+    has at least `share` percent of the union. component_id is the least doc_id that a chain of links
+    reaches, the own included. With fewer words the whole sequence is the one element; a document without
+    words (null, empty) has no element and no link, and its component is itself.
+
+    Rows with null ids take part and get the least id of their group, null if there is none. Repeated rows
+    are in one group. Empty table: empty result. Sets are told apart by 64-bit hashes.
+    """
+    classes, of_node = _grouped(docs.select("text", *_keys()), words, share)
+    of_node = of_node.select("node", F.col("id").alias("least"))
     known = lambda c: F.when(F.col(c) != F.lit(_LAST), F.col(c))
     return classes.join(of_node, "node", "left").select(
         known("id").alias("doc_id"),
@@ -387,5 +408,21 @@ def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFram
     )
 
 
+def copies(docs: DataFrame, words: int, share: int) -> DataFrame:
+    """id, digest and near_copy of the rows of `docs` (doc_id, text) that are linked to a row that stays,
+    by their `row_key`, each once.
+
+    Of each group the least key stays. near_copy: the key isn't that one, so its rows go. Else several
+    rows have that key, and one of them is to stay. Rows without words have no link; those of one key
+    with an id are repeated rows, those without an id all stay.
+    """
+    classes, of_node = _grouped(docs.select("text", *_keys()), words, share)
+    of_node = of_node.select("node", F.struct("id", "digest").alias("least"))
+    keys = classes.groupBy("id", "digest", "node", "size").count().join(of_node, "node", "left")
+    near = (F.col("size") > 0) & (F.struct("id", "digest") != F.col("least"))
+    repeated = (F.col("count") > 1) & ((F.col("size") > 0) | (F.col("id") != F.lit(_LAST)))
+    return keys.withColumn("near_copy", near).where(F.col("near_copy") | repeated).select("id", "digest", "near_copy")
+
+
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -6,7 +6,7 @@ again as the next one's `docs`. All stages but the last return the columns of `d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askgrid.llm import byte_bpe, decontamination, jaccard, quality, substrings
@@ -37,18 +37,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least id.
 
-    Of several rows with that id one stays. A document without an id stays if its group has none.
+    Rows are told apart by id and text, so a row goes only if its own text is linked to a row that stays,
+    whatever other rows have its id. Rows without an id come last; among equal ids the least digest stays,
+    and of rows equal in id and text one.
     """
-    groups = jaccard.jaccard_groups(docs, words=SHINGLE, share=SIMILARITY)
-    gone = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")))
-    gone = materialise(gone.where(F.col("component_id").isNotNull()).select("doc_id").distinct(), "near_copies")
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])
-    repeated = materialise(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    single = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
-    several = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
-    row = _free("row", docs)
-    return single.union(several.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).drop(row))
+    own = [_free("id", docs), _free("digest", docs)]
+    keyed = docs.withColumns(dict(zip(own, jaccard.row_key().values(), strict=True)))
+    copies = jaccard.copies(docs, words=SHINGLE, share=SIMILARITY).withColumnsRenamed(dict(zip(["id", "digest"], own, strict=True)))
+    copies = materialise(copies, "copies")
+    repeated = copies.where("not near_copy").select(*own)
+    single = keyed.join(copies.select(*own), own, "left_anti").select(*docs.columns)
+    row = F.min(F.struct(*docs.columns)).alias("row")
+    return single.union(keyed.join(repeated, own, "left_semi").groupBy(*own).agg(row).select("row.*"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,22 @@ def test_stages(spark, folder, tmp_path, prose):
     assert by_id[203]["ids"] == encoded.tolist() and by_id[203]["n_tokens"] == len(encoded)
 
 
+def test_near_copies_go_by_row_not_by_id(spark, documents, prose):
+    """Several null ids, and one id on two texts: a row goes only if its own text is linked to one that stays."""
+    text = {i: prose(400 + i, 60) for i in range(8)}
+    copy = {i: f"{t} x" for i, t in text.items()}
+    rows = [(3, text[3]), (7, text[0]), (7, copy[3]), (8, text[1]), (8, text[2]), (9, text[7]), (9, text[7])]
+    rows += [(None, text[4]), (None, text[5]), (None, copy[3]), (None, text[6]), (None, text[6]), (None, copy[6])]
+    rows += [(None, ""), (None, None), (10, ""), (10, "")]
+    got = corpus_pipeline.ngram_jaccard_join(spark, documents(rows), "")
+    got = sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str)
+    of_six = [r for r in got if r in ((None, text[6]), (None, copy[6]))]
+    assert len(of_six) == 1
+    stay = [(3, text[3]), (7, text[0]), (8, text[1]), (8, text[2]), (9, text[7]), (10, "")]
+    stay += [(None, text[4]), (None, text[5]), (None, ""), (None, None), *of_six]
+    assert got == sorted(stay, key=str)
+
+
 def test_run_equals_its_stages_and_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
