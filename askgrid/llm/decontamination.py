@@ -6,6 +6,11 @@ again with other numbers, units or names put into it. A match counts if its slot
 value of the item stands for one value in the document throughout, and two names never become one.
 
 The other form keeps all words but folds case, so a copy in capitals or small letters is found, too.
+
+Windows with few plain words (sums, tables, dates) say little as templates. They, and items of under
+SHORTEST_ITEM words as a whole, are matched exactly instead: words folded, slots with their values, operators
+between them. In scripts without blanks each character is a word, matched exactly as well, in windows of
+CHARACTERS.
 """
 
 from __future__ import annotations
@@ -26,7 +31,10 @@ from askgrid.session import materialise
 WINDOW = 8
 #: Least share of a window's words that are neither number, unit nor name.
 LITERAL = 0.6
+#: Items of fewer words are matched exactly only.
 SHORTEST_ITEM = 4
+#: Window of texts in scripts without blanks.
+CHARACTERS = 24
 #: Windows of the benchmark up to which their hashes go to all tasks (8 bytes each).
 BROADCAST_WINDOWS = 1_000_000
 
@@ -46,8 +54,18 @@ _UNITS = frozenset(
 _NUMBER = re.compile(
     r"([$€£¥]?)[+-]?(?:\d[\d.,:/]*\d|\d)(?:st|nd|rd|th)?(%|[a-zA-Z°/]{1,9})?"
 )
-_EDGES = " \t\n\r\v\f.,;:!?\"'()[]{}<>|*#&`~_=…“”‘’«»¿¡-–—/\\^@$%+"
+_EDGES = " \t\n\r\v\f.,;:!?\"'()[]{}<>|*#&`~_=…“”‘’«»¿¡-–—/\\^@$%+。、，．；：？！（）「」『』【】《》〈〉・～"
 _AROUND = " .,;:!?\"'()[]{}<>|*#"
+_OPERATORS = frozenset("+-*/=^<>~")
+# Han, kana, bopomofo, Thai, Lao, Tibetan, Burmese, Khmer.
+_BLANKLESS = (
+    "\u2e80-\u2fdf\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+    "\uff66-\uff9f\U00020000-\U0003ffff\u0e01-\u0e3e\u0e40-\u0fff\u1000-\u109f\u1780-\u17ff"
+)
+_HAS_BLANKLESS = re.compile(f"[{_BLANKLESS}]")
+_PIECES = re.compile(f"[{_BLANKLESS}]|[^{_BLANKLESS}]+")
+#: Forms of a window: two of templates, and exact words without and with characters of such scripts.
+_TEMPLATES, _EXACT, _BY_CHARACTER = (0, 1), 2, 3
 _NUM, _UNIT, _NAME = "<number>", "<unit>", "<name>"
 
 
@@ -72,12 +90,27 @@ def both_templates(word: str) -> tuple[str, str]:
     return (_NAME if bare[0].isupper() else low), low
 
 
+def cut_words(text: str | None) -> list[str]:
+    """What stands between blanks; characters of scripts without blanks each by itself."""
+    words = (text or "").split()
+    if text is None or text.isascii() or not _HAS_BLANKLESS.search(text):
+        return words
+    return [piece for word in words for piece in _PIECES.findall(word)]
+
+
+def exact_word(word: str) -> str:
+    """The word with case folded, without what stands around it; empty if both its templates are."""
+    shape = both_templates(word)[1]
+    return (word.strip(_AROUND).lower() or shape) if shape[:1] == "<" else shape
+
+
 class _Templates:
-    """Hashes of words by both forms (0: left out), and whether they are literals (bit per form)."""
+    """Hashes of words by both templates (0: left out) and exactly, and whether they are literals (bit per
+    template, a third for the folded word, a fourth for characters of scripts without blanks)."""
 
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
-        self.hashes, self.literal = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+        self.hashes, self.literal = np.zeros((0, 3), np.uint64), np.zeros(0, np.int64)
 
     def of(self, words: list[str]) -> np.ndarray:
         """Places of the words in `hashes` and `literal`."""
@@ -85,10 +118,15 @@ class _Templates:
             self.__init__()
         new = list(set(words).difference(self.place))
         if new:
-            shapes = [both_templates(w) for w in new]
+            shapes = [(*both_templates(w), exact_word(w)) for w in new]
             digest = xxhash.xxh3_64_intdigest
-            hashes = [(digest(one) if one else 0, digest(other) if other else 0) for one, other in shapes]
-            literal = [(one[:1] != "<") + 2 * (other[:1] != "<") for one, other in shapes]
+            hashes = [tuple(digest(x) if x else 0 for x in each) for each in shapes]
+            literal = [
+                (one[:1] != "<") + 2 * (other[:1] != "<")
+                + 4 * ((other if w == w.lower() else both_templates(w.lower())[1])[:1] != "<")
+                + 8 * (not w.isascii() and _HAS_BLANKLESS.match(w) is not None)
+                for w, (one, other, _) in zip(new, shapes, strict=True)
+            ]
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.hashes = np.concatenate([self.hashes, np.array(hashes, np.uint64)])
             self.literal = np.concatenate([self.literal, np.array(literal, np.int64)])
@@ -118,9 +156,11 @@ _SCHEMA = (
 )
 
 
-def _emit(keys: list, texts: list, lengths: list[int], wanted: _Wanted | None, known: _Templates) -> list:
-    """Windows of the texts with enough literals, all of them or those whose hash is `wanted`."""
-    cut = [(text or "").split() for text in texts]
+def _emit(
+    keys: list, texts: list, kinds: list[tuple[int, int]], wanted: _Wanted | None, known: _Templates
+) -> list:
+    """Windows of the texts, of each kind (form, length), all of them or those whose hash is `wanted`."""
+    cut = [cut_words(text) for text in texts]
     words = list(chain.from_iterable(cut))
     places = known.of(words)
     kept = np.flatnonzero(known.hashes[places, 0])
@@ -128,38 +168,64 @@ def _emit(keys: list, texts: list, lengths: list[int], wanted: _Wanted | None, k
     counts = np.bincount(owner, minlength=len(cut))
     starts = np.cumsum(counts) - counts
     places, rows = places[kept], []
-    for form in (0, 1):
-        of_form, literals = known.hashes[places, form], (known.literal[places] >> form) & 1
-        summed = np.concatenate([[0], np.cumsum(literals)])
-        for length in lengths:
-            if len(of_form) < length:
+    literal = known.literal[places]
+    sums = [np.concatenate([[0], np.cumsum((literal >> bit) & 1)]) for bit in range(4)]
+    for form, length in kinds:
+        if len(places) < length:
+            continue
+        inside = lambda bit: sums[bit][length:] - sums[bit][:-length]  # noqa: B023, E731
+        if form == _BY_CHARACTER:
+            take = inside(3) > 0
+        elif form == _EXACT:
+            take = inside(3) == 0
+            if length >= SHORTEST_ITEM:
+                take &= inside(2) < LITERAL * length
+        else:
+            take = (inside(form) >= LITERAL * length) & (inside(3) == 0)
+        if not take.any():
+            continue
+        take &= whole_windows(starts, counts, length)
+        found = windows(known.hashes[places, min(form, _EXACT)], length, salt=form)
+        if wanted is not None:
+            take &= wanted.among(found)
+        # Of items that are one window as a whole the first place in a text is enough.
+        once = length < (CHARACTERS if form == _BY_CHARACTER else WINDOW) and form not in _TEMPLATES
+        met = set()
+        for i in np.flatnonzero(take).tolist():
+            doc = int(owner[i])
+            if form in _TEMPLATES:
+                here = [words[j] for j in kept[i : i + length].tolist()]
+                shapes = [both_templates(w)[form] for w in here]
+                slots = [_slot(w, s) for w, s in zip(here, shapes, strict=True) if s[:1] == "<"]
+            else:
+                here = words[int(kept[i]) : int(kept[i + length - 1]) + 1]
+                shapes = [x for x in ((exact_word(w) or _operators(w)) for w in here) if x]
+                slots = []
+            template = " ".join(shapes)
+            if once and (doc, template) in met:
                 continue
-            found = windows(of_form, length, salt=form)
-            take = summed[length:] - summed[:-length] >= LITERAL * length
-            take &= whole_windows(starts, counts, length)
-            if wanted is not None:
-                take &= wanted.among(found)
-            for i in np.flatnonzero(take).tolist():
-                doc = int(owner[i])
-                inside = [words[j] for j in kept[i : i + length].tolist()]
-                shapes = [both_templates(w)[form] for w in inside]
-                slots = [_slot(w, s) for w, s in zip(inside, shapes, strict=True) if s[:1] == "<"]
-                hash_ = int(found[i : i + 1].view(np.int64)[0])
-                rows.append(
-                    (keys[doc], form, length, int(counts[doc]), hash_, " ".join(shapes), int(i - starts[doc]), slots)
-                )
+            if once:
+                met.add((doc, template))
+            hash_ = int(found[i : i + 1].view(np.int64)[0])
+            rows.append((keys[doc], form, length, int(counts[doc]), hash_, template, int(i - starts[doc]), slots))
     return rows
 
 
+def _operators(word: str) -> str:
+    """The operators in a word that is only punctuation."""
+    return "".join([c for c in word if c in _OPERATORS])
+
+
 def _slot(word: str, shape: str) -> str:
     """A slot's value with its type in front."""
     return f"{shape}{word.strip(_EDGES).lower()}"
 
 
 def template_windows(
-    df: DataFrame, key: str, lengths: list[int], wanted: np.ndarray | None = None
+    df: DataFrame, key: str, kinds: list[tuple[int, int]], wanted: np.ndarray | None = None
 ) -> DataFrame:
-    """Template windows of the texts in `df` (`key`, text): key, form, length, template, start, slots.
+    """Windows of the texts in `df` (`key`, text) of `kinds` (form, length): key, form, length, template,
+    start, slots.
 
     `wanted`: sorted hashes; only windows with one of them are returned. Its size is for the caller to
     bound. Null and empty texts have no windows.
@@ -174,7 +240,7 @@ def template_windows(
             types = [whole.schema.types[0], pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
             types += [pa.int32(), pa.list_(pa.string())]
             for batch in stretches(whole, "text"):
-                rows = _emit(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lengths, asked, known)
+                rows = _emit(batch.column(0).to_pylist(), batch.column(1).to_pylist(), kinds, asked, known)
                 columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * len(_COLUMNS)
                 arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, _COLUMNS)
@@ -184,8 +250,11 @@ def template_windows(
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
     """Windows of the benchmark's items; an item shorter than a window is one window as a whole."""
-    every = template_windows(benchmark, "item_id", list(range(SHORTEST_ITEM, WINDOW + 1)))
-    whole = (F.col("length") == WINDOW) | (F.col("length") == F.col("n_words"))
+    kinds = [(form, n) for form in _TEMPLATES for n in range(SHORTEST_ITEM, WINDOW + 1)]
+    kinds += [(_EXACT, n) for n in range(1, WINDOW + 1)] + [(_BY_CHARACTER, n) for n in range(1, CHARACTERS + 1)]
+    every = template_windows(benchmark, "item_id", kinds)
+    most = F.when(F.col("form") == _BY_CHARACTER, CHARACTERS).otherwise(WINDOW)
+    whole = (F.col("length") == most) | (F.col("length") == F.col("n_words"))
     found = every.where(whole).withColumnsRenamed({"key": "item_id", "start": "item_start", "slots": "item_slots"})
     return materialise(found.drop("n_words"), "item_windows")
 
@@ -200,8 +269,10 @@ def find_leaks(
     with another value than in the item. Only `key` and text of `docs`, item_id and text of
     `benchmark` are read.
 
-    An item is found by any WINDOW consecutive words of it (a shorter item by all its words, at
-    least SHORTEST_ITEM) of which a share of LITERAL are plain words. Rows with the same key count
+    An item is found by any WINDOW consecutive words of it (a shorter item by all its words). If a share of
+    LITERAL of them are plain words, numbers, units and names may differ; else, and if the item has under
+    SHORTEST_ITEM words, only case and punctuation around words may. Characters of scripts without blanks
+    are words; CHARACTERS of them, or all words of a shorter item, must be the same. Rows with the same key count
     as one document, null keys as one, too. Null and empty texts match nothing; repeated items count
     once each by item_id. An empty table on either side gives an empty result.
 
@@ -209,12 +280,12 @@ def find_leaks(
     their hashes; beyond that all windows of the documents are shuffled to the join.
     """
     items = _item_windows(benchmark)
-    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())
+    kinds = sorted((r["form"], r["length"]) for r in items.select("form", "length").distinct().collect())
     wanted = None
     if items.count() <= broadcast_windows:
         hashes = [r["hash"] for r in items.select("hash").distinct().collect()]
         wanted = np.sort(np.array(hashes, np.int64).view(np.uint64))
-    found = template_windows(docs, key, lengths, wanted).drop("n_words")
+    found = template_windows(docs, key, kinds, wanted).drop("n_words")
     if wanted is not None:
         found = materialise(found, "windows")
     met = found.join(items, ["hash", "form", "length", "template"]).withColumn(

@@ -53,6 +53,21 @@ def test_short_items_need_all_their_words(documents, benchmark):
     assert set(found(documents(rows), benchmark([(1, "what is the largest planet")]))) == {(1, 1)}
 
 
+@pytest.mark.parametrize("limit", [decontamination.BROADCAST_WINDOWS, 0])
+def test_windows_of_few_plain_words_short_items_and_scripts_without_blanks(documents, benchmark, prose, limit):
+    sum_, long = "What is 12 * 7 + 5 - 3 ?", "".join(chr(0x4E00 + 37 * i % 5000) for i in range(60))
+    items = [(1, sum_), (2, "1 km 2 m 3 cm 4 mm 5 kg"), (3, "capital of France"), (4, "日本の首都は？"), (5, long), (6, "12 * 7")]
+    rows = [
+        (1, f"{prose(1, 30)} {sum_.upper()} {prose(2, 30)}"),
+        (2, "what is 12 + 7 * 5 - 3"), (3, "what is 12 * 7 + 5 - 4"),
+        (4, f"{prose(3, 9)} 1 km 2 m 3 cm 4 mm, 5 kg."),
+        (5, "the Capital of France, and the capital of france"), (6, "capital of Spain"), (7, "capital often France"),
+        (8, "問題。日本の首都は東京"), (9, "日本の首相は"), (10, f"文{long[20:50]}字"), (11, long[20:40]), (12, "12 7"),
+    ]
+    got = found(documents(rows), benchmark(items), broadcast_windows=limit)
+    assert set(got) == {(1, 1), (1, 6), (3, 6), (4, 2), (5, 3), (8, 4), (10, 5)} and set(got.values()) == {0}
+
+
 def test_empty_tables(documents, benchmark):
     assert found(documents([]), benchmark([(1, ITEM)])) == {}
     assert found(documents([(1, ITEM)]), benchmark([])) == {}
