@@ -6,6 +6,7 @@ import random
 import pytest
 
 from askgrid.llm import substrings
+from askgrid.llm.blocks import with_block
 
 
 def brute_force(rows, window):
@@ -44,6 +45,22 @@ def test_random_texts_with_shared_passages(documents, prose, block_bytes):
     assert all(expected[i, t] == result for i, t, result in got)
 
 
+def test_blocks_are_bounded_whatever_the_ids(documents, prose):
+    """A far-off id, clusters of ids, null ids and one id on many texts: no block gets much more than the others."""
+    ids = [*range(60), *range(10**9, 10**9 + 60), 10**12, *[None] * 60, *[-5] * 60]
+    rows = [(i, prose(n, 20)) for n, i in enumerate(ids)]
+    sizes = {}
+    for row in with_block(documents(rows), 1000, "_b").collect():
+        sizes[row["_b"]] = sizes.get(row["_b"], 0) + len(row["text"])
+    assert max(sizes.values()) < 2000 and len(sizes) > sum(sizes.values()) / 2000
+    shared = prose(999, 30)
+    rows = [(i, f"{t} {shared}") for i, t in rows]
+    expected = brute_force(rows, 20)
+    got = found(documents(rows), block_bytes=3000)
+    assert sum(r[1] for _, _, r in got) == sum(r[1] for r in expected.values()) > 0
+    assert all(expected[i, t][0] == r[0] and (i in (None, -5) or expected[i, t] == r) for i, t, r in got)
+
+
 def test_nulls_short_and_repeated_rows(documents, prose):
     long = prose(1, 40)
     rows = [(None, long), (1, None), (2, ""), (3, "few words"), (4, long), (4, long), (5, " \t\n " + long + " \x0b")]
