@@ -1,10 +1,9 @@
-"""Documents in blocks of neighbouring ids, and texts compressed for the way through a shuffle."""
+"""Documents in blocks of even size, and texts compressed for the way through a shuffle."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -12,41 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askgrid.llm.ranges import below
 
-
-#: Points of the sample of texts in a block, on average.
-POINTS = 64
+def block_count(docs: DataFrame, block_bytes: int) -> int:
+    """Blocks of `block_bytes` that the texts of `docs` fill, at least one."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"]
+    return max(1, -(-(total or 0) // block_bytes))
 
 
 def with_block(docs: DataFrame, block_bytes: int, to: str = "block") -> DataFrame:
-    """Add the number of a row's block: a range of (doc_id, hash of the text), about `block_bytes` of text.
+    """Add the number of a row's block, about `block_bytes` of text each.
 
-    Bounds are quantiles by bytes of a sample, POINTS per block, drawn by hash, so they don't depend on
-    how ids are spread, and rows without an id or with one id are split by their texts. Rows equal in id
-    and text are in one block. Bounds go to the rows as a literal. `doc_id` has to be a number; nulls first.
+    Rows are dealt out by a hash of (doc_id, text), so blocks come out even however ids are spread, and
+    rows without an id or with one id are dealt out like all others. Rows equal in id and text are in
+    one block. Only the total of bytes goes through the driver. `doc_id` has to be a number.
     """
-    key = [
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"),
-    ]
-    unit = max(1, block_bytes // POINTS)
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    drawn = docs.select(*key, size.alias("bytes")).withColumn(
-        "points", F.floor((F.col("bytes") + F.pmod(F.xxhash64("id", "tie", F.lit("drawn")), F.lit(unit))) / unit)
-    )
-    drawn = drawn.where("points > 0").groupBy("id", "tie").agg(F.sum("points").alias("points")).toArrow()
-    ids, ties, points = (drawn[c].to_numpy() for c in ("id", "tie", "points"))
-    order = np.lexsort((ties, ids))
-    number = np.cumsum(points[order]) // max(1, block_bytes // unit)
-    at = order[1:][number[1:] > number[:-1]]
-    if not len(at):
-        return docs.withColumn(to, F.lit(0).cast("long"))
-    listed = [F.split(F.lit(",".join(map(str, x[at].tolist()))), ",").cast("array<long>") for x in (ids, ties)]
-    bounds = F.arrays_zip(*listed).cast("array<struct<id:long,tie:long>>")
-    # The key is an element of an array so that it's computed once, not once for each step of the search.
-    found = F.transform(F.array(F.struct(*key)), lambda k: below(bounds, k, len(at)))
-    return docs.withColumn(to, F.element_at(found, 1).cast("long"))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.coalesce("text", F.lit("")))
+    return docs.withColumn(to, F.pmod(key, F.lit(block_count(docs, block_bytes)).cast("long")))
 
 
 def packed(df: DataFrame, to: str = "packed") -> DataFrame:
