@@ -76,5 +76,95 @@ select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_
 from dealt"""
 
 
+SUFFIX_SORT = """
+with texts as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
+),
+strings as (
+  select doc_id, s, substr(h, 2 * s + 1, 100) as x
+  from (select doc_id, h, unnest(range(n - 49)) as s from texts where n >= 50)
+),
+least as (select x, min(doc_id) as source from strings group by x having min(doc_id) < max(doc_id)),
+gone as (select doc_id, s from strings join least using (x) where doc_id > source),
+spans as (
+  select doc_id, min(s) as start, max(s) + 50 as stop
+  from (
+    select doc_id, s, sum(first) over (partition by doc_id order by s) as span
+    from (select doc_id, s, case when s - lag(s) over (partition by doc_id order by s) <= 50 then 0 else 1 end as first from gone)
+  )
+  group by doc_id, span
+),
+pieces as (
+  select doc_id, coalesce(lag(stop) over (partition by doc_id order by start), 0) as start, start as stop from spans
+  union all
+  select doc_id, max(stop), null from spans group by doc_id
+),
+kept as (
+  select p.doc_id, string_agg(substr(h, 2 * p.start + 1, 2 * (coalesce(p.stop, n) - p.start)), '' order by p.start) as h
+  from pieces p join texts t on t.doc_id = p.doc_id group by p.doc_id
+),
+sums as (select doc_id, sum(stop - start) as n_removed, count(*) as n_spans from spans group by doc_id)
+select t.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k.h, t.h))) as kept_sha256
+from texts t left join kept k on k.doc_id = t.doc_id left join sums s on s.doc_id = t.doc_id"""
+
+SPELLING = f"""
+with recursive steps as (
+  select list_transform(range(256), lambda i:
+    list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+),
+runs as (
+  select doc_id, run, count(*) as n
+  from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-z\u00c0-\u00ff]+')) as run
+    from documents
+  )
+  where length(run) >= 6 group by all
+),
+bytes as (
+  select run, n, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as digits from runs
+),
+hashed as (
+  select run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(length(digits) // 2), lambda i: cast('0x' || substr(digits, 2 * i + 1, 2) as bigint))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) as h
+  from bytes, steps
+),
+words as (
+  select word, cast(sum(n) as bigint) as n
+  from (
+    select n, case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word
+    from hashed
+  )
+  where length(word) >= 6 group by word having sum(n) >= 5
+),
+shorter as (select word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as p from words)),
+near as (
+  select a.word, b.word as near, b.n as near_n from shorter a join shorter b on a.p = b.p and a.rest = b.rest and a.word <> b.word
+  union
+  select s.word, w.word, w.n from shorter s join words w on w.word = s.rest
+  union
+  select w.word, s.word, s.n from shorter s join words w on w.word = s.rest
+),
+best as (
+  select *, count(*) over (partition by word) as n_near, row_number() over (partition by word order by near_n desc, near) as place from near
+),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 5 * w.n then near end as form, case when near_n >= 5 * w.n then near_n end as form_n
+  from words w left join best b on b.word = w.word and place = 1
+),
+chains as (
+  select word, word as root, form as next from forms
+  union all
+  select c.word, f.word, f.form from chains c join forms f on f.word = c.next
+)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n from forms f join chains c on c.word = f.word and c.next is null"""
+
 def all_oracles() -> dict[str, str]:
-    return {"op1_substrings": SUBSTRINGS, "op4_sharding": SHARDING, "op5_jaccard": JACCARD}
+    return {
+        "op1_substrings": SUBSTRINGS,
+        "op4_sharding": SHARDING,
+        "op5_jaccard": JACCARD,
+        "op12_suffix_sort": SUFFIX_SORT,
+        "op13_spelling": SPELLING,
+    }

@@ -16,9 +16,12 @@ from askgrid.llm import (
     oracles,
     quality,
     sharding,
+    spelling,
     substrings,
+    suffix_sort,
     suffix_tree,
     url_filters,
+    whitening,
 )
 
 
@@ -34,6 +37,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_quality": quality.op10_quality,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_suffix_sort": suffix_sort.op12_suffix_sort,
+        "op13_spelling": spelling.op13_spelling,
         "pipeline": corpus_pipeline.run,
     }
 
