@@ -51,6 +51,8 @@ BUCKET_BYTES = 16 << 20
 MOST_STRETCHES = 1 << 16
 #: Strings whose anchors are looked for at a time; bounds the memory of long texts.
 _SEGMENT = 1 << 20
+#: Strings that are sorted at a time, and stretches that are answered at a time.
+_STRINGS, _ANSWERS = 1 << 18, 1 << 14
 _ID_BYTES = 6  # bytes of an anchor's hash that are passed on
 _NO_ID = -(1 << 63)
 
@@ -158,15 +160,22 @@ class _Block:
         rows = np.zeros((len(self.first), head + self.length + self.most - 1), np.uint8)
         rows[:, :_ID_BYTES] = _as_bytes(self.hash)
         rows[:, 6], rows[:, 7] = self.place - self.first, self.number
-        step = np.arange(self.length + self.most - 1)
-        at = np.minimum(self.first[:, None] + step, max(0, len(self.text) - 1))
-        rows[:, head:] = np.where(step < (self.number + self.length - 1)[:, None], self.text[at], 0)
+        width = self.length + self.most - 1
+        rows[:, head:] = _cut(np.concatenate([self.text, np.zeros(width, np.uint8)]), self.first, width)
+        rows[:, head:][~_inside(rows, self.length)] = 0
         return rows
 
     def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A row of bytes per string of the chosen stretches, the stretch that it belongs to, and its place there."""
         stretch, offset = _expanded(self.number)
-        return self.text[(self.first[stretch] + offset)[:, None] + np.arange(self.length)], stretch, offset
+        return _cut(self.text, self.first[stretch] + offset, self.length), stretch, offset
+
+
+def _cut(text: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """The `width` bytes from each start on, as a matrix."""
+    if not len(starts):
+        return np.zeros((0, width), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(text, width)[starts]
 
 
 def _expanded(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,17 +353,19 @@ def _inside(stretches: np.ndarray, length: int) -> np.ndarray:
 def _sources(kept: np.ndarray, least: np.ndarray, length: int, most: int) -> np.ndarray:
     """For each string of each of the distinct stretches `kept` the least id of a document that has it."""
     source = np.repeat(least[:, None], most, 1)
+    if not len(kept):
+        return source
     hashes = _from_bytes(kept[:, :_ID_BYTES])
     order = np.argsort(hashes, kind="stable")
     at = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])[: len(order)])
     size = np.diff(np.append(at, len(order)))
-    # Anchors whose stretches differ: their strings, about _SEGMENT at a time.
+    # Anchors whose stretches differ: their strings, about _STRINGS at a time.
     strings = np.add.reduceat(kept[order, 7].astype(np.int64), at) * (size > 1)
-    turn = np.where(size > 1, (np.cumsum(strings) - strings) // _SEGMENT, -1)
+    turn = np.where(size > 1, (np.cumsum(strings) - strings) // _STRINGS, -1)
     for number in np.unique(turn[turn >= 0]):
         these = order[np.repeat(turn == number, size)]
         stretch, offset = _expanded(kept[these, 7])
-        rows = kept[these[stretch][:, None], 8 + offset[:, None] + np.arange(length)]
+        rows = _cut(kept.reshape(-1), these[stretch] * kept.shape[1] + 8 + offset, length)
         source[these[stretch], offset] = _least(least[these[stretch]], equal_groups(rows))
     return source
 
@@ -372,7 +383,8 @@ def _bucket_stretches(length: int, anchor: int, schema: pa.Schema):
         group = equal_groups(rows)
         kept, unit = np.unique(group, return_inverse=True)
         source = _sources(rows[kept], _least(ids, group)[kept], length, most)
-        return np.packbits(source[unit] < ids[:, None], axis=1)
+        parts = [slice(i, i + _ANSWERS) for i in range(0, len(ids), _ANSWERS)]
+        return np.concatenate([np.packbits(source[unit[p]] < ids[p, None], axis=1) for p in parts])
 
     def strings(pieces: pa.Table) -> np.ndarray:
         ids = _joined(pieces["ids"]).view("<i8")
@@ -413,7 +425,7 @@ def _without(length: int, anchor: int, buckets: int, schema: pa.Schema):
             start = first[row[inside]] + offset[inside]
             np.add.at(change, start, 1)
             np.add.at(change, start + length, -1)
-        covered = np.cumsum(change[:-1]) > 0
+        covered = np.cumsum(change[:-1], dtype=np.int32) > 0
         result = {"n_removed": [], "n_spans": [], "kept": []}
         for start, size in zip(block.starts.tolist(), block.sizes.tolist(), strict=True):
             gone = covered[start : start + size]
