@@ -277,11 +277,11 @@ def encode(df: DataFrame, vocabulary: Vocabulary, column: str = "text", to: str
     column that is called like `to` is replaced. Empty table: empty result.
     """
     kept = df.drop(to)
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast(vars(vocabulary))  # executors may lack the class
     names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary(**shared.value))
         for whole in batches:
             for batch in stretches(whole, column, 1 << 20):
                 ids, ends = encoder.encode([t or "" for t in batch.column(column).to_pylist()])

@@ -220,12 +220,12 @@ def score_quality(df: DataFrame, model: QualityModel, column: str = "text", to:
     column that is called like `to` is replaced. Empty table: empty result.
     """
     kept = df.drop(to)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(vars(model))  # executors may lack the class
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = shared.value
+        model = QualityModel(**shared.value)
         sizes = _Sizes(model.good, model.bad)
         for batch in batches:
             texts = batch.column(column).to_pylist()

@@ -104,7 +104,7 @@ def _anchors(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for whole in batches:
-            for batch in stretches(whole, "text", 8 << 20):
+            for batch in stretches(whole, "text", 2 << 20):
                 cut = [split_words(t) for t in batch.column("text").to_pylist()]
                 counts = np.array([len(c) for c in cut], np.int64)
                 hashes = known.of([w for c in cut for w in c])

@@ -12,7 +12,7 @@ import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words whose hashes a task keeps.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 
