@@ -1,89 +1,135 @@
-"""BM25 weights of a batch of chunks for a set of questions, within one task."""
+"""BM25 of a batch of chunks for a set of questions, within one task, scored only where terms meet."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from askgrid.functions.ranking import BestChunks, rounded
+from askgrid.functions.ranking import BestChunks, expanded, rounded
 
 K1, B = 1.2, 0.75
+#: Pairs of a question's term and a chunk that are scored at a time.
+_STEP = 1 << 20
+#: More than sums can be off by; a bound is lowered by it before it rules something out.
+_SLACK = 1e-6
+
+
+class Postings:
+    """The chunks of a batch by term, each with its saturated frequency and a term's greatest one."""
+
+    def __init__(self, terms: pa.Array, counts: pa.Array, lengths: np.ndarray, vocabulary: int, mean_length: float):
+        self.rows = len(lengths)
+        row = np.repeat(np.arange(self.rows), np.diff(terms.offsets.to_numpy()))
+        term = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        count = counts.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        order = np.lexsort((row, term))
+        self.row, term, count = row[order], term[order], count[order]
+        self.key = term * self.rows + self.row
+        self.saturated = count / (count + K1 * (1 - B + B * lengths[self.row] / mean_length))
+        self.start = np.searchsorted(term, np.arange(vocabulary))
+        self.size = np.bincount(term, minlength=vocabulary)
+        self.most = np.zeros(vocabulary)
+        met = self.size > 0
+        if met.any():
+            self.most[met] = np.maximum.reduceat(self.saturated, self.start[met])
+
+    def weights(self, term: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Saturated frequency of each term in the chunk beside it; 0 if it isn't there."""
+        if not len(self.key):
+            return np.zeros(len(term))
+        key = term * self.rows + row
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.saturated[at], 0.0)
 
 
 class QuestionTerms:
-    """The terms of some questions with their weights, grouped by term in code-point order."""
-
-    def __init__(self, question: np.ndarray, term: list[str], weight: np.ndarray, mean_length: float):
-        rows = pd.DataFrame({"question": question, "term": term, "weight": weight}).sort_values(["term", "question"])
-        code, vocabulary = pd.factorize(rows["term"])
-        self.vocabulary = pa.array(vocabulary.tolist(), pa.string())
-        self.question = rows["question"].to_numpy(dtype=np.int64)
-        self.weight = rows["weight"].to_numpy(dtype=np.float64)
-        self.start = np.searchsorted(code, np.arange(len(vocabulary) + 1))
-        self.mean_length = mean_length
-
-    def occurrences(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, term and saturated frequency of each of these terms in each chunk, by term."""
-        lists = tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens
-        length = np.diff(lists.offsets.to_numpy())
-        row = np.repeat(np.arange(len(lists)), length)
-        term = pc.fill_null(pc.index_in(lists.flatten(), value_set=self.vocabulary), -1).to_numpy()
-        known = term >= 0
-        pair, frequency = np.unique(term[known].astype(np.int64) * len(lists) + row[known], return_counts=True)
-        term, row = np.divmod(pair, len(lists))
-        saturated = frequency / (frequency + K1 * (1 - B + B * length[row] / self.mean_length))
-        return row, term, saturated
-
-    def score_tiles(self, tokens: pa.Array, questions: int, size: int = 256) -> Iterator[tuple[int, np.ndarray]]:
-        """First question and scores (questions x chunks) of each tile; 0 where no term is shared."""
-        row, term, saturated = self.occurrences(tokens)
-        present = np.unique(term)
-        bounds = np.searchsorted(term, present), np.searchsorted(term, present, side="right")
-        for first in range(0, questions, size):
-            scores = np.zeros((min(size, questions - first), len(tokens)))
-            for t, low, high in zip(present, *bounds):
-                mine = slice(self.start[t], self.start[t + 1])
-                asked, weight = self.question[mine], self.weight[mine]
-                inside = (asked >= first) & (asked < first + size)
-                if inside.any():
-                    scores[np.ix_(asked[inside] - first, row[low:high])] += np.outer(
-                        weight[inside], saturated[low:high]
-                    )
-            yield first, rounded(scores)
-
-
-class TextScores:
-    """What one task learns about its chunks: the best k per question and, for given (score,
-    chunk) marks of each question, how many chunks rank before them.
-    """
-
-    def __init__(self, terms: QuestionTerms, k: int, marks: Sequence[tuple[Sequence[float], Sequence]]):
-        self.terms = terms
-        self.best = BestChunks(len(marks), k)
-        self.marks = marks
-        self.ahead = [[0] * len(scores) for scores, _ in marks]
-
-    def add(self, tokens: pa.Array, chunks: np.ndarray) -> None:
-        if not len(chunks):
-            return
-        for start, scores in self.terms.score_tiles(tokens, len(self.marks)):
-            self.best.add(start, scores, chunks, scores > 0)
-            for question, row in enumerate(scores, start):
-                for i, (score, chunk) in enumerate(zip(*self.marks[question])):
-                    tied = np.nonzero(row == score)[0]
-                    before = int((row > score).sum()) + int((chunks[tied] < chunk).sum())
-                    self.ahead[question][i] += before
-
-    def table(self, questions: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-        """Rows of question, chunk and either the score of a best chunk or the count of a mark."""
-        best = self.best.best
-        rows = list(zip(questions[best["question"].to_numpy(dtype=np.int64)].tolist(), best["chunk"], best["score"]))
-        rows = [(q, c, s, None) for q, c, s in rows]
-        for question, (_, chunks), counts in zip(questions.tolist(), self.marks, self.ahead):
-            rows += [(question, c, None, n) for c, n in zip(chunks, counts)]
-        columns = zip(*rows) if rows else [[]] * len(schema)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+    """The terms of some questions with their weights: question, term and weight, one row each."""
+
+    def __init__(self, question: np.ndarray, term: np.ndarray, weight: np.ndarray, questions: int):
+        order = np.lexsort((term, question))
+        self.question, self.term, self.weight = question[order], term[order], weight[order]
+        self.questions = questions
+        self.start = np.searchsorted(self.question, np.arange(questions + 1))
+
+    def of_pairs(self, postings: Postings, question: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Scores of given pairs of a question and a chunk of the batch."""
+        pair, step = expanded(self.start[question + 1] - self.start[question])
+        at = self.start[question[pair]] + step
+        value = self.weight[at] * postings.weights(self.term[at], row[pair])
+        return rounded(np.bincount(pair, value, minlength=len(question)))
+
+    def matches(self, postings: Postings, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Question, row and score of all pairs that share a term and score at least the question's `floor`.
+
+        A question's terms that can't lift a chunk to the floor by themselves, all together, find no chunk:
+        only the postings of its other terms are gone through, and what those find is looked up for the rest.
+        """
+        most = self.weight * postings.most[self.term]
+        order = np.lexsort((most, self.question))
+        term, weight, most = self.term[order], self.weight[order], most[order]
+        before = np.concatenate([[0.0], np.cumsum(most)])
+        reach = before[1:] - before[self.start[self.question]]  # of this term and all lighter ones
+        light = reach < floor[self.question] - _SLACK
+        lights = np.bincount(self.question[light], minlength=self.questions)
+        rest = before[self.start[:-1] + lights] - before[self.start[:-1]]
+        many = np.where(light, 0, postings.size[term])
+        ends = np.concatenate([[0], np.cumsum(many)])[self.start]
+        turn = ends[:-1] // _STEP
+        for number in np.unique(turn[np.diff(ends) > 0]):
+            asked = np.flatnonzero(turn == number)
+            low = asked[0]
+            mine = slice(self.start[low], self.start[asked[-1] + 1])
+            at, step = expanded(many[mine])
+            at += mine.start
+            place = postings.start[term[at]] + step
+            key = (self.question[at] - low) * postings.rows + postings.row[place]
+            value = weight[at] * postings.saturated[place]
+            if len(asked) * postings.rows <= 8 * len(key):
+                total = np.bincount(key, value)
+                key = np.flatnonzero(total)
+                total = total[key]
+            else:
+                key, of = np.unique(key, return_inverse=True)
+                total = np.bincount(of, value)
+            question, row = np.divmod(key, postings.rows)
+            question += low
+            maybe = total + rest[question] >= floor[question] - _SLACK
+            question, row, total = question[maybe], row[maybe], total[maybe]
+            pair, step = expanded(lights[question])
+            at = self.start[question[pair]] + step
+            value = weight[at] * postings.weights(term[at], row[pair])
+            total = rounded(total + np.bincount(pair, value, minlength=len(question)))
+            enough = (total >= floor[question]) & (total > 0)
+            yield question[enough], row[enough], total[enough]
+
+
+class Marks:
+    """Given pairs of a question and a chunk id, with scores once they are known."""
+
+    def __init__(self, question: np.ndarray, chunk: np.ndarray, score: np.ndarray, questions: int):
+        self.question, self.chunk, self.score = question, chunk.astype(object), score
+        self.ahead = np.zeros(len(question), np.int64)
+        self.floor = np.full(questions, np.inf)
+        np.minimum.at(self.floor, question, score)
+
+    def count(self, question: np.ndarray, score: np.ndarray, code: np.ndarray, own_code: np.ndarray) -> None:
+        """Count for each mark the pairs of its question that rank before it: by score, then by the code of
+        the chunk's id (`own_code`: the marks' own)."""
+        rows = np.concatenate([self.question, question])
+        scores = np.concatenate([self.score, score])
+        codes = np.concatenate([own_code, code])
+        pair = np.arange(len(rows)) >= len(self.question)
+        order = np.lexsort((pair, codes, -scores, rows))
+        before = np.cumsum(pair[order])
+        new = np.concatenate([[True], rows[order][1:] != rows[order][:-1]])
+        group = np.cumsum(new) - 1
+        base = (before - pair[order])[new][group]
+        mark = ~pair[order]
+        self.ahead[order[mark]] += (before - base)[mark]
+
+
+def best_by_text(best: BestChunks, terms: QuestionTerms, postings: Postings, chunks: np.ndarray) -> None:
+    for question, row, score in terms.matches(postings, best.floor):
+        best.add_pairs(question, score, chunks[row])

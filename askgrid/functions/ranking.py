@@ -1,13 +1,12 @@
 """The best k chunks per question, within one task.
 
-Used inside `mapInArrow` and cogrouped `applyInArrow`; Spark partitions the chunks, and merges
-the tasks' results with a window afterwards.
+Used inside `mapInArrow`; Spark partitions the chunks, and merges the tasks' results with a window
+afterwards.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 SCORE_DIGITS = 9
@@ -38,45 +37,65 @@ def identifiers(column: pa.Array) -> np.ndarray:
     return column.to_pandas().to_numpy()
 
 
+def expanded(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0 to n - 1 for each of `numbers`, with the place of the number: (places, steps)."""
+    places = np.repeat(np.arange(len(numbers)), numbers)
+    return places, np.arange(len(places)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
+
+
 class BestChunks:
-    """Running best k of every question, best first, ties by chunk id."""
+    """Running best k of every question in arrays of fixed size, best first, ties by chunk id.
 
-    def __init__(self, questions: int, k: int):
+    `floor` holds for each question a score that its k-th best chunk reaches at least, if known ahead;
+    chunks below it are left out.
+    """
+
+    def __init__(self, questions: int, k: int, floor: np.ndarray | None = None):
         self.k = k
-        self.floor = np.full(questions, -np.inf)
-        kinds = {"question": "int64", "chunk": "object", "score": "float64"}
-        self.best = pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in kinds.items()})
+        self.floor = np.full(questions, -np.inf) if floor is None else np.array(floor, np.float64)
+        self.scores = np.full((questions, k), -np.inf)
+        self.chunks = np.full((questions, k), None, object)
 
-    def add(self, start: int, scores: np.ndarray, chunks: np.ndarray, matched: np.ndarray | None = None) -> None:
+    def add(self, start: int, scores: np.ndarray, chunks: np.ndarray) -> None:
         """Take in scores of some questions (rows, from `start` on) for some chunks (columns)."""
-        rows, columns = scores.shape
-        stop = start + rows
-        limit = self.floor[start:stop]
-        if columns > self.k:
-            limit = np.maximum(limit, np.partition(scores, columns - self.k, axis=1)[:, columns - self.k])
-        enough = scores >= limit[:, None]
-        if matched is not None:
-            enough &= matched
-        question, chunk = np.nonzero(enough)
+        limit = self.floor[start : start + len(scores)].copy()
+        open_ = ~np.isfinite(limit)
+        if scores.shape[1] > self.k and open_.any():
+            place = scores.shape[1] - self.k
+            limit[open_] = np.partition(scores[open_], place, axis=1)[:, place]
+        question, chunk = np.nonzero(scores >= limit[:, None])
+        self.add_pairs(question + start, scores[question, chunk], chunks[chunk])
+
+    def add_pairs(self, question: np.ndarray, score: np.ndarray, chunk: np.ndarray) -> None:
+        """Take in scores of single pairs of a question and a chunk."""
+        enough = score >= self.floor[question]
+        question, score, chunk = question[enough], score[enough], chunk[enough]
         if not len(question):
             return
-        found = pd.DataFrame(
-            {"question": question + start, "chunk": chunks[chunk], "score": scores[question, chunk]}
-        )
-        own = self.best["question"].between(start, stop - 1)
-        merged = pd.concat([self.best[own], found]) if own.any() else found
-        merged = merged.sort_values(["question", "score", "chunk"], ascending=[True, False, True])
-        merged = merged[merged.groupby("question").cumcount() < self.k]
-        full = merged.groupby("question")["score"].agg(["size", "min"])
-        full = full[full["size"] == self.k]
-        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
-        others = self.best[~own]
-        self.best = pd.concat([others, merged]) if len(others) else merged
+        asked = np.unique(question)
+        held = self.scores[asked] > -np.inf
+        question = np.concatenate([np.repeat(asked, held.sum(1)), question])
+        score = np.concatenate([self.scores[asked][held], score])
+        chunk = np.concatenate([self.chunks[asked][held], chunk.astype(object)])
+        code = np.unique(chunk, return_inverse=True)[1]
+        order = np.lexsort((code, -score, question))
+        question, score, chunk = question[order], score[order], chunk[order]
+        first = np.flatnonzero(np.concatenate([[True], question[1:] != question[:-1]]))
+        place = np.arange(len(question)) - np.repeat(first, np.diff(np.append(first, len(question))))
+        best = place < self.k
+        self.scores[question[best], place[best]] = score[best]
+        self.chunks[question[best], place[best]] = chunk[best]
+        self.floor[asked] = np.maximum(self.floor[asked], self.scores[asked, self.k - 1])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Question, chunk id and score of all that is held."""
+        question, place = np.nonzero(self.scores > -np.inf)
+        return question, self.chunks[question, place], self.scores[question, place]
 
     def table(self, questions: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
         """Columns question id, chunk id, score, in the types of `schema`."""
-        rows = self.best["question"].to_numpy(dtype=np.int64)
-        data = [questions[rows], self.best["chunk"].to_numpy(), self.best["score"].to_numpy(dtype=np.float64)]
+        question, chunk, score = self.found()
+        data = [questions[question], chunk, score]
         return pa.RecordBatch.from_arrays(
             [pa.array(d, type=f.type, from_pandas=True) for d, f in zip(data, schema)], schema=schema
         )

@@ -1,145 +1,198 @@
 """BM25 search of chunks, and its fusion with the vector search. Exact.
 
-The chunks' text is read where it lies; only questions, term statistics and, per task and
-question, at most k results move. A common word therefore costs no join rows. Beyond
-`broadcast_bytes` of questions, chunks are cut into blocks of bounded size, and question and
-block meet in an equi-join if they share a term.
+One plan for any number of questions and chunks. Questions are cut into slices of bounded size. For a slice the
+chunks' texts are cut into words once, where they lie, and written as postings: of each chunk its length
+and, of the slice's words alone, which it has and how often. The searches read these numbers. In a task
+they are turned into lists by word, and a question meets only the chunks that its weightier words are in (see
+`functions.bm25`). No chunk is shuffled, and what tasks pass on is bounded as in the vector search.
 """
 
 from __future__ import annotations
 
-import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askgrid.functions import fixed_values as fixed
-from askgrid.functions.bm25 import QuestionTerms, TextScores
-from askgrid.functions.ranking import identifiers
+from askgrid.functions.bm25 import Marks, Postings, QuestionTerms, best_by_text
+from askgrid.functions.ranking import BestChunks, identifiers
 from askgrid.functions.text import tokens
-from askgrid.operators.retrieval import BROADCAST_BYTES, arrow_schema, keep_best, result_schema, topk_by_vector
-from askgrid.session import materialise
+from askgrid.operators.retrieval import (
+    FIRST_ROWS,
+    GROWTH,
+    SLICE_BYTES,
+    Share,
+    arrow_schema,
+    each_slice,
+    keep_best,
+    result_schema,
+    search_with_floors,
+    slices,
+    topk_by_vector,
+)
+from askgrid.session import materialise_measured
 
-BLOCK_ROWS = 4096
 FUSION_CONSTANT = 60
 
 
-# No text has the empty word; it stands for all chunks in the frequency table.
-_EVERY_CHUNK = ""
+def _question_words(questions: DataFrame, question: str) -> DataFrame:
+    """question_id and words, of the questions that have any."""
+    words = questions.select("question_id", tokens(F.col(question)).alias("words"))
+    return words.filter(F.size("words") > 0)
 
 
-def term_frequencies(
-    chunks: DataFrame, text: str, wanted: DataFrame | None = None, broadcast_bytes: int = 8 << 20
-) -> DataFrame:
-    """Rows `term, document_frequency, words`, in one pass over the chunks.
-
-    The row of the empty term has the number of chunks and the sum of their lengths in words. With
-    `wanted` (rows `term`), only those terms: up to `broadcast_bytes` of them go to the tasks, so no
-    other word is counted or shuffled; beyond that the counts are filtered after the shuffle.
-    """
-    every = F.col("term") == _EVERY_CHUNK
-    words = chunks.select(tokens(F.col(text)).alias("tokens")).select(
-        F.size("tokens").alias("length"),
-        F.explode(F.array_append(F.array_distinct("tokens"), _EVERY_CHUNK)).alias("term"),
-    )
-    if wanted is not None:
-        wanted = materialise(wanted, "wanted")
-        size = wanted.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
-        if size <= broadcast_bytes:
-            words = words.join(F.broadcast(wanted), "term", "left_semi")
-            wanted = None
-    counts = (
-        words.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("document_frequency"), F.sum(F.when(every, F.col("length"))).alias("words"))
-    )
-    return counts if wanted is None else counts.join(wanted, "term", "left_semi")
-
-
-def question_terms(questions: DataFrame, question: str) -> DataFrame:
-    """Rows `question_id, term, repeats`."""
-    return (
-        questions.select("question_id", F.explode(tokens(F.col(question))).alias("term"))
-        .groupBy("question_id", "term")
-        .agg(F.count(F.lit(1)).alias("repeats"))
-    )
-
-
-def with_tokens(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("tokens", tokens(F.col("text"))).drop("text")
+def _size(k: int):
+    """Bytes that a question takes in the tasks: its words, and k chunks with their scores."""
+    return F.octet_length(F.array_join("words", " ")) + 48 * F.size("words") + 96 * k
 
 
 class _TextSearch:
-    """The parts that the searches below share: chunk tokens, weighted questions, their size."""
-
-    def __init__(
-        self, questions: DataFrame, chunks: DataFrame, question: str, text: str, broadcast_bytes: int, k: int
-    ):
-        self.spark = questions.sparkSession
-        self.question_type = questions.schema["question_id"].dataType
-        self.chunk_type = chunks.schema["chunk_id"].dataType
-        self.texts = chunks.select("chunk_id", F.col(text).alias("text"))
-        self.tokens = with_tokens(self.texts)
-
-        terms = question_terms(questions, question)
-        wanted = terms.select("term").union(self.spark.createDataFrame([(_EVERY_CHUNK,)], "term STRING")).distinct()
-        # Written, since a pass over all chunks is behind it.
-        frequency = materialise(term_frequencies(chunks, text, wanted), "frequency")
-        total = frequency.filter(F.col("term") == _EVERY_CHUNK).first()
-        self.chunk_count, length = (total["document_frequency"], total["words"]) if total else (0, 0)
-        self.mean_length = max(length / max(self.chunk_count, 1), 1.0)
-
+    """A slice of the questions with the weights of their words, and the postings of these words."""
+
+    def __init__(self, part: DataFrame, chunks: DataFrame, text: str, share: Share):
+        collected = part.toArrow()
+        self.share = share
+        self.ids = identifiers(collected["question_id"])
+        lists = collected["words"].combine_chunks()
+        words = lists.flatten().dictionary_encode()
+        self.vocabulary = words.dictionary
+        index = self._index(chunks, text)
+        self.postings, sums = materialise_measured(index, "postings", rows=F.lit(1), length=F.col("length"))
+        self.rows, self.mean_length = sums["rows"], max(sums["length"] / max(sums["rows"], 1), 1.0)
+        # A row per word of the slice.
+        counted = self.postings.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
+        frequency = np.zeros(len(self.vocabulary))
+        frequency[counted["term"].to_numpy()] = counted["count"].to_numpy()
         # A term's weight is its rarity times its repeats in the question.
-        df = F.col("document_frequency")
-        rarity = F.log1p((self.chunk_count - df + 0.5) / (df + 0.5))
-        weights = terms.join(frequency, "term").select("question_id", "term", (rarity * F.col("repeats")).alias("weight"))
-        self.weights = materialise(weights, "weights")
-        # Per term of a question the term and 32 bytes for its weight and numbers; per question
-        # 64 bytes for each of k results.
-        self.question_count, size = self.weights.agg(
-            F.count_distinct("question_id"), F.sum(F.octet_length("term") + 32)
-        ).first()
-        self.fits = (size or 0) + self.question_count * k * 64 <= broadcast_bytes
-
-    @functools.cached_property
-    def shared_terms(self):
-        """Question ids and the rows of their terms, sent to every task. Only if `fits`."""
-        rows = self.weights.toArrow().to_pandas()
-        number, ids = rows["question_id"].factorize(sort=True)
-        # Plain arrays: a broadcast value is unpickled without this package.
-        shared = (np.asarray(ids), number, rows["term"].tolist(), rows["weight"].to_numpy())
-        return self.spark.sparkContext.broadcast(shared)
-
-    def blocks(self, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Chunks by block, and questions by block that has one of their terms."""
-        block_count = max(1, math.ceil(self.chunk_count / BLOCK_ROWS))
-        parts = max(1, math.ceil(self.question_count / BLOCK_ROWS))
-        chunks = self.tokens.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(block_count)).cast("int"))
-        terms_in_block = chunks.select(
-            F.col("block").alias("visited"), F.explode(F.array_distinct("tokens")).alias("term")
-        ).distinct()
-        visits = self.weights.select("question_id", "term").join(terms_in_block, "term")
-        visits = visits.select("question_id", "visited").distinct()
-        packed = self.weights.groupBy("question_id").agg(
-            F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")
+        rarity = np.log1p((self.rows - frequency + 0.5) / (frequency + 0.5))
+        number = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        pair, repeats = np.unique(
+            number * len(self.vocabulary) + words.indices.to_numpy().astype(np.int64), return_counts=True
         )
-        packed = packed.join(marks, "question_id", "left")
-        right = visits.join(packed, "question_id").withColumn(
-            "part", F.pmod(F.xxhash64("question_id"), F.lit(parts)).cast("int")
+        question, term = np.divmod(pair, max(1, len(self.vocabulary)))
+        self.terms = share((question, term, rarity[term] * repeats))
+
+    def _index(self, chunks: DataFrame, text: str) -> DataFrame:
+        """chunk_id, length (in words), terms (places in the vocabulary) and counts of all chunks."""
+        id_type = chunks.schema["chunk_id"].dataType
+        schema = T.StructType(
+            [
+                T.StructField("chunk_id", id_type),
+                T.StructField("length", T.LongType()),
+                T.StructField("terms", T.ArrayType(T.IntegerType())),
+                T.StructField("counts", T.ArrayType(T.IntegerType())),
+            ]
         )
-        left = chunks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        return left, right
+        out, vocabulary = arrow_schema(schema), self.share(self.vocabulary)
 
-
-def _terms_of_block(question_rows: pa.Table, mean_length: float) -> QuestionTerms:
-    terms = question_rows["terms"].combine_chunks()
-    number = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
-    weight = question_rows["weights"].combine_chunks().flatten().to_numpy()
-    return QuestionTerms(number, terms.flatten().to_pylist(), weight, mean_length)
+        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = vocabulary.value
+            for batch in batches:
+                lists = batch.column(1)
+                length = np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(len(lists)), length)
+                term = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy().astype(np.int64)
+                pair, count = np.unique(row[term >= 0] * len(known) + term[term >= 0], return_counts=True)
+                row, term = np.divmod(pair, max(1, len(known)))
+                ends = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
+                columns = [batch.column(0), pa.array(length.astype(np.int64))]
+                columns += [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (term, count)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out)], schema=out)
+
+        words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
+        return chunks.select("chunk_id", words.alias("words")).mapInArrow(index, schema)
+
+    def reader(self):
+        """What a task makes of a batch of postings, and of the slice's questions."""
+        terms, questions = self.terms, len(self.ids)
+        vocabulary, mean_length = len(self.vocabulary), self.mean_length
+
+        def questions_() -> QuestionTerms:
+            return QuestionTerms(*terms.value, questions)
+
+        def postings(batch: pa.RecordBatch) -> Postings:
+            lengths = batch.column("length").to_numpy()
+            return Postings(batch.column("terms"), batch.column("counts"), lengths, vocabulary, mean_length)
+
+        return questions_, postings
+
+    def best(self, k: int, question_type: T.DataType, first_rows: int, growth: int) -> DataFrame:
+        """The k best chunks per question that share a word, ranked."""
+        schema = result_schema(question_type, self.postings.schema["chunk_id"].dataType)
+        out, ids = arrow_schema(schema), self.share(self.ids)
+        questions, postings = self.reader()
+
+        def search(chunks: DataFrame, floor: np.ndarray) -> DataFrame:
+            floors = self.share(floor)
+
+            def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                asked = questions()
+                best = BestChunks(len(ids.value), k, floors.value)
+                for batch in batches:
+                    if batch.num_rows:
+                        best_by_text(best, asked, postings(batch), identifiers(batch.column("chunk_id")))
+                yield best.table(ids.value, out)
+
+            return chunks.mapInArrow(scan, schema)
+
+        return keep_best(search_with_floors(self.postings, self.rows, self.ids, k, search, first_rows, growth), k)
+
+    def ranks(self, pairs: DataFrame, question_type: T.DataType) -> DataFrame:
+        """question_id, chunk_id and text_rank of given pairs that share a word: one more than the chunks before
+        them in the list of all that share a word. At most k pairs per question pass through the driver."""
+        given = pairs.toArrow()
+        place = {q: i for i, q in enumerate(self.ids.tolist())}
+        asked = np.array([place.get(q, -1) for q in given["question_id"].to_pylist()], np.int64)
+        chunk = identifiers(given["chunk_id"])[asked >= 0]
+        asked = asked[asked >= 0]
+        shared = self.share((asked, chunk))
+        questions, postings = self.reader()
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, known = questions(), shared.value
+            for batch in batches:
+                if not batch.num_rows or not len(known[0]):
+                    continue
+                ids = identifiers(batch.column("chunk_id"))
+                by_id = np.argsort(ids)
+                at = np.minimum(np.searchsorted(ids[by_id], known[1]), len(ids) - 1)
+                mark = np.flatnonzero(ids[by_id[at]] == known[1])
+                scores = own.of_pairs(postings(batch), known[0][mark], by_id[at[mark]])
+                yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(scores)], ["mark", "score"])
+
+        # A number per mark: at most k for each question of the slice.
+        scored = self.postings.mapInArrow(score, "mark long, score double").filter("score > 0").toArrow()
+        mark = scored["mark"].to_numpy()
+        values = (asked[mark], chunk[mark], scored["score"].to_numpy(), len(self.ids))
+        marks = self.share(values)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, counted = questions(), Marks(*marks.value)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = identifiers(batch.column("chunk_id")).astype(object)
+                code = np.unique(np.concatenate([ids, counted.chunk]), return_inverse=True)[1]
+                for question, row, score in own.matches(postings(batch), counted.floor):
+                    counted.count(question, score, code[row], code[len(ids) :])
+            number = np.flatnonzero(counted.ahead)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(counted.ahead[number])], ["mark", "ahead"])
+
+        ahead = self.postings.mapInArrow(count, "mark long, ahead long").groupBy("mark").agg(F.sum("ahead").alias("ahead"))
+        rank = np.ones(len(mark), np.int64)
+        found = ahead.toArrow()
+        rank[found["mark"].to_numpy()] += found["ahead"].to_numpy()
+        chunk_type = self.postings.schema["chunk_id"].dataType
+        fields = result_schema(question_type, chunk_type).fields[:2]
+        schema = T.StructType([*fields, T.StructField("text_rank", T.LongType())])
+        columns = [self.ids[values[0]], values[1], rank]
+        table = pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow_schema(schema))], arrow_schema(schema))
+        return pairs.sparkSession.createDataFrame(table, schema)
 
 
 def topk_by_text(
@@ -149,108 +202,20 @@ def topk_by_text(
     *,
     question: str = "question",
     text: str = fixed.CHUNK_CONTENT_FIELD,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    slice_bytes: int = SLICE_BYTES,
+    first_rows: int = FIRST_ROWS,
+    growth: int = GROWTH,
 ) -> DataFrame:
     """Rows `question_id, rank, chunk_id, score`: the k best chunks that share a word, by BM25."""
-    search = _TextSearch(questions, chunks, question, text, broadcast_bytes, k)
-    none = search.weights.select("question_id", _no_marks(search)).limit(0)
-    return keep_best(_text_scores(search, k, none).filter("score is not null").drop("ahead"), k)
-
-
-def _no_marks(search: _TextSearch):
-    chunks = T.ArrayType(search.chunk_type)
-    return F.struct(
-        F.lit(None).cast("array<double>").alias("scores"), F.lit(None).cast(chunks).alias("chunks")
-    ).alias("marks")
+    question_type = questions.schema["question_id"].dataType
+    words = _question_words(questions, question)
 
+    def searched(part: DataFrame, share: Share) -> DataFrame:
+        return _TextSearch(part, chunks, text, share).best(k, question_type, first_rows, growth)
 
-def _text_scores(search: _TextSearch, k: int, marks: DataFrame) -> DataFrame:
-    """One pass over the chunks: rows `question_id, chunk_id, score, ahead`.
-
-    Each task passes on its k best chunks per question, with their score, and for each marked
-    chunk (`question_id, marks`: arrays of scores and chunk ids) the number of its chunks that
-    rank before it.
-    """
-    schema = T.StructType(
-        [
-            T.StructField("question_id", search.question_type),
-            T.StructField("chunk_id", search.chunk_type),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("ahead", T.LongType()),
-        ]
-    )
-    out, mean_length = arrow_schema(schema), search.mean_length
-    if search.fits:
-        shared = search.shared_terms
-        # At most k marks for each question, which `fits` counts.
-        found = {r["question_id"]: (r["marks"]["scores"], r["marks"]["chunks"]) for r in marks.toArrow().to_pylist()}
-        known = search.spark.sparkContext.broadcast([found.get(q, ((), ())) for q in shared.value[0].tolist()])
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, *term_rows = shared.value
-            scores = TextScores(QuestionTerms(*term_rows, mean_length), k, known.value)
-            for batch in batches:
-                scores.add(batch.column(1), identifiers(batch.column(0)))
-            yield scores.table(ids, out)
-
-        return search.tokens.mapInArrow(scan, schema)
-
-    def meet(chunk_rows: pa.Table, question_rows: pa.Table) -> pa.Table:
-        marked = [(m["scores"], m["chunks"]) if m else ((), ()) for m in question_rows["marks"].to_pylist()]
-        scores = TextScores(_terms_of_block(question_rows, mean_length), k, marked)
-        if marked:
-            scores.add(chunk_rows["tokens"], identifiers(chunk_rows["chunk_id"]))
-        return pa.Table.from_batches([scores.table(identifiers(question_rows["question_id"]), out)])
-
-    left, right = search.blocks(marks)
-    met = left.groupBy("block", "part").cogroup(right.groupBy("visited", "part"))
-    return met.applyInArrow(meet, schema)
-
-
-def _pair_scores(search: _TextSearch, pairs: DataFrame) -> DataFrame:
-    """BM25 score of given `question_id, chunk_id` pairs; pairs without a shared term are left out.
-
-    Joined by key only: the pairs' chunks, then the questions' own terms. Each pair is scored
-    as a batch of one question by the same code as the searches, so scores agree to the bit.
-    """
-    packed = search.weights.groupBy("question_id").agg(
-        F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")
-    )
-    schema = result_schema(search.question_type, search.chunk_type)
-    out, mean_length = arrow_schema(schema), search.mean_length
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for i in range(batch.num_rows):
-                row = pa.Table.from_batches([batch.slice(i, 1)])
-                terms = _terms_of_block(row, mean_length)
-                _, tile = next(terms.score_tiles(row["tokens"], 1))
-                scores[i] = tile[0, 0]
-            table = pa.RecordBatch.from_arrays(
-                [batch.column("question_id"), batch.column("chunk_id"), pa.array(scores)], schema=out
-            )
-            yield table.filter(pa.array(scores > 0))
-
-    if search.fits:
-        # `fits` counts k pairs and the terms of every question. The chunks are then read in
-        # place, and only the paired ones cut into words.
-        pairs, packed = F.broadcast(pairs), F.broadcast(packed)
-    joined = with_tokens(search.texts.join(pairs, "chunk_id")).join(packed, "question_id")
-    return joined.select("question_id", "chunk_id", "tokens", "terms", "weights").mapInArrow(score, schema)
-
-
-def _as_marks(scored_pairs: DataFrame) -> DataFrame:
-    """A question's scored pairs, at most k, as one row."""
-    pairs = F.sort_array(F.collect_list(F.struct("score", "chunk_id")))
-    return (
-        scored_pairs.groupBy("question_id")
-        .agg(pairs.alias("_pairs"))
-        .select(
-            "question_id",
-            F.struct(F.col("_pairs.score").alias("scores"), F.col("_pairs.chunk_id").alias("chunks")).alias("marks"),
-        )
-    )
+    found = each_slice(slices(words, _size(k), slice_bytes), searched, "by_text")
+    schema = result_schema(question_type, chunks.schema["chunk_id"].dataType)
+    return keep_best(questions.sparkSession.createDataFrame([], schema), k) if found is None else found
 
 
 def topk_hybrid(
@@ -264,47 +229,39 @@ def topk_hybrid(
     chunk_vector: str = fixed.CHUNK_VECTOR_FIELD,
     text_recall: int | None = None,
     fusion_constant: int = FUSION_CONSTANT,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    slice_bytes: int = SLICE_BYTES,
+    first_rows: int = FIRST_ROWS,
+    growth: int = GROWTH,
 ) -> DataFrame:
     """Rows `question_id, rank, chunk_id, score` by reciprocal rank fusion of vectors and text.
 
     A chunk scores 1 / (constant + rank) in each list that has it: the k best by vector, and all
-    that share a word by BM25, or the `text_recall` best of them. A chunk found by text alone at a rank beyond k trails the k
-    chunks before it, so the text list is needed only to rank k, plus the text ranks of the
+    that share a word by BM25, or the `text_recall` best of them. A chunk found by text alone at a rank beyond k
+    trails the k chunks before it, so the text list is needed only to rank k, plus the text ranks of the
     chunks found by vector, which are counted. The result is that of the two full lists.
     """
     if text_recall is not None and text_recall < k:
         raise ValueError("text_recall must be at least k")
-    search = _TextSearch(questions, chunks, question, text, broadcast_bytes, k)
-    by_vector = topk_by_vector(
-        questions,
-        chunks,
-        k,
-        question_vector=question_vector,
-        chunk_vector=chunk_vector,
-        broadcast_bytes=broadcast_bytes,
-    ).select("question_id", "chunk_id", F.col("rank").alias("vector_rank"))
-    by_vector = materialise(by_vector, "by_vector")
+    sizes = {"slice_bytes": slice_bytes, "first_rows": first_rows, "growth": growth}
+    by_vector = topk_by_vector(questions, chunks, k, question_vector=question_vector, chunk_vector=chunk_vector, **sizes)
+    by_vector = by_vector.select("question_id", "chunk_id", F.col("rank").alias("vector_rank"))
+    question_type = questions.schema["question_id"].dataType
+    words = _question_words(questions, question)
     key = ["question_id", "chunk_id"]
-    pairs = _pair_scores(search, by_vector.select(*key))
-    # Written, since both the best texts and the counts are read from the one pass.
-    found = materialise(_text_scores(search, k, _as_marks(pairs)), "text_scores")
-    best_texts = keep_best(found.filter("score is not null").drop("ahead"), k)
-    by_text = best_texts.select(*key, F.col("rank").alias("text_rank"))
-    ranked_pairs = found.filter("ahead is not null").groupBy(*key).agg((F.sum("ahead") + 1).alias("counted_rank"))
-    counted = F.col("counted_rank")
+
+    def searched(part: DataFrame, share: Share) -> DataFrame:
+        search = _TextSearch(part, chunks, text, share)
+        pairs = by_vector.join(part.select("question_id"), "question_id", "left_semi").select(*key)
+        best = search.best(k, question_type, first_rows, growth).select(*key, F.col("rank").cast("long").alias("text_rank"))
+        return best.union(search.ranks(pairs, question_type)).groupBy(*key).agg(F.min("text_rank").alias("text_rank"))
+
+    by_text = each_slice(slices(words, _size(k), slice_bytes), searched, "text_ranks")
+    if by_text is None:
+        by_text = by_vector.select(*key, F.lit(None).cast("long").alias("text_rank")).limit(0)
     if text_recall is not None:
-        counted = F.when(counted <= text_recall, counted)
-    text_rank = F.coalesce(F.col("text_rank"), counted)
-    share = lambda rank: F.coalesce(F.lit(1.0) / (fusion_constant + rank), F.lit(0.0))
-    fused = (
-        by_vector.join(ranked_pairs, key, "left")
-        .join(by_text, key, "full")
-        .select(*key, (share(F.col("vector_rank")) + share(text_rank)).alias("score"))
-    )
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return (
-        fused.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("question_id", "rank", "chunk_id", "score")
+        by_text = by_text.filter(F.col("text_rank") <= text_recall)
+    share_of = lambda rank: F.coalesce(F.lit(1.0) / (fusion_constant + rank), F.lit(0.0))
+    fused = by_vector.join(by_text, key, "full").select(
+        *key, (share_of(F.col("vector_rank")) + share_of(F.col("text_rank"))).alias("score")
     )
+    return keep_best(fused, k)

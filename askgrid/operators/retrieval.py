@@ -1,37 +1,36 @@
 """The k chunks most similar to each question, by cosine of their vectors. Exact.
 
-Two ways, chosen by the measured size of the questions, never of the chunks:
-
-* Few questions (up to `broadcast_bytes` of vectors): the question matrix goes to every task,
-  the chunks are scanned where they lie, and each task passes on at most k rows per question.
-  The chunks are not shuffled.
-* More questions: chunks are put in cells around pivots, cells are cut into blocks of bounded
-  size, and a question visits only the cells that the triangle inequality cannot rule out. Both
-  sides meet in an equi-join on the block, so neither a question nor a cell that holds most
-  chunks lands in one task. Of many copies of one vector only the k that can win are kept.
+One plan for any number of questions and chunks. Questions are cut into slices of bounded size; a slice
+goes to every task, and the chunks are scanned where they lie, once for each slice. Vectors are not shuffled.
+
+What tasks pass on is bounded by the questions, not by tasks times questions: a sample of the chunks is
+searched first, and a question's k-th best score there is a floor that its best k of all chunks reach, so
+tasks pass on only chunks at or above it. The sample is searched in the same way (see `shares`).
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from askgrid.functions import fixed_values as fixed
 from askgrid.functions.ranking import BestChunks, add_similarities, identifiers, vector_matrix
-from askgrid.session import materialise
+from askgrid.session import materialise, materialise_measured
+
+#: Bytes of questions in a slice.
+SLICE_BYTES = 64 << 20
+#: Chunks that are searched without a floor, the tasks that do it if they are a sample, and how many times more
+#: chunks the next search may have. Each search passes on about that many times k rows per question.
+FIRST_ROWS, FIRST_TASKS, GROWTH = 1 << 17, 8, 256
 
-BROADCAST_BYTES = 64 << 20
-BLOCK_BYTES = 32 << 20
-CELLS = 256
-# Slack for the rounding of scores and distances when a cell is ruled out.
-_SLACK = 1e-7
+Share = Callable[[object], Broadcast]
 
 
 def result_schema(question_id: T.DataType, chunk_id: T.DataType) -> T.StructType:
@@ -58,6 +57,72 @@ def keep_best(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
+def slices(questions: DataFrame, size: Column, slice_bytes: int) -> Iterator[DataFrame]:
+    """The questions, written, in parts of about `slice_bytes` by a hash of their id. `size`: bytes of a question."""
+    questions, sums = materialise_measured(questions, "questions", bytes=size.cast("long"))
+    total = sums["bytes"]
+    parts = max(1, -(-total // slice_bytes))
+    part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
+    for number in range(parts if total else 0):
+        yield questions if parts == 1 else questions.filter(part == number)
+
+
+def each_slice(
+    parts: Iterator[DataFrame], search: Callable[[DataFrame, Share], DataFrame], name: str
+) -> DataFrame | None:
+    """The written results of `search(slice, share)` for all slices; None if there are none.
+
+    `share` sends a value to the tasks. What a slice has sent is let go once its result is written.
+    """
+    found = None
+    for part in parts:
+        sent: list[Broadcast] = []
+
+        def share(value, sent=sent):
+            sent.append(part.sparkSession.sparkContext.broadcast(value))
+            return sent[-1]
+
+        result = materialise(search(part, share), name)
+        found = result if found is None else found.unionByName(result)
+        for value in sent:
+            value.unpersist()
+    return found
+
+
+def shares(rows: int, first_rows: int = FIRST_ROWS, growth: int = GROWTH) -> list[int]:
+    """The samples to search ahead of `rows` chunks, each as one of how many chunks it has, smallest first."""
+    found, share = [], growth
+    while rows * growth > first_rows * share:
+        found.append(share)
+        share *= growth
+    return found[::-1]
+
+
+def search_with_floors(
+    chunks: DataFrame,
+    rows: int,
+    ids: np.ndarray,
+    k: int,
+    search: Callable[[DataFrame, np.ndarray], DataFrame],
+    first_rows: int = FIRST_ROWS,
+    growth: int = GROWTH,
+) -> DataFrame:
+    """`search(chunks, floor)` over all chunks, with the floors that searches of samples have found.
+
+    `search` gives `question_id, chunk_id, score`; `ids` are the questions of the slice and `floor` has a
+    score for each of them. Only floors, one number per question of the slice, pass through the driver.
+    """
+    place = {q: i for i, q in enumerate(ids.tolist())}
+    floor = np.full(len(ids), -np.inf)
+    for number, share in enumerate(shares(rows, first_rows, growth)):
+        sample = chunks.filter(F.pmod(F.xxhash64("chunk_id", F.lit("sample")), F.lit(share)) == 0)
+        best = keep_best(search(sample if number else sample.repartition(FIRST_TASKS), floor), k)
+        floor = floor.copy()
+        for row in best.filter(F.col("rank") == k).select("question_id", "score").toArrow().to_pylist():
+            floor[place[row["question_id"]]] = row["score"]
+    return search(chunks, floor)
+
+
 def topk_by_vector(
     questions: DataFrame,
     chunks: DataFrame,
@@ -65,9 +130,9 @@ def topk_by_vector(
     *,
     question_vector: str = "question_vector",
     chunk_vector: str = fixed.CHUNK_VECTOR_FIELD,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    block_bytes: int = BLOCK_BYTES,
-    cells: int = CELLS,
+    slice_bytes: int = SLICE_BYTES,
+    first_rows: int = FIRST_ROWS,
+    growth: int = GROWTH,
 ) -> DataFrame:
     """Rows `question_id, rank, chunk_id, score`, k per question (fewer if there are fewer chunks).
 
@@ -75,181 +140,28 @@ def topk_by_vector(
     vector are not searched. The cosine is kept to 9 decimals; ties go to the lower chunk id.
     """
     questions = questions.select("question_id", F.col(question_vector).alias("vector")).filter("vector is not null")
+    rows = chunks.select("chunk_id").count()
     chunks = chunks.select("chunk_id", F.col(chunk_vector).alias("vector")).filter("vector is not null")
-    count, width = questions.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     schema = result_schema(questions.schema["question_id"].dataType, chunks.schema["chunk_id"].dataType)
-    if not count:
-        scored = questions.sparkSession.createDataFrame([], schema)
-    elif count * width * 8 <= broadcast_bytes:
-        scored = _scan(questions, chunks, k, schema)
-    else:
-        scored = _visit_cells(questions, chunks, k, schema, count, width, block_bytes, cells)
-    return keep_best(scored, k)
-
-
-def _scan(questions: DataFrame, chunks: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    """Every task scores its chunks against all questions, whose size the caller has checked."""
-    collected = questions.toArrow()
-    ids, matrix = identifiers(collected["question_id"]), vector_matrix(collected["vector"])
-    shared = questions.sparkSession.sparkContext.broadcast((ids, matrix))
     out = arrow_schema(schema)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        question_ids, question_vectors = shared.value
-        best = BestChunks(len(question_ids), k)
-        for batch in batches:
-            add_similarities(best, question_vectors, vector_matrix(batch.column(1)), identifiers(batch.column(0)))
-        yield best.table(question_ids, out)
+    def searched(part: DataFrame, share: Share) -> DataFrame:
+        collected = part.toArrow()
+        asked = share((identifiers(collected["question_id"]), vector_matrix(collected["vector"])))
 
-    return chunks.mapInArrow(score, schema)
+        def search(chunks: DataFrame, floor: np.ndarray) -> DataFrame:
+            floors = share(floor)
 
+            def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                question_ids, question_vectors = asked.value
+                best = BestChunks(len(question_ids), k, floors.value)
+                for batch in batches:
+                    add_similarities(best, question_vectors, vector_matrix(batch.column(1)), identifiers(batch.column(0)))
+                yield best.table(question_ids, out)
 
-def _first_of_equal_vectors(chunks: DataFrame, k: int) -> DataFrame:
-    """The k lowest chunk ids of each distinct vector; no other copy can be among the best k.
-
-    Each task keeps at most k copies before the shuffle, however many there are.
-    """
-    copies = Window.partitionBy("vector").orderBy("chunk_id")
-    return chunks.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k).drop("copy")
+            return chunks.mapInArrow(score, schema)
 
+        return keep_best(search_with_floors(chunks, rows, asked.value[0], k, search, first_rows, growth), k)
 
-def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Straight-line distance between unit vectors, for which the triangle inequality holds."""
-    squared = (
-        np.einsum("ij,ij->i", vectors, vectors)[:, None]
-        + np.einsum("ij,ij->i", pivots, pivots)[None, :]
-        - 2 * vectors @ pivots.T
-    )
-    return np.sqrt(np.maximum(squared, 0.0))
-
-
-def _visit_cells(
-    questions: DataFrame,
-    chunks: DataFrame,
-    k: int,
-    schema: T.StructType,
-    question_count: int,
-    width: int,
-    block_bytes: int,
-    cells: int,
-) -> DataFrame:
-    spark = questions.sparkSession
-    question_type, chunk_type = schema["question_id"].dataType, schema["chunk_id"].dataType
-    vector_type = chunks.schema["vector"].dataType
-
-    # Pivots: `cells` chunks in an order that has nothing to do with their content.
-    picked = chunks.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(cells).select("vector").toArrow()
-    if not picked.num_rows:
-        return spark.createDataFrame([], schema)
-    pivots = spark.sparkContext.broadcast(vector_matrix(picked["vector"]))
-
-    placed_schema = T.StructType(
-        [
-            T.StructField("chunk_id", chunk_type),
-            T.StructField("vector", vector_type),
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    placed_arrow = arrow_schema(placed_schema)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            distances = _distances(vector_matrix(batch.column(1)), pivots.value)
-            cell = distances.argmin(axis=1)
-            near = distances[np.arange(len(cell)), cell]
-            columns = [batch.column(0), batch.column(1), pa.array(cell), pa.array(near)]
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) for c, f in zip(columns, placed_arrow)], schema=placed_arrow
-            )
-
-    placed = materialise(_first_of_equal_vectors(chunks, k).mapInArrow(place, placed_schema), "cells")
-    # At most `cells` rows, whatever the number of chunks.
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")).toPandas()
-    rows_per_block = max(1, block_bytes // (8 * width))
-    chunk_count = np.zeros(cells, dtype=np.int64)
-    radius = np.full(cells, -np.inf)
-    chunk_count[stats["cell"]], radius[stats["cell"]] = stats["n"], stats["radius"]
-    blocks = np.maximum(1, -(-chunk_count // rows_per_block))
-    question_parts = math.ceil(question_count / rows_per_block)
-    blocks_of = F.array(*(F.lit(int(b)) for b in blocks))[F.col("cell")]
-
-    chunk_blocks = placed.select(
-        "chunk_id",
-        "vector",
-        "cell",
-        F.pmod(F.xxhash64("chunk_id"), blocks_of).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(question_parts - 1))).alias("part"),
-    )
-
-    visit_schema = T.StructType(
-        [
-            T.StructField("question_id", question_type),
-            T.StructField("vector", questions.schema["vector"].dataType),
-            T.StructField("cell", T.IntegerType()),
-        ]
-    )
-    visit_arrow = arrow_schema(visit_schema)
-
-    def visits(first: bool):
-        """First: the nearest cells that together hold k chunks. Then: others still in reach."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                centres = pivots.value
-                n = len(centres)
-                distances = _distances(vector_matrix(batch.column("vector")), centres)
-                order = distances.argsort(axis=1, kind="stable")
-                before = np.cumsum(chunk_count[:n][order], axis=1) - chunk_count[:n][order]
-                nearest = np.zeros(distances.shape, dtype=bool)
-                np.put_along_axis(nearest, order, before < k, axis=1)
-                if first:
-                    wanted = nearest
-                else:
-                    gap = np.maximum(0.0, distances - np.maximum(radius[:n], 0.0)[None, :] - _SLACK)
-                    floor = batch.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)
-                    floor = np.where(np.isnan(floor), -np.inf, floor)
-                    wanted = ~nearest & (1 - gap**2 / 2 + _SLACK >= floor[:, None])
-                wanted &= (chunk_count[:n] > 0)[None, :]
-                row, cell = np.nonzero(wanted)
-                take = pa.array(row)
-                columns = [batch.column("question_id").take(take), batch.column("vector").take(take), pa.array(cell)]
-                yield pa.RecordBatch.from_arrays(
-                    [c.cast(f.type) for c, f in zip(columns, visit_arrow)], schema=visit_arrow
-                )
-
-        return run
-
-    out = arrow_schema(schema)
-
-    def score(chunk_rows: pa.Table, question_rows: pa.Table) -> pa.Table:
-        ids = identifiers(question_rows["question_id"])
-        best = BestChunks(len(ids), k)
-        if len(ids) and chunk_rows.num_rows:
-            add_similarities(
-                best,
-                vector_matrix(question_rows["vector"]),
-                vector_matrix(chunk_rows["vector"]),
-                identifiers(chunk_rows["chunk_id"]),
-            )
-        return pa.Table.from_batches([best.table(ids, out)])
-
-    def meet(visited: DataFrame) -> DataFrame:
-        key = ["cell", "block", "part"]
-        right = visited.select(
-            "question_id",
-            "vector",
-            "cell",
-            F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("block"),
-            F.pmod(F.xxhash64("question_id"), F.lit(question_parts)).cast("int").alias("part"),
-        )
-        return chunk_blocks.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, schema)
-
-    first = materialise(keep_best(meet(questions.mapInArrow(visits(True), visit_schema)), k), "nearest")
-    floors = first.filter(F.col("rank") == k).select("question_id", F.col("score").alias("floor"))
-    rest = meet(questions.join(floors, "question_id", "left").mapInArrow(visits(False), visit_schema))
-    return first.select("question_id", "chunk_id", "score").unionByName(rest)
+    found = each_slice(slices(questions, 8 * F.size("vector") + 64, slice_bytes), searched, "by_vector")
+    return keep_best(questions.sparkSession.createDataFrame([], schema), k) if found is None else found

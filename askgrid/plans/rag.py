@@ -14,6 +14,7 @@ from askgrid.functions.text import fill_template, tokens
 from askgrid.operators import conversation, embedding
 from askgrid.operators.columns import require_index_fields
 from askgrid.operators.lexical import topk_hybrid
+from askgrid.operators.membership import may_be_among
 from askgrid.operators.retrieval import topk_by_vector
 from askgrid.session import materialise
 
@@ -25,7 +26,8 @@ GeneratorClient = Callable[[Sequence[Sequence[tuple[str, str]]]], Sequence[str]]
 PolicyClient = Callable[[Sequence[Sequence[tuple[str, str]]]], Sequence[tuple[str | None, Sequence[str]]]]
 
 UNKNOWN_ANSWER = "I don't know."
-FOUND_ROWS_TO_BROADCAST = 200_000
+#: Bytes of search results (ids, ranks and scores) that are sent to all tasks at most.
+FOUND_BYTES_TO_BROADCAST = 64 << 20
 
 _MESSAGE = "array<struct<type: string, text: string>>"
 
@@ -39,23 +41,31 @@ def retrieve(
 ) -> DataFrame:
     """The best chunks of each question with their text: `question_id, rank, chunk_id, score, ...`.
 
-    The search result is written before its texts are fetched. Its size is then known: a small
-    one is sent to the chunks, which are read once more but not shuffled; a large one meets them
-    in a shuffled join on the chunk id.
+    The search result is written before its texts are fetched, so its size is known: up to
+    FOUND_BYTES_TO_BROADCAST it is sent to the chunks, which are read once more but not shuffled. A larger one
+    meets them in a shuffled join; then a Bloom filter of the found ids drops other chunks ahead of the exchange.
     """
     require_index_fields(chunks, fixed.CHUNK_VECTOR_FIELD, fixed.CHUNK_CONTENT_FIELD)
-    # Written, since the searches read the vectors several times and a client may make them.
-    questions = materialise(questions.select("question_id", "question", "question_vector"), "questions")
+    if search == "hybrid":
+        # Written, since both searches read it and a client may make the vectors.
+        questions = materialise(questions.select("question_id", "question", "question_vector"), "questions")
     if search == "vector":
         found = topk_by_vector(questions, chunks, k)
     elif search == "hybrid":
-        found = topk_hybrid(questions, chunks, k)
+        found = materialise(topk_hybrid(questions, chunks, k), "found")
     else:
         raise ValueError(f"search must be 'vector' or 'hybrid', not {search!r}")
-    found = materialise(found, "found")
-    if found.count() <= FOUND_ROWS_TO_BROADCAST:
-        found = F.broadcast(found)
-    return chunks.select("chunk_id", *columns).join(found, "chunk_id")
+    return fetch(found, chunks.select("chunk_id", *columns))
+
+
+def fetch(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A written search result with the columns of `chunks`, by chunk_id."""
+    size = 24 + sum(F.octet_length(F.col(c).cast("string")) for c in ("question_id", "chunk_id"))
+    total, rows = found.agg(F.sum(size), F.count(F.lit(1))).first()
+    if (total or 0) <= FOUND_BYTES_TO_BROADCAST:
+        return chunks.join(F.broadcast(found), "chunk_id")
+    wanted = found.select("chunk_id").distinct()
+    return chunks.filter(may_be_among(F.col("chunk_id"), wanted, rows)).join(found, "chunk_id")
 
 
 def add_best_sentence(rows: DataFrame, texts: Column, output: str = "answer") -> DataFrame:

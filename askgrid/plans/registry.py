@@ -20,7 +20,7 @@ from askgrid.operators import (
     summary,
 )
 from askgrid.plans import evaluation, index, rag, views
-from askgrid.session import materialise, work_folder
+from askgrid.session import work_folder
 from askgrid.sources import files
 from askgrid.sources import listing as listing_source
 from askgrid.streaming import conversation_state, new_documents
@@ -145,6 +145,13 @@ def _chunks(spark, folder):
     return index.chunk_table(views.source_documents(spark, folder), metadata=("title", "lang"))
 
 
+def _kept_chunks(spark, folder):
+    """The chunk table as it is kept: written once, then read by all passes of a search."""
+    path = f"{work_folder(spark)}/chunk_table"
+    files.write_chunk_table(_chunks(spark, folder), path)
+    return files.read_chunk_table(spark, path)
+
+
 def _questions(spark, folder):
     return embedding.embed_text(views.questions(spark, folder), "question", "question_vector")
 
@@ -170,7 +177,7 @@ def retrieve_topk(spark, folder):
 
 def retrieve_chunks(spark, folder):
     """The benchmark's texts as questions over all chunks of all documents, with the chunks' text."""
-    return rag.retrieve(_questions(spark, folder), _chunks(spark, folder), columns=("title", "chunk"))
+    return rag.retrieve(_questions(spark, folder), _kept_chunks(spark, folder), columns=("title", "chunk"))
 
 
 def retrieve_text(spark, folder):
@@ -178,9 +185,7 @@ def retrieve_text(spark, folder):
 
 
 def retrieve_hybrid(spark, folder):
-    # Several passes read the chunks, as they would a chunk table that is kept.
-    chunks = materialise(_chunks(spark, folder).select("chunk_id", "chunk", "text_vector"), "chunks")
-    found = lexical.topk_hybrid(_questions(spark, folder), chunks)
+    found = lexical.topk_hybrid(_questions(spark, folder), _kept_chunks(spark, folder))
     return _scores_to_nine(found)
 
 
@@ -194,7 +199,7 @@ def _joined(*names):
 
 
 def context_serialize(spark, folder):
-    found = rag.retrieve(_questions(spark, folder), _chunks(spark, folder))
+    found = rag.retrieve(_questions(spark, folder), _kept_chunks(spark, folder))
     return conversation.contexts(found).select("question_id", "joined", "serialised")
 
 
@@ -328,7 +333,7 @@ def eval_export(spark, folder):
 # --- whole runs ----------------------------------------------------------------------------
 def batch_rag(spark, folder):
     """Single-turn answers of the benchmark's texts over all chunks of all documents."""
-    answers = rag.answer_questions(_questions(spark, folder), _chunks(spark, folder), k=5, search="vector")
+    answers = rag.answer_questions(_questions(spark, folder), _kept_chunks(spark, folder), k=5, search="vector")
     return answers.select(
         "question_id", "answer", "source_names", F.col("prompt")[0]["text"].alias("prompt")
     ).withColumns(_joined("source_names"))
@@ -336,14 +341,14 @@ def batch_rag(spark, folder):
 
 def multiturn_rag(spark, folder):
     """Multi-turn answers as message rows, reduced to each thread's answer and sources."""
-    turns = rag.answer_turns(_questions(spark, folder), _chunks(spark, folder), search="vector")
+    turns = rag.answer_turns(_questions(spark, folder), _kept_chunks(spark, folder), search="vector")
     results = conversation.turn_results(turns)
     return results.select("thread_id", "messages", "answer", "source_names").withColumns(_joined("source_names"))
 
 
 def thread_rag(spark, folder):
     """Every conversation that waits for an answer, answered with its history in the prompt."""
-    answered = rag.answer_open_threads(views.messages(spark, folder), _chunks(spark, folder), search="vector")
+    answered = rag.answer_open_threads(views.messages(spark, folder), _kept_chunks(spark, folder), search="vector")
     names = F.flatten(F.transform("calls", lambda c: F.transform(c["documents"], lambda d: d["title"])))
     shown = F.transform("prompt", lambda m: F.concat(m["type"], F.lit(": "), m["text"]))
     return answered.select(
@@ -359,7 +364,7 @@ def thread_rag(spark, folder):
 def eval_run(spark, folder):
     """A truth set answered and scored end to end."""
     scored = evaluation.evaluate_truth_set(
-        views.truth_set(spark, folder), _chunks(spark, folder), search="vector"
+        views.truth_set(spark, folder), _kept_chunks(spark, folder), search="vector"
     )
     return scored.drop("retrieved_contents").withColumns(_joined("retrieved_files"))
 

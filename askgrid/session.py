@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _local_folder: str | None = None
@@ -54,6 +55,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_measured(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`materialise`, and sums over the rows that are taken while they are written, so no job reads them again."""
+    seen = Observation()
+    written = materialise(df.observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in sums.items()]), name)
+    found = seen.get
+    return written, {k: int(found.get(k) or 0) for k in sums}
+
+
 def spread(df: DataFrame, *key: str) -> DataFrame:
     """Give every core a share of a table that has fewer partitions than there are cores.
 

@@ -1,4 +1,4 @@
-"""The searches against brute force on small data, both below and beyond the broadcast size."""
+"""The searches against brute force on small data, in one slice and in many, with and without floors."""
 
 import math
 import random
@@ -6,10 +6,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from askgrid.operators import chunking, embedding, lexical, retrieval
+from askgrid.functions import bm25, ranking
+from askgrid.operators import chunking, embedding, lexical, membership, retrieval
 from askgrid.plans import rag
 
 K = 4
@@ -50,8 +53,8 @@ def assert_same(got, expected):
     assert [r[3] for r in got] == pytest.approx([r[3] for r in expected], abs=1e-8)
 
 
-# Beyond the size limit with blocks of 25 rows, so that every cell has several.
-WAYS = [{}, {"broadcast_bytes": 0, "cells": 8, "block_bytes": 25 * 8 * 8}]
+# In the second way there are several slices of questions, and samples of samples are searched ahead.
+WAYS = [{}, {"slice_bytes": 4000, "first_rows": 60, "growth": 4}]
 
 
 @pytest.mark.parametrize("way", WAYS)
@@ -147,13 +150,8 @@ def text_tables(spark, questions, chunks, width=16):
     )
 
 
-@pytest.fixture
-def small_blocks(monkeypatch):
-    monkeypatch.setattr(lexical, "BLOCK_ROWS", 40)
-
-
-@pytest.mark.parametrize("way", [{}, {"broadcast_bytes": 0}])
-def test_text_search(spark, texts, small_blocks, way):
+@pytest.mark.parametrize("way", WAYS)
+def test_text_search(spark, texts, way):
     questions, chunks = texts
     q, c = text_tables(spark, questions, chunks)
     expected = [
@@ -165,8 +163,8 @@ def test_text_search(spark, texts, small_blocks, way):
 
 
 @pytest.mark.parametrize("recall", [K, 20, None])
-@pytest.mark.parametrize("way", [{}, {"broadcast_bytes": 0}])
-def test_hybrid_search(spark, texts, small_blocks, way, recall):
+@pytest.mark.parametrize("way", WAYS)
+def test_hybrid_search(spark, texts, way, recall):
     """The fusion equals that of the two full lists."""
     questions, chunks = texts
     q, c = text_tables(spark, questions, chunks)
@@ -210,9 +208,79 @@ def test_embedding_is_unit_length_and_uses_the_client(spark):
     assert sorted(r["v"] for r in own.collect()) == [[0.0], [0.0], [5.0]]
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
-def test_retrieved_texts_come_with_their_rank(spark, texts, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(rag, "FOUND_ROWS_TO_BROADCAST", broadcast_rows)
+def test_samples_grow_to_the_chunks():
+    assert retrieval.shares(1 << 17) == []
+    assert retrieval.shares((1 << 17) + 1) == [256]
+    assert retrieval.shares(10**9) == [256**2, 256]
+    assert retrieval.shares(10**6, 100, 10) == [10**4, 1000, 100, 10]
+
+
+def test_tasks_pass_on_rows_by_the_questions(spark):
+    """With floors from a sample, 60 tasks pass on little more than one task would."""
+    chunks, questions = unit_vectors(6000, 8, 7), unit_vectors(20, 8, 8)
+    passed = []
+
+    def scan(chunks_, floor):
+        ids, vectors = list(range(20)), questions
+
+        def run(batches):
+            best = ranking.BestChunks(20, K, floor)
+            unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+            for batch in batches:
+                ranking.add_similarities(best, unit, ranking.vector_matrix(batch.column(1)), ranking.identifiers(batch.column(0)))
+            yield best.table(np.array(ids), out)
+
+        schema = retrieval.result_schema(T.LongType(), T.LongType())
+        out = retrieval.arrow_schema(schema)
+        found = chunks_.mapInArrow(run, schema)
+        passed.append(found.count())
+        return found
+
+    table = as_table(spark, list(range(6000)), chunks, "chunk_id", "text_vector").repartition(60)
+    found = retrieval.search_with_floors(table, 6000, np.arange(20), K, scan, first_rows=500, growth=16)
+    assert_same(rows(retrieval.keep_best(found, K)), brute_vector(list(range(20)), questions, list(range(6000)), chunks, K))
+    assert len(passed) == 2 and passed[1] < 20 * K * 16 * 1.5 < 20 * K * 60
+
+
+def test_bounds_of_words_leave_no_match_out():
+    """Scores at or above a floor, from postings with pruning, against plain sums."""
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(0.3, (80, 30)) * (rng.random((80, 30)) < 0.5)
+    lengths = counts.sum(1) + 1
+    lists = [np.flatnonzero(c).astype(np.int32) for c in counts]
+    postings = bm25.Postings(
+        pa.array(lists, pa.list_(pa.int32())), pa.array([c[i].astype(np.int32) for c, i in zip(counts, lists)], pa.list_(pa.int32())),
+        lengths, 30, lengths.mean(),
+    )
+    weight = rng.random((25, 30)) * (rng.random((25, 30)) < 0.4)
+    weight[7] = 0
+    question, term = np.nonzero(weight)
+    terms = bm25.QuestionTerms(question, term, weight[question, term], 25)
+    saturated = counts / (counts + 1.2 * (0.25 + 0.75 * (lengths / lengths.mean())[:, None]))
+    scores = ranking.rounded(weight @ saturated.T)
+    for floor in (np.full(25, -np.inf), rng.random(25) * 2, np.where(np.arange(25) % 3 == 0, np.inf, 0.4)):
+        found = [x for x in terms.matches(postings, floor)]
+        got = {(q, r): s for qs, rs, ss in found for q, r, s in zip(qs, rs, ss)}
+        expected = {(q, r): scores[q, r] for q, r in zip(*np.nonzero((scores >= floor[:, None]) & (scores > 0)))}
+        assert got == pytest.approx(expected)
+    q, r = np.nonzero(scores >= 0)
+    assert terms.of_pairs(postings, q, r) == pytest.approx(scores[q, r])
+
+
+def test_the_filter_of_ids_keeps_them_and_drops_others(spark, monkeypatch):
+    ids = spark.range(0, 30000, 3).selectExpr("cast(id as string) as chunk_id")
+    table = spark.range(30000).selectExpr("cast(id as string) as chunk_id")
+    for most in (membership.MOST_BYTES, 64):
+        monkeypatch.setattr(membership, "MOST_BYTES", most)
+        passed = table.filter(membership.may_be_among(F.col("chunk_id"), ids, 10000))
+        assert passed.join(ids, "chunk_id").count() == 10000
+        assert passed.count() < 12000 or most == 64
+    assert table.filter(membership.may_be_among(F.col("chunk_id"), ids.limit(0), 0)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 64 << 20])
+def test_retrieved_texts_come_with_their_rank(spark, texts, monkeypatch, capsys, broadcast_bytes):
+    monkeypatch.setattr(rag, "FOUND_BYTES_TO_BROADCAST", broadcast_bytes)
     q, c = text_tables(spark, *texts)
     c = c.withColumns({"title": F.concat(F.lit("t"), "chunk_id"), "metadata": F.create_map(F.lit("a"), F.lit("b"))})
     for search in ("vector", "hybrid"):
@@ -220,6 +288,9 @@ def test_retrieved_texts_come_with_their_rank(spark, texts, monkeypatch, broadca
         assert len(found) == 3 * len(texts[0])
         for r in found:
             assert r["title"] == f"t{r['chunk_id']}" and r["chunk"] == texts[1][r["chunk_id"]]
+    rag.retrieve(q, c, 3, "vector").explain("formatted")
+    plan = capsys.readouterr().out
+    assert ("getbit" in plan) == (broadcast_bytes == 0)
     with pytest.raises(ValueError):
         rag.retrieve(q, c, 3, "random")
     with pytest.raises(ValueError):
