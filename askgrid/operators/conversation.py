@@ -71,8 +71,33 @@ def with_sources(state: DataFrame) -> DataFrame:
 
 
 def turn_results(messages: DataFrame, scope: str = "thread", key: tuple[str, ...] = THREAD) -> DataFrame:
-    """One row per thread: `messages, last_turn, answer, source_names, source_contents`."""
-    return with_sources(messages.groupBy(*key).agg(*turn_state(scope)))
+    """One row per thread: `messages, last_turn, answer, source_names, source_contents`.
+
+    Which messages decide is found by their turns alone; their texts are then fetched by thread and turn, so no
+    aggregate holds a text. A thread's turns are distinct.
+    """
+    if scope not in ("thread", "turn"):
+        raise ValueError(f"scope must be 'thread' or 'turn', not {scope!r}")
+    turn = lambda which: F.max(F.when(which, F.col("turn")))
+    tool, human = turn(_is_tool()), turn(F.col("type") == "human")
+    if scope == "turn":
+        tool = F.when(human.isNull() | (tool > human), tool)
+    ends = messages.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("messages"), F.max("turn").alias("last_turn"), tool.alias("_tool_turn")
+    )
+    rows = _with_message(ends, messages.withColumn("answer", F.col("content")), key, "last_turn", "answer")
+    rows = _with_message(rows, messages.filter(_is_tool()), key, "_tool_turn", "artifact")
+    return with_sources(rows.select(*key, "messages", "last_turn", "answer", "artifact"))
+
+
+def _with_message(rows: DataFrame, messages: DataFrame, key: tuple[str, ...], turn: str, column: str) -> DataFrame:
+    """Add a column of the message that a thread has at a turn; null if there is none."""
+    own = [F.col(k).alias(f"_{k}") for k in key]
+    found = messages.select(*own, F.col("turn").alias("_at"), column)
+    same = F.col(turn) == F.col("_at")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(found, same, "left").drop("_at", *[f"_{k}" for k in key])
 
 
 def _ends(messages: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from askgrid.functions.text import (
     strip,
     tokens,
 )
+from askgrid.session import work_folder
 
 # A judge's client takes (instruction, question) pairs and gives one reply for each.
 JudgeClient = Callable[[Sequence[tuple[str, str]]], Sequence[str]]
@@ -129,19 +130,45 @@ OVERLAP_GROUNDEDNESS = Judge(_overlap_groundedness, ("_answer_words", "_context_
 class ClientJudge:
     """Scores one measure by asking a model.
 
-    Strict: a bad reply fails the job. Else its score is null and the reply is kept in the
-    column `<measure>_reply`, which is null for good replies.
+    Replies are written by row and measure before they are read, to the folder `log` or else to the work folder, so
+    a reply that can't be read loses no call. With the same `log` a second run asks only for rows without a good
+    reply there. `key` tells rows apart; rows without that column are scored as they are read.
+
+    Strict: a bad reply fails the job, once all are written. Else its score is null and the reply is kept in
+    the column `<measure>_reply`, which is null for good replies.
     """
 
     client: Callable[[], JudgeClient]
     instruction: str
     prompt: Callable[[], Column]
     strict: bool = True
+    log: str | None = None
+    key: str = "row_id"
     calls_client = True
 
+    def _replies(self, answers: DataFrame, measure: str, reply: str) -> DataFrame:
+        """One reply per row of `answers`, good if there is a good one: from the log, and asked for otherwise."""
+        spark = answers.sparkSession
+        path = f"{self.log or work_folder(spark)}/measure={measure}"
+        schema = T.StructType([answers.schema[self.key], T.StructField("reply", T.StringType())])
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)  # so that the folder is there
+        logged = spark.read.schema(schema).parquet(path)
+        good = logged.filter(parse_score(F.col("reply")).isNotNull()).select(self.key)
+        waiting = answers.join(good, self.key, "left_anti")
+        replies = ask(self.client, self.instruction, self.prompt()).alias("reply")
+        waiting.select(self.key, replies).write.mode("append").parquet(path)
+        logged = spark.read.schema(schema).parquet(path)
+        readable = F.when(parse_score(F.col("reply")).isNotNull(), F.col("reply"))
+        return logged.groupBy(self.key).agg(F.coalesce(F.min(readable), F.min("reply")).alias(reply))
+
     def add_score(self, answers: DataFrame, measure: str) -> DataFrame:
         reply = f"{measure}_reply"
-        asked = answers.withColumn(reply, ask(self.client, self.instruction, self.prompt()))
+        if self.key in answers.columns:
+            asked = answers.join(self._replies(answers, measure, reply), self.key, "left")
+        elif self.log is None:
+            asked = answers.withColumn(reply, ask(self.client, self.instruction, self.prompt()))
+        else:
+            raise ValueError(f"a log of replies needs the column {self.key}")
         if self.strict:
             return asked.withColumn(measure, parse_score_strict(F.col(reply))).drop(reply)
         scored = asked.withColumn(measure, parse_score(F.col(reply)))
@@ -163,11 +190,12 @@ class Judges:
         correctness_rubric: str = fixed.CORRECTNESS_RUBRIC,
         retrieval_rubric: str = fixed.RETRIEVAL_RUBRIC,
         groundedness_rubric: str = fixed.GROUNDEDNESS_RUBRIC,
+        log: str | None = None,
     ) -> Judges:
         return Judges(
-            ClientJudge(client, correctness_rubric, correctness_prompt, strict),
-            ClientJudge(client, retrieval_rubric, retrieval_prompt, strict),
-            ClientJudge(client, groundedness_rubric, groundedness_prompt, strict),
+            ClientJudge(client, correctness_rubric, correctness_prompt, strict, log),
+            ClientJudge(client, retrieval_rubric, retrieval_prompt, strict, log),
+            ClientJudge(client, groundedness_rubric, groundedness_prompt, strict, log),
         )
 
     @property

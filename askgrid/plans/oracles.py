@@ -313,6 +313,15 @@ select session_id, m.thread_id, count(*) as messages, max(turn) as last_turn, ar
        array_to_string(any_value(source_names), '|') as source_names,
        array_to_string(any_value(source_contents), '|') as source_contents
 from messages m join sources s on m.thread_id = s.thread_id group by session_id, m.thread_id""",
+    "conversation_steps_stream": f"""with {MESSAGES}
+select session_id, thread_id, turn, row_number() over w as messages, turn as last_turn, content as answer,
+       coalesce(array_to_string(last_value(case when type = 'tool' then names end ignore nulls) over w, '|'), '') as source_names,
+       coalesce(array_to_string(last_value(case when type = 'tool' then artifact end ignore nulls) over w, '|'), '') as source_contents
+from named window w as (partition by thread_id order by turn rows between unbounded preceding and current row)""",
+    "thread_history_stream": f"""with {MESSAGES}
+select session_id, thread_id, count(*) as messages, max(turn) as last_turn,
+       string_agg(concat(type, ': ', content), chr(10) order by turn) as history
+from messages where type in ('human', 'system') or (type = 'ai' and not calls) group by session_id, thread_id""",
     "format_sources": f"""with {MESSAGES}, urls as (
   select concat(source, '.pdf') as file_name, concat('https://docs.example/', min(doc_id)) as file_url
   from documents group by source

@@ -20,10 +20,10 @@ from askgrid.operators import (
     summary,
 )
 from askgrid.plans import evaluation, index, rag, views
-from askgrid.session import work_folder
+from askgrid.session import materialise, work_folder
 from askgrid.sources import files
 from askgrid.sources import listing as listing_source
-from askgrid.streaming import conversation_state, new_documents
+from askgrid.streaming import conversation_state, conversation_steps, new_documents, thread_history
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -252,6 +252,21 @@ def conversation_state_stream(spark, folder):
     return states.withColumns(_joined("source_names", "source_contents"))
 
 
+def conversation_steps_stream(spark, folder):
+    """The state of a thread after each of its messages, which arrive in several steps."""
+    messages = views.messages_of(views.arriving(spark, folder, "conversations", "turn"))
+    steps = conversation_steps.run_to_end(messages)
+    columns = ["session_id", "thread_id", "turn", "messages", "last_turn", "answer", "source_names", "source_contents"]
+    return steps.select(*columns).withColumns(_joined("source_names", "source_contents"))
+
+
+def thread_history_stream(spark, folder):
+    """What a model sees of each thread, appended as messages arrive in several steps."""
+    messages = views.messages_of(views.arriving(spark, folder, "conversations", "turn"))
+    shown = F.transform("history", lambda m: F.concat(m["type"], F.lit(": "), m["text"]))
+    return thread_history.run_to_end(messages).withColumn("history", F.array_join(shown, "\n"))
+
+
 def new_docs_stream(spark, folder):
     listing = views.listing_of(views.table_stream(spark, folder, "documents"))
     plans = new_documents.run_to_end(listing, lambda: views.stored(spark, folder))
@@ -342,6 +357,7 @@ def batch_rag(spark, folder):
 def multiturn_rag(spark, folder):
     """Multi-turn answers as message rows, reduced to each thread's answer and sources."""
     turns = rag.answer_turns(_questions(spark, folder), _kept_chunks(spark, folder), search="vector")
+    turns = materialise(turns, "turns")
     results = conversation.turn_results(turns)
     return results.select("thread_id", "messages", "answer", "source_names").withColumns(_joined("source_names"))
 
@@ -427,6 +443,8 @@ _QUERIES: list[Query] = [
     last_turn_sources_in_turn,
     format_sources,
     conversation_state_stream,
+    conversation_steps_stream,
+    thread_history_stream,
     new_docs_stream,
     docname_cleanup,
     doc_match,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.session import spread
+from askgrid.session import spread, work_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +46,18 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, folder, name).schema).parquet(pattern)
 
 
+def arriving(spark: SparkSession, folder: str, name: str, order: str, steps: int = 4) -> DataFrame:
+    """A given table as a stream that arrives in `steps` files, by ranges of a numeric column, one to a micro-batch."""
+    rows = table(spark, folder, name)
+    path = f"{work_folder(spark)}/{name}"
+    least, most = rows.agg(F.min(order), F.max(order)).first()
+    width = ((most or 0) - (least or 0)) // steps + 1
+    for step in range(steps):
+        part = rows.filter(F.coalesce(F.floor((F.col(order) - (least or 0)) / width), F.lit(0)) == step)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a listed file: unnamed, excluded, slashed and plain names."""
     return listing_of(table(spark, folder, "documents"))

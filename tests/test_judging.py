@@ -1,3 +1,6 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -174,3 +177,36 @@ def test_overlap_scores(spark):
     assert row[1] == 1 + int(9 * len(question & context) / 6 + 0.5)
     assert row[2] == 1 + int(9 * len(answer & context) / 6 + 0.5)
     assert tuple(overlap(spark.createDataFrame([(0, None, "", "", "f", [], [])], SCHEMA))) == (1, 1, 1)
+
+
+def test_a_bad_strict_reply_loses_no_call(spark, tmp_path):
+    """All replies are logged before they are read; a second run asks for the bad one alone."""
+    calls, bad = spark.sparkContext.accumulator(0), str(tmp_path / "bad")
+    Path(bad).touch()
+
+    def judge():
+        def replies(pairs):
+            calls.add(len(pairs))
+            wrong = os.path.exists(bad)
+            return ["no idea" if wrong and "answer 3" in prompt else "7" for _, prompt in pairs]
+
+        return replies
+
+    rows = spark.createDataFrame(
+        [(i, "q", f"answer {i}", "true", "f.pdf", ["f.pdf"], ["text"]) for i in range(6)],
+        "row_id LONG, question STRING, answer STRING, true_answer STRING, file STRING, retrieved_files ARRAY<STRING>, "
+        "retrieved_contents ARRAY<STRING>",
+    )
+    one = judging.ClientJudge(judge, "rubric", judging.correctness_prompt, True, str(tmp_path / "log"))
+    with pytest.raises(Exception, match="no idea"):
+        one.add_score(rows, "correctness").collect()
+    assert calls.value == 6
+    Path(bad).unlink()
+    scored = one.add_score(rows, "correctness")
+    assert calls.value == 7  # five good replies are kept
+    assert [r["correctness"] for r in scored.collect()] == [7] * 6
+    assert "correctness_reply" not in scored.columns
+    one.add_score(rows, "correctness").collect()
+    assert calls.value == 7
+    with pytest.raises(ValueError, match="row_id"):
+        one.add_score(rows.drop("row_id"), "correctness")
