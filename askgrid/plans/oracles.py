@@ -463,7 +463,43 @@ _BENCHMARK = "select item_id as question_id, text as question from benchmark"
 _WAITING = """select thread_id as question_id, content as question, turn as last_turn
   from (select *, max(turn) over (partition by thread_id) as last_turn from messages) where turn = last_turn and type = 'human'"""
 
+# Threads that wait, with what a model sees of them; the queries that a policy makes of them.
+_CALLED = "select concat(call, ':', thread_id) as question_id, query as question from called"
+POLICY = f"""{MESSAGES}, seen as (
+  select thread_id, list(type order by turn) as kinds, list(content order by turn) as said, count(*) as n
+  from messages where type in ('human', 'system') or (type = 'ai' and not calls) group by thread_id
+), waiting as (
+  select s.thread_id, m.turn as last_turn, m.content as asked, s.said[1] as opening, s.n,
+         array_to_string(list_transform(range(1, len(kinds) + 1), lambda i: concat(kinds[i], ': ', said[i])), chr(10)) as history
+  from (select *, max(turn) over (partition by thread_id) as last from messages) m join seen s on s.thread_id = m.thread_id
+  where m.turn = m.last and m.type = 'human'
+), called as (
+  select thread_id, 0 as call, asked as query from waiting where n % 3 > 0
+  union all
+  select thread_id, 1 as call, opening as query from waiting where n % 3 = 2
+), {CHUNKS.replace(_BENCHMARK, _CALLED)}, {VECTOR_RANKS}, {CONTEXTS}, combined as (
+  select c.thread_id, count(*) as queries, string_agg(x.serialised, chr(10) || chr(10) order by c.call) as serialised,
+         flatten(list(x.texts order by c.call)) as texts, flatten(list(x.titles order by c.call)) as titles
+  from called c left join contexts x on x.question_id = concat(c.call, ':', c.thread_id) group by c.thread_id
+), sentences as (
+  select thread_id, question, unnest(s) as raw, unnest(range(len(s))) as place
+  from (
+    select c.thread_id, w.asked as question, regexp_split_to_array(array_to_string(c.texts, chr(10)), '[.!?\\n]+') as s
+    from combined c join waiting w on w.thread_id = c.thread_id
+  )
+), hits as (
+  select thread_id, trim(raw) as text, place, len(list_intersect({_words("raw")}, {_words("question")})) as hits
+  from sentences where trim(raw) <> ''
+), best as (select * from hits qualify row_number() over (partition by thread_id order by hits desc, place) = 1)
+select w.thread_id, w.last_turn, w.asked as question, coalesce(c.queries, 0) as queries,
+       case when w.n % 3 = 0 then concat('You asked: ', w.asked) else coalesce(b.text, 'I don''t know.') end as answer,
+       coalesce(array_to_string(c.titles, '|'), '') as source_names,
+       case when w.n % 3 = 0 then w.history
+            else concat('system: {_INSTRUCTION}', chr(10), chr(10), c.serialised, chr(10), w.history) end as prompt
+from waiting w left join combined c on c.thread_id = w.thread_id left join best b on b.thread_id = w.thread_id"""
+
 RUNS = {
+    "thread_rag_policy": f"with {POLICY}",
     "thread_rag": f"""with {MESSAGES}, {GENERATED.replace(_BENCHMARK, _WAITING)}, seen as (
   select thread_id, string_agg(concat(type, ': ', content), chr(10) order by turn) as history
   from messages where type in ('human', 'system') or (type = 'ai' and not calls) group by thread_id

@@ -377,6 +377,38 @@ def thread_rag(spark, folder):
     )
 
 
+def _by_length():
+    """A policy by the number of messages: it answers itself, asks the question, or asks the first message, too."""
+
+    def choose(histories):
+        choices = []
+        for history in histories:
+            question, first = history[-1][1], history[0][1]
+            kind = len(history) % 3
+            choices.append((f"You asked: {question}", []) if kind == 0 else (None, [question, first][:kind]))
+        return choices
+
+    return choose
+
+
+def thread_rag_policy(spark, folder):
+    """As `thread_rag`, but a policy decides for each conversation on none, one or two queries."""
+    answered = rag.answer_open_threads(
+        views.messages(spark, folder), _kept_chunks(spark, folder), search="vector", policy=_by_length
+    )
+    names = F.flatten(F.transform("calls", lambda c: F.transform(c["documents"], lambda d: d["title"])))
+    shown = F.transform("prompt", lambda m: F.concat(m["type"], F.lit(": "), m["text"]))
+    return answered.select(
+        "thread_id",
+        "last_turn",
+        "question",
+        F.coalesce(F.size("calls"), F.lit(0)).cast("long").alias("queries"),
+        "answer",
+        F.coalesce(F.array_join(names, "|"), F.lit("")).alias("source_names"),
+        F.array_join(shown, "\n").alias("prompt"),
+    )
+
+
 def eval_run(spark, folder):
     """A truth set answered and scored end to end."""
     scored = evaluation.evaluate_truth_set(
@@ -459,6 +491,7 @@ _QUERIES: list[Query] = [
     batch_rag,
     multiturn_rag,
     thread_rag,
+    thread_rag_policy,
     eval_run,
     summary_export,
     truth_set_read,
