@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.functions import fixed_values as fixed
+from askgrid.operators import summary
 from askgrid.operators.columns import drop_empty_columns, move_last
 from askgrid.operators.embedding import Embedder, embed_text
 from askgrid.operators.judging import Judges, score_responses
@@ -22,6 +24,37 @@ def score_and_arrange(answers: DataFrame, judges: Judges | None = None) -> DataF
     return move_last(score_responses(answers, judges), CONTEXT_COLUMNS)
 
 
+def summaries(
+    scored: DataFrame,
+    models: Mapping[str, str],
+    document_types: Sequence[str] = fixed.DOCUMENT_TYPES,
+) -> DataFrame:
+    """All summaries of an evaluation as rows `summary, model, question_type, document_type, measure, value`.
+
+    `scored` is a written evaluation with `model, question_type, document_type, unambiguous`; every summary reads
+    it, so nothing is judged again. `models` are the names and tags of the models that responses are counted for.
+    """
+    key = ["summary", "model", "question_type", "document_type"]
+
+    def rows(name: str, summary: DataFrame, *measures: str) -> DataFrame:
+        known = {c: F.col(c) if c in summary.columns else F.lit(None).cast("string") for c in key[1:]}
+        values = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]
+        wide = summary.select(F.lit(name).alias("summary"), *[c.alias(n) for n, c in known.items()], F.explode(F.array(*values)).alias("v"))
+        return wide.select(*key, "v.*")
+
+    parts = [
+        rows("scores", summary.scores_by_document_type(scored, t).withColumn("question_type", F.lit(t)), *summary.MEASURES)
+        for t in fixed.QUESTION_TYPES
+    ]
+    parts.append(rows("matches", summary.percentage_match(scored, document_types), "percentage_match"))
+    errors = ("mean_correctness", "standard_error", "n")
+    parts.append(rows("correctness by model", summary.correctness_by_model(scored), *errors))
+    parts.append(rows("correctness", summary.correctness_by_facet(scored, document_types), *errors))
+    counts = summary.response_counts(scored, models)
+    parts.append(rows("responses", counts, *counts.columns))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def evaluate_truth_set(
     truth_set: DataFrame,
     chunks: DataFrame,

@@ -518,6 +518,35 @@ from generated""",
     "multiturn_rag": f"""with {GENERATED}
 select question_id as thread_id, cast(4 as bigint) as messages, answer, array_to_string(titles, '|') as source_names
 from generated""",
+    "eval_summary_run": f"""with {GENERATED}, run as (
+  select g.question_id as row_id, g.question, g.answer, d.text as true_answer, d.source as file,
+         concat(' ', d.source, chr(10)) as raw_file, d.lang as document_type,
+         replace(g.titles[1], '.pdf', '') as first_name, g.texts as contents, true as retrieved, g.titles
+  from generated g left join documents d on d.doc_id = g.question_id
+), {_measures("run")}, results as (
+  select *, 'offline' as model, case when row_id % 2 = 0 then 'Positive' else 'Negative' end as question_type
+  from measured where row_id % 5 > 0
+), means as (
+  select question_type, document_type, {_MEANS} from results where document_type is not null group by all
+), facets as (
+  select question_type, document_type, model, {_ERROR}, round_even(avg(cast(document_match as integer)) * 100 * 100, 0) / 100 as share
+  from results where document_type in ('en', 'de', 'es', 'fr') group by all
+), models as (select model, {_ERROR} from results group by all)
+select 'scores' as summary, cast(null as varchar) as model, question_type, document_type, measure, value
+from (unpivot (select question_type, document_type, cast(correctness as double) as correctness, cast(retrieval as double) as retrieval,
+                      cast(groundedness as double) as groundedness from means)
+      on correctness, retrieval, groundedness into name measure value value)
+union all select 'matches', model, question_type, document_type, 'percentage_match', share from facets
+union all select 'correctness', model, question_type, document_type, 'mean_correctness', mean_correctness from facets
+union all select 'correctness', model, question_type, document_type, 'standard_error', standard_error from facets
+union all select 'correctness', model, question_type, document_type, 'n', n from facets
+union all select 'correctness by model', model, null, null, 'mean_correctness', mean_correctness from models
+union all select 'correctness by model', model, null, null, 'standard_error', standard_error from models
+union all select 'correctness by model', model, null, null, 'n', n from models
+union all select 'responses', null, null, null, 'total', count(*) from results
+union all select 'responses', null, null, null, 'offline', count(*) from results
+union all select 'responses', null, null, null, lower(t), count(*) filter (question_type = t)
+from results, (select unnest(['Positive', 'Negative']) as t) group by t""",
     "eval_run": f"""with {GENERATED}, run as (
   select g.question_id as row_id, g.question, g.answer, d.text as true_answer, d.source as file,
          concat(' ', d.source, chr(10)) as raw_file, d.lang as document_type,

@@ -417,6 +417,20 @@ def eval_run(spark, folder):
     return scored.drop("retrieved_contents").withColumns(_joined("retrieved_files"))
 
 
+def eval_summary_run(spark, folder):
+    """A truth set answered, scored and written, and all summaries of it, in one run."""
+    truth = views.truth_set(spark, folder).withColumns(
+        {
+            "question_type": F.when(F.col("row_id") % 2 == 0, "Positive").otherwise(" Negative "),
+            "unambiguous": F.when(F.col("row_id") % 5 == 0, "No").otherwise("Yes"),
+        }
+    )
+    scored = evaluation.evaluate_truth_set(truth, _kept_chunks(spark, folder), search="vector")
+    scored = summary.tag_model(materialise(scored.drop(*evaluation.CONTEXT_COLUMNS), "scored"), "offline")
+    found = evaluation.summaries(scored, {"offline": "offline"}, _DOCUMENT_TYPES)
+    return found.withColumn("value", F.rint(F.col("value") * 1e6) / 1e6)
+
+
 # --- files ---------------------------------------------------------------------------------
 def summary_export(spark, folder):
     """A summary written as one CSV file and read back."""
@@ -493,6 +507,7 @@ _QUERIES: list[Query] = [
     thread_rag,
     thread_rag_policy,
     eval_run,
+    eval_summary_run,
     summary_export,
     truth_set_read,
 ]
