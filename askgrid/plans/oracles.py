@@ -568,5 +568,24 @@ from benchmark b left join documents d on d.doc_id = b.item_id""",
 }
 
 
+def _fused(sql: str, k: int) -> str:
+    """SQL over the vector search's chunks as SQL over those of both searches, fused, `k` to a question."""
+    ranks = f"""{VECTOR_RANKS.replace("rank <= 5", f"rank <= {k}")}, {TEXT_RANKS}, fused as (
+  select coalesce(v.question_id, t.question_id) as question_id, coalesce(v.chunk_id, t.chunk_id) as chunk_id,
+         coalesce(cast(1 as double) / (60 + v.rank), 0) + coalesce(cast(1 as double) / (60 + t.rank), 0) as score
+  from vector_ranks v full join text_ranks t on v.question_id = t.question_id and v.chunk_id = t.chunk_id
+), fused_ranks as (
+  select *, row_number() over (partition by question_id order by score desc, chunk_id) as rank from fused qualify rank <= {k}
+)"""
+    return sql.replace(VECTOR_RANKS, ranks).replace("from vector_ranks r join", "from fused_ranks r join")
+
+
+RUNS |= {
+    "batch_rag_default": _fused(RUNS["batch_rag"], 4),
+    "eval_run_default": _fused(RUNS["eval_run"], 5),
+}
+CONVERSATIONS["format_sources_csv"] = CONVERSATIONS["format_sources"]
+
+
 def all_oracles() -> dict[str, str]:
     return {**SUMMARY, **DOCUMENTS, **RETRIEVAL, **CONVERSATIONS, **SCORES, **RUNS, **FILES}

@@ -246,6 +246,17 @@ def format_sources(spark, folder):
     return citations.format_sources(answers, views.url_table(spark, folder), ["thread_id", "turn"])
 
 
+def format_sources_csv(spark, folder):
+    """The same with the table of URLs kept as a CSV file."""
+    path = f"{work_folder(spark)}/urls"
+    urls = views.url_table(spark, folder).orderBy("row_no").select(F.col("file_name").alias("File Name"), F.col("file_url").alias("File URL"))
+    files.write_url_table(urls, path)
+    answers = views.messages(spark, folder).select(
+        "thread_id", "turn", F.transform("artifact", lambda d: d["title"]).alias("source_names")
+    )
+    return citations.format_sources(answers, files.read_url_table(spark, path), ["thread_id", "turn"])
+
+
 def conversation_state_stream(spark, folder):
     messages = views.messages_of(views.table_stream(spark, folder, "conversations"))
     states = conversation_state.latest_states(conversation_state.run_to_end(messages))
@@ -354,6 +365,14 @@ def batch_rag(spark, folder):
     ).withColumns(_joined("source_names"))
 
 
+def batch_rag_default(spark, folder):
+    """Single-turn answers as they are made if nothing else is said: both searches fused, four chunks."""
+    answers = rag.answer_questions(_questions(spark, folder), _kept_chunks(spark, folder))
+    return answers.select(
+        "question_id", "answer", "source_names", F.col("prompt")[0]["text"].alias("prompt")
+    ).withColumns(_joined("source_names"))
+
+
 def multiturn_rag(spark, folder):
     """Multi-turn answers as message rows, reduced to each thread's answer and sources."""
     turns = rag.answer_turns(_questions(spark, folder), _kept_chunks(spark, folder), search="vector")
@@ -417,6 +436,12 @@ def eval_run(spark, folder):
     return scored.drop("retrieved_contents").withColumns(_joined("retrieved_files"))
 
 
+def eval_run_default(spark, folder):
+    """The same with both searches fused, as if nothing else is said."""
+    scored = evaluation.evaluate_truth_set(views.truth_set(spark, folder), _kept_chunks(spark, folder))
+    return scored.drop("retrieved_contents").withColumns(_joined("retrieved_files"))
+
+
 def eval_summary_run(spark, folder):
     """A truth set answered, scored and written, and all summaries of it, in one run."""
     truth = views.truth_set(spark, folder).withColumns(
@@ -488,6 +513,7 @@ _QUERIES: list[Query] = [
     last_turn_sources,
     last_turn_sources_in_turn,
     format_sources,
+    format_sources_csv,
     conversation_state_stream,
     conversation_steps_stream,
     thread_history_stream,
@@ -503,10 +529,12 @@ _QUERIES: list[Query] = [
     eval_no_retrieval_defaults,
     eval_export,
     batch_rag,
+    batch_rag_default,
     multiturn_rag,
     thread_rag,
     thread_rag_policy,
     eval_run,
+    eval_run_default,
     eval_summary_run,
     summary_export,
     truth_set_read,
