@@ -33,7 +33,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from askgrid.llm.blocks import packed, unpacked, with_block
 from askgrid.llm.words import MULTIPLIER, WordHashes, mixed, split_words, stretches, whole_windows, windows
-from askgrid.session import materialise
 
 WINDOW = 20
 ANCHOR = 6
@@ -177,13 +176,14 @@ def _block_units(window: int, anchor: int):
         first = ~again
         begin = np.concatenate([begin[first], from_])
         number = np.concatenate([number[first], length])
-        zeros = np.zeros(len(from_), np.uint64)
+        # Keys of their own, so that no other unit meets them and none is hot.
+        alone = mixed(np.arange(len(from_), dtype=np.uint64) + (np.uint64(block) << np.uint64(32)))
         doc = np.searchsorted(starts, begin, "right") - 1
         return _unit_table(
             np.repeat([0, 1], [int(first.sum()), len(from_)]),
             np.full(len(begin), block),
-            np.concatenate([one[first], zeros]),
-            np.concatenate([two[first], zeros]),
+            np.concatenate([one[first], alone]),
+            np.concatenate([two[first], mixed(alone ^ _SECOND)]),
             ids[doc],
             ties[doc],
             begin - starts[doc],
@@ -291,25 +291,18 @@ def remove_repeats(
     repeated = indexed.where((F.col("blocks") > 1) | F.col("many")).select(
         "block", "anchor", ((F.col("least") != F.col("most")) | (F.col("least") < 0)).alias("boundary")
     )
+    texts = packed(rows, "_packed")  # read twice; one exchange serves both
     units = (
-        packed(rows.select("_block", "_id", "_tie", "text"), "_packed")
-        .groupBy("_block")
+        texts.groupBy("_block")
         .cogroup(repeated.groupBy("block"))
         .applyInArrow(
             _block_units(window, anchor),
             "kind int, block long, one long, two long, id long, tie long, first int, number int",
         )
     )
-    units = materialise(units, "units")
     order = Window.partitionBy("one", "two")
     place = F.struct("id", "tie", "first")
-    duplicates = (
-        units.where("kind = 0")
-        .withColumn("source", F.min(place).over(order))
-        .where(F.col("source") != place)
-        .drop("source")
-        .union(units.where("kind = 1"))
-    )
+    duplicates = units.withColumn("source", F.min(place).over(order)).where((F.col("source") != place) | (F.col("kind") == 1))
     spans = duplicates.select("block", "id", "tie", "first", "number")
     fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     result = T.StructType(
@@ -321,8 +314,7 @@ def remove_repeats(
         ]
     )
     return (
-        packed(rows, "_packed")
-        .groupBy("_block")
+        texts.groupBy("_block")
         .cogroup(spans.groupBy("block"))
         .applyInArrow(_without(window, to_arrow_schema(result)), result)
     )
