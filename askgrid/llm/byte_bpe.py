@@ -35,7 +35,7 @@ NONE = np.int32(2**31 - 1)
 LENGTHS = (2, 4, 6, 8, 10, 12, 16, 24, 32, 64, 128, 256)
 CELLS = 1 << 20
 #: Distinct words whose ids a task keeps.
-REMEMBERED = 150_000
+REMEMBERED = 75_000
 _CHUNKS = r"\s*\S+|\s+"
 #: White space to Python's `re`, but not to the patterns of vocabularies.
 _SEPARATORS = r"[\x1c-\x1f]"
