@@ -36,6 +36,8 @@ LENGTHS = (2, 4, 6, 8, 10, 12, 16, 24, 32, 64, 128, 256)
 CELLS = 1 << 20
 #: Distinct words whose ids a task keeps.
 REMEMBERED = 75_000
+#: Bytes of text that a task encodes at a time.
+STRETCH = 1 << 20
 _CHUNKS = r"\s*\S+|\s+"
 #: White space to Python's `re`, but not to the patterns of vocabularies.
 _SEPARATORS = r"[\x1c-\x1f]"
@@ -270,6 +272,29 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(counts)])[per_text]
 
 
+def _with_ids(batch: pa.RecordBatch, column: str, to: str, encoder: Encoder) -> pa.RecordBatch:
+    """`batch` with the ids of its texts."""
+    ids, ends = encoder.encode([t or "" for t in batch.column(column).to_pylist()])
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+    return pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, to])
+
+
+def _with_bytes(batch: pa.RecordBatch, column: str, to: str, tokens: list[bytes]) -> pa.RecordBatch:
+    """`batch` with the bytes that its ids stand for."""
+    lists, texts = batch.column(column), []
+    for row in range(len(lists)):
+        ids = lists[row].values
+        ids = [] if ids is None else ids.to_numpy().tolist()
+        if ids and min(ids) < 0:
+            raise ValueError("a token id is negative")
+        texts.append(b"".join([tokens[i] for i in ids]))
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, to])
+
+
+def _ids(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType()))
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, column: str = "text", to: str = "ids") -> DataFrame:
     """Add the ids of the whole text in `column` as array<int> `to`, without special tokens.
 
@@ -278,18 +303,14 @@ def encode(df: DataFrame, vocabulary: Vocabulary, column: str = "text", to: str
     """
     kept = df.drop(to)
     shared = df.sparkSession.sparkContext.broadcast(vars(vocabulary))  # executors may lack the class
-    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(**shared.value))
         for whole in batches:
-            for batch in stretches(whole, column, 1 << 20):
-                ids, ends = encoder.encode([t or "" for t in batch.column(column).to_pylist()])
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, to])
+            for batch in stretches(whole, column, STRETCH):
+                yield _with_ids(batch, column, to, encoder)
 
-    schema = T.StructType([*kept.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, _ids(to)]))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, column: str = "ids", to: str = "decoded") -> DataFrame:
@@ -300,25 +321,35 @@ def decode(df: DataFrame, vocabulary: Vocabulary, column: str = "ids", to: str =
     """
     kept = df.drop(to)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary.tokens)
-    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
         for batch in batches:
-            lists = batch.column(column)
-            texts = []
-            for row in range(len(lists)):
-                ids = lists[row].values
-                ids = [] if ids is None else ids.to_numpy().tolist()
-                if ids and min(ids) < 0:
-                    raise ValueError("a token id is negative")
-                texts.append(b"".join([tokens[i] for i in ids]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*names, to])
+            yield _with_bytes(batch, column, to, shared.value)
 
     schema = T.StructType([*kept.schema.fields, T.StructField(to, T.BinaryType())])
     return kept.mapInArrow(run, schema)
 
 
+def there_and_back(
+    df: DataFrame, vocabulary: Vocabulary, column: str = "text", ids: str = "ids", to: str = "decoded"
+) -> DataFrame:
+    """`decode` of `encode`, in one Python worker per task and with one vocabulary in it.
+
+    The ids are those that `encode` gives, the bytes are looked up from them alone.
+    """
+    kept = df.drop(ids, to)
+    shared = df.sparkSession.sparkContext.broadcast(vars(vocabulary))  # executors may lack the class
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(Vocabulary(**shared.value))
+        for whole in batches:
+            for batch in stretches(whole, column, STRETCH):
+                encoded = _with_ids(batch, column, ids, encoder)
+                yield _with_bytes(encoded, ids, to, encoder.vocabulary.tokens)
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, _ids(ids), T.StructField(to, T.BinaryType())]))
+
+
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> Vocabulary:
     """A vocabulary of the installed public tokenizers."""
     import public_tokenizers
@@ -328,8 +359,7 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> Vocabulary:
 
 def tokenize_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document's whole text."""
-    there_and_back = decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
-    return there_and_back.select(
+    return there_and_back(docs.select("doc_id", "text"), vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),

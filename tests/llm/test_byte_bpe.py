@@ -32,6 +32,15 @@ def test_random_texts(vocabulary, library):
             assert ids[ends[i] : ends[i + 1]].tolist() == library.encode_ordinary(text)
 
 
+def test_there_and_back_is_decode_of_encode(documents, vocabulary, prose):
+    rows = documents([(1, None), (2, ""), (3, "é" * 700 + " x"), (3, prose(1, 9)), (None, prose(2, 300000))])
+    both = byte_bpe.there_and_back(rows, vocabulary)
+    apart = byte_bpe.decode(byte_bpe.encode(rows, vocabulary), vocabulary)
+    assert both.schema == apart.schema
+    key = lambda r: (str(r["doc_id"]), r["text"] or "")
+    assert sorted(both.collect(), key=key) == sorted(apart.collect(), key=key)
+
+
 def test_long_pieces_go_the_same_way(vocabulary):
     chosen = random.Random(3)
     for n in (2, 17, 200):
