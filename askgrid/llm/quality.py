@@ -116,7 +116,7 @@ def fit_quality(
     At most 2 * `dictionary_rows` + `fit_rows` labelled rows are used, drawn by a hash of their id,
     those for the dictionaries from one half of the ids and those for the fit from the other. Rows
     with a null id or label are not used; repeated labels count once; a document with both labels
-    counts as both. If either label is missing, every text gets the share of label 1 among the rows
+    counts as both; of several documents with one id the text of least digest is used. If either label is missing, every text gets the share of label 1 among the rows
     drawn (0.5 without any).
     """
     known = (
@@ -135,11 +135,11 @@ def fit_quality(
         parts[2].withColumn("use", F.lit("fit"))
     )
     drawn = materialise(drawn, "labelled_sample")
-    # The sample's size is bounded by the parameters, so it may go to every task.
-    rows = materialise(
-        docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.col("text").isNotNull()),
-        "labelled_texts",
-    )
+    # The sample's size is bounded by the parameters, so it may go to every task. Of the rows with one id
+    # one text stays, that of least digest, so repeated rows don't exceed the bound.
+    named = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.col("text").isNotNull())
+    least = F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")
+    rows = materialise(named.groupBy("doc_id", "quality", "draw", "use").agg(least), "labelled_texts")
     room = F.greatest(F.length("text") - F.lit(STRETCH), F.lit(0)) + 1
     start = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), room) + 1
     stretches = (

@@ -39,6 +39,13 @@ def test_nulls_repeats_long_and_missing_labels(documents, spark):
     assert quality.judge_documents(documents([]), spark.createDataFrame([], schema)).count() == 0
 
 
+def test_rows_of_one_labelled_id_are_one_row_to_the_fit(documents, spark, prose):
+    rows = [(i, prose(i, 60) if i % 2 else "## !! ## " * 20) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id LONG, quality INT")
+    once, often = (quality.fit_quality(documents(r), labels) for r in (rows, rows + rows[:9] * 40))
+    assert once.good == often.good and once.bad == often.bad and abs(once.weights - often.weights).max() < 1e-9
+
+
 def test_other_columns_pass(documents, spark):
     model = quality.fit_quality(documents([]), spark.createDataFrame([], "doc_id LONG, quality INT"))
     df = documents([(1, "a")])
