@@ -361,9 +361,10 @@ def _grouped(rows: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFr
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.greatest("parts", F.lit(1)))
     wanted = materialise(placed.withColumn("part", part.cast("int")), "wanted")
     # A merge join at every size: what is wanted grows with the documents.
-    texts = packed(rows.select("id", "text")).join(wanted.drop("digest").hint("merge"), "id")
-    texts = texts.dropDuplicates(["id", "node", "packed"])
-    sets = materialise(_sketched(texts.drop("id"), words), "sets")
+    # Rows without an id have one id, so the digest is part of the key: a wanted set meets its own text alone.
+    texts = packed(rows.select("id", "digest", "text")).join(wanted.hint("merge"), ["id", "digest"])
+    texts = texts.dropDuplicates(["id", "digest"])
+    sets = materialise(_sketched(texts.drop("id", "digest"), words), "sets")
 
     meeting = ["family", "pair", "low", "high"]
     none = [F.lit(0).alias(c) for c in meeting[1:]]
