@@ -5,6 +5,10 @@ names (words with a capital). Windows of template words are joined by hash, so a
 again with other numbers, units or names put into it. A match counts if its slots are consistent: a
 value of the item stands for one value in the document throughout, and two names never become one.
 
+Phrases that many items share ("read the following question and ...") say nothing about one item, so a window
+finds an item only if it is the item's own, held by few other items. An item without any such window has
+to stand in the document as a whole. Items that differ only in their slots count as one here.
+
 The other form keeps all words but folds case, so a copy in capitals or small letters is found, too.
 
 Windows with few plain words (sums, tables, dates) say little as templates. They, and items of under
@@ -37,6 +41,8 @@ SHORTEST_ITEM = 4
 CHARACTERS = 24
 #: Windows of the benchmark up to which their hashes go to all tasks (8 bytes each).
 BROADCAST_WINDOWS = 1_000_000
+#: Different items up to which a window counts as an item's own.
+OWN_ITEMS = 8
 
 # Words read as numbers and as units.
 _NUMBERS = frozenset(
@@ -248,19 +254,39 @@ def template_windows(
     return df.select(key, "text").mapInArrow(run, _SCHEMA.format(key=kind))
 
 
-def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of the benchmark's items; an item shorter than a window is one window as a whole."""
+def _item_windows(benchmark: DataFrame, own_items: int) -> DataFrame:
+    """Windows that the benchmark's items are found by: those that at most `own_items` different items hold.
+    An item that has none, or is shorter than a window, is one window as a whole."""
     kinds = [(form, n) for form in _TEMPLATES for n in range(SHORTEST_ITEM, WINDOW + 1)]
     kinds += [(_EXACT, n) for n in range(1, WINDOW + 1)] + [(_BY_CHARACTER, n) for n in range(1, CHARACTERS + 1)]
     every = template_windows(benchmark, "item_id", kinds)
     most = F.when(F.col("form") == _BY_CHARACTER, CHARACTERS).otherwise(WINDOW)
     whole = (F.col("length") == most) | (F.col("length") == F.col("n_words"))
-    found = every.where(whole).withColumnsRenamed({"key": "item_id", "start": "item_start", "slots": "item_slots"})
-    return materialise(found.drop("n_words"), "item_windows")
+    found = materialise(every.where(whole), "item_windows")
+    # Items whose windows are all the same in a form are one kind of item in it.
+    sequence = F.xxhash64(F.sort_array(F.collect_list(F.struct("start", "hash")))).alias("item")
+    items = found.groupBy("key", "form", "length").agg(sequence)
+    window = ["form", "length", "hash", "template"]
+    holders = found.join(items, ["key", "form", "length"]).groupBy(*window).agg(F.count_distinct("item").alias("items"))
+    common = holders.where(F.col("items") > own_items).drop("items")
+    own = materialise(found.join(common, window, "left_anti"), "own_windows")
+    rest = materialise(found.join(own.select("key"), "key", "left_anti").select("key", "n_words").distinct(), "common_items")
+    lengths = [r["n_words"] for r in rest.select("n_words").distinct().collect()]
+    if lengths:
+        texts = benchmark.join(rest.select(F.col("key").alias("item_id")).distinct(), "item_id", "left_semi")
+        forms = (*_TEMPLATES, _EXACT, _BY_CHARACTER)
+        entire = template_windows(texts, "item_id", [(form, n) for form in forms for n in sorted(lengths)])
+        own = own.unionByName(materialise(entire.where("length = n_words"), "whole_items").select(*own.columns))
+    named = own.withColumnsRenamed({"key": "item_id", "start": "item_start", "slots": "item_slots"})
+    return named.drop("n_words")
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", broadcast_windows: int = BROADCAST_WINDOWS
+    docs: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    broadcast_windows: int = BROADCAST_WINDOWS,
+    own_items: int = OWN_ITEMS,
 ) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other numbers, units or names.
 
@@ -269,7 +295,8 @@ def find_leaks(
     with another value than in the item. Only `key` and text of `docs`, item_id and text of
     `benchmark` are read.
 
-    An item is found by any WINDOW consecutive words of it (a shorter item by all its words). If a share of
+    An item is found by any WINDOW consecutive words of it that at most `own_items` different items have (an
+    item without such words, and a shorter item, by all its words); n_windows counts these alone. If a share of
     LITERAL of them are plain words, numbers, units and names may differ; else, and if the item has under
     SHORTEST_ITEM words, only case and punctuation around words may. Characters of scripts without blanks
     are words; CHARACTERS of them, or all words of a shorter item, must be the same. Rows with the same key count
@@ -279,7 +306,7 @@ def find_leaks(
     If the benchmark has up to `broadcast_windows` windows, tasks pass on only windows with one of
     their hashes; beyond that all windows of the documents are shuffled to the join.
     """
-    items = _item_windows(benchmark)
+    items = _item_windows(benchmark, own_items)
     kinds = sorted((r["form"], r["length"]) for r in items.select("form", "length").distinct().collect())
     wanted = None
     if items.count() <= broadcast_windows:

@@ -68,6 +68,31 @@ def test_windows_of_few_plain_words_short_items_and_scripts_without_blanks(docum
     assert set(got) == {(1, 1), (1, 6), (3, 6), (4, 2), (5, 3), (8, 4), (10, 5)} and set(got.values()) == {0}
 
 
+@pytest.mark.parametrize("limit", [decontamination.BROADCAST_WINDOWS, 0])
+def test_phrases_of_many_items_find_none(documents, benchmark, prose, limit):
+    phrase = "please read the following question and answer it with"
+    items = [(i, f"{phrase} {prose(i, 12)}") for i in range(40)]
+    # Words of their own, so that no document goes on after the phrase as an item does.
+    other = lambda seed: " ".join(f"z{w}" for w in prose(seed, 20).split())
+    rows = [(i, f"{other(100 + i)} {phrase} {other(200 + i)}") for i in range(40)]
+    rows += [(100, items[3][1]), (101, " ".join(items[5][1].split()[7:]))]
+    assert set(found(documents(rows), benchmark(items), broadcast_windows=limit)) == {(100, 3), (101, 5)}
+
+
+def test_items_of_shared_windows_alone_are_found_as_a_whole(documents, benchmark, prose):
+    words = prose(1, 30).split()
+    items = [(i, " ".join(words[i : i + 14])) for i in range(12)]  # windows of one item are those of others
+    rows = [(1, f"x {items[6][1]} y"), (2, " ".join(words[8:18]))]
+    assert set(found(documents(rows), benchmark(items), own_items=1)) == {(1, 6)}
+    assert (2, 6) in found(documents(rows), benchmark(items), own_items=20)
+
+
+def test_items_that_differ_in_slots_are_one_kind(documents, benchmark):
+    items = [(i, f"so Ann gives {i + 2} of her many coins to Ben and goes on her way") for i in range(20)]
+    got = found(documents([(1, items[4][1])]), benchmark(items))
+    assert set(got) == {(1, i) for i in range(20)} and got[1, 4] == 0
+
+
 def test_empty_tables(documents, benchmark):
     assert found(documents([]), benchmark([(1, ITEM)])) == {}
     assert found(documents([(1, ITEM)]), benchmark([])) == {}
