@@ -28,7 +28,11 @@ def _free(name: str, docs: DataFrame) -> str:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier accepts, as they are."""
+    """Documents that the compression classifier accepts, as they are.
+
+    Null and empty texts have a score like all others. Rows without an id are scored, too. Empty table:
+    empty result.
+    """
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = _free("quality", docs)
     return quality.score_quality(docs, model, to=score).where(F.col(score) >= 0.5).drop(score)
@@ -86,9 +90,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and whether the ids decode to the text again."""
-    vocabulary = byte_bpe.public_vocabulary()
-    decoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    """doc_id, n_tokens, ids and whether the ids decode to the text again.
+
+    Null and empty texts have no ids and count as decoded. Null ids stay null, repeated rows each give a
+    row. Empty table: empty result.
+    """
+    decoded = byte_bpe.there_and_back(docs.select("doc_id", "text"), byte_bpe.public_vocabulary())
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -107,7 +114,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of `documents`."""
+    """All stages over the whole of `documents`. Null values are treated as each stage says; an empty table
+    gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
