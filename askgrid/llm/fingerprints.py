@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.ranges import with_range
+from askgrid.llm.ranges import ranges_beside, with_range
+from askgrid.session import materialise
 
 SHORTEST, NORMAL, LONGEST = 16, 64, 256
 HARD_BITS, EASY_BITS = 7, 5
@@ -171,23 +172,21 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     first. A single document is its own neighbour. Empty table: empty result.
 
     Texts are shuffled once, into ranges of ids. Each task reads its ranges in order, holding two
-    texts at a time; only the first and last text of each range meet in one small table. Ids have to
-    be numbers.
+    texts at a time; the last text of each range is joined with the first of the next range by the
+    range's number. Ids have to be numbers.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = _RESULT.format(id=kind)
     rows = with_range(docs.select("doc_id", "text"), "doc_id", "_range")
-    ordered = rows.repartitionByRange("_range").sortWithinPartitions("_range", "doc_id", "text")
+    ordered = rows.repartition("_range").sortWithinPartitions("_range", "doc_id", "text")
     inside = ordered.mapInPandas(_neighbours, schema)
 
     # Two rows per range, whatever the number of documents.
     ends = ordered.mapInPandas(_range_ends, f"_range int, doc_id {kind}, text string, part_end int")
-    order = Window.orderBy("_range", "part_end")
-    following = F.coalesce(
-        F.lead("text").over(order),
-        F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-    )
-    last = ends.withColumn("following", following).where("part_end = 2").select("doc_id", "text", "following")
+    ends = materialise(ends, "range_ends")
+    first = ends.where("part_end = 1").select(F.col("_range").alias("range_after"), F.col("text").alias("following"))
+    last = ends.where("part_end = 2").join(ranges_beside(ends, "_range", ring=True), "_range")
+    last = last.join(first, "range_after").select("doc_id", "text", "following")
     return inside.union(last.mapInPandas(_pairs, schema))
 
 

@@ -55,3 +55,16 @@ def with_sampled_range(df: DataFrame, key: Column, to: str, draws: int = 16) ->
     if not bounds:
         return df.withColumn(to, F.lit(0))
     return df.withColumn(to, below(F.lit(bounds), key, len(bounds)))
+
+
+def ranges_beside(rows: DataFrame, column: str, ring: bool = False) -> DataFrame:
+    """Each range number in `column` with the range before and after it that has rows, as `range_before`
+    and `range_after`: null at the ends, or the other end's if `ring`.
+
+    Numbers alone come to the driver, PER_PARTITION for each shuffle partition at most.
+    """
+    there = sorted(r[0] for r in rows.select(column).distinct().collect())
+    ends = (there[-1:], there[:1]) if ring else ([None], [None])
+    steps = zip(there, [*ends[0], *there[:-1]], [*there[1:], *ends[1]], strict=False)
+    schema = f"{column} int, range_before int, range_after int"
+    return F.broadcast(rows.sparkSession.createDataFrame(list(steps), schema))
