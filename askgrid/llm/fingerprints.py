@@ -171,7 +171,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     count as empty. Rows with equal ids follow each other in order of their texts; null ids come
     first. A single document is its own neighbour. Empty table: empty result.
 
-    Texts are shuffled once, into ranges of ids. Each task reads its ranges in order, holding two
+    Texts are shuffled into ranges of ids, once for the ends of the ranges and once for the pairs. Each task reads its ranges in order, holding two
     texts at a time; the last text of each range is joined with the first of the next range by the
     range's number. Ids have to be numbers.
     """
