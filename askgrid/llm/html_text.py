@@ -1,19 +1,20 @@
-"""Main text of web pages: markup first, then differencing with the page of the nearest URL.
+"""Main text of web pages: differencing with the page of the nearest URL, then a check by the markup.
 
-Each page becomes a list of text lines, one per block element. What the markup itself marks as
-furniture (navigation, footers, forms, scripts, adverts, comments and so on) is left out at once. If
-the page has an `article` or `main` element, its lines are the text; of these, lines in elements whose
-class is in doubt (`share-price`: a word of furniture beside another) go only if differencing finds
-them, too. Without an article all lines are compared.
+Each page becomes a list of all its text lines, one per block element, furniture included. It is laid
+beside the page of the same host whose path is nearest: pages are put in order of host and path, and of
+a page's two neighbours the one with more of the path in common is taken. A copy of the page says nothing
+about the site, so copies are passed over to the nearest page that differs. Both lists of lines are aligned by a
+longest common subsequence, and lines in common, which the site repeats, are deleted.
 
-For that a page is laid beside the page of the same host whose path is nearest: pages are put in order of
-host and path, and of a page's two neighbours the one with more of the path in common is taken. Both lists
-of lines are aligned by a longest common subsequence, and lines in common, which the site repeats, are
-deleted. A copy of the page says nothing about the site, so nothing is deleted on its account.
+The check follows. What the markup marks as furniture (navigation, footers, forms, adverts, comments and
+so on) goes even if the neighbour has something else there. If the page has an `article` or `main` element, lines
+outside it go, and lines in it stay even if the neighbour has them, as near copies of an article do; only lines in
+elements whose class is in doubt (`share-price`: a word of furniture beside another) are left to differencing, as all
+lines are of a page without an article.
 
 Pages are parsed where they lie; their lines are shuffled once, into ranges of (host, path), so a
-host of any size is spread. Tasks read their range in order and hold three pages at a time. Only
-the first and last page of each range meet in one small table.
+host of any size is spread. Tasks read their range in order and hold three pages at a time, and of neighbouring
+copies the ids and URLs. Only the first and last copies of each range meet in another table.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.ranges import ranges_beside, with_sampled_range
+from askgrid.llm.ranges import with_sampled_range
 from askgrid.session import materialise
 
 # Elements of HTML by what they mean for the text.
@@ -101,9 +102,9 @@ def _kind(name: str, attributes: str) -> str:
     return kind
 
 
-def page_lines(source: str) -> list[tuple[int, str]]:
+def page_lines(source: str, furniture: bool = False) -> list[tuple[int, str]]:
     """Text lines of a page outside its furniture, each with 1 if inside an article, 2 if there in an element
-    in doubt, else 0."""
+    in doubt, else 0. With `furniture` also the lines inside it, with 3."""
     lines: list[tuple[int, str]] = []
     text: list[str] = []
     inside, skipped, depth = 0, "", 0  # articles open; element being skipped, and how deep in it
@@ -112,14 +113,14 @@ def page_lines(source: str) -> list[tuple[int, str]]:
     def block_ends() -> None:
         line = " ".join("".join(text).split())
         if line:
-            lines.append((0 if not inside else 2 if doubted else 1, line))
+            lines.append((3 if skipped else 0 if not inside else 2 if doubted else 1, line))
         text.clear()
 
     at, end = 0, len(source)
     while at < end:
         found = _TOKEN.search(source, at)
         until = found.start() if found else end
-        if until > at and not skipped:
+        if until > at and (furniture or not skipped):
             piece = source[at:until] if found else _UNENDED.sub("", source[at:])
             text.append(html.unescape(piece))
         if not found:
@@ -127,7 +128,7 @@ def page_lines(source: str) -> list[tuple[int, str]]:
         at = found.end()
         name = (found[2] or "").lower()
         if not name:
-            if found[0].startswith("<![CDATA[") and not skipped:
+            if found[0].startswith("<![CDATA[") and (furniture or not skipped):
                 text.append(found[0][9:].removesuffix("]]>"))
             continue
         closing, attributes = found[1], found[3]
@@ -138,13 +139,20 @@ def page_lines(source: str) -> list[tuple[int, str]]:
         if skipped:
             ends = name in ("article", "main") and skipped not in ("article", "main")
             if not closing and (ends or (name == "body" and skipped == "head")):
+                block_ends()
                 skipped = ""  # the skipped element was never closed
             elif name == skipped:
                 depth += -1 if closing else 1
+                if depth == 0 or name in _BLOCKS:
+                    block_ends()
                 if depth == 0:
                     skipped = ""
                 continue
             else:
+                if name in _BLOCKS:
+                    block_ends()
+                elif name == "br":
+                    text.append(" " if furniture else "")
                 continue
         if name in ("article", "main"):
             block_ends()
@@ -235,65 +243,83 @@ def _pack(lines: list[tuple[int, str]]) -> str:
 
 
 def _partner(page: tuple, neighbours: list[tuple | None]) -> tuple | None:
-    """The neighbour of the same host with more of the path in common; the one before on a tie."""
-    there = [n for n in neighbours if n is not None and n[1] == page[1]]
+    """The neighbour of the same host with more of the path in common; the one before on a tie. Copies are none."""
+    there = [n for n in neighbours if n is not None and n[1] == page[1] and n[3] != page[3]]
     return max(there, key=lambda n: _common_path(n[2], page[2])) if there else None
 
 
 def _text(page: tuple, before: tuple | None, after: tuple | None) -> str:
     """Text of a page: (page_id and url, host, path, packed lines)."""
     lines = page[3].split("\n") if page[3] else []
-    article = any(line[0] != "0" for line in lines)
-    if article and not any(line[0] == "2" for line in lines):
-        return "\n".join([line[1:] for line in lines if line[0] == "1"])
     partner = _partner(page, [before, after])
-    shared: set[int] = set()
-    if partner is not None and partner[3] != page[3]:
-        shared = common_lines(lines, partner[3].split("\n"))
-    if article:
-        kept = [line[0] == "1" or (line[0] == "2" and i not in shared) for i, line in enumerate(lines)]
-        return "\n".join([line[1:] for line, keep in zip(lines, kept, strict=True) if keep])
-    return "\n".join([line[1:] for i, line in enumerate(lines) if i not in shared])
+    shared = common_lines(lines, partner[3].split("\n")) if partner is not None else set()
+    return "\n".join([line[1:] for line in checked(lines, shared)])
+
+
+def checked(lines: list[str], shared: set[int]) -> list[str]:
+    """What stays of packed lines of which `shared` are deleted by differencing, after the check by their zones."""
+    article = any(line[0] in "12" for line in lines)
+    unsure = "2" if article else "0"  # zone that differencing alone decides on
+    return [
+        line
+        for i, line in enumerate(lines)
+        if (article and line[0] == "1") or (line[0] == unsure and i not in shared)
+    ]
 
 
 _COLUMNS = ["_range", "page_id", "url", "host", "path", "lines"]
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """For each batch of sorted pages: (place in its range, page, page before it, page after it).
+    """For each batch of sorted pages: (place in its range, whether first or last there, page, page before it, page
+    after it), where the pages before and after are the nearest that are no copies.
 
-    The place is 1 for the first page of a range, 2 for the last, 3 for both, else 0. Neighbours are
-    those in the same range.
+    The place is 1 for the first page of a range and its copies, 2 for the last, 3 for both, else 0; first or last
+    is 1, 2 or 3 for one page of these. Neighbours are those in the same range.
     """
-    before = page = None
+    before = None
+    run: list[tuple] = []  # pages of a range and host with the same lines
+
+    def closed(after: tuple | None) -> Iterator[tuple]:
+        place = (before is None) + 2 * (after is None)
+        for i, page in enumerate(run):
+            edge = (place & 1) * (i == 0) + (place & 2) * (i + 1 == len(run))
+            yield place, edge, page, before, after
+
     for batch in batches:
-        out = []
+        out: list[tuple] = []
         for range_, page_id, url, host, path, lines in batch[_COLUMNS].itertuples(index=False):
-            after = ((range_, None if pd.isna(page_id) else page_id, url), host, path, lines)
-            if page is not None:
-                same = page[0][0] == range_
-                out.append(((before is None) + 2 * (not same), page, before, after if same else None))
-                before = page if same else None
-            page = after
+            page = ((range_, None if pd.isna(page_id) else page_id, url), host, path, lines)
+            if run:
+                last = run[-1]
+                same = last[0][0] == range_
+                if same and last[1] == host and last[3] == lines:
+                    # The strings of copies are kept once.
+                    url, path = (o if n == o else n for n, o in ((url, last[0][2]), (path, last[2])))
+                    run.append(((range_, page[0][1], url), last[1], path, last[3]))
+                    continue
+                out.extend(closed(page if same else None))
+                before = last if same else None
+            run = [page]
         yield out
-    if page is not None:
-        yield [((before is None) + 2, page, before, None)]
+    if run:
+        yield list(closed(None))
 
 
 def _inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts of the pages that have both neighbours in their range."""
     for walked in _walk(batches):
-        rows = [(*page[0][1:], _text(page, b, a)) for place, page, b, a in walked if place == 0]
+        rows = [(*page[0][1:], _text(page, b, a)) for place, _, page, b, a in walked if place == 0]
         yield pd.DataFrame(rows, columns=["page_id", "url", "text"], dtype=object)
 
 
 def _range_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First and last pages of the ranges, as they are, with the one neighbour they have there."""
-    names = [*_COLUMNS, "part_end", "near_host", "near_path", "near_lines"]
+    """First and last pages of the ranges and their copies, as they are, with the one neighbour they have there."""
+    names = [*_COLUMNS, "part_end", "edge", "near_host", "near_path", "near_lines"]
     for walked in _walk(batches):
         rows = [
-            (*page[0], *page[1:], place, *((b or a)[1:] if b or a else (None, None, None)))
-            for place, page, b, a in walked
+            (*page[0], *page[1:], place, edge, *((b or a)[1:] if b or a else (None, None, None)))
+            for place, edge, page, b, a in walked
             if place
         ]
         yield pd.DataFrame(rows, columns=names, dtype=object)
@@ -319,10 +345,41 @@ def _at_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        batch["lines"] = [_pack(page_lines(x or "")) for x in batch.pop("html")]
+        batch["lines"] = [_pack(page_lines(x or "", furniture=True)) for x in batch.pop("html")]
         yield batch
 
 
+def _beside(ends: DataFrame) -> DataFrame:
+    """Each range with the ranges whose last and first page are the nearest that differ from its own first and last:
+    `range_before`, `range_after` (null: none), and whether it is these pages' neighbour there instead (`near_before`,
+    `near_after`), since they are copies.
+
+    Three values per range come to the driver, PER_PARTITION ranges for each shuffle partition at most.
+    """
+    digest = F.sha2(F.concat_ws("\x01", "host", "lines").cast("binary"), 256)
+    rows = ends.where("edge > 0").select("_range", "part_end", "edge", digest.alias("digest")).collect()
+    first = {r["_range"]: r["digest"] for r in rows if r["edge"] & 1}
+    last = {r["_range"]: r["digest"] for r in rows if r["edge"] & 2}
+    single = {r["_range"] for r in rows if r["part_end"] == 3}
+    there = sorted(first)
+
+    def nearest(order: list[int], mine: dict, theirs: dict) -> dict[int, tuple]:
+        found: dict[int, tuple] = {}
+        for i, number in enumerate(order):
+            other = order[i - 1] if i else None
+            if other is None:
+                found[number] = (None, False)
+            elif theirs[other] != mine[number]:
+                found[number] = (other, False)
+            else:
+                found[number] = found[other] if other in single else (other, True)
+        return found
+
+    before, after = nearest(there, first, last), nearest(there[::-1], last, first)
+    schema = "_range int, range_before int, near_before boolean, range_after int, near_after boolean"
+    return F.broadcast(ends.sparkSession.createDataFrame([(n, *before[n], *after[n]) for n in there], schema))
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of `pages` (page_id, url, html).
 
@@ -348,16 +405,22 @@ def extract_text(pages: DataFrame) -> DataFrame:
     texts = f"page_id {id_type}, url string, text string"
     inside = ordered.mapInPandas(_inside, texts)
 
-    # At most two rows per range, whatever the number of pages.
-    near = "part_end int, near_host string, near_path string, near_lines string"
+    # Two rows per range and their copies, whatever the number of pages.
+    near = "part_end int, edge int, near_host string, near_path string, near_lines string"
     ends = ordered.mapInPandas(_range_ends, f"{columns}, {near}")
     ends = materialise(ends, "range_ends")
-    placed = ends.join(ranges_beside(ends, "_range"), "_range")
+    placed = ends.join(_beside(ends), "_range")
     for name, edge in (("before", 2), ("after", 1)):
-        edges = ends.where(F.col("part_end").isin(edge, 3)).select(
-            F.col("_range").alias(f"range_{name}"), *[F.col(c).alias(f"{name}_{c}") for c in ("host", "path", "lines")]
-        )
-        placed = placed.join(edges, f"range_{name}", "left")
+        edges = ends.where(F.col("edge").isin(edge, 3))
+        sides = [
+            edges.select(
+                F.col("_range").alias(f"range_{name}"),
+                F.lit(kind).alias(f"near_{name}"),
+                *[F.col(f"{start}{c}").alias(f"{name}_{c}") for c in ("host", "path", "lines")],
+            )
+            for kind, start in ((False, ""), (True, "near_"))
+        ]
+        placed = placed.join(sides[0].union(sides[1]), [f"range_{name}", f"near_{name}"], "left")
     return inside.union(placed.mapInPandas(_at_ends, texts)).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -76,6 +76,32 @@ def test_copies_keep_their_text(spark):
     assert {r["text"] for r in html_text.extract_text(pages(spark, rows)).collect()} == {"one\ntwo"}
 
 
+def test_copies_are_compared_with_the_nearest_page_that_differs(spark):
+    """Copies of a page in one range and over several: their menu goes all the same."""
+    page = "<p>Menu of the site</p><p>{}</p><p>All rights reserved</p>"
+    rows = [(i, f"http://h/a/{i // 2:03}", page.format("Copied words")) for i in range(1, 399)]
+    rows += [(0, "http://h/a/000", page.format("First words")), (399, "http://h/b", page.format("Last words"))]
+    rows += [(400, "http://other/", page.format("Alone")), (401, "http://other/", page.format("Alone"))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages(spark, rows)).collect()}
+    assert {got[i] for i in range(1, 399)} == {"Copied words"}
+    assert (got[0], got[399]) == ("First words", "Last words")
+    assert got[400] == got[401] == "Menu of the site\nAlone\nAll rights reserved"  # nothing there to compare with
+
+
+def test_differencing_comes_before_the_check_by_markup(spark):
+    """Furniture takes part in the alignment, so its words are not taken for the same words of the text."""
+    source = "<nav><p>Sport<p>More</nav><p>{}<p>Sport<p>{}<footer>f {}</footer>"
+    lines = html_text.page_lines(source.format(1, 2, 3), furniture=True)
+    assert lines == [(3, "Sport"), (3, "More"), (0, "1"), (0, "Sport"), (0, "2"), (3, "f 3")]
+    other = "<nav><p>Sport<p>More</nav><p>Other"
+    rows = [(1, "http://h/1", source.format(1, 2, 3)), (2, "http://h/2", other)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages(spark, rows)).collect()}
+    assert got == {1: "1\nSport\n2", 2: "Other"}
+    article = [f"{zone}{line}" for zone, line in html_text.page_lines("<nav>n</nav><article><p>a<p class='share-x'>b", True)]
+    assert html_text.checked(article, {0, 1, 2}) == ["1a"]
+    assert html_text.checked(article, {1}) == ["1a", "2b"]
+
+
 def test_nulls_long_and_empty(spark):
     long = "<article>" + "<p>a b</p>" * 20000 + "</article>"
     rows = [(None, None, None), (1, "no scheme", ""), (2, "http://h/", long), (2, "http://h/", long)]
