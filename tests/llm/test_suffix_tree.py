@@ -114,6 +114,18 @@ def test_scores_against_a_plain_tree(documents):
     assert "rare1" in states["w7",]
 
 
+def test_contexts_of_any_share_are_states(documents):
+    """Without a share of the corpus that they must have, also in parts and over many blocks."""
+    rows = list(_corpus(100))
+    rows += [(1000 + i, f"seldom {i % 2} met {('here', 'there')[i % 2]} " + " ".join(f"u{i}x{j}" for j in range(200))) for i in range(200)]
+    rows += [(None, "seldom 1 met"), (3000, None)]
+    expected, states = plain_scores(rows, 0, 0)
+    assert ("seldom",) in states and ("1", "met") in states
+    for options in ({"block_bytes": 9000}, {"block_bytes": 9000, "part": 20}, {}):
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(documents(rows), **options).collect()}
+        assert all(math.isclose(got[i], e, rel_tol=1e-9) for (i, _), e in zip(rows, expected, strict=True))
+
+
 def test_each_state_sums_to_one():
     """Over all words and the unknown one, in every state that was kept."""
     hash_ = lambda n: [int(x) for x in np.arange(1, n + 1, dtype=np.uint64) * np.uint64(1 << 40)]
