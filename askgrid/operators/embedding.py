@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
+#: Characters of text whose words are held as objects at a time.
+CUT = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -29,7 +31,7 @@ def hashed_terms(dimensions: int = 64) -> Callable[[], Embedder]:
         def place_of(word: str) -> int:
             return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
 
-        def embed(texts: Sequence[str]) -> np.ndarray:
+        def embed_few(texts: Sequence[str]) -> np.ndarray:
             words = [_WORD.findall((text or "").lower()) for text in texts]
             row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
             code, distinct = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
@@ -39,6 +41,13 @@ def hashed_terms(dimensions: int = 64) -> Callable[[], Embedder]:
             length = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
             return (counts / np.where(length == 0, 1.0, length)).astype(np.float32)
 
+        def embed(texts: Sequence[str]) -> np.ndarray:
+            # Words stand as objects for about CUT characters of text at a time only.
+            places = np.cumsum([len(text or "") for text in texts]) // CUT
+            cuts = np.flatnonzero(np.diff(places)) + 1
+            bounds = [0, *cuts.tolist(), len(texts)]
+            return np.concatenate([embed_few(texts[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
+
         return embed
 
     return client

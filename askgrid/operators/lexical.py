@@ -38,6 +38,8 @@ from askgrid.operators.retrieval import (
 from askgrid.session import materialise_measured
 
 FUSION_CONSTANT = 60
+#: Chunks whose words are looked up at a time.
+INDEX_ROWS = 1024
 
 
 def _question_words(questions: DataFrame, question: str) -> DataFrame:
@@ -92,7 +94,7 @@ class _TextSearch:
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = vocabulary.value
-            for batch in batches:
+            for batch in (b.slice(i, INDEX_ROWS) for b in batches for i in range(0, b.num_rows, INDEX_ROWS)):
                 lists = batch.column(1)
                 length = np.diff(lists.offsets.to_numpy())
                 row = np.repeat(np.arange(len(lists)), length)

@@ -295,3 +295,18 @@ def test_retrieved_texts_come_with_their_rank(spark, texts, monkeypatch, capsys,
         rag.retrieve(q, c, 3, "random")
     with pytest.raises(ValueError):
         rag.retrieve(q, c.drop("text_vector"), 3)
+
+
+def test_memory_of_the_embedder_does_not_grow_with_its_batch():
+    """Words of a batch are held for a part of its texts at a time, with the same vectors."""
+    import tracemalloc
+
+    texts = [f"word{i} " + " ".join(f"w{i * j % 9973}" for j in range(300)) for i in range(4000)] + [None, ""]
+    embed = embedding.hashed_terms()()
+    tracemalloc.start()
+    found = embed(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    assert np.array_equal(found, np.concatenate([embed([t]) for t in texts]))
+    assert embed([]).shape == (0, 64)
