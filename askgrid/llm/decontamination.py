@@ -73,6 +73,7 @@ _PIECES = re.compile(f"[{_BLANKLESS}]|[^{_BLANKLESS}]+")
 #: Forms of a window: two of templates, and exact words without and with characters of such scripts.
 _TEMPLATES, _EXACT, _BY_CHARACTER = (0, 1), 2, 3
 _NUM, _UNIT, _NAME = "<number>", "<unit>", "<name>"
+_NAME_HASH = xxhash.xxh3_64_intdigest(_NAME)
 
 
 def both_templates(word: str) -> tuple[str, str]:
@@ -110,6 +111,25 @@ def exact_word(word: str) -> str:
     return (word.strip(_AROUND).lower() or shape) if shape[:1] == "<" else shape
 
 
+def _hashed(word: str) -> tuple[tuple[int, int, int], int]:
+    """Hashes of both templates (0: left out) and of the exact word, and which are literals (see `_Templates`)."""
+    digest = xxhash.xxh3_64_intdigest
+    blankless = 0 if word.isascii() else 8 * (_HAS_BLANKLESS.match(word) is not None)
+    bare = word.strip(_EDGES)
+    if bare.isalpha():
+        low = bare.lower()
+        if low not in _NUMBERS and low not in _UNITS and low.isalpha():  # nearly all words: one hash serves
+            same = digest(low)
+            if bare[0].isupper():
+                return (_NAME_HASH, same, same), 6 + blankless
+            return (same, same, same), 7 + blankless
+    one, other = both_templates(word)
+    folded = other if word == word.lower() else both_templates(word.lower())[1]
+    shapes = (one, other, exact_word(word))
+    literal = (one[:1] != "<") + 2 * (other[:1] != "<") + 4 * (folded[:1] != "<")
+    return tuple(digest(x) if x else 0 for x in shapes), literal + blankless
+
+
 class _Templates:
     """Hashes of words by both templates (0: left out) and exactly, and whether they are literals (bit per
     template, a third for the folded word, a fourth for characters of scripts without blanks)."""
@@ -124,18 +144,11 @@ class _Templates:
             self.__init__()
         new = list(set(words).difference(self.place))
         if new:
-            shapes = [(*both_templates(w), exact_word(w)) for w in new]
-            digest = xxhash.xxh3_64_intdigest
-            hashes = [tuple(digest(x) if x else 0 for x in each) for each in shapes]
-            literal = [
-                (one[:1] != "<") + 2 * (other[:1] != "<")
-                + 4 * ((other if w == w.lower() else both_templates(w.lower())[1])[:1] != "<")
-                + 8 * (not w.isascii() and _HAS_BLANKLESS.match(w) is not None)
-                for w, (one, other, _) in zip(new, shapes, strict=True)
-            ]
+            hashes, literal = zip(*map(_hashed, new), strict=True)
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.hashes = np.concatenate([self.hashes, np.array(hashes, np.uint64)])
-            self.literal = np.concatenate([self.literal, np.array(literal, np.int64)])
+            flat = np.fromiter(chain.from_iterable(hashes), np.uint64, 3 * len(new))
+            self.hashes = np.concatenate([self.hashes, flat.reshape(-1, 3)])
+            self.literal = np.concatenate([self.literal, np.fromiter(literal, np.int64, len(new))])
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
 

@@ -121,3 +121,26 @@ def test_query(spark):
             expected |= {(row["doc_id"], j) for j in grams.get(tuple(words[i : i + 8]), ())}
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.op8_decontamination(spark, folder).collect()}
     assert got == expected and got
+
+
+def test_a_plain_word_is_hashed_once_and_equals_its_templates(monkeypatch):
+    import random
+
+    import xxhash
+
+    chosen = random.Random(5)
+    letters = "abzABZkKmMß日本ΣςİıÉñ0129.,;%$€°/-+'\"(<|*#・"
+    words = ["".join(chosen.choices(letters, k=chosen.randint(1, 5))) for _ in range(3000)]
+    words += [w for x in ("kg", "three", "Celsius", "m", "%") for w in (x, x.upper(), f"({x})", f"3{x}", f"${x}")]
+    digest, met = xxhash.xxh3_64_intdigest, []
+    known = decontamination._Templates()
+    places = known.of(words)
+    for word, place in zip(words, places.tolist(), strict=True):
+        one, other = decontamination.both_templates(word)
+        shapes = (one, other, decontamination.exact_word(word))
+        assert known.hashes[place].tolist() == [digest(x) if x else 0 for x in shapes]
+        folded = decontamination.both_templates(word.lower())[1]
+        assert [int(known.literal[place]) >> bit & 1 for bit in range(3)] == [x[:1] != "<" for x in (one, other, folded)]
+    monkeypatch.setattr(decontamination.xxhash, "xxh3_64_intdigest", lambda x: met.append(x) or digest(x))
+    decontamination._Templates().of(["some", "plain", "Words,", "stand", "here."])
+    assert len(met) == 5
