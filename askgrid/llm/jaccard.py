@@ -6,9 +6,10 @@ the similarity bounds how many elements two linked sets can differ in, k. Elemen
 more than k parts, so two linked sets agree in some: each part's elements, hashed, are a signature, and
 linked sets share one.
 
-1. Each task makes the signatures of its documents and passes on each signature once; nodes that share
-   one within the task are tied to its first node there, so a signature in a third of all documents
-   costs one row per task.
+1. The corpus is cut into blocks of documents that ask buckets which of their elements another set holds, too.
+   A set that has less than the similarity's share of such elements is linked with none, so a common passage in
+   texts that are otherwise their own ties nothing. Each block makes the signatures of its other sets and passes on
+   each signature once; nodes that share one within the block are tied to its first node there.
 2. Nodes that share a signature are tied to the least of them. The connected components of these ties are
    families: no link leaves a family. Most documents are in none.
 3. A family of up to PART nodes meets in one task, which counts the intersections of all its sets exactly
@@ -27,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgrid.llm.blocks import packed, unpacked
+from askgrid.llm.blocks import block_count, packed, unpacked
 from askgrid.llm.components import components
 from askgrid.llm.ranges import below
 from askgrid.llm.words import WordHashes, mixed, stretches, windows
@@ -38,6 +40,9 @@ from askgrid.session import materialise
 
 PART = 256
 _COLUMNS = 4096
+#: Bytes of text in a block, on average, and elements whose signatures are made at a time.
+BLOCK_BYTES = 4 << 20
+_AT_ONCE = 1 << 18
 _TIE = np.uint64(0xA24BAED4963EE407)
 _LAST = (1 << 63) - 1
 
@@ -68,7 +73,8 @@ def _sets(texts: list[bytes], words: int, known: WordHashes) -> tuple[np.ndarray
     if len(short):
         whole = np.array([windows(hashes[starts[i] : ends[i]], int(counts[i]))[0] for i in short], np.uint64)
         elements, doc = np.concatenate([elements, whole]), np.concatenate([doc, short])
-    order = np.lexsort((elements, doc))
+    order = np.argsort(elements)
+    order = order[np.argsort(doc[order].astype(np.uint16 if len(cut) <= 1 << 16 else np.int64), kind="stable")]
     elements, doc = elements[order], doc[order]
     new = np.ones(len(elements), bool)
     new[1:] = (elements[1:] != elements[:-1]) | (doc[1:] != doc[:-1])
@@ -187,39 +193,152 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, share: int) -> tuple[np.
     return np.concatenate(found), np.concatenate(owners)
 
 
-def _signature_rows(docs: DataFrame, words: int, share: int) -> DataFrame:
-    """signature, node: each signature once per stretch of a task, with the first node that has it;
-    other nodes that have it there share a signature made of that node."""
+def _once_a_batch(rows: DataFrame) -> DataFrame:
+    """The rows without those whose text stands earlier in their batch, so a text in a third of all rows costs a
+    row per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for whole in batches:
-            for batch in stretches(whole, "text", 4 << 20):
-                elements, sizes = _sets(_bytes(batch), words, known)
-                nodes = _nodes(elements, sizes)
-                _, first = np.unique(nodes, return_index=True)  # equal sets: once
-                keep = np.zeros(len(nodes), bool)
-                keep[first] = True
-                elements = elements[np.repeat(keep, sizes)]
-                nodes, sizes = nodes[keep], sizes[keep]
-                found, owner = signatures(elements, sizes, share)
-                order = np.lexsort((owner, found))
-                found, owner = found[order], owner[order]
-                new = np.ones(len(found), bool)
-                new[1:] = found[1:] != found[:-1]
-                leader = owner[new][np.cumsum(new) - 1]
-                tied = np.unique(np.stack([leader[~new], owner[~new]], axis=1), axis=0)
-                leaders = np.unique(tied[:, 0])
-                tie = lambda at: mixed(nodes[at] ^ _TIE)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _signed(np.concatenate([found[new], tie(tied[:, 0]), tie(leaders)])),
-                        _signed(np.concatenate([nodes[owner[new]], nodes[tied[:, 1]], nodes[leaders]])),
-                    ],
-                    ["signature", "node"],
-                )
+        for batch in batches:
+            first: dict[bytes, int] = {}
+            for i, digest in enumerate(batch.column("digest").to_pylist()):
+                first.setdefault(digest, i)
+            yield batch if len(first) == batch.num_rows else batch.take(pa.array(first.values(), pa.int64()))
+
+    return rows.select("digest", "text").mapInArrow(run, "digest binary, text string")
+
+
+def _deltas(values: np.ndarray) -> bytes:
+    """Rising 32-bit values as their differences, first bytes first, compressed."""
+    steps = np.diff(values, prepend=np.uint32(0)).astype(np.uint32)
+    planes = steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(planes)
+
+
+def _undone(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The values that `_deltas` has packed."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    planes = [np.frombuffer(unpack(b), np.uint8).reshape(4, -1) for b in column.to_pylist()]
+    return [np.cumsum(np.ascontiguousarray(p.T).reshape(-1).view(np.uint32), dtype=np.uint32) for p in planes]
+
+
+class _Block:
+    """The different sets of a block's texts, and its elements in the order in which it asks for them: by bucket
+    and lowest 32 bits. Elements that agree in both are asked for as one."""
+
+    def __init__(self, texts: pa.Table, words: int, buckets: int):
+        known, found = WordHashes(), []
+        for batch in texts.select(["packed"]).to_batches(max_chunksize=512):
+            elements, sizes = _sets(unpacked(batch.column("packed")), words, known)
+            found.append((elements, sizes, _nodes(elements, sizes)))
+        elements, sizes, nodes = (np.concatenate(x) for x in zip(*found, strict=True))
+        _, first = np.unique(nodes, return_index=True)  # equal sets: once
+        keep = np.zeros(len(nodes), bool)
+        keep[first] = True
+        self.elements, self.sizes, self.nodes = elements[np.repeat(keep, sizes)], sizes[keep], nodes[keep]
+        bucket = (self.elements >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+        keys = bucket << np.uint64(32) | (self.elements & np.uint64(0xFFFFFFFF))
+        keys, self.place, holders = np.unique(keys, return_inverse=True, return_counts=True)
+        self.bucket, self.values = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32)
+        self.many = holders > 1
+
+    def asks(self, block: int) -> pa.Table:
+        """A row per bucket: the block's elements there, and which of them several of its sets hold."""
+        starts = np.flatnonzero(np.append(np.ones(min(1, len(self.bucket)), bool), np.diff(self.bucket) > 0))
+        ends = np.append(starts[1:], len(self.bucket))
+        spans = list(zip(starts.tolist(), ends.tolist(), strict=True)) if len(starts) else []
+        columns = {
+            "bucket": pa.array(self.bucket[starts]),
+            "block": pa.array(np.full(len(starts), block, np.int64)),
+            "elements": pa.array([_deltas(self.values[s:e]) for s, e in spans], pa.binary()),
+            "several": pa.array([np.packbits(self.many[s:e]).tobytes() for s, e in spans], pa.binary()),
+        }
+        return pa.table(columns)
+
+    def linkable(self, replies: pa.Table, share: int) -> np.ndarray:
+        """Which sets share enough of their elements with others."""
+        replies = replies.sort_by("bucket")
+        number = np.bincount(self.bucket)
+        bits = [
+            np.unpackbits(np.frombuffer(b, np.uint8), count=int(number[at]))
+            for at, b in zip(replies["bucket"].to_pylist(), replies["several"].to_pylist(), strict=True)
+        ]
+        shared = np.concatenate([np.zeros(0, np.uint8), *bits])[self.place]
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        held = np.bincount(owner, weights=shared, minlength=len(self.sizes)).astype(np.int64)
+        return (self.sizes > 0) & (100 * held >= share * self.sizes)
+
+
+def _several(asks: pa.Table) -> pa.Table:
+    """What a bucket replies to all blocks: which of their elements several sets hold. Elements are compared by bucket
+    and 32 bits, so one may seem to be held by several sets, but none that is seems not to be."""
+    values = _undone(asks["elements"])
+    bits = [
+        np.unpackbits(np.frombuffer(b, np.uint8), count=len(v)).astype(bool)
+        for b, v in zip(asks["several"].to_pylist(), values, strict=True)
+    ]
+    _, place, blocks = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    several = blocks > 1
+    several[place[np.concatenate(bits)]] = True
+    replies = np.split(several[place], np.cumsum([len(v) for v in values])[:-1])
+    column = pa.array([np.packbits(r).tobytes() for r in replies], pa.binary())
+    return pa.table({"bucket": asks["bucket"], "block": asks["block"], "several": column})
+
+
+def _signature_table(elements: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, share: int) -> pa.Table:
+    """Each signature once, with the first node that has it; other nodes that have it share a signature made of
+    that node."""
+    found, owner = signatures(elements, sizes, share)
+    order = np.lexsort((owner, found))
+    found, owner = found[order], owner[order]
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    leader = owner[new][np.cumsum(new) - 1]
+    tied = np.unique(np.stack([leader[~new], owner[~new]], axis=1), axis=0)
+    leaders = np.unique(tied[:, 0])
+    tie = lambda at: mixed(nodes[at] ^ _TIE)
+    return pa.table(
+        {
+            "signature": _signed(np.concatenate([found[new], tie(tied[:, 0]), tie(leaders)])),
+            "node": _signed(np.concatenate([nodes[owner[new]], nodes[tied[:, 1]], nodes[leaders]])),
+        }
+    )
+
+
+def _signature_rows(docs: DataFrame, words: int, share: int, block_bytes: int) -> DataFrame:
+    """signature, node: the signatures of the sets in `docs` (digest, text) that may have a link."""
+    blocks = block_count(docs, block_bytes)
+    buckets = -(-blocks // 2)
+    block = F.pmod(F.xxhash64("digest"), F.lit(blocks).cast("long"))
+    texts = packed(_once_a_batch(docs).withColumn("block", block))  # read twice; one exchange serves both
+
+    def asked(texts: pa.Table) -> pa.Table:
+        return _Block(_distinct(texts), words, buckets).asks(texts["block"][0].as_py())
+
+    def signed(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        block = _Block(_distinct(texts), words, buckets)
+        kept = block.linkable(replies, share)
+        elements, sizes = block.elements[np.repeat(kept, block.sizes)], block.sizes[kept]
+        nodes, ends = block.nodes[kept], np.cumsum(sizes)
+        tables, start = [_signature_table(elements[:0], sizes[:0], nodes[:0], share)], 0
+        while start < len(sizes):
+            begin = int(ends[start] - sizes[start])
+            end = max(start + 1, int(np.searchsorted(ends, begin + _AT_ONCE, "right")))
+            stretch = elements[begin : ends[end - 1]]
+            tables.append(_signature_table(stretch, sizes[start:end], nodes[start:end], share))
+            start = end
+        return pa.concat_tables(tables)
+
+    asks = texts.groupBy("block").applyInArrow(asked, "bucket long, block long, elements binary, several binary")
+    replies = asks.groupBy("bucket").applyInArrow(_several, "bucket long, block long, several binary")
+    return (
+        texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(signed, "signature long, node long")
+    )
+
 
-    return docs.select("text").mapInArrow(run, "signature long, node long")
+def _distinct(texts: pa.Table) -> pa.Table:
+    """One row for each text."""
+    once = texts.group_by("digest").aggregate([("packed", "min")])
+    return pa.table({"packed": once["packed_min"]})
 
 
 def sketch(elements: np.ndarray) -> bytes:
@@ -331,14 +450,14 @@ def _links(words: int, share: int):
     return run
 
 
-def _grouped(rows: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(rows: DataFrame, words: int, share: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """The classes of `rows` (id, digest, text), and node, id and digest of the least row that a chain
     of links reaches from each node with elements."""
     classes = materialise(_classes(rows, words), "classes")
 
     of_signature = Window.partitionBy("signature")
     ties = (
-        _signature_rows(rows, words, share)
+        _signature_rows(rows, words, share, block_bytes)
         .withColumn("least", F.min("node").over(of_signature))
         .where("node != least")
         .select(F.col("least").alias("a"), F.col("node").alias("b"))
@@ -388,7 +507,9 @@ def _grouped(rows: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFr
     return classes, materialise(rooted.select("node", "root").join(least, "root").drop("root"), "of_node")
 
 
-def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFrame:
+def jaccard_groups(
+    docs: DataFrame, words: int = 3, share: int = 90, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of `docs` (doc_id, text).
 
     Two documents are linked if the intersection of their sets of `words`-word shingles (A-Z lower-cased)
@@ -399,7 +520,7 @@ def jaccard_groups(docs: DataFrame, words: int = 3, share: int = 90) -> DataFram
     Rows with null ids take part and get the least id of their group, null if there is none. Repeated rows
     are in one group. Empty table: empty result. Sets are told apart by 64-bit hashes.
     """
-    classes, of_node = _grouped(docs.select("text", *_keys()), words, share)
+    classes, of_node = _grouped(docs.select("text", *_keys()), words, share, block_bytes)
     of_node = of_node.select("node", F.col("id").alias("least"))
     known = lambda c: F.when(F.col(c) != F.lit(_LAST), F.col(c))
     return classes.join(of_node, "node", "left").select(

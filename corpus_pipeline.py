@@ -6,7 +6,7 @@ again as the next one's `docs`. All stages but the last return the columns of `d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askgrid.llm import byte_bpe, decontamination, jaccard, quality, substrings
@@ -47,12 +47,16 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     own = [_free("id", docs), _free("digest", docs)]
     keyed = docs.withColumns(dict(zip(own, jaccard.row_key().values(), strict=True)))
-    copies = jaccard.copies(docs, words=SHINGLE, share=SIMILARITY).withColumnsRenamed(dict(zip(["id", "digest"], own, strict=True)))
-    copies = materialise(copies, "copies")
-    repeated = copies.where("not near_copy").select(*own)
-    single = keyed.join(copies.select(*own), own, "left_anti").select(*docs.columns)
-    row = F.min(F.struct(*docs.columns)).alias("row")
-    return single.union(keyed.join(repeated, own, "left_semi").groupBy(*own).agg(row).select("row.*"))
+    near = _free("near_copy", docs)
+    copies = jaccard.copies(docs, words=SHINGLE, share=SIMILARITY)
+    copies = copies.withColumnsRenamed(dict(zip(["id", "digest", "near_copy"], [*own, near], strict=True)))
+    # A merge join at every size, since what goes grows with the documents; texts are shuffled once, for both cases.
+    judged = keyed.join(materialise(copies, "copies").hint("merge"), own, "left")
+    judged = judged.where(F.col(near).isNull() | ~F.col(near))
+    number = F.row_number().over(Window.partitionBy(*own).orderBy(*docs.columns))
+    first = F.when(F.col(near).isNull(), F.lit(1)).otherwise(number)
+    place = _free("place", docs)
+    return judged.withColumn(place, first).where(F.col(place) == 1).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,6 +79,19 @@ def test_linked_sets_share_a_signature():
                 assert set(found[owner == 0].tolist()) & set(found[owner == 1].tolist())
 
 
+def test_a_common_passage_ties_nothing(documents, prose):
+    passage = prose(1000, 30)
+    rows = [(i, f"{prose(i, 60)} {passage} {prose(500 + i, 60)}") for i in range(120)]
+    near = [(200, f"{rows[7][1]} x"), (201, rows[9][1]), (202, rows[9][1].upper()), (203, ""), (204, None), (205, "one")]
+    keyed = documents(rows + near).select("text", *jaccard._keys())
+    for block_bytes in (1 << 30, 1 << 12):
+        tied = {r["node"] for r in jaccard._signature_rows(keyed, 5, 80, block_bytes).collect()}
+        classes = {r["id"]: r["node"] for r in jaccard._classes(keyed, 5).collect()}
+        assert {classes[7], classes[200]} <= tied <= {classes[i] for i in (7, 200, 9)}
+    got = jaccard.jaccard_groups(documents(rows + near), 5, 80, block_bytes=1 << 12).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute_force(rows + near, 5, 80)
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]

@@ -73,3 +73,11 @@ def test_run_equals_its_stages_and_empty_table(spark, tmp_path):
     none = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SMALL).count() == 0
+
+
+def test_texts_are_shuffled_once_for_the_copies(spark, documents, prose):
+    rows = [(i, prose(600 + i, 60)) for i in range(20)] + [(3, prose(603, 60)), (40, f"{prose(605, 60)} x")]
+    kept = corpus_pipeline.ngram_jaccard_join(spark, documents(rows), "")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
