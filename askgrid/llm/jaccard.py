@@ -43,6 +43,8 @@ _COLUMNS = 4096
 #: Bytes of text in a block, on average, and elements whose signatures are made at a time.
 BLOCK_BYTES = 4 << 20
 _AT_ONCE = 1 << 18
+#: Bytes of text whose words stand as objects at a time.
+STRETCH = 1 << 20
 _TIE = np.uint64(0xA24BAED4963EE407)
 _LAST = (1 << 63) - 1
 
@@ -119,7 +121,7 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for whole in batches:
-            for batch in stretches(whole, "text"):
+            for batch in stretches(whole, "text", STRETCH):
                 elements, sizes = _sets(_bytes(batch), words, known)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("digest"), _signed(_nodes(elements, sizes)), pa.array(sizes)],
@@ -194,8 +196,8 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, share: int) -> tuple[np.
 
 
 def _once_a_batch(rows: DataFrame) -> DataFrame:
-    """The rows without those whose text stands earlier in their batch, so a text in a third of all rows costs a
-    row per batch."""
+    """block, digest and the packed text of the rows, without those whose text stands earlier in their batch, so a text
+    in a third of all rows costs a row per batch. One Python worker in a task does both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +206,7 @@ def _once_a_batch(rows: DataFrame) -> DataFrame:
                 first.setdefault(digest, i)
             yield batch if len(first) == batch.num_rows else batch.take(pa.array(first.values(), pa.int64()))
 
-    return rows.select("digest", "text").mapInArrow(run, "digest binary, text string")
+    return packed(rows.select("block", "digest", "text"), first=run)
 
 
 def _deltas(values: np.ndarray) -> bytes:
@@ -309,7 +311,7 @@ def _signature_rows(docs: DataFrame, words: int, share: int, block_bytes: int) -
     blocks = block_count(docs, block_bytes)
     buckets = -(-blocks // 2)
     block = F.pmod(F.xxhash64("digest"), F.lit(blocks).cast("long"))
-    texts = packed(_once_a_batch(docs).withColumn("block", block))  # read twice; one exchange serves both
+    texts = _once_a_batch(docs.withColumn("block", block))  # read twice; one exchange serves both
 
     def asked(texts: pa.Table) -> pa.Table:
         return _Block(_distinct(texts), words, buckets).asks(texts["block"][0].as_py())

@@ -96,3 +96,13 @@ def test_query(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted([tuple(r) for r in jaccard.op5_jaccard(spark, folder).collect()], key=str) == brute_force(rows, 3, 90)
+
+
+def test_one_python_worker_packs_texts_once_a_batch(spark):
+    """A second worker in each task stays on beside the first, in the executor's memory."""
+    rows = [(0, b"a", "one two"), (0, b"b", None), (0, b"a", "one two")]
+    found = jaccard._once_a_batch(spark.createDataFrame(rows, "block long, digest binary, text string").coalesce(1))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    texts = found.orderBy("digest").toArrow()
+    assert texts["digest"].to_pylist() == [b"a", b"b"]
+    assert jaccard.unpacked(texts["packed"]) == [b"one two", b""]
