@@ -157,3 +157,32 @@ def test_query(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     compare(suffix_tree.op7_suffix_tree(spark, folder).collect(), rows)
+
+
+def test_texts_are_cut_once():
+    """A block is made again from the numbers of its words, without its texts."""
+    texts = [b"The end of the Day", b"", b"of the day " * 20]
+    packed = pa.array([suffix_tree.zstandard.compress(t) for t in texts], pa.binary())
+    docs = pa.table({"block": [3, 3, 3], "doc_id": [5, None, 9], "held": [True, False, False], "packed": packed})
+    rows = suffix_tree._first(2, pa.int64())(docs)
+    asks, own = (rows.filter(suffix_tree.pc.equal(suffix_tree.pc.less(rows["bucket"], 0), x)) for x in (False, True))
+    replies = [
+        suffix_tree._answered(0, {})(asks.filter(suffix_tree.pc.equal(asks["bucket"], b))) for b in asks["bucket"].unique().to_pylist()
+    ]
+    block = suffix_tree._Block(own, pa.concat_tables(replies), {"scale": 1.0})
+    assert block.ids.to_pylist() == [5, None, 9] and block.held.tolist() == [True, False, False]
+    words = [[*t.lower().split(), None] for t in texts]
+    counts = Counter(w for ws in words[1:] for w in ws)
+    assert block.counts.tolist() == [len(w) for w in words]
+    assert block.seen.tolist() == [counts[w] for ws in words for w in ws]
+    known = [suffix_tree.xxhash.xxh3_64_intdigest(w) if counts[w] >= 16 else 0 for ws in words for w in ws]
+    assert block.words[block.place].tolist() == known
+
+
+def test_groups_by_one_number_or_by_sorting():
+    """Keys and places that don't fit into one number are grouped alike."""
+    keys = np.array([random.Random(3).randrange(50) for _ in range(1000)], np.int64)
+    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    for most in (50, 1 << 62):
+        got = suffix_tree._grouped(keys, most)
+        assert (got[0] == first).all() and (got[1] == number).all()
