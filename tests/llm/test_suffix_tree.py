@@ -186,3 +186,60 @@ def test_groups_by_one_number_or_by_sorting():
     for most in (50, 1 << 62):
         got = suffix_tree._grouped(keys, most)
         assert (got[0] == first).all() and (got[1] == number).all()
+
+
+def _replied(texts, buckets):
+    """A block of these training texts and all that buckets reply to it, in one process: asks and replies by level."""
+    packed = pa.array([suffix_tree.zstandard.compress(t.encode()) for t in texts], pa.binary())
+    n = len(texts)
+    docs = pa.table({"block": [0] * n, "doc_id": [None] * n, "held": [False] * n, "packed": packed})
+    rows = suffix_tree._first(buckets, pa.int64())(docs)
+    less = suffix_tree.pc.less(rows["bucket"], 0)
+    own, asks = rows.filter(less), [rows.filter(suffix_tree.pc.invert(less))]
+    model = {"buckets": buckets, "part": 1 << 30, "hot": [(np.zeros(0, np.uint64), np.zeros(0))] * 2}
+    model |= {"scale": 1000.0, "least": 16, "least_run": 2}
+    replies = []
+    for level in (0, 1, 2):
+        if level:
+            told = pa.concat_tables(replies)
+            told = told.filter(suffix_tree.pc.equal(told["block"], 0))
+            asks.append(suffix_tree._asked(level, model)(own, told))
+        parts = []
+        for b in asks[level]["bucket"].unique().to_pylist():
+            here = [asks[level].filter(suffix_tree.pc.equal(asks[level]["bucket"], b))]
+            if level == 2:
+                known = replies[1].filter(suffix_tree.pc.equal(replies[1]["bucket"], b))
+                here.append(known.filter(suffix_tree.pc.less(known["block"], -1)))
+            parts.append(suffix_tree._answered(level, model)(*here))
+        replies.append(pa.concat_tables(parts))
+    return asks, replies
+
+
+def _size(table, *columns):
+    return sum(len(b) for c in columns for b in table[c].to_pylist() if b is not None)
+
+
+def test_runs_are_asked_for_in_few_bytes():
+    """A block says neither hashes of contexts nor chances of words, and hears factors only where it needs them."""
+    chosen = random.Random(5)
+    texts = [" ".join(f"w{int(chosen.paretovariate(0.6)) % 300}" for _ in range(300)) for _ in range(300)]
+    asks, replies = _replied(texts, 2)
+    for level, most in ((1, 2), (2, 2)):  # 2.8 and 8.2 bytes a run before, 1.4 and 1.3 now
+        binary = [c for c in asks[level].column_names if asks[level].schema.field(c).type == pa.binary()]
+        runs = sum(len(w) for w in suffix_tree._values(asks[level]["words"], np.uint64))
+        assert runs > 5000 and _size(asks[level], *binary) < most * runs
+    # All that follows "a" has a probability of its own; a rare word follows "b", too.
+    _, replies = _replied(["x y z " * 30, *["a x", "a y"] * 20, *["b x", "b y"] * 20, "b rare"], 1)
+    blocks = replies[1].filter(suffix_tree.pc.equal(replies[1]["block"], 0))
+    factors = suffix_tree._joined_values(blocks["factors"], np.float64)
+    assert (factors == 1).any() and (factors[~np.isnan(factors)] < 1).any()
+
+
+def test_contexts_that_end_with_a_word_without_runs(documents):
+    """Their bucket has no run of two words: whatever follows `b` does so once."""
+    rows = [(None, f"a b w{i}") for i in range(20)] + [(None, f"w{i}") for i in range(20) for _ in range(15)]
+    rows += [(None, f"w{i}") for i in range(3)]
+    expected, _ = plain_scores(rows, 0, 0)
+    found = suffix_tree.score_documents(documents(rows), block_bytes=100).collect()
+    got = sorted(r["score"] for r in found)
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, sorted(expected), strict=True))
