@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 
 SCORE_DIGITS = 9
-_QUESTIONS_AT_A_TIME = 256
+#: Questions and chunks of a tile, whose scores stay in a core's cache; pairs that are scored in doubles at a time.
+_QUESTIONS_AT_A_TIME, _CHUNKS_AT_A_TIME, _PAIRS_AT_A_TIME = 512, 512, 1 << 15
 
 
 def rounded(scores: np.ndarray) -> np.ndarray:
@@ -69,6 +70,9 @@ class BestChunks:
     def add_pairs(self, question: np.ndarray, score: np.ndarray, chunk: np.ndarray) -> None:
         """Take in scores of single pairs of a question and a chunk."""
         enough = score >= self.floor[question]
+        # At the score of a question's k-th chunk only a lower id counts.
+        tied = np.flatnonzero(enough & (score == self.scores[question, self.k - 1]))
+        enough[tied] = (chunk[tied].astype(object) < self.chunks[question[tied], self.k - 1]).astype(bool)
         question, score, chunk = question[enough], score[enough], chunk[enough]
         if not len(question):
             return
@@ -77,8 +81,14 @@ class BestChunks:
         question = np.concatenate([np.repeat(asked, held.sum(1)), question])
         score = np.concatenate([self.scores[asked][held], score])
         chunk = np.concatenate([self.chunks[asked][held], chunk.astype(object)])
-        code = np.unique(chunk, return_inverse=True)[1]
-        order = np.lexsort((code, -score, question))
+        order = np.lexsort((-score, question))
+        tied = (question[order][1:] == question[order][:-1]) & (score[order][1:] == score[order][:-1])
+        if tied.any():
+            # Ids are compared for equal scores alone.
+            tied = order[np.append(tied, False) | np.append(False, tied)]
+            code = np.zeros(len(chunk), np.int64)
+            code[tied] = np.unique(chunk[tied], return_inverse=True)[1]
+            order = np.lexsort((code, -score, question))
         question, score, chunk = question[order], score[order], chunk[order]
         first = np.flatnonzero(np.concatenate([[True], question[1:] != question[:-1]]))
         place = np.arange(len(question)) - np.repeat(first, np.diff(np.append(first, len(question))))
@@ -101,12 +111,53 @@ class BestChunks:
         )
 
 
+def _likely(scores: np.ndarray, floor: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (chunk, question) of a tile's scores that may be among a question's best k.
+
+    The scores are off by `slack` at most. A question without a floor takes the tile's k-th best score for it.
+    """
+    limit = floor - slack
+    open_ = np.flatnonzero(~np.isfinite(floor))
+    if len(scores) > k and len(open_):
+        place = len(scores) - k
+        limit[open_] = np.partition(scores[:, open_], place, axis=0)[place] - 2 * slack
+    reached = np.flatnonzero(scores.max(axis=0) >= limit)
+    chunk, question = np.nonzero(scores[:, reached] >= limit[reached])
+    return chunk, reached[question]
+
+
 def add_similarities(best: BestChunks, questions: np.ndarray, vectors: np.ndarray, chunks: np.ndarray) -> None:
-    """Score unit question vectors against a batch of unit chunk vectors, a tile at a time."""
+    """Score unit question vectors against a batch of unit chunk vectors, a tile at a time.
+
+    Tiles are scored in single precision. This errs by less than `slack`, so pairs that stay below a question's
+    floor by more cannot count; only the others are scored in doubles, which decide.
+    """
     if len(chunks) == 0:
         return
     if questions.shape[1] != vectors.shape[1]:
         raise ValueError(f"question vectors have {questions.shape[1]} numbers, chunk vectors {vectors.shape[1]}")
+    known = ~np.isnan(vectors).any(axis=1)
+    if not known.all():
+        vectors, chunks = vectors[known], chunks[known]
+    slack = (vectors.shape[1] + 16) * float(np.finfo(np.float32).eps)
+    near = vectors.astype(np.float32)
     for start in range(0, len(questions), _QUESTIONS_AT_A_TIME):
-        scores = rounded(questions[start : start + _QUESTIONS_AT_A_TIME] @ vectors.T)
-        best.add(start, scores, chunks)
+        asked = questions[start : start + _QUESTIONS_AT_A_TIME]
+        columns = asked.astype(np.float32).T
+        waiting, pairs = [], 0
+        for first in range(0, len(chunks), _CHUNKS_AT_A_TIME):
+            scores = near[first : first + _CHUNKS_AT_A_TIME] @ columns
+            floor = best.floor[start : start + len(asked)]
+            chunk, question = _likely(scores, floor, best.k, slack)
+            waiting.append((chunk + first, question))
+            pairs += len(chunk)
+            last = first + _CHUNKS_AT_A_TIME >= len(chunks)
+            if pairs and (last or pairs >= 8 * len(asked) or not np.isfinite(floor).all()):
+                chunk, question = (np.concatenate(column) for column in zip(*waiting, strict=True))
+                cuts = range(_PAIRS_AT_A_TIME, pairs, _PAIRS_AT_A_TIME)
+                exact = [
+                    np.einsum("ij,ij->i", asked[q], vectors[c])
+                    for c, q in zip(np.split(chunk, cuts), np.split(question, cuts), strict=True)
+                ]
+                best.add_pairs(question + start, rounded(np.concatenate(exact)), chunks[chunk])
+                waiting, pairs = [], 0

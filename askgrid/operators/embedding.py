@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -15,9 +14,35 @@ from pyspark.sql import types as T
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
-#: Characters of text whose words are held as objects at a time.
-CUT = 1 << 20
+#: Texts whose counts are scaled at a time, and words whose places a client remembers.
+_TEXTS_AT_A_TIME, _WORDS = 256, 1 << 17
 _WORD = re.compile(r"[^\W_]+")
+#: The bytes of Latin-1 in lower case, a blank for what belongs to no word.
+_FOLDED = bytes(ord(c) if _WORD.fullmatch(c) else ord(" ") for c in bytes(range(256)).decode("latin-1").lower())
+
+
+def _words(text: str) -> list:
+    """The lower-case words of a text, as Latin-1 bytes if it has no other characters."""
+    try:
+        return text.encode("latin-1").translate(_FOLDED).split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text.lower())
+
+
+class _Places(dict):
+    """The places of words, found as they are asked for."""
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, word) -> int:
+        if len(self) >= _WORDS:
+            self.clear()
+        text = word.decode("latin-1") if isinstance(word, bytes) else word
+        place = int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "big") % self.dimensions
+        self[word] = place
+        return place
 
 
 def hashed_terms(dimensions: int = 64) -> Callable[[], Embedder]:
@@ -27,26 +52,19 @@ def hashed_terms(dimensions: int = 64) -> Callable[[], Embedder]:
     """
 
     def client() -> Embedder:
-        @functools.lru_cache(maxsize=1 << 17)
-        def place_of(word: str) -> int:
-            return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
-
-        def embed_few(texts: Sequence[str]) -> np.ndarray:
-            words = [_WORD.findall((text or "").lower()) for text in texts]
-            row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-            code, distinct = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
-            place = np.array([place_of(w) for w in distinct], dtype=np.int64)
-            cells = row * dimensions + (place[code] if len(code) else 0)
-            counts = np.bincount(cells, minlength=len(texts) * dimensions).reshape(len(texts), dimensions)
-            length = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
-            return (counts / np.where(length == 0, 1.0, length)).astype(np.float32)
+        place_of = _Places(dimensions).__getitem__
+
+        def counts(text: str) -> np.ndarray:
+            words = _words(text)
+            return np.bincount(np.fromiter(map(place_of, words), np.int64, len(words)), minlength=dimensions)
 
         def embed(texts: Sequence[str]) -> np.ndarray:
-            # Words stand as objects for about CUT characters of text at a time only.
-            places = np.cumsum([len(text or "") for text in texts]) // CUT
-            cuts = np.flatnonzero(np.diff(places)) + 1
-            bounds = [0, *cuts.tolist(), len(texts)]
-            return np.concatenate([embed_few(texts[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
+            vectors = np.empty((len(texts), dimensions), np.float32)
+            for start in range(0, len(texts), _TEXTS_AT_A_TIME):
+                some = np.stack([counts(text or "") for text in texts[start : start + _TEXTS_AT_A_TIME]])
+                length = np.sqrt((some.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+                vectors[start : start + len(some)] = some / np.where(length == 0, 1.0, length)
+            return vectors
 
         return embed
 

@@ -29,6 +29,8 @@ SLICE_BYTES = 64 << 20
 #: Chunks that are searched without a floor, the tasks that do it if they are a sample, and how many times more
 #: chunks the next search may have. Each search passes on about that many times k rows per question.
 FIRST_ROWS, FIRST_TASKS, GROWTH = 1 << 17, 8, 256
+#: The same for vectors, where a sample of 1 in 16 costs little and rows passed on are what must not grow.
+VECTOR_GROWTH = 16
 
 Share = Callable[[object], Broadcast]
 
@@ -132,7 +134,7 @@ def topk_by_vector(
     chunk_vector: str = fixed.CHUNK_VECTOR_FIELD,
     slice_bytes: int = SLICE_BYTES,
     first_rows: int = FIRST_ROWS,
-    growth: int = GROWTH,
+    growth: int = VECTOR_GROWTH,
 ) -> DataFrame:
     """Rows `question_id, rank, chunk_id, score`, k per question (fewer if there are fewer chunks).
 

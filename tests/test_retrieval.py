@@ -310,3 +310,87 @@ def test_memory_of_the_embedder_does_not_grow_with_its_batch():
     assert peak < 60 << 20
     assert np.array_equal(found, np.concatenate([embed([t]) for t in texts]))
     assert embed([]).shape == (0, 64)
+
+
+def unit_rows(numbers):
+    return numbers / np.linalg.norm(numbers, axis=1, keepdims=True)
+
+
+def test_scores_are_held_for_a_tile():
+    """A batch of any length is scored in tiles, so no array holds a score for each question and chunk."""
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    asked, vectors = unit_rows(rng.normal(size=(300, 8))), unit_rows(rng.normal(size=(40_000, 8)))
+    best = ranking.BestChunks(300, K)
+    tracemalloc.start()
+    ranking.add_similarities(best, asked, vectors, np.arange(40_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    scores = ranking.rounded(asked @ vectors.T)
+    assert [sorted(best.chunks[q].tolist()) for q in range(300)] == np.sort(np.argsort(-scores, axis=1)[:, :K]).tolist()
+
+
+@pytest.mark.parametrize("floors", [False, True])
+def test_doubles_decide_between_near_equal_scores(floors):
+    """Scores that single precision cannot tell apart, equal scores and vectors with a missing number."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(4, 32))
+    vectors = np.repeat(base, 500, axis=0) + 10.0 ** rng.integers(-9, -5, size=(2000, 1)) * rng.normal(size=(2000, 32))
+    vectors[::7] = vectors[0]
+    vectors = unit_rows(vectors)
+    vectors[5::400] = np.nan
+    asked = unit_rows(np.concatenate([base, rng.normal(size=(600, 32))]))
+    ids = np.array([f"{(i * 7919) % 2000}:0" for i in range(2000)], object)
+    scores = ranking.rounded(asked @ vectors.T)
+    known = ~np.isnan(scores[0])
+    expected = [sorted(zip((-s[known]).tolist(), ids[known].tolist(), strict=True))[:K] for s in scores]
+    best = ranking.BestChunks(len(asked), K, np.array([-e[-1][0] for e in expected]) if floors else None)
+    for start in range(0, 2000, 900):
+        ranking.add_similarities(best, asked, vectors[start : start + 900], ids[start : start + 900])
+    assert best.chunks.tolist() == [[i for _, i in e] for e in expected]
+    assert np.array_equal(best.scores, [[-s for s, _ in e] for e in expected])
+
+
+def test_ids_are_compared_for_equal_scores_alone():
+    compared = []
+
+    class Id(str):
+        def __lt__(self, other):
+            compared.append((self, other))
+            return str(self) < str(other)
+
+    best = ranking.BestChunks(1, K)
+    ids = np.array([Id(f"{i:03}") for i in range(300)], object)
+    best.add_pairs(np.zeros(300, int), np.linspace(0, 1, 300), ids)
+    assert not compared and best.chunks[0].tolist() == ["299", "298", "297", "296", "295"][:K]
+    best.add_pairs(np.zeros(3, int), np.full(3, best.scores[0, K - 1]), np.array([Id("000"), Id("001"), Id("zzz")], object))
+    assert best.chunks[0].tolist() == [*["299", "298", "297", "296", "295"][: K - 1], "000"]
+
+
+def test_samples_of_the_vector_search_are_1_in_16():
+    """Beyond FIRST_ROWS chunks, tasks pass on about VECTOR_GROWTH times k chunks of a question, not k each."""
+    assert retrieval.shares(retrieval.FIRST_ROWS * 2, growth=retrieval.VECTOR_GROWTH) == [16]
+    assert retrieval.shares(10**7, growth=retrieval.VECTOR_GROWTH) == [256, 16]
+
+
+def test_offline_vectors_of_any_script():
+    """Words are lower-case runs of letters and digits, their places the first 8 digits of their MD5."""
+    import hashlib
+    import re
+
+    texts = ["Ünï_code ÀÉ²½ªµ ÿ\x85\xa0b", "ΑΣ ΑΣΑ ﬁ 中文 ٣٤", "It’s 10 o'clock", "a_b-a B", "_", "", None]
+    expected = np.zeros((len(texts), 64))
+    for row, text in enumerate(texts):
+        for word in re.findall(r"[^\W_]+", (text or "").lower()):
+            expected[row, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64] += 1
+    length = np.linalg.norm(expected, axis=1, keepdims=True)
+    assert np.allclose(embedding.hashed_terms()()(texts), expected / np.where(length == 0, 1, length), atol=1e-7)
+
+
+def test_places_are_right_after_more_words_than_are_remembered(monkeypatch):
+    texts = [" ".join(f"w{i * j % 97}" for j in range(50)) for i in range(40)]
+    expected = embedding.hashed_terms()()(texts)
+    monkeypatch.setattr(embedding, "_WORDS", 5)
+    assert np.array_equal(embedding.hashed_terms()()(texts), expected)
