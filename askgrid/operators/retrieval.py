@@ -29,7 +29,7 @@ SLICE_BYTES = 64 << 20
 #: Chunks that are searched without a floor, the tasks that do it if they are a sample, and how many times more
 #: chunks the next search may have. Each search passes on about that many times k rows per question.
 FIRST_ROWS, FIRST_TASKS, GROWTH = 1 << 17, 8, 256
-#: The same for vectors, where a sample of 1 in 16 costs little and rows passed on are what must not grow.
+#: The same for vectors: a sample of 1 in 16 costs little next to the rows that a looser floor lets through.
 VECTOR_GROWTH = 16
 
 Share = Callable[[object], Broadcast]
